@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .scratch import Scratch, sized_broadcast, table
 
-#: Lines are cut into blocks of so many characters; one edit touches one block.
+#: Lines are cut into blocks of so many characters at most; one edit touches one block.
 BLOCK = 256
 #: Shorter lines are never removed: brackets, blanks and headings repeat for good reasons.
 MIN_CHARS = 24
@@ -19,20 +19,37 @@ def split_lines(text: Column) -> Column:
     return F.split(text, "\n")
 
 
+def _width(cls: Column) -> Column:
+    """Block length of a class: half of it, 256 at most, so one edit always leaves a block untouched."""
+    return F.least(F.lit(BLOCK), F.ceil(cls / 2).cast("int"))
+
+
+def _pieces(s: Column, cls: Column) -> Column:
+    w = _width(cls)
+    short = F.array(F.substring(s, F.lit(1), w), F.substring(s, w + 1, F.length(s)))
+    return F.when(cls <= 2 * BLOCK, short).otherwise(F.regexp_extract_all(s, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0)))
+
+
+def _chain(pieces: Column) -> Column:
+    """Hashes of the first 0, 1, 2, ... pieces."""
+    return F.aggregate(pieces, F.array(F.lit(0).cast("long")), lambda got, x: F.concat(got, F.array(F.xxhash64(F.element_at(got, -1), x))))
+
+
 def _blocks(line: Column) -> Column:
     """Array of (cls, j, rest): for the line's own length and the next shorter one, the hash of all that
     lies outside block j. Two lines one edit apart agree on ``rest`` for the edited block."""
     n = F.length(line)
 
-    def of(cls: Column) -> Column:
-        longer = n - cls  # 1 where this line is the longer of a pair
-        count = F.greatest(F.ceil(cls / BLOCK).cast("int"), F.lit(1))
-        return F.transform(F.sequence(F.lit(0), count - 1), lambda j: F.struct(
-            cls.alias("cls"), j.alias("j"),
-            F.xxhash64(cls, j, F.substring(line, F.lit(1), j * BLOCK), F.substring(line, (j + 1) * BLOCK + longer + 1, n)).alias("rest"),
-        ))
+    def of(cls: Column, skip: int) -> Column:
+        before = _chain(_pieces(line, cls))
+        after = _chain(F.reverse(_pieces(F.substring(line, skip + 1, 1 << 30), cls)))
+        count = F.when(cls <= 2 * BLOCK, F.lit(2)).otherwise(F.ceil(cls / BLOCK).cast("int"))
+        both = F.struct(before.alias("p"), after.alias("q"))  # computed once, then indexed
+        return F.flatten(F.transform(F.array(both), lambda c: F.transform(F.sequence(F.lit(0), count - 1), lambda j: F.struct(
+            cls.alias("cls"), j.alias("j"), F.xxhash64(cls, j, F.get(c["p"], j), F.get(c["q"], count - 1 - j)).alias("rest"),
+        ))))
 
-    return F.concat(of(n), of(n - 1))
+    return F.concat(of(n, 0), of(n - 1, 1))
 
 
 def _variants(block: Column, own: Column) -> Column:
@@ -57,7 +74,7 @@ def removed_lines(docs: DataFrame, *, min_chars: int = MIN_CHARS, scratch: Scrat
     line lies within edit distance 1, whether that one stays or not.
 
     1. Equal lines: the earliest place of each content, summed map-side.
-    2. Block keys: all of a line outside one block of 256 characters. Only keys that two contents share
+    2. Block keys: all of a line outside one block (half the line, 256 characters at most). Only keys that two contents share
        can hold a pair, and only their blocks are expanded into deletion variants, so the expansion
        follows the near copies and not the corpus.
     3. Equal variants are joined. Sharing one already means one edit, so the earliest member of a key
@@ -87,12 +104,15 @@ def removed_lines(docs: DataFrame, *, min_chars: int = MIN_CHARS, scratch: Scrat
     wanted = scratch.pin(lines.join(sized_broadcast(held, MAX_BROADCAST_ROWS), "doc_id", "left_semi").join(some.select("doc_id", "line_no").distinct(), ["doc_id", "line_no"], "left_semi"))
 
     own = F.col("cls") == F.length("line")
-    block = F.substring(F.col("line"), F.col("j") * BLOCK + 1, F.least(F.lit(BLOCK), F.col("cls") - F.col("j") * BLOCK) + F.when(own, 0).otherwise(1))
+    w = _width(F.col("cls"))
+    block = F.substring(F.col("line"), F.col("j") * w + 1, F.least(w, F.col("cls") - F.col("j") * w) + F.when(own, 0).otherwise(1))
     full = F.struct(F.lit(-1).alias("kind"), F.xxhash64(F.lit(0), block).alias("v"))
     bare = F.transform(_variants(block, own), lambda x: F.when(x["kind"] == -1, full).otherwise(x))
     # a longer line's shortened block must hash as the shorter line's whole block
     short = F.transform(F.sequence(F.lit(1), F.greatest(F.length(block), F.lit(1))), lambda i: F.struct(F.lit(-2).alias("kind"), F.xxhash64(F.lit(0), F.concat(F.substring(block, F.lit(1), i - 1), F.substring(block, i + 1, F.length(block)))).alias("v")))
-    v = some.join(wanted, ["doc_id", "line_no"]).select("doc_id", "line_no", "rest", F.explode(F.array_distinct(F.when(own, bare).otherwise(short))).alias("x"))
+    # few rows become many: dealt out again, as their number says little about the work
+    spread = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), docs.sparkSession.sparkContext.defaultParallelism)
+    v = some.join(wanted, ["doc_id", "line_no"]).repartition(spread, "doc_id", "line_no", "j").select("doc_id", "line_no", "rest", F.explode(F.array_distinct(F.when(own, bare).otherwise(short))).alias("x"))
     v = v.select("doc_id", "line_no", F.col("x.kind").alias("kind"), F.xxhash64("rest", F.when(F.col("x.kind") < 0, F.lit(-1)).otherwise(F.col("x.kind")), "x.v").alias("key"))
     v = scratch.pin(v)
     whole, cut = F.col("kind") == -1, F.col("kind") == -2

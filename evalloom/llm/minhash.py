@@ -31,6 +31,8 @@ class Near:
     rows: int = 6
     bits: int = 4
     miss: float = 1e-9
+    star_rounds: int = 2
+    tile: int = 512
 
     @property
     def k(self) -> int:
@@ -144,14 +146,98 @@ def _matches(a, b, p: Near):
     return F.lit(p.k) - F.aggregate(F.zip_with(a, b, differ), F.lit(0), lambda s, x: s + x)
 
 
+def _open_buckets(bc: DataFrame) -> DataFrame:
+    """Rows (key, rep, comp) of the buckets that hold two components."""
+    active = bc.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("z")).where("a < z").select("key")
+    return bc.join(active, "key", "left_semi")
+
+
+def _contract(comp: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
+    """``comp(rep, comp)`` with the components that ``links(a, b)`` join made one."""
+    ca = comp.select(F.col("rep").alias("a"), F.col("comp").alias("ca"))
+    cb = comp.select(F.col("rep").alias("b"), F.col("comp").alias("cb"))
+    joined = links.join(ca, "a").join(cb, "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+    moved = connected(joined, scratch).withColumnRenamed("node", "comp")
+    return scratch.pin(comp.join(moved, "comp", "left").select("rep", F.coalesce("component", "comp").alias("comp")))
+
+
+def tile_forest(comp: np.ndarray, sig: np.ndarray, sets: list[np.ndarray], p: Near) -> list[tuple[int, int]]:
+    """Links among the rows of one tile that join different components: a spanning forest.
+
+    Signatures rule pairs out first; the rest are confirmed on full sets. Rows are walked one by one
+    against all earlier ones, so memory stays linear in the tile.
+    """
+    ones = np.uint64(sum(1 << (p.bits * i) for i in range(64 // p.bits)))
+    _, root = np.unique(comp, return_inverse=True)
+    least = p.least_matches()
+    out = []
+    for i in range(1, len(comp)):
+        z = sig[:i] ^ sig[i]
+        for s in range(p.bits.bit_length() - 1):
+            z = z | (z >> np.uint64(1 << s))
+        match = p.k - np.bitwise_count(z & ones).sum(axis=1)
+        order = np.flatnonzero((match >= least) & (root[:i] != root[i]))
+        for j in order[np.argsort(-match[order], kind="stable")]:
+            if root[j] == root[i]:
+                continue
+            a, b = sets[i], sets[j]
+            if min(len(a), len(b)) * 100 < p.percent * max(len(a), len(b)):
+                continue
+            at = np.minimum(np.searchsorted(b, a), len(b) - 1)
+            inter = int((b[at] == a).sum())
+            if 100 * inter >= p.percent * (len(a) + len(b) - inter):
+                out.append((i, int(j)))
+                root[root == root[i]] = root[j]
+    return out
+
+
+def _tiler(p: Near):
+    def links(rows: list[pa.RecordBatch]):
+        t = pa.Table.from_batches(rows)
+        key = np.stack([t.column(c).to_numpy() for c in ("key", "ti", "tj")])
+        cut = np.flatnonzero(np.concatenate(([True], (key[:, 1:] != key[:, :-1]).any(axis=0), [True])))
+        rep, comp = t.column("rep").to_numpy(), t.column("comp").to_numpy()
+        sig = t.column("sig").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(rep), -1)
+        col = t.column("items").combine_chunks()
+        flat, offs = col.values.to_numpy().view(np.uint64), col.offsets.to_numpy()
+        a, b = [], []
+        for lo, hi in zip(cut[:-1], cut[1:]):
+            for i, j in tile_forest(comp[lo:hi], sig[lo:hi], [flat[offs[r] : offs[r + 1]] for r in range(lo, hi)], p):
+                a.append(rep[lo + i])
+                b.append(rep[lo + j])
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # at most an Arrow batch and the tile that goes on in the next
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            k = np.stack([batch.column(c).to_numpy() for c in range(3)])
+            start = int(np.flatnonzero((k != k[:, -1:]).any(axis=0))[-1]) + 1 if (k != k[:, -1:]).any() else 0
+            if start:
+                held.append(batch.slice(0, start))
+                yield links(held)
+                held = [batch.slice(start)]
+            else:
+                first = held and [held[0].column(c)[0].as_py() for c in range(3)]
+                if first and first != k[:, 0].tolist():
+                    yield links(held)
+                    held = []
+                held.append(batch)
+        if held:
+            yield links(held)
+
+    return run
+
+
 def near_duplicates(docs: DataFrame, params: Near = Near()) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs``.
 
     Documents with one shingle set are one class from the start, so copies never meet as pairs. Class
-    representatives that share a band are candidates. In every bucket the members are compared with a
-    few leaders (one, then 4, 16, ...); links contract components, a leader that met all others leaves
-    its bucket, and rounds go on while any bucket still holds two components. That gives the components of
-    the whole candidate graph, while a bucket of mutually near documents costs its size.
+    representatives that share a band are candidates. In each bucket all members are first compared with
+    one leader, for ``star_rounds`` rounds: links contract components, and a leader that met all others
+    leaves its bucket. A group around one text so costs its size. Buckets that still hold two components are
+    compared in full, in tiles of about twice ``tile`` rows that return spanning forests.
 
     Candidates' similarity is first estimated from the packed low bits, corrected for chance collisions;
     pairs not ruled out are confirmed on full shingle sets. Null or empty texts link with nothing; rows
@@ -183,16 +269,14 @@ def near_duplicates(docs: DataFrame, params: Near = Near()) -> DataFrame:
 
     comp = scratch.pin(in_play.select("rep", F.col("rep").alias("comp")))
     several = member.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a < b")
-    links = [scratch.pin(several.select("a", "b"))]
-    salts = 1
-    while True:
+    several = scratch.pin(several.select("a", "b"))
+    for _ in range(p.star_rounds):
         bc = scratch.pin(buckets.join(comp, "rep"))
-        active = bc.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("z")).where("a < z").select("key")
-        live = scratch.pin(bc.join(active, "key", "left_semi"))
+        live = scratch.pin(_open_buckets(bc))
         scratch.drop(bc)
         if live.isEmpty():
             break
-        lead = live.groupBy("key", F.pmod(F.xxhash64("rep"), F.lit(salts)).alias("s")).agg(F.min(F.struct("rep", "comp")).alias("l"))
+        lead = live.groupBy("key").agg(F.min(F.struct("rep", "comp")).alias("l"))
         lead = scratch.pin(lead.select("key", F.col("l.rep").alias("lead"), F.col("l.comp").alias("lcomp")))
         pairs = live.join(lead, "key").where("comp <> lcomp").select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b")).distinct()
         sa, sb = (sigs.select(F.col("rep").alias(c), F.col("sig").alias(f"sig_{c}")) for c in "ab")
@@ -202,17 +286,21 @@ def near_duplicates(docs: DataFrame, params: Near = Near()) -> DataFrame:
         both = likely.join(ia, "a").join(ib, "b")
         inter = F.size(F.array_intersect("items_a", "items_b"))
         new = both.where(100 * inter >= p.percent * (F.size("items_a") + F.size("items_b") - inter)).select("a", "b").distinct()
-        links.append(scratch.pin(new))
-        ca = comp.select(F.col("rep").alias("a"), F.col("comp").alias("ca"))
-        cb = comp.select(F.col("rep").alias("b"), F.col("comp").alias("cb"))
-        joined = links[-1].join(ca, "a").join(cb, "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
-        moved = connected(joined, scratch).withColumnRenamed("node", "comp")
-        comp = scratch.pin(comp.join(moved, "comp", "left").select("rep", F.coalesce("component", "comp").alias("comp")))
+        comp = _contract(comp, scratch.pin(new), scratch)
         buckets = scratch.pin(live.select("key", "rep").join(lead.select("key", F.col("lead").alias("rep")), ["key", "rep"], "left_anti"))
         scratch.drop(live, lead, likely)
-        salts = min(salts * 4, 4096)
+    # what is still open: all members against each other, in tiles that return spanning forests
+    bc = scratch.pin(buckets.join(comp, "rep"))
+    live = scratch.pin(_open_buckets(bc))
+    if not live.isEmpty():
+        size = live.groupBy("key").agg((F.floor((F.count(F.lit(1)) - 1) / p.tile) + 1).cast("int").alias("nb"))
+        placed = live.join(size, "key").withColumn("i", F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int"))
+        tiled = placed.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select("key", F.least("i", "k").alias("ti"), F.greatest("i", "k").alias("tj"), "rep", "comp")
+        tiled = tiled.join(sigs, "rep").join(sets, "rep").select("key", "ti", "tj", "rep", "comp", "sig", "items")
+        tiled = tiled.repartition("key", "ti", "tj").sortWithinPartitions("key", "ti", "tj")
+        comp = _contract(comp, scratch.pin(tiled.mapInArrow(_tiler(p), "a long, b long").distinct()), scratch)
     # class, then component of its representative; rows sharing an id but not a text tie classes together
-    ties = links[0].join(comp.select(F.col("rep").alias("a"), F.col("comp").alias("ca")), "a", "left").join(comp.select(F.col("rep").alias("b"), F.col("comp").alias("cb")), "b", "left")
+    ties = several.join(comp.select(F.col("rep").alias("a"), F.col("comp").alias("ca")), "a", "left").join(comp.select(F.col("rep").alias("b"), F.col("comp").alias("cb")), "b", "left")
     tied = connected(ties.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")), scratch).select(F.col("node").alias("comp"), F.col("component").alias("tied"))
     of = member.join(comp, "rep", "left").withColumn("comp", F.coalesce("comp", "rep")).join(tied, "comp", "left")
     of = of.groupBy("doc_id").agg(F.min(F.coalesce("tied", "comp")).alias("component_id"))
