@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .scratch import Scratch, sized_broadcast, table
 
 #: Lines are cut into blocks of so many characters at most; one edit touches one block.
-BLOCK = 256
+BLOCK = 128
 #: Shorter lines are never removed: brackets, blanks and headings repeat for good reasons.
 MIN_CHARS = 24
 #: Narrow rows (doc_id, line numbers) that may be broadcast; more are shuffled.
@@ -19,15 +19,8 @@ def split_lines(text: Column) -> Column:
     return F.split(text, "\n")
 
 
-def _width(cls: Column) -> Column:
-    """Block length of a class: half of it, 256 at most, so one edit always leaves a block untouched."""
-    return F.least(F.lit(BLOCK), F.ceil(cls / 2).cast("int"))
-
-
-def _pieces(s: Column, cls: Column) -> Column:
-    w = _width(cls)
-    short = F.array(F.substring(s, F.lit(1), w), F.substring(s, w + 1, F.length(s)))
-    return F.when(cls <= 2 * BLOCK, short).otherwise(F.regexp_extract_all(s, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0)))
+def _pieces(s: Column) -> Column:
+    return F.regexp_extract_all(s, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
 
 
 def _chain(pieces: Column) -> Column:
@@ -35,21 +28,34 @@ def _chain(pieces: Column) -> Column:
     return F.aggregate(pieces, F.array(F.lit(0).cast("long")), lambda got, x: F.concat(got, F.array(F.xxhash64(F.element_at(got, -1), x))))
 
 
+def _key(cls: Column, j: Column, rest: Column) -> Column:
+    return F.struct(cls.alias("cls"), j.alias("j"), rest.alias("rest"))
+
+
+def _halves(line: Column) -> Column:
+    """Hashes of what lies outside either half, for the line's own length and the next shorter one."""
+    n = F.length(line)
+    keys = []
+    for skip in (0, 1):
+        w = F.ceil((n - skip) / 2).cast("int")
+        keys += [F.xxhash64(n - skip, F.lit(0), F.substring(line, w + skip + 1, n)), F.xxhash64(n - skip, F.lit(1), F.substring(line, F.lit(1), w))]
+    return F.array(*keys)
+
+
 def _blocks(line: Column) -> Column:
     """Array of (cls, j, rest): for the line's own length and the next shorter one, the hash of all that
     lies outside block j. Two lines one edit apart agree on ``rest`` for the edited block."""
     n = F.length(line)
+    # bound once: inside a lambda it would be computed again for every block
+    parts = F.struct(n.alias("n"), _chain(_pieces(line)).alias("p"), *[_chain(F.reverse(_pieces(F.substring(line, skip + 1, 1 << 30)))).alias(f"q{skip}") for skip in (0, 1)])
 
-    def of(cls: Column, skip: int) -> Column:
-        before = _chain(_pieces(line, cls))
-        after = _chain(F.reverse(_pieces(F.substring(line, skip + 1, 1 << 30), cls)))
-        count = F.when(cls <= 2 * BLOCK, F.lit(2)).otherwise(F.ceil(cls / BLOCK).cast("int"))
-        both = F.struct(before.alias("p"), after.alias("q"))  # computed once, then indexed
-        return F.flatten(F.transform(F.array(both), lambda c: F.transform(F.sequence(F.lit(0), count - 1), lambda j: F.struct(
-            cls.alias("cls"), j.alias("j"), F.xxhash64(cls, j, F.get(c["p"], j), F.get(c["q"], count - 1 - j)).alias("rest"),
+    def of(c: Column, skip: int) -> Column:
+        bound = F.struct((c["n"] - skip).alias("cls"), F.greatest(F.ceil((c["n"] - skip) / BLOCK).cast("int"), F.lit(1)).alias("count"), c["p"].alias("p"), c[f"q{skip}"].alias("q"))
+        return F.flatten(F.transform(F.array(bound), lambda c: F.transform(F.sequence(F.lit(0), c["count"] - 1), lambda j: _key(
+            c["cls"], j, F.xxhash64(c["cls"], j, F.get(c["p"], j), F.get(c["q"], c["count"] - 1 - j))
         ))))
 
-    return F.concat(of(n, 0), of(n - 1, 1))
+    return F.flatten(F.transform(F.array(parts), lambda c: F.concat(of(c, 0), of(c, 1))))
 
 
 def _variants(block: Column, own: Column) -> Column:
@@ -60,11 +66,11 @@ def _variants(block: Column, own: Column) -> Column:
     of the longer line with one character deleted, hashed alike, so a -1 and a -2 differ by an insertion.
     """
     n = F.length(block)
-    gone = F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(
-        F.when(own, i - 1).otherwise(F.lit(-2)).alias("kind"), F.xxhash64(F.when(own, i).otherwise(F.lit(0)), F.substring(block, F.lit(1), i - 1), F.lit("|"), F.substring(block, i + 1, n)).alias("v"),
+    gone = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.struct(
+        F.when(own, i - 1).otherwise(F.lit(-2)).alias("kind"), F.xxhash64(F.concat(F.substring(block, F.lit(1), i - 1), F.substring(block, i + 1, F.lit(BLOCK + 1)))).alias("v"),
     ))
-    whole = F.array(F.struct(F.lit(-1).alias("kind"), F.lit(0).cast("long").alias("v")))
-    return F.when(n > 0, F.when(own, F.concat(gone, whole)).otherwise(gone)).otherwise(whole)
+    whole = F.array(F.struct(F.lit(-1).alias("kind"), F.xxhash64(block).alias("v")))
+    return F.when(own, F.concat(gone, whole)).otherwise(F.array_distinct(gone))
 
 
 def removed_lines(docs: DataFrame, *, min_chars: int = MIN_CHARS, scratch: Scratch | None = None) -> DataFrame:
@@ -74,9 +80,10 @@ def removed_lines(docs: DataFrame, *, min_chars: int = MIN_CHARS, scratch: Scrat
     line lies within edit distance 1, whether that one stays or not.
 
     1. Equal lines: the earliest place of each content, summed map-side.
-    2. Block keys: all of a line outside one block (half the line, 256 characters at most). Only keys that two contents share
-       can hold a pair, and only their blocks are expanded into deletion variants, so the expansion
-       follows the near copies and not the corpus.
+    2. One edit leaves a half of a line as it is, and all blocks of 128 characters but one. Keys of what
+       lies outside a half, then outside a block, can hold a pair only where two contents share them;
+       only such blocks are expanded into deletion variants, so the expansion follows the near copies
+       and not the corpus.
     3. Equal variants are joined. Sharing one already means one edit, so the earliest member of a key
        stands for all the others: a key with very many lines costs its size, not its square.
     4. Edit distance is verified on the lines' texts.
@@ -84,7 +91,7 @@ def removed_lines(docs: DataFrame, *, min_chars: int = MIN_CHARS, scratch: Scrat
     scratch = scratch or Scratch(docs.sparkSession, "lines")
     text = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text")
     lines = text.select("doc_id", F.posexplode(split_lines(F.col("text"))).alias("line_no", "line")).where(F.length("line") >= min_chars)
-    content = [F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), F.reverse("line"), F.length("line")).alias("h2")]
+    content = [F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), F.length("line"), "line").alias("h2")]
     at = F.struct("doc_id", "line_no")
 
     keyed = lines.select("doc_id", "line_no", *content)
@@ -93,27 +100,26 @@ def removed_lines(docs: DataFrame, *, min_chars: int = MIN_CHARS, scratch: Scrat
     first_no = repeats.where("doc_id = d0").groupBy("h1", "h2").agg(F.min("line_no").alias("l0"))
     copies = scratch.pin(repeats.join(first_no, ["h1", "h2"]).where("doc_id <> d0 or line_no <> l0").select("doc_id", "line_no"))
 
-    blocks = lines.select("doc_id", "line_no", content[0], F.explode(_blocks(F.col("line"))).alias("b"))
-    keys = blocks.groupBy(F.col("b.rest").alias("rest")).agg(F.min("h1").alias("a"), F.max("h1").alias("z")).where("a <> z").select("rest")
-    keys = scratch.pin(keys)
-    slim = blocks.select("doc_id", "line_no", F.col("b.cls").alias("cls"), F.col("b.j").alias("j"), F.col("b.rest").alias("rest"))
-    some = scratch.pin(slim.join(sized_broadcast(keys, MAX_BROADCAST_ROWS), "rest", "left_semi"))
+    def shared(keyed_rows: DataFrame) -> DataFrame:
+        """Keys that two contents have."""
+        return scratch.pin(keyed_rows.groupBy("rest").agg(F.min("h1").alias("a"), F.max("h1").alias("z")).where("a <> z").select("rest"))
+
+    halves = lines.select("doc_id", "line_no", content[0], F.explode(_halves(F.col("line"))).alias("rest"))
+    some = halves.select("doc_id", "line_no", "rest").join(sized_broadcast(shared(halves), MAX_BROADCAST_ROWS), "rest", "left_semi").select("doc_id", "line_no")
     # later copies of a content add nothing
-    some = scratch.pin(some.join(sized_broadcast(copies, MAX_BROADCAST_ROWS), ["doc_id", "line_no"], "left_anti"))
+    some = scratch.pin(some.join(sized_broadcast(copies, MAX_BROADCAST_ROWS), ["doc_id", "line_no"], "left_anti").distinct())
     held = scratch.pin(some.select("doc_id").distinct())
-    wanted = scratch.pin(lines.join(sized_broadcast(held, MAX_BROADCAST_ROWS), "doc_id", "left_semi").join(some.select("doc_id", "line_no").distinct(), ["doc_id", "line_no"], "left_semi"))
-
-    own = F.col("cls") == F.length("line")
-    w = _width(F.col("cls"))
-    block = F.substring(F.col("line"), F.col("j") * w + 1, F.least(w, F.col("cls") - F.col("j") * w) + F.when(own, 0).otherwise(1))
-    full = F.struct(F.lit(-1).alias("kind"), F.xxhash64(F.lit(0), block).alias("v"))
-    bare = F.transform(_variants(block, own), lambda x: F.when(x["kind"] == -1, full).otherwise(x))
-    # a longer line's shortened block must hash as the shorter line's whole block
-    short = F.transform(F.sequence(F.lit(1), F.greatest(F.length(block), F.lit(1))), lambda i: F.struct(F.lit(-2).alias("kind"), F.xxhash64(F.lit(0), F.concat(F.substring(block, F.lit(1), i - 1), F.substring(block, i + 1, F.length(block)))).alias("v")))
-    # few rows become many: dealt out again, as their number says little about the work
+    wanted = scratch.pin(lines.join(sized_broadcast(held, MAX_BROADCAST_ROWS), "doc_id", "left_semi").join(some, ["doc_id", "line_no"], "left_semi"))
+
+    # few rows become many: dealt out by number, as their size says little about the work
     spread = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), docs.sparkSession.sparkContext.defaultParallelism)
-    v = some.join(wanted, ["doc_id", "line_no"]).repartition(spread, "doc_id", "line_no", "j").select("doc_id", "line_no", "rest", F.explode(F.array_distinct(F.when(own, bare).otherwise(short))).alias("x"))
-    v = v.select("doc_id", "line_no", F.col("x.kind").alias("kind"), F.xxhash64("rest", F.when(F.col("x.kind") < 0, F.lit(-1)).otherwise(F.col("x.kind")), "x.v").alias("key"))
+    blocks = wanted.repartition(spread, "doc_id", "line_no").select("doc_id", "line_no", content[0], "line", F.explode(_blocks(F.col("line"))).alias("b"))
+    own = F.col("b.cls") == F.length("line")
+    block = F.substring(F.col("line"), F.col("b.j") * BLOCK + 1, F.least(F.lit(BLOCK), F.col("b.cls") - F.col("b.j") * BLOCK) + F.when(own, 0).otherwise(1))
+    blocks = scratch.pin(blocks.select("doc_id", "line_no", "h1", F.col("b.rest").alias("rest"), F.col("b.j").alias("j"), own.alias("own"), block.alias("block")))
+    live = blocks.join(shared(blocks), "rest", "left_semi").select("doc_id", "line_no", "rest", "own", "block", "j").repartition(spread, "doc_id", "line_no", "j")
+    v = live.select("doc_id", "line_no", "rest", F.explode(_variants(F.col("block"), F.col("own"))).alias("x"))
+    v = v.select("doc_id", "line_no", F.col("x.kind").alias("kind"), F.xxhash64("rest", F.greatest(F.col("x.kind"), F.lit(-1)), "x.v").alias("key"))
     v = scratch.pin(v)
     whole, cut = F.col("kind") == -1, F.col("kind") == -2
     first = v.groupBy("key").agg(F.min(F.when(~cut, at)).alias("plain"), F.min(F.when(cut, at)).alias("longer"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
@@ -134,7 +140,7 @@ def dedup_lines(docs: DataFrame, **params) -> DataFrame:
     """
     gone = removed_lines(docs, **params)
     per = Scratch(docs.sparkSession, "lines").pin(gone.groupBy("doc_id").agg(F.collect_set("line_no").alias("_ln_gone")))
-    got = docs.join(per, "doc_id", "left")
+    got = docs.join(per.hint("merge"), "doc_id", "left")  # one strategy at every size
     all_ = split_lines(F.col("text"))
     kept = F.filter(F.transform(all_, lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda s: ~F.array_contains(F.col("_ln_gone"), s["i"]))
     text = F.when(F.col("_ln_gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda s: s["x"]), "\n"))
