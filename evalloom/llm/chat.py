@@ -24,29 +24,42 @@ def unescape(s: Column) -> Column:
 
 
 def paths(nodes: DataFrame, scratch: Scratch, top_k: int = 1) -> DataFrame:
-    """(tree, path, score): the ``top_k`` best root-to-leaf paths of every tree, as arrays of node ids.
+    """(tree, leaf, node, at): the nodes of the ``top_k`` best root-to-leaf paths of every tree, root at 1.
 
-    ``nodes`` is (tree, node, parent, score). A self-join per level extends the open paths by their
-    last nodes' children; only ids and scores travel. Branches rank by mean score, then by the smaller
-    path. Rows whose parent is missing never join a root and are left out.
+    ``nodes`` is (tree, node, parent, score). Self-joins double every node's jump towards its root, so a
+    path of d replies takes log2(d) joins, and carry the scores' sum and the depth along. Branches rank by
+    mean score, then by the smaller leaf. A chosen leaf's ancestors are listed by the same jumps. Only
+    ids and scores travel. A row whose parent is missing is a root; replies in a circle are an error.
     """
-    kids = nodes.select("tree", F.col("parent").alias("_last"), F.col("node").alias("_next"), F.coalesce(F.col("score"), F.lit(0.0)).alias("_s")).where(F.col("_last").isNotNull())
-    open_ = scratch.pin(nodes.where(F.col("parent").isNull()).select("tree", F.col("node").alias("_last"), F.array("node").alias("path"), F.coalesce(F.col("score"), F.lit(0.0)).alias("_sum")))
-    kids = scratch.pin(kids)
-    ended = None
+    named = nodes.select(F.col("tree"), F.col("node").alias("_up"))
+    up = nodes.select("tree", "node", F.col("parent").alias("_up"), F.coalesce(F.col("score"), F.lit(0.0)).alias("sum")).join(named.withColumn("_is", F.lit(True)), ["tree", "_up"], "left")
+    up = scratch.pin(up.select("tree", "node", F.when(F.col("_is"), F.col("_up")).alias("up"), "sum", F.lit(1).cast("long").alias("depth")))
+    parents = up.select("tree", F.col("up").alias("node")).where(F.col("node").isNotNull()).distinct()
+    jumps, ended = [], None
     while True:
-        grown = scratch.pin(open_.join(kids, ["tree", "_last"], "left"))
-        leaf = grown.where(F.col("_next").isNull()).select("tree", "path", (F.col("_sum") / F.size("path")).alias("score"))
-        ended = leaf if ended is None else ended.unionByName(leaf)
-        on = grown.where(F.col("_next").isNotNull())
-        if on.isEmpty():
+        root = up.where(F.col("up").isNull())
+        ended = root if ended is None else ended.unionByName(root)
+        going = up.where(F.col("up").isNotNull())
+        if going.isEmpty():
             break
-        open_ = on.select("tree", F.col("_next").alias("_last"), F.concat("path", F.array("_next")).alias("path"), (F.col("_sum") + F.col("_s")).alias("_sum"))
+        jumps.append(going.select("tree", "node", "up"))
+        if len(jumps) > 40:
+            raise ValueError("replies in a circle")
+        far = ended.unionByName(going).select("tree", F.col("node").alias("up"), F.col("up").alias("_up"), F.col("sum").alias("_sum"), F.col("depth").alias("_depth"))
+        # only nodes still short of their root take part
+        up = scratch.pin(going.join(far, ["tree", "up"]).select("tree", "node", F.col("_up").alias("up"), (F.col("sum") + F.col("_sum")).alias("sum"), (F.col("depth") + F.col("_depth")).alias("depth")))
+    up = ended
+    leaves = up.join(parents, ["tree", "node"], "left_anti").select("tree", F.col("node").alias("leaf"), "depth", (F.col("sum") / F.col("depth")).alias("score"))
     if top_k == 1:
-        best = ended.groupBy("tree").agg(F.min(F.struct((-F.col("score")).alias("s"), "path")).alias("b"))
-        return best.select("tree", F.col("b.path").alias("path"), (-F.col("b.s")).alias("score"))
-    rank = F.row_number().over(W.partitionBy("tree").orderBy(F.col("score").desc(), "path"))
-    return ended.withColumn("_r", rank).where(F.col("_r") <= top_k).drop("_r")
+        best = leaves.groupBy("tree").agg(F.min(F.struct((-F.col("score")).alias("s"), "leaf", "depth")).alias("b")).select("tree", "b.leaf", "b.depth")
+    else:
+        rank = F.row_number().over(W.partitionBy("tree").orderBy(F.col("score").desc(), "leaf"))
+        best = leaves.withColumn("_r", rank).where(F.col("_r") <= top_k).select("tree", "leaf", "depth")
+    on = scratch.pin(best.select("tree", "leaf", F.col("leaf").alias("node"), F.col("depth").alias("at")))
+    for k, jump in enumerate(jumps):
+        above = on.join(jump, ["tree", "node"]).select("tree", "leaf", F.col("up").alias("node"), (F.col("at") - (1 << k)).alias("at"))
+        on = scratch.pin(on.unionByName(above))
+    return on
 
 
 def render(turns: Column) -> Column:
@@ -76,7 +89,7 @@ def read_back(formatted: Column) -> Column:
 
 
 def conversations_to_chats(rows: DataFrame, top_k: int = 1) -> DataFrame:
-    """(conv_id, path_rank-1 path) formatted: ``conv_id, formatted, loss`` for rows (conv_id, turn, role, text).
+    """``conv_id, formatted, loss`` of each chosen path of rows (conv_id, turn, role, text).
 
     A row replies to the one before it by turn (null turns first, then by role and text), so repeated
     turns follow each other. Null role or text is empty; a null conv_id is one conversation.
@@ -88,8 +101,7 @@ def conversations_to_chats(rows: DataFrame, top_k: int = 1) -> DataFrame:
     r = scratch.pin(r)
     parent = F.when(F.col("node") > 1, F.col("node") - 1)
     chosen = paths(r.select("tree", "node", parent.alias("parent"), F.lit(0.0).alias("score")), scratch, top_k)
-    placed = chosen.select("tree", F.col("path").alias("_p"), F.posexplode("path").alias("_at", "node"))
-    turns = placed.join(r, ["tree", "node"]).groupBy("conv_id", "tree", "_p").agg(F.array_sort(F.collect_list(F.struct("_at", "role", "text"))).alias("turns"))
+    turns = chosen.join(r, ["tree", "node"]).groupBy("conv_id", "tree", "leaf").agg(F.array_sort(F.collect_list(F.struct("at", "role", "text"))).alias("turns"))
     return turns.select("conv_id", render(F.col("turns")).alias("formatted"), loss_spans(F.col("turns")).alias("loss"))
 
 
