@@ -36,15 +36,15 @@ def mlp_probability(weights, hidden_bias, out_weights, out_bias):
 
     w, b, v = np.asarray(weights, float), np.asarray(hidden_bias, float), np.asarray(out_weights, float)
 
-    @F.pandas_udf("double")
-    def head(x: pd.Series) -> pd.Series:
+    def head(x):
         h = np.maximum(np.stack(x.to_numpy()) @ w.T + b, 0)
         p = 1 / (1 + np.exp(-(h @ v + out_bias)))
         if not np.isfinite(p).all():
             raise ValueError("the head gave a value that isn't finite")
         return pd.Series(p)
 
-    return head
+    head.__annotations__ = {"x": pd.Series, "return": pd.Series}  # names would be read as text here
+    return F.pandas_udf(head, "double")
 
 
 def probe_margin(vector: Column, weights: Column, bias: Column, threshold: Column) -> Column:
