@@ -9,6 +9,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 SHARD_BYTES = 2 << 20
+#: Bytes hashed at a time: each takes some 40 bytes while it is.
+SEGMENT_BYTES = 1 << 18
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -37,7 +39,7 @@ _pow: list[np.ndarray] = []
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if not _pow or len(_pow[0]) < n + 1:
-        m = max(n + 1, SHARD_BYTES + 1)
+        m = max(n + 1, SEGMENT_BYTES + 1)
         for base in (_ODD, pow(_ODD, -1, 1 << 64)):
             p = np.full(m, base, np.uint64)
             p[0] = 1
@@ -96,7 +98,7 @@ def hashed(raw: np.ndarray, offsets: np.ndarray, kind: np.ndarray) -> tuple[np.n
     at = 0
     while at < len(s):
         lo = s[at]
-        to = max(at + 1, int(np.searchsorted(e, lo + SHARD_BYTES, "right")))
+        to = max(at + 1, int(np.searchsorted(e, lo + SEGMENT_BYTES, "right")))
         hi = e[to - 1]
         up, down = _powers(int(hi - lo))
         c = np.zeros(hi - lo + 1, np.uint64)
