@@ -51,13 +51,16 @@ def mix(docs: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), max_repeats: i
     Cumulative words come from hash runs of about ``rows_per_run`` rows: runs are summed first, so no
     window holds a whole source, and the final cut is found in a histogram of finish times before rows
     near it are ranked. Null text has size 0; null sources are one source, last in order; repeated rows
-    count each; an empty table gives an empty result. Extra columns are kept; names starting with
-    ``_mix`` are reserved.
+    count each; rows without an id are shuffled by their texts; an empty table gives an empty result.
+    Other columns are not read, but for a row number named ``_mix_row``, which is kept; names starting
+    with ``_mix`` are reserved.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "mix")
-    key = F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 15), 16, 10).cast("long")
-    slim = scratch.pin(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), key.alias("_mix_key")))
+    row_id = [c for c in docs.columns if c == "_mix_row"]
+    name = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text:"), F.md5("text")), F.lit(""))
+    key = F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), name)), 1, 15), 16, 10).cast("long")
+    slim = scratch.pin(docs.select("doc_id", *row_id, "source", word_count(F.col("text")).alias("size"), key.alias("_mix_key")))
     n, total = slim.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
     width = max(1, (1 << 60) * rows_per_run // max(n, 1))
     slim = slim.withColumn("_mix_run", F.floor(F.col("_mix_key") / F.lit(width)).cast("long") if width < 1 << 60 else F.lit(0).cast("long"))
@@ -77,7 +80,7 @@ def mix(docs: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), max_repeats: i
     inside = W.partitionBy("source", "_mix_run").orderBy("_mix_key", "doc_id", "size")
     placed = slim.withColumns({"_mix_in": F.sum("size").over(inside.rowsBetween(W.unboundedPreceding, 0)), "_mix_tie": F.row_number().over(inside)}).alias("d")
     on = F.col("d.source").eqNullSafe(F.col("p.source")) & (F.col("d._mix_run") == F.col("p._mix_run"))
-    placed = placed.join(plan.alias("p"), on).select("doc_id", "d.source", "size", "source_size", "target", "weight", "_mix_key", "_mix_tie", (F.col("_mix_start") + F.col("_mix_in")).alias("_mix_cum"))
+    placed = placed.join(plan.alias("p"), on).select("doc_id", *row_id, "d.source", "size", "source_size", "target", "weight", "_mix_key", "_mix_tie", (F.col("_mix_start") + F.col("_mix_in")).alias("_mix_cum"))
     placed = scratch.pin(placed)
 
     # copies of epoch e finish at (e * source_size + cum) / weight; the budget cuts the range-sorted copies
@@ -111,16 +114,22 @@ def mix(docs: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), max_repeats: i
     if last is not None:
         for e in range(max_repeats):
             taken = taken + F.when(at(F.lit(e)) <= last, F.col("size")).otherwise(0)
-    return placed.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"), at(F.lit(0)).alias("finish"), "weight")
+    return placed.select("doc_id", *row_id, "source", "size", "source_size", "target", taken.cast("long").alias("taken"), at(F.lit(0)).alias("finish"), "weight")
 
 
 def mixed_documents(docs: DataFrame, **params) -> DataFrame:
-    """The mix itself: one row of ``docs`` per copy taken, with ``size, source_size, target, taken, copy``."""
-    slim = mix(docs, **params).where("taken > 0").dropDuplicates(["doc_id"]).drop("source")
-    got = docs.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"]).join(slim, "doc_id")
-    copies = got.withColumn("copy", F.explode(F.sequence(F.lit(1), (F.col("taken") / F.col("size")).cast("int"))))
+    """The mix itself: one row of ``docs`` per copy taken, with ``size, source_size, target, taken, copy``.
+
+    Rows are numbered in a written table, so those that repeat a doc_id or have none are each taken as often
+    as the mix says. Columns of ``docs`` with the added names are replaced.
+    """
+    added = ("size", "source_size", "target", "taken", "copy")
+    rows = docs.drop(*added).withColumn("_mix_row", F.monotonically_increasing_id())
+    rows = Scratch(docs.sparkSession, "mix").pin(rows)
+    slim = mix(rows, **params).where("taken > 0").drop("doc_id", "source")
+    copies = rows.join(slim, "_mix_row").withColumn("copy", F.explode(F.sequence(F.lit(1), (F.col("taken") / F.col("size")).cast("int"))))
     order = copies.withColumn("_mix_at", ((F.col("copy") - 1) * F.col("source_size") + F.col("finish") * F.col("weight")) / F.col("weight"))
-    return order.repartitionByRange("_mix_at").sortWithinPartitions("_mix_at").drop("_mix_at", "finish", "weight")
+    return order.repartitionByRange("_mix_at", "_mix_row").sortWithinPartitions("_mix_at", "_mix_row").drop("_mix_at", "_mix_row", "finish", "weight")
 
 
 def op7_mixing(spark, sf_dir):
