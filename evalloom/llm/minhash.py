@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected
-from .scratch import Scratch, sized_broadcast, table
+from .scratch import Scratch, salted_join, sized_broadcast, table
 from .words import SPACED, hashed, mix, shards, utf8
 
 
@@ -152,6 +152,12 @@ def _open_buckets(bc: DataFrame) -> DataFrame:
     return bc.join(active, "key", "left_semi")
 
 
+def _with_leaders(pairs: DataFrame, of: DataFrame, scratch: Scratch) -> DataFrame:
+    """``pairs(a, b)`` joined to ``of`` by a: a leader of very many pairs has them dealt out by b."""
+    n = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
+    return salted_join(pairs, scratch.pin(of.join(n, "a")), ["a"], "n", ["b"])
+
+
 def _contract(comp: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
     """``comp(rep, comp)`` with the components that ``links(a, b)`` join made one."""
     ca = comp.select(F.col("rep").alias("a"), F.col("comp").alias("ca"))
@@ -251,8 +257,7 @@ def near_duplicates(docs: DataFrame, params: Near = Near()) -> DataFrame:
     real = signed.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
     same = ["f1", "f2", "n_shingles"]
     classes = real.groupBy(*same).agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n"))
-    # only classes of several rows need a join; the others are their own representatives
-    member = scratch.pin(real.select("doc_id", *same).join(classes.select(*same, "rep"), same).select("doc_id", "rep").distinct())
+    member = scratch.pin(salted_join(real.select("doc_id", *same), scratch.pin(classes), same, "n", ["doc_id"]).select("doc_id", "rep").distinct())
     reps = real.join(member.where("doc_id = rep").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id", "f1"])
     reps = scratch.pin(reps.select(F.col("doc_id").alias("rep"), "bands", "sig"))
     keys = reps.select("rep", F.explode("bands").alias("key"))
@@ -276,14 +281,15 @@ def near_duplicates(docs: DataFrame, params: Near = Near()) -> DataFrame:
         scratch.drop(bc)
         if live.isEmpty():
             break
-        lead = live.groupBy("key").agg(F.min(F.struct("rep", "comp")).alias("l"))
-        lead = scratch.pin(lead.select("key", F.col("l.rep").alias("lead"), F.col("l.comp").alias("lcomp")))
-        pairs = live.join(lead, "key").where("comp <> lcomp").select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b")).distinct()
+        lead = live.groupBy("key").agg(F.min(F.struct("rep", "comp")).alias("l"), F.count(F.lit(1)).alias("n"))
+        lead = scratch.pin(lead.select("key", F.col("l.rep").alias("lead"), F.col("l.comp").alias("lcomp"), "n"))
+        pairs = salted_join(live, lead, ["key"], "n", ["rep"]).where("comp <> lcomp").select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b"))
+        pairs = scratch.pin(pairs.distinct())
         sa, sb = (sigs.select(F.col("rep").alias(c), F.col("sig").alias(f"sig_{c}")) for c in "ab")
-        likely = pairs.join(sa, "a").join(sb, "b").where(_matches(F.col("sig_a"), F.col("sig_b"), p) >= p.least_matches()).select("a", "b")
+        likely = _with_leaders(pairs, sa, scratch).join(sb, "b").where(_matches(F.col("sig_a"), F.col("sig_b"), p) >= p.least_matches()).select("a", "b")
         likely = scratch.pin(likely)
         ia, ib = (sets.select(F.col("rep").alias(c), F.col("items").alias(f"items_{c}")) for c in "ab")
-        both = likely.join(ia, "a").join(ib, "b")
+        both = _with_leaders(likely, ia, scratch).join(ib, "b")
         inter = F.size(F.array_intersect("items_a", "items_b"))
         new = both.where(100 * inter >= p.percent * (F.size("items_a") + F.size("items_b") - inter)).select("a", "b").distinct()
         comp = _contract(comp, scratch.pin(new), scratch)

@@ -66,5 +66,24 @@ def sized_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
+#: A key with more than this share of the rows is hot; so there are at most as many hot keys.
+HOT_SHARE, SALTS = 1000, 64
+
+
+def salted_join(rows: DataFrame, unique: DataFrame, on: list[str], n: str, salt_by: list[str]) -> DataFrame:
+    """``rows.join(unique, on)`` where ``unique`` has a row a key and ``n``, how many of ``rows`` have it.
+
+    Keys with more than 1 / ``HOT_SHARE`` of all these rows, ``HOT_SHARE`` at most, are broadcast: their
+    rows never meet in one task. The other keys are joined as usual. ``n`` is dropped.
+    """
+    total = unique.agg(F.coalesce(F.sum(n), F.lit(0))).first()[0]
+    hot = F.col(n) * HOT_SHARE > total
+    salt = F.pmod(F.xxhash64(*salt_by), F.lit(SALTS)).cast("int")
+    dealt = rows.join(F.broadcast(unique.where(hot).select(*on, F.lit(True).alias("_hot"))), on, "left")
+    dealt = dealt.withColumn("_salt", F.when(F.col("_hot"), salt).otherwise(F.lit(0))).drop("_hot")
+    copied = unique.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.when(hot, F.lit(SALTS - 1)).otherwise(F.lit(0))))).drop(n)
+    return dealt.join(copied, [*on, "_salt"]).drop("_salt")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
