@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from evalloom.llm import chat, decontaminate, embeddings, language_model, lines, minhash, mixing, queries, secret_scan, toxicity, urls
+from evalloom.llm.scratch import salted_join
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, taken string"
 
@@ -174,6 +175,11 @@ def test_mixing_targets(spark):
     copies = mixing.mixed_documents(d.drop("taken"), rows_per_run=20)
     assert copies.agg(F.sum("size")).first()[0] == sum(taken.values())
     assert mixing.mix(docs(spark, [])).count() == 0
+    rows = [(1, "a b", "x", 7)] * 2 + [(None, "c d e", "x", 7), (None, "f", None, 7), (2, None, "y", 7), (3, "g h", "y", 7)]
+    odd = spark.createDataFrame(rows, "doc_id long, text string, source string, size int")
+    want = sum(r.taken for r in mixing.mix(odd).collect())
+    got = mixing.mixed_documents(odd).collect()
+    assert sum(len(spaced(r.text)) for r in got) == want > 0 and {r.text for r in got} > {"c d e"}
 
 
 def test_secret_scan():
@@ -267,6 +273,15 @@ def test_toxicity(spark):
     held = {r.doc_id: r.h for r in d.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("h")).collect()}
     assert all(h == (zlib.crc32(str(i).encode()) % 5 == 0) for i, h in held.items())
     assert toxicity.score(d, toxicity.fit(d, y.limit(0))).where("predicted = 1").isEmpty()
+    odd = spark.createDataFrame([(None, "you grubface!", 1), (None, "hello", 2), (5, None, 3), (5, "you grubface!", 4), (6, "", 5)], "doc_id long, text string, score int")
+    assert sorted(r.score for r in toxicity.remove_toxic(odd, g).collect()) == [2, 3, 5] and toxicity.remove_toxic(odd, g).schema == odd.schema
+
+
+def test_salted_join(spark):
+    rows = spark.range(5000).select(F.when(F.col("id") < 3000, 0).otherwise(F.col("id")).alias("k"), "id")
+    unique = rows.groupBy("k").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n"))
+    got = salted_join(rows, unique, ["k"], "n", ["id"])
+    assert got.columns == ["k", "id", "least"] and got.count() == 5000 and got.where("least <> if(k = 0, 0, k)").isEmpty()
 
 
 def test_pipeline_stages(spark):
