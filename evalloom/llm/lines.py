@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import Scratch, sized_broadcast, table
+from .scratch import Scratch, salted_join, sized_broadcast, table
 
 #: Lines are cut into blocks of so many characters at most; one edit touches one block.
 BLOCK = 128
@@ -96,9 +96,11 @@ def removed_lines(docs: DataFrame, *, min_chars: int = MIN_CHARS, scratch: Scrat
 
     keyed = lines.select("doc_id", "line_no", *content)
     many = keyed.groupBy("h1", "h2").agg(F.min("doc_id").alias("d0"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    repeats = scratch.pin(keyed.join(many.select("h1", "h2", "d0"), ["h1", "h2"]))
+    many, place = scratch.pin(many), ["doc_id", "line_no"]
+    repeats = scratch.pin(salted_join(keyed, many, ["h1", "h2"], "n", place))
     first_no = repeats.where("doc_id = d0").groupBy("h1", "h2").agg(F.min("line_no").alias("l0"))
-    copies = scratch.pin(repeats.join(first_no, ["h1", "h2"]).where("doc_id <> d0 or line_no <> l0").select("doc_id", "line_no"))
+    first_no = scratch.pin(first_no.join(many.select("h1", "h2", "n"), ["h1", "h2"]))
+    copies = scratch.pin(salted_join(repeats, first_no, ["h1", "h2"], "n", place).where("doc_id <> d0 or line_no <> l0").select("doc_id", "line_no"))
 
     def shared(keyed_rows: DataFrame) -> DataFrame:
         """Keys that two contents have."""
