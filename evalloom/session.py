@@ -11,6 +11,10 @@ from pyspark.sql import SparkSession
 
 _SHIPPED: set[str] = set()
 
+#: Bytes of an Arrow batch to Python, where the session has Spark's own 64 MB: a batch is held on both sides.
+BATCH_BYTES = 8 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 
 def local_session(cpus: int = 8, partitions: int = 8, memory: str = "8g") -> SparkSession:
     """A local session as the tests and the bench use it."""
@@ -28,7 +32,9 @@ def local_session(cpus: int = 8, partitions: int = 8, memory: str = "8g") -> Spa
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Send this package to the Python workers of ``spark``, once an application."""
+    """Send this package to the Python workers of ``spark``, once an application, and bound their batches."""
+    if spark.conf.get(_BATCH) in ("64MB", "67108864b", "67108864"):
+        spark.conf.set(_BATCH, BATCH_BYTES)
     app = spark.sparkContext.applicationId
     if app not in _SHIPPED:
         root = Path(__file__).parent
