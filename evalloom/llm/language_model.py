@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import Scratch, table
+from .scratch import HOT_SHARE, SALTS, Scratch, salted_join, table
 from .words import SPACED, hashed, mix, shards, utf8
 
 END = np.uint64(0x0E0D_0E0D_0E0D_0E0D)
@@ -19,11 +19,11 @@ _C = np.uint64(0x9E3779B97F4A7C15)
 
 @dataclass(frozen=True)
 class Model:
-    """Context restaurants: one for each of the ``contexts`` commonest tokens, entered by the last such
-    token before a word, and one for words before any. All share the unigram restaurant as parent, whose
-    base is uniform over the training types and one unknown symbol."""
+    """Context restaurants: one for each word seen before a word (``contexts`` = 1 word of context; with 0
+    there is one for all). All share the unigram restaurant as parent, whose base is uniform over the
+    training types and one unknown symbol. ``sweeps`` states are burnt, ``samples`` averaged."""
 
-    contexts: int = 16
+    contexts: int = 1
     sweeps: int = 2
     samples: int = 2
     theta: float = 1.0
@@ -60,110 +60,111 @@ def _chunks(batches: Iterator[pa.RecordBatch], limit: int):
         yield take()
 
 
-def context_of(words: np.ndarray, sizes: np.ndarray, known: np.ndarray) -> np.ndarray:
-    """1 + the rank in ``known`` (sorted hashes) of the last known word before each token of its document, or 0."""
-    if not len(known):
-        return np.zeros(len(words), np.int32)
-    at = np.minimum(np.searchsorted(known, words), len(known) - 1)
-    is_known = known[at] == words
-    pos = np.where(is_known, np.arange(len(words)), -1)
-    last = np.concatenate(([-1], np.maximum.accumulate(pos)[:-1]))
-    begin = np.repeat(np.cumsum(sizes) - sizes, sizes)
-    return np.where(last >= begin, at[last] + 1, 0).astype(np.int32)
-
-
 def _common(limit: int, keep: int = 512):
     def run(batches):
         for _, words, _ in _chunks(batches, limit):
             w, n = np.unique(words, return_counts=True)
             top = np.argsort(-n, kind="stable")[:keep]
-            top = top[w[top] != END]
-            yield pa.RecordBatch.from_arrays([pa.array(w[top].view(np.int64)), pa.array(n[top].astype(np.int64))], ["w", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(w[top].view(np.int64)), pa.array(n[top].astype(np.int64)), pa.array(np.where(np.arange(len(top)) == 0, len(words), 0))], ["w", "n", "all"])
 
     return run
 
 
-def _tally(words: np.ndarray, ctx: np.ndarray, k: int):
-    """(distinct words, context masks, pair counts, tokens) of a chunk, sorted once.
+def _tally(words: np.ndarray, contexts: int, hot: np.ndarray):
+    """(distinct words, pairs' words and contexts as numbers of these, pairs' slices, counts, tokens' pairs) of a chunk.
 
-    Words stand commonest first and their (word, context) pairs are numbered in that order, a word's by
-    context. A mask has a bit for each context of its word; ``tokens`` are pair numbers.
+    Pairs stand by word, a hot word's by slice. A token's context is the token before it, as each document
+    ends with ``END`` and so the first one's is ``END``.
     """
-    order = np.argsort(words)
-    by_word = words[order]
-    new = np.concatenate(([True], by_word[1:] != by_word[:-1]))
-    distinct = by_word[new]
-    del by_word
-    of = np.empty(len(words), np.int32)
-    of[order] = np.cumsum(new, dtype=np.int32) - 1
-    del order, new
-    common = np.argsort(-np.bincount(of, minlength=len(distinct)), kind="stable")
-    rank = np.empty(len(common), np.int64)
-    rank[common] = np.arange(len(common))
-    cell = rank[of]
-    del of
-    cell *= k
-    cell += ctx
-    count = np.bincount(cell, minlength=len(distinct) * k)
-    held = np.flatnonzero(count)
-    n = count[held]
-    del count
-    number = np.empty(len(distinct) * k, np.int32)
-    number[held] = np.arange(len(held), dtype=np.int32)
-    tokens = number[cell]
-    del cell, number
-    start = np.flatnonzero(np.concatenate(([True], held[1:] // k != held[:-1] // k)))
-    mask = np.bitwise_or.reduceat(np.int64(1) << (held % k), start)
-    return distinct[common], mask, n, tokens
+    distinct, of = np.unique(words, return_inverse=True)
+    v = len(distinct)
+    end = int(np.searchsorted(distinct, END))
+    before = np.concatenate(([end], of[:-1])) if contexts else np.full(len(of), end)
+    code, tokens, n = np.unique(of * np.int64(v) + before, return_inverse=True, return_counts=True)
+    w, c = code // v, code % v
+    cut = np.zeros(len(code), np.int32)
+    at = np.flatnonzero(np.isin(distinct, hot)[w])
+    if len(at):
+        cut[at] = mix(distinct[c[at]]) % np.uint64(SALTS)
+        order = np.arange(len(code))
+        order[at] = at[np.lexsort((cut[at], w[at]))]
+        w, c, n, cut = w[order], c[order], n[order], cut[order]
+        to = np.empty(len(order), np.int64)
+        to[order] = np.arange(len(order))
+        tokens = to[tokens]
+    return distinct, w.astype(np.int32), c.astype(np.int32), cut, n, tokens.astype(np.int32)
+
+
+def _starts(*keys: np.ndarray) -> np.ndarray:
+    """Where runs of equal keys begin."""
+    if not len(keys[0]):
+        return np.zeros(0, np.int64)
+    return np.flatnonzero(np.concatenate(([True], np.any([k[1:] != k[:-1] for k in keys], axis=0))))
 
 
 def _lists(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), pa.array(values))
 
 
-def _counter(limit: int, known: np.ndarray):
-    """A row for each chunk and word: its contexts' mask and its count in each."""
+def _counter(m: Model, hot: np.ndarray):
+    """A row for each chunk, word and slice: its contexts and its count in each."""
 
     def run(batches):
-        for _, words, sizes in _chunks(batches, limit):
-            w, mask, n, _ = _tally(words, context_of(words, sizes, known), len(known) + 1)
-            yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(mask), _lists(n, np.bitwise_count(mask))], ["w", "mask", "ns"])
+        for _, words, _ in _chunks(batches, m.chunk_bytes):
+            distinct, w, c, cut, n, _ = _tally(words, m.contexts, hot)
+            start = _starts(w, cut)
+            sizes = np.diff(np.append(start, len(w)))
+            yield pa.RecordBatch.from_arrays([pa.array(distinct[w[start]].view(np.int64)), pa.array(cut[start]), _lists(distinct[c].view(np.int64), sizes), _lists(n.astype(np.int64), sizes)], ["w", "s", "cs", "ns"])
 
     return run
 
 
-def _grouper(k: int):
-    """Rows (w, mask, ns) sorted by w to one row a word: (w, ctxs, ns).
+def _grouper(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (w, s, cs, ns) sorted by w and s to one row a word and slice, summed as they come."""
 
-    A word's rows may go on in the next batch; they are summed as they come, so at most ``k`` pairs are held.
-    """
-
-    def emit(w, c, n):
-        start = np.flatnonzero(np.concatenate(([True], w[1:] != w[:-1])))
+    def emit(w, s, c, n):
+        start = _starts(w, s)
         sizes = np.diff(np.append(start, len(w)))
-        return pa.RecordBatch.from_arrays([pa.array(w[start]), _lists(c.astype(np.int32), sizes), _lists(n, sizes)], ["w", "ctxs", "ns"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hold: list[np.ndarray] = [np.zeros(0, np.int64)] * 3
-        for b in batches:
-            if not b.num_rows:
-                continue
-            mask = b.column(1).to_numpy()
-            row, ctx = np.nonzero(mask[:, None] >> np.arange(k) & 1)
-            here = (b.column(0).to_numpy()[row], ctx, b.column(2).flatten().to_numpy())
-            w, c, n = (np.concatenate(x) for x in zip(hold, here))
-            order = np.lexsort((c, w))
-            w, c, n = w[order], c[order], n[order]
-            start = np.flatnonzero(np.concatenate(([True], (w[1:] != w[:-1]) | (c[1:] != c[:-1]))))
-            w, c, n = w[start], c[start], np.add.reduceat(n, start)
-            cut = int(np.searchsorted(w, w[-1]))
-            hold = [w[cut:], c[cut:], n[cut:]]
-            if cut:
-                yield emit(w[:cut], c[:cut], n[:cut])
-        if len(hold[0]):
-            yield emit(*hold)
-
-    return run
+        return pa.RecordBatch.from_arrays([pa.array(w[start]), pa.array(s[start]), _lists(c, sizes), _lists(n, sizes)], ["w", "s", "cs", "ns"])
+
+    hold = [np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)]
+    for b in batches:
+        if not b.num_rows:
+            continue
+        row = np.repeat(np.arange(b.num_rows), b.column(2).value_lengths().to_numpy())
+        here = (b.column(0).to_numpy()[row], b.column(1).to_numpy()[row], b.column(2).flatten().to_numpy(), b.column(3).flatten().to_numpy())
+        w, s, c, n = (np.concatenate(x) for x in zip(hold, here))
+        order = np.lexsort((c, s, w))
+        w, s, c, n = w[order], s[order], c[order], n[order]
+        start = _starts(w, s, c)
+        w, s, c, n = w[start], s[start], c[start], np.add.reduceat(n, start)
+        cut = int(_starts(w, s)[-1])
+        hold = [w[cut:], s[cut:], c[cut:], n[cut:]]
+        if cut:
+            yield emit(w[:cut], s[:cut], c[:cut], n[:cut])
+    if len(hold[0]):
+        yield emit(*hold)
+
+
+def _by_context(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(c, n, n1, n2, k): counts, pairs seen once, twice and at all, of each batch's contexts."""
+    for b in batches:
+        c, n = b.column(0).flatten().to_numpy(), b.column(1).flatten().to_numpy()
+        order = np.argsort(c)
+        c, n = c[order], n[order]
+        start = _starts(c)
+        if len(start):
+            sums = [np.add.reduceat(x, start) for x in (n, (n == 1).astype(np.int64), (n == 2).astype(np.int64), np.ones(len(n), np.int64))]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (c[start], *sums)], ["c", "n", "n1", "n2", "k"])
+
+
+def _several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs seen more than once, a row each: one seen once has one table always."""
+    for b in batches:
+        row = np.repeat(np.arange(b.num_rows), b.column(2).value_lengths().to_numpy())
+        n = b.column(3).flatten().to_numpy()
+        at = np.flatnonzero(n > 1)
+        yield pa.RecordBatch.from_arrays([pa.array(b.column(0).to_numpy()[row[at]]), pa.array(b.column(1).to_numpy()[row[at]]), pa.array(b.column(2).flatten().to_numpy()[at]), pa.array(n[at])], ["w", "s", "c", "n"])
 
 
 def _uniform(key: np.ndarray, salt: int) -> np.ndarray:
@@ -224,169 +225,248 @@ def seat(n: np.ndarray, pull: np.ndarray, d: float, key: np.ndarray, salt: int)
     return np.minimum(t, n)
 
 
-def _gibbs(totals: dict, m: Model, salt: int, samples: int):
-    """Resample the seating of each word given the restaurants' totals; averages over ``samples`` states."""
+def _seat_pairs(m: Model, d: float, salt: int):
+    """Tables of each pair given its context's tables ``T`` and its word's parent probability ``p0``."""
 
     def run(batches):
-        g, d, d0 = totals, totals["d"], totals["d0"]
-        tc = np.array(g["tables"])
         for b in batches:
-            w = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            offs = b.column(1).offsets.to_numpy().astype(np.int64)
-            ctx = b.column(1).flatten().to_numpy()
-            n = b.column(2).flatten().to_numpy().astype(np.int64)
-            start = offs[:-1] - offs[0]
-            of = np.repeat(np.arange(len(w)), np.diff(offs))
-            key = mix(w[of] + (ctx.astype(np.uint64) + np.uint64(1)) * _C)
-            h = 1.0 / (g["types"] + 1)
-            back = (m.theta + d0 * g["t0"]) / (m.theta + g["c0"])
-            t = np.ones(len(n))
-            sum_t, sum_c0, sum_t0 = np.zeros(len(n)), np.zeros(len(w)), np.zeros(len(w))
-            t0 = np.ones(len(w))
-            for s in range(samples + 1):  # the first state is burnt
-                c0 = np.add.reduceat(t, start)
-                p0 = np.maximum(c0 - d0 * t0, 0) / (m.theta + g["c0"]) + back * h
-                t = seat(n, (m.theta + d * tc[ctx]) * p0[of], d, key, salt + 2 * s)
-                c0 = np.add.reduceat(t, start)
-                t0 = seat(c0.astype(np.int64), np.full(len(w), (m.theta + d0 * g["t0"]) * h), d0, mix(w), salt + 2 * s + 1)
-                if s:
-                    sum_t, sum_c0, sum_t0 = sum_t + t, sum_c0 + c0, sum_t0 + t0
-            lists = pa.ListArray.from_arrays(pa.array((offs - offs[0]).astype(np.int32)), pa.array(sum_t / samples))
-            total = np.add.reduceat(n, start)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(total), pa.array(sum_c0 / samples), pa.array(sum_t0 / samples), b.column(1), b.column(2), lists], ["w", "c", "c0", "t0", "ctxs", "ns", "ts"])
+            w, c, n, tables, p0, sum_t = (b.column(x).to_numpy() for x in ("w", "c", "n", "T", "p0", "sum_t"))
+            key = mix(w.view(np.uint64) + mix(c.view(np.uint64)) * _C)
+            t = seat(n, (m.theta + d * tables) * p0, d, key, salt)
+            yield pa.RecordBatch.from_arrays([b.column("w"), b.column("s"), b.column("c"), b.column("n"), pa.array(t), pa.array(sum_t + t)], ["w", "s", "c", "n", "t", "sum_t"])
 
     return run
 
 
-_SEATED = "w long, c long, c0 double, t0 double, ctxs array<int>, ns array<long>, ts array<double>"
+def _seat_words(pull: float, d0: float, salt: int):
+    """Tables of each word in the unigram restaurant, whose customers are the contexts' tables."""
+
+    def run(batches):
+        for b in batches:
+            w, c0 = b.column("w").to_numpy().view(np.uint64), b.column("c0").to_numpy()
+            t0 = seat(c0.astype(np.int64), np.full(len(w), pull), d0, mix(w), salt)
+            yield pa.RecordBatch.from_arrays([*(b.column(x) for x in ("w", "c", "n1", "k2", "c0")), pa.array(t0), b.column("p0s")], ["w", "c", "n1", "k2", "c0", "t0", "p0s"])
+
+    return run
 
 
-def _packer(limit: int, known: np.ndarray):
-    """One row a chunk: its documents' ids and sizes, its tokens as pair numbers, its distinct words and their contexts' masks."""
+def _packer(m: Model, hot: np.ndarray):
+    """One row a chunk: its documents' ids and sizes, its tokens as pair numbers, its pairs."""
 
     def run(batches):
-        for ids, words, sizes in _chunks(batches, limit):
-            w, mask, _, tokens = _tally(words, context_of(words, sizes, known), len(known) + 1)
-            doc_ids = pa.chunked_array(ids).combine_chunks()
+        for ids, words, sizes in _chunks(batches, m.chunk_bytes):
+            distinct, w, c, cut, _, tokens = _tally(words, m.contexts, hot)
+            start = _starts(w, cut)
             one = lambda x: _lists(x, np.array([len(x)]))
             yield pa.RecordBatch.from_arrays(
-                [one(doc_ids), pa.array([sizes.astype(np.int32).tobytes()]), pa.array([tokens.tobytes()]), one(w.view(np.int64)), one(mask)],
-                ["ids", "sizes", "tokens", "ws", "masks"],
+                [one(pa.chunked_array(ids).combine_chunks()), *(pa.array([x.astype(np.int32).tobytes()]) for x in (sizes, tokens, w, c, cut[start], start)), one(distinct.view(np.int64))],
+                ["ids", "sizes", "tokens", "w", "c", "cut", "start", "ws"],
             )
 
     return run
 
 
-def _finisher(scale: float):
-    """A chunk's documents from its tokens and its words' answers."""
-    return lambda left, right: _finish(left, right, scale)
-
-
-def _finish(left: pa.Table, right: pa.Table, scale: float) -> pa.Table:
-    at, count, first, rest = (right.column(x).combine_chunks().flatten() for x in ("i", "c", "p", "more"))
-    at, count, first, rest = at.to_numpy(), count.to_numpy(), first.to_numpy(), rest.flatten().to_numpy()
-    pairs = np.bitwise_count(left.column("masks").combine_chunks().flatten().to_numpy()).astype(np.int64)
-    start = np.cumsum(pairs) - pairs
-    p = np.empty(int(pairs.sum()))
-    p[start[at]] = first
-    several = at[pairs[at] > 1]  # the others' further contexts, in the answers' order
-    n = pairs[several] - 1
-    p[np.repeat(start[several] + 1 - (np.cumsum(n) - n), n) + np.arange(len(rest))] = rest
-    c = np.empty(len(pairs), np.int64)
-    c[at] = count
-    c = np.repeat(c, pairs)
-    base, known = np.log10((c + 0.5) / scale), c > 0
-    sizes = np.frombuffer(left.column("sizes")[0].as_py(), np.int32)
-    tok = np.frombuffer(left.column("tokens")[0].as_py(), np.int32)
-    begin = np.cumsum(sizes, dtype=np.int64) - sizes
-    cols = [left.column("ids").combine_chunks().flatten(), pa.array(sizes.astype(np.int64)), *[pa.array(np.add.reduceat(x[tok], begin)) for x in (known.astype(np.int64), base, p)]]
-    return pa.Table.from_arrays(cols, ["doc_id", "n_tokens", "n_known", "base_score", "score"])
+def _asker(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A chunk's questions: a row for each word and slice, with its first pair's number and its contexts."""
+    for b in batches:
+        for r in range(b.num_rows):
+            w, c, cut, start = (np.frombuffer(b.column(x)[r].as_py(), np.int32) for x in ("w", "c", "cut", "start"))
+            ws = b.column("ws")[r].values.to_numpy()
+            sizes = np.diff(np.append(start, len(w)))
+            n = len(start)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ws[w[start]]), pa.array(cut), pa.array(np.full(n, 3, np.int32)), pa.array(np.full(n, b.column("chunk")[r].as_py())), pa.array(start), _lists(ws[c], sizes), _lists(np.zeros(0), np.zeros(n, np.int64))],
+                ["w", "s", "kind", "of", "i", "cs", "xs"],
+            )
+
+
+_STREAM = "w long, s int, kind int, of long, i int, cs array<long>, xs array<double>"
+
+
+def _answerer(d: float, unknown: list[float]):
+    """A stream sorted by word, slice and kind (0 the word's count and states, 1 its contexts of one count,
+    2 one of more, 3 questions) to the answers, packed by batch and chunk. Only one slice of one word is held."""
+    width = len(unknown)
+
+    def run(batches):
+        held, held_key = (np.array(unknown), np.zeros(0, np.int64), np.zeros(0)), None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            w, s, kind = (b.column(x).to_numpy() for x in ("w", "s", "kind"))
+            start = _starts(w, s)
+            g = np.zeros(len(w), np.int64)
+            g[start] = 1
+            g = np.cumsum(g) - 1
+            size, c = b.column("cs").value_lengths().to_numpy(), b.column("cs").flatten().to_numpy()
+            xsize, xs = b.column("xs").value_lengths().to_numpy(), b.column("xs").flatten().to_numpy()
+            row, xrow = np.repeat(np.arange(len(w)), size), np.repeat(np.arange(len(w)), xsize)
+            states = np.tile(np.array(unknown), (len(start), 1))
+            own = np.full(len(c), 1 - d)
+            own[kind[row] == 2] = xs[kind[xrow] == 2]
+            known = np.flatnonzero(kind[row] < 3)
+            dg, dc, dx = g[row[known]], c[known], own[known]
+            if held_key == (w[0], s[0]):
+                states[0] = held[0]
+                dg, dc, dx = np.concatenate((np.zeros(len(held[1]), np.int64), dg)), np.concatenate((held[1], dc)), np.concatenate((held[2], dx))
+            states[g[kind == 0]] = xs[kind[xrow] == 0].reshape(-1, width)
+            last = dg == len(start) - 1
+            held, held_key = (states[-1].copy(), dc[last], dx[last]), (w[-1], s[-1])
+            asks = np.flatnonzero(kind == 3)
+            if not len(asks):
+                continue
+            code = lambda g, c: mix(c.view(np.uint64) + mix(g.astype(np.uint64) + np.uint64(1)) * _C)
+            have = code(dg, dc)
+            order = np.argsort(have)
+            have, dx = have[order], dx[order]
+            of, i = b.column("of").to_numpy(), b.column("i").to_numpy()
+            asks = asks[np.argsort(of[asks], kind="stable")]
+            first = np.cumsum(size) - size
+            n = size[asks]
+            at = np.repeat(first[asks] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            want = code(g[row[at]], c[at])
+            mine = np.zeros(len(want))
+            if len(have):
+                k = np.minimum(np.searchsorted(have, want), len(have) - 1)
+                mine = np.where(have[k] == want, dx[k], 0.0)
+            st = states[g[asks]]
+            cut = _starts(of[asks])
+            rows = np.diff(np.append(cut, len(asks)))
+            pairs = np.add.reduceat(n, cut)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(of[asks[cut]]), _lists(i[asks], rows), _lists(n.astype(np.int32), rows), _lists(st[:, 0].astype(np.int64), rows), _lists(st[:, 1:].astype(np.float32).ravel(), rows * (width - 1)), _lists(mine.astype(np.float32), pairs)],
+                ["of", "at", "len", "count", "states", "own"],
+            )
+
+    return run
+
+
+def _finisher(m: Model, d: float, total: int, types: int):
+    """A chunk's documents from its tokens and the answers; predictive probabilities are averaged over the states."""
+    scale, k = total + 0.5 * (types + 1), m.samples
+
+    def finish(left: pa.Table, right: pa.Table) -> pa.Table:
+        flat = lambda x: right.column(x).combine_chunks().flatten().to_numpy()
+        sizes, tokens, w, c = (np.frombuffer(left.column(x)[0].as_py(), np.int32) for x in ("sizes", "tokens", "w", "c"))
+        at, n = flat("at").astype(np.int64), flat("len").astype(np.int64)
+        v = len(left.column("ws")[0].values)
+        count, states = np.zeros(v, np.int64), np.zeros((v, 2 * k))
+        count[w[at]] = flat("count")
+        states[w[at]] = flat("states").reshape(-1, 2 * k)
+        p = np.empty(len(w))
+        p[np.repeat(at - (np.cumsum(n) - n), n) + np.arange(n.sum())] = flat("own")
+        p0, tables = states[:, :k], states[:, k:]
+        p += sum((m.theta + d * tables[c, j]) * p0[w, j] for j in range(k)) / k
+        p = np.log10(p / (m.theta + (count[c] if m.contexts else total)))
+        base, known = np.log10((count + 0.5) / scale)[w], (count > 0)[w].astype(np.int64)
+        begin = np.cumsum(sizes, dtype=np.int64) - sizes
+        cols = [left.column("ids").combine_chunks().flatten(), pa.array(sizes.astype(np.int64)), *[pa.array(np.add.reduceat(x[tokens], begin)) for x in (known, base, p)]]
+        return pa.Table.from_arrays(cols, ["doc_id", "n_tokens", "n_known", "base_score", "score"])
+
+    return finish
 
 
 def _learn(learn: DataFrame, m: Model, scratch: Scratch) -> tuple[np.ndarray, DataFrame]:
-    """The context words' sorted hashes and (w, ctxs, ns), a row a word; its shuffles end with the call."""
-    common = learn.mapInArrow(_common(m.chunk_bytes), "w long, n long").groupBy("w").agg(F.sum("n").alias("n"))
-    top = common.orderBy(F.col("n").desc(), "w").limit(m.contexts).collect()
-    known = np.sort(np.array([r["w"] for r in top], np.int64).view(np.uint64))
-    # a word has a row a chunk at most; chunks are what is summed before the exchange
-    counts = learn.mapInArrow(_counter(m.chunk_bytes, known), "w long, mask long, ns array<long>")
-    words = counts.repartition("w").sortWithinPartitions("w").mapInArrow(_grouper(len(known) + 1), "w long, ctxs array<int>, ns array<long>")
-    return known, scratch.pin(words)
+    """The hot words' sorted hashes and (w, s, cs, ns), a row a word and slice; its shuffles end with the call."""
+    common = learn.mapInArrow(_common(m.chunk_bytes), "w long, n long, all long").groupBy("w").agg(F.sum("n").alias("n"), F.sum("all").alias("all"))
+    common = scratch.pin(common)
+    tokens = common.agg(F.sum("all")).first()[0] or 0
+    hot = common.where(F.col("n") * HOT_SHARE > tokens).select("w").collect()  # HOT_SHARE at most
+    hot = np.sort(np.array([r["w"] for r in hot], np.int64).view(np.uint64))
+    # a word has a row a chunk and slice at most; chunks are what is summed before the exchange
+    counts = learn.mapInArrow(_counter(m, hot), "w long, s int, cs array<long>, ns array<long>")
+    return hot, scratch.pin(counts.repartition("w", "s").sortWithinPartitions("w", "s").mapInArrow(_grouper, "w long, s int, cs array<long>, ns array<long>"))
 
 
 def score_documents(docs: DataFrame, train: Column, model: Model = Model()) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) for every row of ``docs``.
 
     Learns from the rows where ``train`` holds. ``base_score`` is an add-half unigram log10 probability,
-    ``score`` the hierarchical model's. Counts are first made unique within chunks of documents, so
-    what is shuffled is a row for each chunk and distinct word, with its contexts as bits (62 at most); words
-    meet their counts in one join, whose dictionary side is unique. Seating is resampled word by word given the restaurants'
-    totals of the sweep before; the last sweep's states are averaged.
+    ``score`` the hierarchical model's. Counts of (context, word) pairs are first made unique within chunks
+    of documents; what is shuffled is a row for each chunk and word, words with over a thousandth of the
+    tokens cut into slices by context. The seating is one chain: each sweep takes the contexts' tables and
+    the words' parent probabilities of the sweep before. Predictive probabilities are averaged over the
+    last ``samples`` states. No context is left out; what is gathered grows with the observed pairs.
 
     Null and empty texts are the end token alone; an untrained model (no training rows) knows only the
     unknown symbol; rows that repeat are scored each.
     """
     m = model
-    if m.contexts > 62:
-        raise ValueError("at most 62 contexts")
+    if m.contexts not in (0, 1):
+        raise ValueError("contexts of no or one word")
     spark = docs.sparkSession
     scratch = Scratch(spark, "hpy")
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", train.alias("_train"))
-    known, words = _learn(src.where("_train").select("doc_id", "text"), m, scratch)
-    k = len(known) + 1
+    hot, words = _learn(src.where("_train").select("doc_id", "text"), m, scratch)
     scratch.release()
-    flat = words.select(F.explode(F.arrays_zip("ctxs", "ns")).alias("x")).select("x.ctxs", "x.ns")
-    rows = flat.groupBy("ctxs").agg(F.sum("ns").alias("n"), F.count(F.lit(1)).alias("types"), F.count_if(F.col("ns") == 1).alias("n1"), F.count_if(F.col("ns") == 2).alias("n2")).collect()
-    n_ctx, tables = np.zeros(k), np.zeros(k)
-    for r in rows:
-        n_ctx[r["ctxs"]], tables[r["ctxs"]] = r["n"], r["types"]
-    n1, n2 = sum(r["n1"] for r in rows), sum(r["n2"] for r in rows)
-    types = words.count()
-    discount = lambda a, b: min(0.95, max(0.05, a / (a + 2 * b))) if a else 0.5
-    one = words.agg(F.count_if(F.size("ns") == 1), F.count_if(F.size("ns") == 2)).first()
-    totals = {"d": discount(n1, n2), "d0": discount(one[0], one[1]), "types": types, "tables": tables.tolist(), "c0": float(tables.sum()), "t0": float(types)}
-
-    seated = None
-    for s in range(m.sweeps + 1):
-        last = s == m.sweeps
-        then = scratch.pin(words.mapInArrow(_gibbs(totals, m, 1000 * (s + 1), m.samples if last else 1), _SEATED))
-        if seated is not None:
-            scratch.drop(seated)
-        seated = then
-        tot = seated.agg(F.sum("c").alias("n"), F.sum("c0").alias("c0"), F.sum("t0").alias("t0")).first()
-        by = seated.select(F.explode(F.arrays_zip("ctxs", "ts")).alias("x")).groupBy("x.ctxs").agg(F.sum("x.ts").alias("t")).collect()
-        for r in by:
-            tables[r["ctxs"]] = r["t"]
-        totals |= {"tables": tables.tolist(), "c0": tot["c0"] or 0.0, "t0": tot["t0"] or 0.0}
-    scratch.drop(words)
-    scratch.release()
-    total = tot["n"] or 0
-    d, d0, c0, t0 = totals["d"], totals["d0"], totals["c0"], totals["t0"]
-    back0 = (m.theta + d0 * t0) / (m.theta + c0) / (types + 1)
-    own = F.transform(F.arrays_zip("ns", "ts"), lambda x: (x["ns"] - d * x["ts"]).cast("float"))
-    dictionary = seated.select("w", "c", ((F.col("c0") - d0 * F.col("t0")) / (m.theta + c0) + back0).alias("p0"), "ctxs", own.alias("own"))
 
-    packed = src.select("doc_id", "text").mapInArrow(_packer(m.chunk_bytes, known), "ids array<long>, sizes binary, tokens binary, ws array<long>, masks array<long>")
+    ctx = words.select("cs", "ns").mapInArrow(_by_context, "c long, n long, n1 long, n2 long, k long")
+    ctx = scratch.pin(ctx.groupBy("c").agg(*[F.sum(x).alias(x) for x in ("n", "n1", "n2", "k")]))
+    n1, n2 = ctx.agg(F.sum("n1"), F.sum("n2")).first()
+    ctx = ctx.select("c", "n1", (F.col("k") - F.col("n1")).alias("k2"), F.col("k").cast("double").alias("T"), F.array().cast("array<double>").alias("Ts"))
+    once = F.size(F.filter("ns", lambda x: x == 1)).cast("long")
+    par = words.select("w", F.aggregate("ns", F.lit(0).cast("long"), lambda a, x: a + x).alias("c"), once.alias("n1"), F.size("ns").cast("long").alias("k"))
+    par = scratch.pin(par.groupBy("w").agg(*[F.sum(x).alias(x) for x in ("c", "n1", "k")]))
+    one = par.agg(F.count(F.lit(1)), F.sum("c"), F.sum("k"), F.count_if(F.col("k") == 1), F.count_if(F.col("k") == 2)).first()
+    types, total, c0 = one[0], one[1] or 0, float(one[2] or 0)
+    discount = lambda a, b: min(0.95, max(0.05, a / (a + 2 * b))) if a else 0.5
+    d, d0, t0, h = discount(n1, n2), discount(one[3], one[4]), float(types), 1.0 / (types + 1)
+
+    def back() -> float:
+        return (m.theta + d0 * t0) / (m.theta + c0) * h
+
+    def parent() -> Column:
+        return (F.col("c0") - d0 * F.col("t0")) / (m.theta + c0) + back()
+
+    par = par.select("w", "c", "n1", (F.col("k") - F.col("n1")).alias("k2"), F.col("k").cast("double").alias("c0"), F.lit(1.0).alias("t0"), F.array().cast("array<double>").alias("p0s"))
+    pairs = scratch.pin(words.mapInArrow(_several, "w long, s int, c long, n long").withColumn("sum_t", F.lit(0.0)))
+    unknown = []
+    for sweep in range(m.sweeps + m.samples):
+        keep = sweep >= m.sweeps
+        salt = 1000 * (sweep + 1)
+        met = salted_join(pairs.select("w", "s", "c", "n", "sum_t"), ctx.where("k2 > 0").select("c", "k2", "T"), ["c"], "k2", ["w"])
+        met = salted_join(met, par.where("k2 > 0").select("w", "k2", parent().alias("p0")), ["w"], "k2", ["c"])
+        if sweep <= m.sweeps:  # only the states kept are summed
+            met = met.withColumn("sum_t", F.lit(0.0))
+        then = scratch.pin(met.mapInArrow(_seat_pairs(m, d, salt), "w long, s int, c long, n long, t double, sum_t double"))
+        by_c = then.groupBy("c").agg(F.sum("t").alias("_t"))
+        ctx_ = ctx.join(by_c, "c", "left").withColumn("T", F.col("n1") + F.coalesce("_t", F.lit(0.0))).drop("_t")
+        ctx_ = scratch.pin(ctx_.withColumn("Ts", F.concat("Ts", F.array("T"))) if keep else ctx_)
+        by_w = then.groupBy("w").agg(F.sum("t").alias("_t"))
+        par_ = par.join(by_w, "w", "left").withColumn("c0", F.col("n1") + F.coalesce("_t", F.lit(0.0))).drop("_t")
+        par_ = scratch.pin(par_.select("w", "c", "n1", "k2", "c0", "p0s").mapInArrow(_seat_words((m.theta + d0 * t0) * h, d0, salt + 1), "w long, c long, n1 long, k2 long, c0 double, t0 double, p0s array<double>"))
+        got = par_.agg(F.sum("c0"), F.sum("t0")).first()
+        c0, t0 = got[0] or 0.0, got[1] or 0.0
+        scratch.drop(pairs, ctx, par)
+        pairs, ctx, par = then, ctx_, par_
+        if keep:
+            par = par.withColumn("p0s", F.concat("p0s", F.array(parent())))
+            par._scratch_path = par_._scratch_path
+            unknown.append(back())
+        scratch.release()
+
+    states = par.join(ctx.select(F.col("c").alias("w"), "Ts"), "w", "left")
+    none = F.array(*[F.lit(0.0)] * m.samples)
+    states = states.select("w", F.concat(F.array(F.col("c").cast("double")), "p0s", F.coalesce("Ts", none)).alias("xs"))
+    slices = F.sequence(F.lit(0), F.when(F.col("hot").isNotNull(), F.lit(SALTS - 1)).otherwise(F.lit(0)))
+    hot_words = spark.createDataFrame([(int(x), True) for x in hot.view(np.int64)], "w long, hot boolean")
+    states = states.join(F.broadcast(hot_words), "w", "left").select("w", F.explode(slices).alias("s"), "xs")
+    no_of, no_cs, no_xs = F.lit(0).cast("long").alias("of"), F.array().cast("array<long>").alias("cs"), F.array().cast("array<double>").alias("xs")
+    zero = F.lit(0).alias("i")
+    states = states.select("w", "s", F.lit(0).alias("kind"), no_of, zero, no_cs, "xs")
+    singles = words.select("w", "s", F.filter(F.arrays_zip("cs", "ns"), lambda x: x["ns"] == 1)["cs"].alias("cs")).where(F.size("cs") > 0)
+    singles = singles.select("w", "s", F.lit(1).alias("kind"), no_of, zero, "cs", no_xs)
+    others = pairs.select("w", "s", F.lit(2).alias("kind"), no_of, zero, F.array("c").alias("cs"), F.array(F.col("n") - d * F.col("sum_t") / m.samples).alias("xs"))
+
+    packed = src.select("doc_id", "text").mapInArrow(_packer(m, hot), "ids array<long>, sizes binary, tokens binary, w binary, c binary, cut binary, start binary, ws array<long>")
     packed = scratch.pin(packed.withColumn("chunk", F.monotonically_increasing_id()))
-    ask = packed.select("chunk", F.posexplode(F.arrays_zip("ws", "masks")).alias("i", "x")).select("chunk", "i", F.col("x.ws").alias("w"), F.col("x.masks").alias("mask"))
-    over = F.array(*[F.lit(float(m.theta + x)) for x in n_ctx])
-    more = F.array(*[F.lit(float(m.theta + d * x)) for x in tables])
-    got = ask.join(dictionary, "w", "left")
-
-    def logp(ctx: Column) -> Column:
-        mine = F.coalesce(F.get("own", (F.array_position("ctxs", ctx) - 1).cast("int")).cast("double"), F.lit(0.0))
-        return F.log10((mine + F.get(more, ctx) * F.coalesce("p0", F.lit(back0))) / F.get(over, ctx)).cast("float")
-
-    # a word's least context, as most words have no other, then the rest of them
-    mask = F.col("mask")
-    least = F.bit_count(mask.bitwiseAND(-mask) - 1).cast("int")
-    others = F.filter(F.sequence(F.lit(0), F.lit(k - 1)), lambda j: (j > least) & (F.getbit(mask, j) == 1))
-    rest = F.when(F.bit_count(mask) > 1, F.transform(others, logp))
-    got = got.select(F.col("chunk").alias("of"), "i", F.coalesce("c", F.lit(0)).alias("c"), logp(least).alias("p"), rest.alias("more"))
-    # packed by chunk on each task before the exchange: a chunk bounds its words
-    got = got.groupBy("of").agg(*[F.collect_list(x).alias(x) for x in ("i", "c", "p", "more")])
-    scale = total + 0.5 * (types + 1)
-    done = packed.select("chunk", "ids", "sizes", "tokens", "masks").groupBy("chunk").cogroup(got.groupBy("of")).applyInArrow(_finisher(scale), "doc_id long, n_tokens long, n_known long, base_score double, score double")
+    asks = packed.select("chunk", "w", "c", "cut", "start", "ws").mapInArrow(_asker, _STREAM)
+    stream = states.unionByName(singles).unionByName(others).unionByName(asks)
+    stream = stream.repartition("w", "s").sortWithinPartitions("w", "s", "kind")
+    answer = _answerer(d, [0.0, *(unknown or [h] * m.samples), *[0.0] * m.samples])
+    got = scratch.pin(stream.mapInArrow(answer, "of long, at array<int>, len array<int>, count array<long>, states array<float>, own array<float>"))
+    scratch.release()
+    done = packed.groupBy("chunk").cogroup(got.groupBy("of")).applyInArrow(_finisher(m, d, total, types), "doc_id long, n_tokens long, n_known long, base_score double, score double")
     return done.withColumn("train_tokens", F.lit(total).cast("long"))
 
 

@@ -258,6 +258,18 @@ def test_predictive_probabilities_sum_to_one(spark):
     assert math.isclose(total, 1, rel_tol=1e-4)
 
 
+def test_every_preceding_word_is_a_context(spark):
+    """60 words that each have one follower: more than any list of common words holds."""
+    rng = random.Random(11)
+    train = [" ".join(f"{rng.choice(['the', 'of', 'and'])} c{k} d{k}" for k in rng.sample(range(60), 20)) for _ in range(60)]
+    asked = [f"c{k} d{(k + j) % 60}" for k in range(60) for j in (0, 1, 2)]
+    d = docs(spark, train + asked)
+    got = {r.doc_id: r.score for r in language_model.score_documents(d, F.col("doc_id") < 60).collect()}
+    for k in range(60):
+        right, *wrong = (got[60 + 3 * k + j] for j in range(3))
+        assert right > max(wrong) + 1
+
+
 def test_toxicity(spark):
     rng = random.Random(6)
     clean = [" ".join(rng.choice("the cat sat on a mat with no hat you see".split()) for _ in range(20)) for _ in range(150)]
