@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import table
+from .scratch import Scratch, table
 from .words import ALNUM, hashed, shards, utf8
 
 WINDOW = 13
@@ -140,8 +140,11 @@ def contamination(docs: DataFrame, bench: DataFrame, window: int = WINDOW) -> Da
     tasks in blocks of at most ``BLOCK_WORDS`` words, one pass over the corpus for each.
 
     Null and empty texts have no words; items without words or id are ignored; repeated item ids count
-    once; repeated documents are searched each; the other columns are not read.
+    once; repeated documents and those without an id are searched each; the other columns are not read, but
+    for a row number named ``_hit_row``, which is kept. Where there are several blocks, their results are
+    merged by that number; without one, rows are numbered in a written table first.
     """
+    row_id = [c for c in docs.columns if c == "_hit_row"]
     bench = bench.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select("item_id", "text")
     blocks: list[tuple[list, list]] = [([], [])]
     held = 0
@@ -154,15 +157,19 @@ def contamination(docs: DataFrame, bench: DataFrame, window: int = WINDOW) -> Da
         blocks[-1][1].append(row["text"])
         held += n
     spark = docs.sparkSession
+    keyed = docs.select("doc_id", "text", *row_id)
+    if len(blocks) > 1 and not row_id:
+        keyed = Scratch(spark, "hits").pin(keyed.withColumn("_hit_row", F.monotonically_increasing_id()))
+    schema = "doc_id long, n_words long, n_hit long, items array<long>, longest long, hits binary" + ", _hit_row long" * (len(keyed.columns) - 2)
     out = None
     for ids, texts in blocks:
         test, tptr = hashed(*utf8(pa.array(texts, pa.large_string())), ALNUM)
         shared = spark.sparkContext.broadcast((ids, test, tptr))  # at most BLOCK_WORDS words
-        part = docs.select("doc_id", "text").mapInArrow(_searcher(shared, window), "doc_id long, n_words long, n_hit long, items array<long>, longest long, hits binary")
+        part = keyed.mapInArrow(_searcher(shared, window), schema)
         out = part if out is None else out.unionByName(part)
     if len(blocks) > 1:  # a word may be hit by several blocks
-        out = out.groupBy("doc_id").applyInArrow(_merge_blocks, "doc_id long, n_words long, n_hit long, items array<long>, longest long, hits binary")
-    return out.drop("hits")
+        out = out.groupBy("_hit_row").applyInArrow(_merge_blocks, schema)
+    return out.drop("hits", *[] if row_id else ["_hit_row"])
 
 
 def _merge_blocks(t: pa.Table) -> pa.Table:
@@ -171,7 +178,7 @@ def _merge_blocks(t: pa.Table) -> pa.Table:
     for r in rows:
         if r["hits"]:
             bits |= np.unpackbits(np.frombuffer(r["hits"], np.uint8), count=len(bits)).astype(bool)
-    got = {"doc_id": rows[0]["doc_id"], "n_words": len(bits), "n_hit": int(bits.sum()), "items": sorted({i for r in rows for i in r["items"]}), "longest": max(r["longest"] for r in rows), "hits": None}
+    got = {"doc_id": rows[0]["doc_id"], "n_words": len(bits), "n_hit": int(bits.sum()), "items": sorted({i for r in rows for i in r["items"]}), "longest": max(r["longest"] for r in rows), "hits": None, "_hit_row": rows[0]["_hit_row"]}
     return pa.Table.from_pylist([got], t.schema)
 
 
@@ -187,8 +194,8 @@ def _searcher(shared, window: int):
                 n_hit = c[ptr[1:]] - c[ptr[:-1]]
                 hits = [np.packbits(mask[ptr[i] : ptr[i + 1]]).tobytes() if n_hit[i] else None for i in range(b.num_rows)]
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).cast(pa.int64()), pa.array(np.diff(ptr)), pa.array(n_hit.astype(np.int64)), pa.array([sorted({*idv[g].tolist()}) for g in got], pa.list_(pa.int64())), pa.array(longest), pa.array(hits, pa.binary())],
-                    ["doc_id", "n_words", "n_hit", "items", "longest", "hits"],
+                    [b.column(0).cast(pa.int64()), pa.array(np.diff(ptr)), pa.array(n_hit.astype(np.int64)), pa.array([sorted({*idv[g].tolist()}) for g in got], pa.list_(pa.int64())), pa.array(longest), pa.array(hits, pa.binary()), *b.columns[2:]],
+                    ["doc_id", "n_words", "n_hit", "items", "longest", "hits", *b.schema.names[2:]],
                 )
 
     return run

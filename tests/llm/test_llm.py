@@ -92,6 +92,16 @@ def test_contamination_against_brute_force(spark):
     assert decontaminate.contamination(docs(spark, texts), bench.limit(0)).where("n_hit > 0").isEmpty()
 
 
+def test_contamination_of_repeated_and_null_ids_in_several_blocks(spark, monkeypatch):
+    items = [(1, "a b c d e f"), (2, "g h i j k l"), (3, "m n o p q r")]
+    rows = [(7, "a b c d e f x"), (7, "y y g h i j k l"), (7, "a b c d e f x"), (None, "m n o p q r a b c d e f"), (None, "clean words"), (8, None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 7)
+    got = decontaminate.contamination(d, spark.createDataFrame(items, "item_id long, text string"), 5).collect()
+    want = [(i, *brute_hits(t, items, 5)) for i, t in rows]
+    assert sorted(((r.doc_id, r.n_words, r.n_hit, r["items"]) for r in got), key=str) == sorted(want, key=str)
+
+
 def near(a, b):
     if abs(len(a) - len(b)) > 1:
         return False
