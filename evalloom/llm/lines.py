@@ -9,10 +9,12 @@ from .scratch import Scratch, salted_join, sized_broadcast, table
 
 #: Lines are cut into blocks of so many characters at most; one edit touches one block.
 BLOCK = 128
-#: Shorter lines are never removed: brackets, blanks and headings repeat for good reasons.
+#: Shorter lines have no near copies, and stay even if equal unless ``min_exact`` says otherwise.
 MIN_CHARS = 24
 #: Narrow rows (doc_id, line numbers) that may be broadcast; more are shuffled.
 MAX_BROADCAST_ROWS = 200_000
+#: A line with more than white space.
+_INK = r"[^\x20\x09-\x0D]"
 
 
 def split_lines(text: Column) -> Column:
@@ -73,11 +75,12 @@ def _variants(block: Column, own: Column) -> Column:
     return F.when(own, F.concat(gone, whole)).otherwise(F.array_distinct(gone))
 
 
-def removed_lines(docs: DataFrame, *, min_chars: int = MIN_CHARS, scratch: Scratch | None = None) -> DataFrame:
+def removed_lines(docs: DataFrame, *, min_chars: int = MIN_CHARS, min_exact: int | None = None, scratch: Scratch | None = None) -> DataFrame:
     """(doc_id, line_no) of the lines that an earlier line equals or differs from by at most one edit.
 
     Lines are ordered by (doc_id, line_no). A line of ``min_chars`` or more characters goes if an earlier
-    line lies within edit distance 1, whether that one stays or not.
+    line lies within edit distance 1, whether that one stays or not. A shorter one of ``min_exact`` or more
+    (not given: none) goes if it equals an earlier one; lines of white space alone never go by that.
 
     1. Equal lines: the earliest place of each content, summed map-side.
     2. One edit leaves a half of a line as it is, and all blocks of 128 characters but one. Keys of what
@@ -90,11 +93,14 @@ def removed_lines(docs: DataFrame, *, min_chars: int = MIN_CHARS, scratch: Scrat
     """
     scratch = scratch or Scratch(docs.sparkSession, "lines")
     text = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text")
-    lines = text.select("doc_id", F.posexplode(split_lines(F.col("text"))).alias("line_no", "line")).where(F.length("line") >= min_chars)
+    lines = text.select("doc_id", F.posexplode(split_lines(F.col("text"))).alias("line_no", "line"))
+    long_enough = F.length("line") >= min_chars
+    exact = lines.where(long_enough if min_exact is None else long_enough | ((F.length("line") >= min_exact) & F.col("line").rlike(_INK)))
+    lines = lines.where(long_enough)
     content = [F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), F.length("line"), "line").alias("h2")]
     at = F.struct("doc_id", "line_no")
 
-    keyed = lines.select("doc_id", "line_no", *content)
+    keyed = exact.select("doc_id", "line_no", *content)
     many = keyed.groupBy("h1", "h2").agg(F.min("doc_id").alias("d0"), F.count(F.lit(1)).alias("n")).where("n > 1")
     many, place = scratch.pin(many), ["doc_id", "line_no"]
     repeats = scratch.pin(salted_join(keyed, many, ["h1", "h2"], "n", place))

@@ -140,6 +140,14 @@ def test_lines_against_brute_force(spark):
     assert lines.dedup_lines(docs(spark, [])).count() == 0
 
 
+def test_pipeline_drops_short_equal_lines(spark):
+    import corpus_pipeline as cp
+
+    d = docs(spark, ["Share this article\n \none", "two\n \nShare this article", "Share this article", "Share this articles"])
+    got = {r.doc_id: r.text for r in cp.drop_repeated_lines(spark, d, "").collect()}
+    assert got == {0: "Share this article\n \none", 1: "two\n ", 3: "Share this articles"}
+
+
 def test_cosine_edge_cases(spark):
     rng = np.random.default_rng(1)
     base = rng.normal(size=(4, 16))
