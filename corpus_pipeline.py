@@ -25,7 +25,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without lines seen earlier, equal ones of any length; a document that loses all it had goes. n_chars follows the text."""
     ship(spark)
-    got = lines.dedup_lines(docs, min_exact=1)
+    got = lines.dedup_lines(docs, min_exact=1, by_row=True)
     emptied = (F.col("n_removed") > 0) & ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
     kept = got.where(F.coalesce(~emptied, F.lit(True)))
     if "n_chars" in docs.columns:

@@ -141,10 +141,10 @@ def contamination(docs: DataFrame, bench: DataFrame, window: int = WINDOW) -> Da
 
     Null and empty texts have no words; items without words or id are ignored; repeated item ids count
     once; repeated documents and those without an id are searched each; the other columns are not read, but
-    for a row number named ``_hit_row``, which is kept. Where there are several blocks, their results are
-    merged by that number; without one, rows are numbered in a written table first.
+    for a number named ``_hit_text``, which is kept. Where there are several blocks, the rows are numbered
+    in a written table first and the blocks' results merged by that number.
     """
-    row_id = [c for c in docs.columns if c == "_hit_row"]
+    extra = [c for c in docs.columns if c == "_hit_text"]
     bench = bench.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select("item_id", "text")
     blocks: list[tuple[list, list]] = [([], [])]
     held = 0
@@ -157,10 +157,10 @@ def contamination(docs: DataFrame, bench: DataFrame, window: int = WINDOW) -> Da
         blocks[-1][1].append(row["text"])
         held += n
     spark = docs.sparkSession
-    keyed = docs.select("doc_id", "text", *row_id)
-    if len(blocks) > 1 and not row_id:
+    keyed = docs.select("doc_id", "text", *extra)
+    if len(blocks) > 1:
         keyed = Scratch(spark, "hits").pin(keyed.withColumn("_hit_row", F.monotonically_increasing_id()))
-    schema = "doc_id long, n_words long, n_hit long, items array<long>, longest long, hits binary" + ", _hit_row long" * (len(keyed.columns) - 2)
+    schema = "doc_id long, n_words long, n_hit long, items array<long>, longest long, hits binary" + "".join(f", {c} long" for c in keyed.columns[2:])
     out = None
     for ids, texts in blocks:
         test, tptr = hashed(*utf8(pa.array(texts, pa.large_string())), ALNUM)
@@ -169,7 +169,7 @@ def contamination(docs: DataFrame, bench: DataFrame, window: int = WINDOW) -> Da
         out = part if out is None else out.unionByName(part)
     if len(blocks) > 1:  # a word may be hit by several blocks
         out = out.groupBy("_hit_row").applyInArrow(_merge_blocks, schema)
-    return out.drop("hits", *[] if row_id else ["_hit_row"])
+    return out.drop("hits", "_hit_row")
 
 
 def _merge_blocks(t: pa.Table) -> pa.Table:
@@ -178,8 +178,8 @@ def _merge_blocks(t: pa.Table) -> pa.Table:
     for r in rows:
         if r["hits"]:
             bits |= np.unpackbits(np.frombuffer(r["hits"], np.uint8), count=len(bits)).astype(bool)
-    got = {"doc_id": rows[0]["doc_id"], "n_words": len(bits), "n_hit": int(bits.sum()), "items": sorted({i for r in rows for i in r["items"]}), "longest": max(r["longest"] for r in rows), "hits": None, "_hit_row": rows[0]["_hit_row"]}
-    return pa.Table.from_pylist([got], t.schema)
+    got = {"doc_id": rows[0]["doc_id"], "n_words": len(bits), "n_hit": int(bits.sum()), "items": sorted({i for r in rows for i in r["items"]}), "longest": max(r["longest"] for r in rows), "hits": None}
+    return pa.Table.from_pylist([rows[0] | got], t.schema)
 
 
 def _searcher(shared, window: int):
@@ -206,9 +206,14 @@ def contaminated(n_hit, n_words, share: int = 20):
 
 
 def remove_contaminated(docs: DataFrame, bench: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``docs`` without the documents a twentieth or more of whose words lie in benchmark windows."""
-    bad = contamination(docs, bench, window).where(contaminated(F.col("n_hit"), F.col("n_words"))).select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti")
+    """``docs`` without the rows a twentieth or more of whose words lie in benchmark windows.
+
+    Each goes or stays by its own text, whatever its id: equal texts fare alike, so the join is by their
+    64-bit hash, which asks for no numbered copy of the rows.
+    """
+    rows = docs.withColumn("_hit_text", F.xxhash64("text"))
+    bad = contamination(rows, bench, window).where(contaminated(F.col("n_hit"), F.col("n_words"))).select("_hit_text").distinct()
+    return rows.join(bad, "_hit_text", "left_anti").select(*docs.columns)
 
 
 def op5_decontaminate(spark, sf_dir):

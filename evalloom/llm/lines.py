@@ -139,21 +139,29 @@ def removed_lines(docs: DataFrame, *, min_chars: int = MIN_CHARS, min_exact: int
     return copies.unionByName(scratch.pin(near)).distinct()
 
 
-def dedup_lines(docs: DataFrame, **params) -> DataFrame:
+def dedup_lines(docs: DataFrame, *, by_row: bool = False, **params) -> DataFrame:
     """``docs`` with ``text`` less its removed lines, and ``n_lines, n_removed``.
 
     Null texts and ids pass unchanged with null counts for the former; an empty text is one empty line;
     rows that repeat a doc_id lose the same lines; other columns are kept (``n_lines``, ``n_removed`` and
-    names starting with ``_ln`` are reserved).
+    names starting with ``_ln`` are reserved). ``by_row`` numbers the rows in a written table: each then
+    loses its own lines, those that repeat an id too, and those without one come last.
     """
-    gone = removed_lines(docs, **params)
-    per = Scratch(docs.sparkSession, "lines").pin(gone.groupBy("doc_id").agg(F.collect_set("line_no").alias("_ln_gone")))
-    got = docs.join(per.hint("merge"), "doc_id", "left")  # one strategy at every size
+    scratch, key, kept_columns = Scratch(docs.sparkSession, "lines"), "doc_id", docs.columns
+    if by_row:
+        docs, key = scratch.pin(docs.withColumn("_ln_row", F.monotonically_increasing_id())), "_ln_row"
+        none = F.col("doc_id").isNull()
+        place = F.struct(none.alias("none"), F.when(~none, F.col("doc_id").cast("long")).otherwise(F.lit(0)).alias("id"), F.col("_ln_row").alias("row"))
+        gone = removed_lines(docs.select(place.alias("doc_id"), "text"), **params).select(F.col("doc_id.row").alias("_ln_row"), "line_no")
+    else:
+        gone = removed_lines(docs, **params)
+    per = scratch.pin(gone.groupBy(key).agg(F.collect_set("line_no").alias("_ln_gone")))
+    got = docs.join(per.hint("merge"), key, "left")  # one strategy at every size
     all_ = split_lines(F.col("text"))
     kept = F.filter(F.transform(all_, lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda s: ~F.array_contains(F.col("_ln_gone"), s["i"]))
     text = F.when(F.col("_ln_gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda s: s["x"]), "\n"))
     got = got.withColumns({"n_lines": F.size(all_).cast("long"), "n_removed": F.when(F.col("text").isNotNull(), F.coalesce(F.size("_ln_gone"), F.lit(0))).cast("long"), "text": text})
-    return got.select(*docs.columns, "n_lines", "n_removed")
+    return got.select(*kept_columns, "n_lines", "n_removed")
 
 
 def op6_line_dedup(spark, sf_dir):

@@ -316,11 +316,22 @@ def near_duplicates(docs: DataFrame, params: Near = Near()) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, params: Near = Near()) -> DataFrame:
-    """``docs`` with one document of each group: the one with the smallest doc_id, once. Null ids stay."""
-    gone = near_duplicates(docs, params).where(~F.col("kept")).select("doc_id").distinct()
-    rest = docs.join(gone, "doc_id", "left_anti")
-    ids = rest.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"])
-    return ids.unionByName(rest.where(F.col("doc_id").isNull()))
+    """``docs`` with one row of each group of near duplicates: the one with the smallest doc_id, null last.
+
+    Rows are numbered in a written table and each stands for itself: those that share an id but not a
+    text both stay, and those without an id are grouped as well.
+    """
+    scratch = Scratch(docs.sparkSession, "rows")
+    rows = scratch.pin(docs.withColumn("_near_row", F.monotonically_increasing_id()))
+    near = near_duplicates(rows.select(F.col("_near_row").alias("doc_id"), "text"), params)
+    near = scratch.pin(near.select(F.col("doc_id").alias("_near_row"), F.col("component_id").alias("_near_of")))
+    ids = rows.select("_near_row", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_near_row").alias("at"))
+    grouped = near.where("_near_row <> _near_of").select(F.col("_near_of"), "_near_row")
+    grouped = grouped.unionByName(grouped.select("_near_of", F.col("_near_of").alias("_near_row")).distinct())
+    grouped = scratch.pin(grouped.join(ids, "_near_row"))
+    best = grouped.groupBy("_near_of").agg(F.min("at")["_near_row"].alias("_near_row")).select("_near_row")
+    gone = grouped.select("_near_row").join(best, "_near_row", "left_anti")
+    return rows.join(gone, "_near_row", "left_anti").select(*docs.columns)
 
 
 def op9_minhash(spark, sf_dir):

@@ -140,6 +140,20 @@ def test_lines_against_brute_force(spark):
     assert lines.dedup_lines(docs(spark, [])).count() == 0
 
 
+def test_pipeline_stages_decide_by_row(spark):
+    import corpus_pipeline as cp
+
+    a, b, c = ("\n".join(f"{x}{k} line number {k} of text {x} in this corpus" for k in range(12)) for x in "abc")
+    schema = "doc_id long, text string, k int"
+    odd = spark.createDataFrame([(None, a, 1), (5, b, 2), (5, c, 3), (None, b, 4), (5, b, 5), (9, a, 6), (None, None, 7), (9, None, 8)], schema)
+    assert sorted(r.k for r in minhash.keep_one(odd).collect()) in ([2, 3, 6, 7, 8], [3, 5, 6, 7, 8])
+    bench = spark.createDataFrame([(1, a)], "item_id long, text string")
+    got = decontaminate.remove_contaminated(odd, bench)
+    assert sorted(r.k for r in got.collect()) == [2, 3, 4, 5, 7, 8] and got.schema == odd.schema
+    got = {r.k: r.text for r in cp.drop_repeated_lines(spark, odd, "").collect()}
+    assert got == {6: a, 2: b, 3: c, 7: None, 8: None} or got == {6: a, 5: b, 3: c, 7: None, 8: None}
+
+
 def test_pipeline_drops_short_equal_lines(spark):
     import corpus_pipeline as cp
 
