@@ -16,24 +16,45 @@ from .scratch import Scratch, salted_join, sized_broadcast, table
 from .words import SPACED, hashed, mix, shards, utf8
 
 
+#: The chance that no band of a pair at the threshold agrees, and how many minima may be spent on it.
+BAND_MISS, MAX_MINIMA = 1.25e-5, 160
+
+
+def banded(percent: int, rows: int) -> int:
+    """The least even number of bands of ``rows`` that miss a pair at ``percent`` with at most ``BAND_MISS``."""
+    miss = 1 - (min(percent, 99) / 100) ** rows
+    return 2 * math.ceil(math.log(BAND_MISS) / math.log(miss) / 2)
+
+
 @dataclass(frozen=True)
 class Near:
     """``shingle`` words, Jaccard ``percent`` of the union at least; ``bands`` of ``rows`` minima; ``bits`` kept of each.
 
-    With 24 bands of 6, a pair at the threshold of 0.85 is missed with probability 1.2e-5, at 0.8 3e-4.
+    Not given, ``rows`` is the largest, and ``bands`` the least even number, that miss a pair at the
+    threshold with a probability of at most ``BAND_MISS`` within ``MAX_MINIMA`` minima: 24 bands of 6 at
+    0.85 (1.2e-5), 30 of 5 at 0.8 (6.7e-6).
     A pair is dropped before confirmation only if a pair at the threshold would agree so seldom with
     probability ``miss``.
     """
 
     shingle: int = 5
     percent: int = 80
-    bands: int = 24
-    rows: int = 6
+    bands: int = 0
+    rows: int = 0
     bits: int = 4
     miss: float = 1e-9
     star_rounds: int = 2
     tile: int = 512
 
+    def __post_init__(self):
+        if not self.bands:
+            choices = [(banded(self.percent, r), r) for r in ([self.rows] if self.rows else range(1, 17))]
+            bands, rows = max((x for x in choices if x[0] * x[1] <= MAX_MINIMA), key=lambda x: x[1], default=choices[0])
+            object.__setattr__(self, "bands", bands)
+            object.__setattr__(self, "rows", rows)
+        elif not self.rows:
+            raise ValueError("bands need rows")
+
     @property
     def k(self) -> int:
         return self.bands * self.rows

@@ -60,6 +60,14 @@ def test_near_duplicates_against_brute_force(spark):
     assert [r.doc_id for r in kept] == [0, 3]
 
 
+@pytest.mark.parametrize("percent", [50, 70, 80, 85, 90, 100])
+def test_bands_suit_the_threshold(percent):
+    p = minhash.Near(percent=percent)
+    assert (1 - (percent / 100) ** p.rows) ** p.bands <= minhash.BAND_MISS and p.k <= minhash.MAX_MINIMA
+    at85 = minhash.Near(percent=85)
+    assert (at85.bands, at85.rows) == (24, 6)
+
+
 def brute_hits(doc, items, window=13):
     pat = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
     w = words(doc, pat)
