@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import struct
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -10,11 +11,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import HOT_SHARE, SALTS, Scratch, salted_join, table
+from .scratch import Scratch, table
 from .words import SPACED, hashed, mix, shards, utf8
 
 END = np.uint64(0x0E0D_0E0D_0E0D_0E0D)
 _C = np.uint64(0x9E3779B97F4A7C15)
+#: Tokens dealt to a box at most, but for words of more than a ``MOST_HOT``-th of all; a chunk names as many words.
+BOX_TOKENS, MOST_HOT = 1 << 22, 5000
 
 
 @dataclass(frozen=True)
@@ -27,20 +30,106 @@ class Model:
     sweeps: int = 2
     samples: int = 2
     theta: float = 1.0
-    chunk_bytes: int = 8 << 20
+    chunk_bytes: int = 12 << 20
+
+
+# Messages: rows (b, kind, of, data) to box ``b``; ``data`` is packed arrays of numbers.
+MSG = "b int, kind int, of long, data binary"
+ASK, STATE, ASKED, FIRST_UP, STATS, CELL, PLACES, UP, DOWN, WORDS, TABLES, ANSWER, CHUNK = range(13)
+
+
+def _small(a: np.ndarray) -> np.ndarray:
+    """Whole numbers of at least 0 in as few bytes as hold them."""
+    most = int(a.max(initial=0))
+    return a.astype(np.uint8 if most < 1 << 8 else np.uint16 if most < 1 << 16 else np.uint32 if most < 1 << 32 else np.uint64)
+
+
+def pack(*arrays: np.ndarray) -> bytes:
+    """Arrays as one string, each compressed by planes of bytes."""
+    out = [struct.pack("<B", len(arrays))]
+    for a in arrays:
+        planes = np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T)
+        z = pa.compress(planes, codec="zstd", asbytes=True)
+        out += [struct.pack("<2sqq", a.dtype.str[1:].encode(), len(a), len(z)), z]
+    return b"".join(out)
+
+
+def unpack(data: bytes) -> list[np.ndarray]:
+    at, out = 1, []
+    for _ in range(data[0]):
+        kind, n, size = struct.unpack_from("<2sqq", data, at)
+        at += struct.calcsize("<2sqq")
+        t = np.dtype(kind.decode())
+        planes = np.frombuffer(pa.decompress(data[at : at + size], n * t.itemsize, codec="zstd"), np.uint8) if n else np.zeros(0, np.uint8)
+        out.append(np.ascontiguousarray(planes.reshape(t.itemsize, n).T).view(t).reshape(n))
+        at += size
+    return out
+
+
+def _steps(a: np.ndarray) -> np.ndarray:
+    """Differences of 32-bit places (they wrap); ``_sums`` undoes it."""
+    return np.diff(a.astype(np.uint32), prepend=np.uint32(0))
+
+
+def _sums(a: np.ndarray) -> np.ndarray:
+    return np.cumsum(a, dtype=np.uint32).astype(np.int64)
+
+
+def _batches(rows: Iterator[tuple], names: list[str], kinds: list[pa.DataType], limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    held: list[tuple] = []
+    size = 0
+    for r in rows:
+        held.append(r)
+        size += len(r[-1])
+        if size >= limit:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), kinds)], names)
+            held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), kinds)], names)
+
+
+def _mail(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+    return _batches(rows, ["b", "kind", "of", "data"], [pa.int32(), pa.int32(), pa.int64(), pa.binary()])
+
+
+def _grouped(batches: Iterator[pa.RecordBatch], by: str) -> Iterator[tuple[int, dict[int, list[tuple]]]]:
+    """Rows that come sorted, by the value of ``by``: (value, kind -> rows)."""
+    at, held = None, {}
+    for b in batches:
+        for r in b.to_pylist():
+            if r[by] != at:
+                if held:
+                    yield at, held
+                at, held = r[by], {}
+            held.setdefault(r["kind"], []).append(r)
+    if held:
+        yield at, held
+
+
+def _deliver(boxes: int, read: Callable, *tables: DataFrame) -> DataFrame:
+    """What ``read(b, messages)`` sends from all boxes that got messages in ``tables``."""
+    all_ = tables[0]
+    for t in tables[1:]:
+        all_ = all_.unionByName(t)
+
+    def run(batches):
+        return _mail(m for b, held in _grouped(batches, "b") for m in read(b, held))
+
+    return all_.repartitionById(boxes, "b").sortWithinPartitions("b", "kind", "of").mapInArrow(run, MSG)
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], limit: int):
-    """(documents' ids, words, pointers) of runs of documents with about ``limit`` bytes."""
+    """(documents' ids, train flags, words, sizes) of runs of documents with about ``limit`` bytes."""
     ids: list[pa.Array] = []
+    train: list[np.ndarray] = []
     words: list[np.ndarray] = []
     sizes: list[np.ndarray] = []
     held = 0
 
     def take():
         """What is held, in one piece; nothing of it stays here."""
-        got = ids[:], np.concatenate(words), np.concatenate(sizes)
-        for x in (ids, words, sizes):
+        got = pa.concat_arrays(ids), np.concatenate(train), np.concatenate(words), np.concatenate(sizes)
+        for x in (ids, train, words, sizes):
             x.clear()
         return got
 
@@ -51,6 +140,7 @@ def _chunks(batches: Iterator[pa.RecordBatch], limit: int):
             words.append(np.insert(w, ptr[1:], END))
             sizes.append(np.diff(ptr) + 1)
             ids.append(b.column(0))
+            train.append(b.column(2).to_numpy(zero_copy_only=False).astype(bool))
             held += len(raw)
             del raw, offs, w, ptr
             if held >= limit:
@@ -60,39 +150,49 @@ def _chunks(batches: Iterator[pa.RecordBatch], limit: int):
         yield take()
 
 
-def _common(limit: int, keep: int = 512):
+def _packer(limit: int):
+    """A row a chunk: its documents' ids, training tokens, distinct words by first appearance, tokens as
+    numbers of these, and the words with more than a ``MOST_HOT``-th of its training tokens."""
+
+    def rows(batches):
+        for ids, train, words, sizes in _chunks(batches, limit):
+            distinct, first, of = np.unique(words, return_index=True, return_inverse=True)
+            order = np.argsort(first)
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.arange(len(order))
+            tokens = rank[of]
+            learnt = np.repeat(train, sizes)
+            n = np.bincount(tokens[learnt], minlength=len(order))
+            much = np.flatnonzero(n * MOST_HOT > learnt.sum())
+            # a word's first token is written as 0, the others as 1 + its number: cheap to compress
+            code = tokens + 1
+            code[first] = 0
+            yield ids, int(learnt.sum()), pack(distinct[order[much]], _small(n[much])), pack(distinct[order]), pack(_small(sizes), train.view(np.uint8), _small(code))
+
     def run(batches):
-        for _, words, _ in _chunks(batches, limit):
-            w, n = np.unique(words, return_counts=True)
-            top = np.argsort(-n, kind="stable")[:keep]
-            yield pa.RecordBatch.from_arrays([pa.array(w[top].view(np.int64)), pa.array(n[top].astype(np.int64)), pa.array(np.where(np.arange(len(top)) == 0, len(words), 0))], ["w", "n", "all"])
+        for ids, n, much, ws, body in rows(batches):
+            one = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
+            yield pa.RecordBatch.from_arrays([one, pa.array([n]), *(pa.array([x], pa.binary()) for x in (much, ws, body))], ["ids", "n", "much", "ws", "body"])
 
     return run
 
 
-def _tally(words: np.ndarray, contexts: int, hot: np.ndarray):
-    """(distinct words, pairs' words and contexts as numbers of these, pairs' slices, counts, tokens' pairs) of a chunk.
+def _pairs(body: bytes, contexts: int):
+    """(sizes, train, pairs' words and contexts, tokens' pairs) of a chunk; pairs stand by word and context,
+    both by first appearance. A token's context is the token before it: each document ends with ``END``, so
+    the first one's is ``END``."""
+    sizes, train, code = unpack(body)
+    code = code.astype(np.int64)
+    new = code == 0
+    tokens = np.where(new, np.cumsum(new) - 1, code - 1)
+    v, end = int(new.sum()), int(tokens[-1])
+    before = np.concatenate(([end], tokens[:-1])) if contexts else np.full(len(tokens), end)
+    pairs, of = np.unique(tokens * v + before, return_inverse=True)
+    return sizes.astype(np.int64), train.astype(bool), pairs // v, pairs % v, of
 
-    Pairs stand by word, a hot word's by slice. A token's context is the token before it, as each document
-    ends with ``END`` and so the first one's is ``END``.
-    """
-    distinct, of = np.unique(words, return_inverse=True)
-    v = len(distinct)
-    end = int(np.searchsorted(distinct, END))
-    before = np.concatenate(([end], of[:-1])) if contexts else np.full(len(of), end)
-    code, tokens, n = np.unique(of * np.int64(v) + before, return_inverse=True, return_counts=True)
-    w, c = code // v, code % v
-    cut = np.zeros(len(code), np.int32)
-    at = np.flatnonzero(np.isin(distinct, hot)[w])
-    if len(at):
-        cut[at] = mix(distinct[c[at]]) % np.uint64(SALTS)
-        order = np.arange(len(code))
-        order[at] = at[np.lexsort((cut[at], w[at]))]
-        w, c, n, cut = w[order], c[order], n[order], cut[order]
-        to = np.empty(len(order), np.int64)
-        to[order] = np.arange(len(order))
-        tokens = to[tokens]
-    return distinct, w.astype(np.int32), c.astype(np.int32), cut, n, tokens.astype(np.int32)
+
+def _box(words: np.ndarray, boxes: int) -> np.ndarray:
+    return (mix(words + np.uint64(1)) % np.uint64(boxes)).astype(np.int64)
 
 
 def _starts(*keys: np.ndarray) -> np.ndarray:
@@ -102,69 +202,129 @@ def _starts(*keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate(([True], np.any([k[1:] != k[:-1] for k in keys], axis=0))))
 
 
-def _lists(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), pa.array(values))
-
-
-def _counter(m: Model, hot: np.ndarray):
-    """A row for each chunk, word and slice: its contexts and its count in each."""
-
-    def run(batches):
-        for _, words, _ in _chunks(batches, m.chunk_bytes):
-            distinct, w, c, cut, n, _ = _tally(words, m.contexts, hot)
-            start = _starts(w, cut)
-            sizes = np.diff(np.append(start, len(w)))
-            yield pa.RecordBatch.from_arrays([pa.array(distinct[w[start]].view(np.int64)), pa.array(cut[start]), _lists(distinct[c].view(np.int64), sizes), _lists(n.astype(np.int64), sizes)], ["w", "s", "cs", "ns"])
-
-    return run
-
+def _find(sorted_: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Places of ``values`` in a sorted array, -1 where they aren't there."""
+    if not len(sorted_):
+        return np.full(len(values), -1)
+    at = np.minimum(np.searchsorted(sorted_, values), len(sorted_) - 1)
+    return np.where(sorted_[at] == values, at, -1)
 
-def _grouper(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (w, s, cs, ns) sorted by w and s to one row a word and slice, summed as they come."""
 
-    def emit(w, s, c, n):
-        start = _starts(w, s)
-        sizes = np.diff(np.append(start, len(w)))
-        return pa.RecordBatch.from_arrays([pa.array(w[start]), pa.array(s[start]), _lists(c, sizes), _lists(n, sizes)], ["w", "s", "cs", "ns"])
+def _asker(contexts: int, boxes: int, hot: np.ndarray, slices: np.ndarray):
+    """A chunk's pairs to the boxes of their words, with their training counts and places in the chunk.
 
-    hold = [np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)]
-    for b in batches:
-        if not b.num_rows:
-            continue
-        row = np.repeat(np.arange(b.num_rows), b.column(2).value_lengths().to_numpy())
-        here = (b.column(0).to_numpy()[row], b.column(1).to_numpy()[row], b.column(2).flatten().to_numpy(), b.column(3).flatten().to_numpy())
-        w, s, c, n = (np.concatenate(x) for x in zip(hold, here))
-        order = np.lexsort((c, s, w))
-        w, s, c, n = w[order], s[order], c[order], n[order]
-        start = _starts(w, s, c)
-        w, s, c, n = w[start], s[start], c[start], np.add.reduceat(n, start)
-        cut = int(_starts(w, s)[-1])
-        hold = [w[cut:], s[cut:], c[cut:], n[cut:]]
-        if cut:
-            yield emit(w[:cut], s[:cut], c[:cut], n[:cut])
-    if len(hold[0]):
-        yield emit(*hold)
-
-
-def _by_context(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(c, n, n1, n2, k): counts, pairs seen once, twice and at all, of each batch's contexts."""
-    for b in batches:
-        c, n = b.column(0).flatten().to_numpy(), b.column(1).flatten().to_numpy()
-        order = np.argsort(c)
-        c, n = c[order], n[order]
-        start = _starts(c)
-        if len(start):
-            sums = [np.add.reduceat(x, start) for x in (n, (n == 1).astype(np.int64), (n == 2).astype(np.int64), np.ones(len(n), np.int64))]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (c[start], *sums)], ["c", "n", "n1", "n2", "k"])
+    A hot word is cut into slices by context, each with a box of its own.
+    """
 
+    def rows(batches):
+        for b in batches:
+            for r in range(b.num_rows):
+                ws = unpack(b.column("ws")[r].as_py())[0]
+                sizes, train, w, c, of = _pairs(b.column("body")[r].as_py(), contexts)
+                n = np.bincount(of[np.repeat(train, sizes)], minlength=len(w))
+                box = _box(ws, boxes)[w]
+                at = _find(hot, ws)[w]
+                cut = np.flatnonzero(at >= 0)
+                if len(cut):
+                    part = (mix(ws[c[cut]]) >> np.uint64(32)) * slices[at[cut]].astype(np.uint64) >> np.uint64(32)
+                    box[cut] = _box(ws[w[cut]] + (part + np.uint64(1)) * _C, boxes)
+                rank = np.empty(len(ws), np.int64)
+                rank[np.argsort(ws)] = np.arange(len(ws))
+                order = np.argsort(box * len(ws) + rank[w], kind="stable")
+                box, w, c, n = box[order], w[order], c[order], n[order]
+                ends = [*_starts(box).tolist(), len(box)]
+                chunk = b.column("chunk")[r].as_py()
+                for lo, hi in zip(ends, ends[1:]):
+                    run = _starts(w[lo:hi])
+                    size = np.diff(np.append(run, hi - lo))
+                    yield int(box[lo]), ASK, chunk, pack(ws[w[lo:hi][run]], _small(size), ws[c[lo:hi]], _small(n[lo:hi]), _steps(order[lo:hi]))
+
+    return lambda batches: _mail(rows(batches))
+
+
+def _by_cell(contexts: np.ndarray, boxes: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """An order of ``contexts`` by their cells, and each cell's (number, from, to) in it."""
+    cell = _box(contexts, boxes)
+    order = np.argsort(cell, kind="stable")
+    ends = [*_starts(cell[order]).tolist(), len(order)]
+    return order, [(int(cell[order[lo]]), lo, hi) for lo, hi in zip(ends, ends[1:])]
+
+
+def _collect_counts(boxes: int, hot: np.ndarray):
+    """A box sums its pairs: its state, what each chunk asked as numbers of it, contexts' counts to their cells."""
+
+    def read(b, mail):
+        asks = [(r["of"], unpack(r["data"])) for r in mail[ASK]]
+        cat = lambda k: np.concatenate([a[k] for _, a in asks])
+        words, of_word = np.unique(cat(0), return_inverse=True)
+        ctx, of_ctx = np.unique(cat(2), return_inverse=True)
+        codes, of = np.unique(np.repeat(of_word, cat(1).astype(np.int64)) * len(ctx) + of_ctx, return_inverse=True)
+        n = np.bincount(of, cat(3)).astype(np.int64)
+        known = n > 0
+        w, c, n = codes[known] // len(ctx), codes[known] % len(ctx), n[known]
+        k = np.bincount(w, minlength=len(words))
+        base = np.cumsum(k) - k
+        # numbers of what is known, from 1; 0 is unknown
+        word_no = np.where(k > 0, np.cumsum(k > 0), 0)
+        pair_no = np.where(known, np.cumsum(known) - base[codes // len(ctx)], 0)
+        met = np.bincount(c, minlength=len(ctx)) > 0
+        c, ctx, words, k = (np.cumsum(met) - 1)[c], ctx[met], words[k > 0], k[k > 0]
+        yield b, STATE, b, pack(words, _small(k), ctx, _small(c), _small(n))
+        run = row = 0
+        for chunk, (ws, size, cs, _, place) in asks:
+            yield b, ASKED, chunk, pack(_small(word_no[of_word[run : run + len(ws)]]), size, _small(pair_no[of[row : row + len(cs)]]), place)
+            run, row = run + len(ws), row + len(cs)
+        singles, all_ = np.bincount(c[n == 1], minlength=len(ctx)), np.bincount(c, minlength=len(ctx))
+        order, cells = _by_cell(ctx, boxes)
+        for cell, lo, hi in cells:
+            x = order[lo:hi]
+            yield cell, FIRST_UP, b, pack(ctx[x], _small(singles[x]), _small(all_[x]))
+        at, count = _find(hot, words), np.bincount(np.repeat(np.arange(len(words)), k), n, minlength=len(words)).astype(np.int64)
+        cold = at < 0
+        yield b, STATS, b, pack(
+            np.array([(n == 1).sum(), (n == 2).sum(), (k[cold] == 1).sum(), (k[cold] == 2).sum(), cold.sum(), len(n)], np.int64), _small(at[~cold]), count[~cold], k[~cold].astype(np.int64)
+        )
+
+    return read
+
+
+def _first_cells(hot: np.ndarray):
+    """A cell learns its contexts: their singles, the places of each box's others, and a table a pair to start with."""
+
+    def read(cell, mail):
+        ups = [(r["of"], unpack(r["data"])) for r in mail[FIRST_UP]]
+        ctx, of = np.unique(np.concatenate([u[0] for _, u in ups]), return_inverse=True)
+        singles = np.bincount(of, np.concatenate([u[1] for _, u in ups])).astype(np.int64)
+        tables = np.bincount(of, np.concatenate([u[2] for _, u in ups])).astype(np.int64)
+        yield cell, CELL, cell, pack(ctx, _small(singles))
+        at = 0
+        for b, (cs, s, k) in ups:
+            x = of[at : at + len(cs)][k > s]
+            at += len(cs)
+            if len(x):
+                yield cell, PLACES, b, pack(_small(x))
+                yield b, DOWN, cell, pack(_small(tables[x]))
+
+    return read
+
+
+def _cells(hot: np.ndarray, sweep: int, keep: bool):
+    """A cell sums its contexts' tables and tells the boxes."""
+
+    def read(cell, mail):
+        ctx, singles = unpack(mail[CELL][0]["data"])
+        tables = singles.astype(np.int64)
+        places = {r["of"]: unpack(r["data"])[0] for r in mail.get(PLACES, [])}
+        for r in mail.get(UP, []):
+            tables[places[r["of"]]] += unpack(r["data"])[0].astype(np.int64)  # a box has a context once
+        for b, x in places.items():
+            yield b, DOWN, cell, pack(_small(tables[x]))
+        if keep:
+            yield cell, TABLES, sweep, pack(_small(tables))
+            at = _find(hot, ctx)
+            yield cell, STATS, cell, pack(_small(at[at >= 0]), tables[at >= 0])
 
-def _several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The pairs seen more than once, a row each: one seen once has one table always."""
-    for b in batches:
-        row = np.repeat(np.arange(b.num_rows), b.column(2).value_lengths().to_numpy())
-        n = b.column(3).flatten().to_numpy()
-        at = np.flatnonzero(n > 1)
-        yield pa.RecordBatch.from_arrays([pa.array(b.column(0).to_numpy()[row[at]]), pa.array(b.column(1).to_numpy()[row[at]]), pa.array(b.column(2).flatten().to_numpy()[at]), pa.array(n[at])], ["w", "s", "c", "n"])
+    return read
 
 
 def _uniform(key: np.ndarray, salt: int) -> np.ndarray:
@@ -225,251 +385,225 @@ def seat(n: np.ndarray, pull: np.ndarray, d: float, key: np.ndarray, salt: int)
     return np.minimum(t, n)
 
 
-def _seat_pairs(m: Model, d: float, salt: int):
-    """Tables of each pair given its context's tables ``T`` and its word's parent probability ``p0``."""
-
-    def run(batches):
-        for b in batches:
-            w, c, n, tables, p0, sum_t = (b.column(x).to_numpy() for x in ("w", "c", "n", "T", "p0", "sum_t"))
-            key = mix(w.view(np.uint64) + mix(c.view(np.uint64)) * _C)
-            t = seat(n, (m.theta + d * tables) * p0, d, key, salt)
-            yield pa.RecordBatch.from_arrays([b.column("w"), b.column("s"), b.column("c"), b.column("n"), pa.array(t), pa.array(sum_t + t)], ["w", "s", "c", "n", "t", "sum_t"])
-
-    return run
-
-
-def _seat_words(pull: float, d0: float, salt: int):
-    """Tables of each word in the unigram restaurant, whose customers are the contexts' tables."""
-
-    def run(batches):
-        for b in batches:
-            w, c0 = b.column("w").to_numpy().view(np.uint64), b.column("c0").to_numpy()
-            t0 = seat(c0.astype(np.int64), np.full(len(w), pull), d0, mix(w), salt)
-            yield pa.RecordBatch.from_arrays([*(b.column(x) for x in ("w", "c", "n1", "k2", "c0")), pa.array(t0), b.column("p0s")], ["w", "c", "n1", "k2", "c0", "t0", "p0s"])
-
-    return run
-
-
-def _packer(m: Model, hot: np.ndarray):
-    """One row a chunk: its documents' ids and sizes, its tokens as pair numbers, its pairs."""
-
-    def run(batches):
-        for ids, words, sizes in _chunks(batches, m.chunk_bytes):
-            distinct, w, c, cut, _, tokens = _tally(words, m.contexts, hot)
-            start = _starts(w, cut)
-            one = lambda x: _lists(x, np.array([len(x)]))
-            yield pa.RecordBatch.from_arrays(
-                [one(pa.chunked_array(ids).combine_chunks()), *(pa.array([x.astype(np.int32).tobytes()]) for x in (sizes, tokens, w, c, cut[start], start)), one(distinct.view(np.int64))],
-                ["ids", "sizes", "tokens", "w", "c", "cut", "start", "ws"],
-            )
-
-    return run
-
+@dataclass(frozen=True)
+class _Parent:
+    """The unigram restaurant after a sweep: its totals, and the hot words' customers and tables."""
+
+    theta: float
+    d: float
+    customers: float
+    tables: float
+    h: float
+    hot: np.ndarray
+    hot_customers: np.ndarray
+    hot_tables: np.ndarray
+
+    def unknown(self) -> float:
+        return (self.theta + self.d * self.tables) / (self.theta + self.customers) * self.h
+
+    def p(self, customers: np.ndarray, tables: np.ndarray) -> np.ndarray:
+        return (customers - self.d * tables) / (self.theta + self.customers) + self.unknown()
+
+
+def _sweep(m: Model, boxes: int, d: float, parent: _Parent, salt: int, keep: bool):
+    """A box seats its pairs, then its words in the unigram restaurant, by the tables of the sweep before."""
+
+    def read(b, mail):
+        words, k, ctx, c, n = unpack(mail[STATE][0]["data"])
+        k, n = k.astype(np.int64), n.astype(np.int64)
+        w = np.repeat(np.arange(len(words)), k)
+        got = unpack(mail[WORDS][0]["data"]) if WORDS in mail else [k, np.ones(len(k), np.int64), np.zeros(int((n > 1).sum()), np.int64)]
+        p0 = parent.p(got[0].astype(np.float64), got[1].astype(np.float64))
+        at = _find(parent.hot, words)
+        p0[at >= 0] = parent.p(parent.hot_customers, parent.hot_tables)[at[at >= 0]]
+        several = np.flatnonzero(n > 1)
+        shared = np.bincount(c[several], minlength=len(ctx)) > 0
+        mine = np.flatnonzero(shared)
+        order, cells = _by_cell(ctx[mine], boxes)
+        tables = np.zeros(len(ctx))
+        if len(mine):
+            tables[mine[order]] = np.concatenate([unpack(r["data"])[0] for r in mail[DOWN]])
+        key = mix(words[w[several]] + mix(ctx[c[several]]) * _C)
+        t = seat(n[several], (m.theta + d * tables[c[several]]) * p0[w[several]], d, key, salt)
+        customers = k - np.bincount(w[several], minlength=len(words)) + np.bincount(w[several], t, minlength=len(words)).astype(np.int64)
+        cold = at < 0
+        seated = np.zeros(len(words))
+        seated[cold] = seat(customers[cold], np.full(int(cold.sum()), (m.theta + parent.d * parent.tables) * parent.h), parent.d, mix(words[cold]), salt + 1)
+        kept = got[3:]
+        if keep:
+            kept += [customers, seated]
+            got[2] = got[2].astype(np.int64) + t.astype(np.int64)
+        yield b, WORDS, b, pack(*(_small(x) for x in (customers, seated, got[2], *kept)))
+        sums = np.bincount(c[several], t, minlength=len(ctx))[mine]
+        for cell, lo, hi in cells:
+            yield cell, UP, b, pack(_small(sums[order[lo:hi]]))
+        yield b, STATS, b, pack(np.array([customers[cold].sum(), seated[cold].sum()], np.int64), _small(at[~cold]), customers[~cold])
 
-def _asker(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A chunk's questions: a row for each word and slice, with its first pair's number and its contexts."""
-    for b in batches:
-        for r in range(b.num_rows):
-            w, c, cut, start = (np.frombuffer(b.column(x)[r].as_py(), np.int32) for x in ("w", "c", "cut", "start"))
-            ws = b.column("ws")[r].values.to_numpy()
-            sizes = np.diff(np.append(start, len(w)))
-            n = len(start)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ws[w[start]]), pa.array(cut), pa.array(np.full(n, 3, np.int32)), pa.array(np.full(n, b.column("chunk")[r].as_py())), pa.array(start), _lists(ws[c], sizes), _lists(np.zeros(0), np.zeros(n, np.int64))],
-                ["w", "s", "kind", "of", "i", "cs", "xs"],
-            )
+    return read
 
 
-_STREAM = "w long, s int, kind int, of long, i int, cs array<long>, xs array<double>"
+def _answers(samples: int, hot: np.ndarray, hot_rows: np.ndarray):
+    """A box's answers to the chunks: pairs' counts and tables, words' counts and tables in both restaurants.
 
+    ``hot_rows`` has these of the hot words, a column each.
+    """
 
-def _answerer(d: float, unknown: list[float]):
-    """A stream sorted by word, slice and kind (0 the word's count and states, 1 its contexts of one count,
-    2 one of more, 3 questions) to the answers, packed by batch and chunk. Only one slice of one word is held."""
-    width = len(unknown)
+    def read(b, mail):
+        if ASKED not in mail:
+            return
+        words, k, _, _, n = unpack(mail[STATE][0]["data"])
+        k, n = k.astype(np.int64), n.astype(np.int64)
+        _, _, sums, *kept = unpack(mail[WORDS][0]["data"])
+        count = np.bincount(np.repeat(np.arange(len(words)), k), n, minlength=len(words))
+        row = np.zeros((1 + 3 * samples, len(words) + 1), np.int64)
+        row[0, 1:] = count
+        for j in range(samples):
+            row[1 + j, 1:], row[1 + samples + j, 1:] = kept[2 * j], kept[2 * j + 1]
+        if CELL in mail:
+            ctx = unpack(mail[CELL][0]["data"])[0]
+            at = _find(ctx, words)
+            for j, r in enumerate(mail[TABLES]):
+                row[1 + 2 * samples + j, 1:] = np.where(at >= 0, unpack(r["data"])[0][at].astype(np.int64), 0)
+        at = _find(hot, words)
+        row[:, 1:][:, at >= 0] = hot_rows[:, at[at >= 0]]
+        t = np.ones(len(n), np.int64) * samples
+        t[n > 1] = sums
+        base = np.concatenate(([0], np.cumsum(k) - k))
+        for r in mail[ASKED]:
+            word, size, pair, place = unpack(r["data"])
+            word, pair = word.astype(np.int64), pair.astype(np.int64)
+            at = np.repeat(base[word], size.astype(np.int64)) + pair - 1
+            seen = pair > 0
+            mine = np.zeros((2, len(pair)), np.int64)
+            mine[0, seen], mine[1, seen] = n[at[seen]], t[at[seen]]
+            yield b, ANSWER, r["of"], pack(size, place, _small(mine[0]), _small(mine[1]), *(_small(x[word]) for x in row))
+
+    return read
+
+
+def _finisher(m: Model, d: float, parents: list[_Parent], total: int, types: int):
+    """A chunk's documents from its tokens and the answers; predictive probabilities are averaged over the states."""
+    scale, s = total + 0.5 * (types + 1), m.samples
+
+    def score(mail):
+        sizes, _, w, c, of = _pairs(mail[CHUNK][0]["data"], m.contexts)
+        own, row = np.zeros((2, len(w))), np.zeros((1 + 3 * s, int(w.max()) + 1))
+        for r in mail.get(ANSWER, []):
+            size, place, n, t, *words = unpack(r["data"])
+            place = _sums(place)
+            own[0, place], own[1, place] = n, t
+            first = np.cumsum(size, dtype=np.int64) - size
+            row[:, w[place[first]]] = words
+        count = row[0]
+        p = np.where(own[0] > 0, own[0] - d * own[1] / s, 0.0)
+        for j in range(s):
+            p0 = np.where(count > 0, parents[j].p(row[1 + j], row[1 + s + j]), parents[j].unknown())
+            tables = row[1 + 2 * s + j]
+            p += (m.theta + d * tables[c]) * p0[w] / s
+        p = np.log10(p / (m.theta + (count[c] if m.contexts else total)))
+        base, known = np.log10((count + 0.5) / scale)[w], (count > 0)[w].astype(np.int64)
+        begin = np.cumsum(sizes) - sizes
+        return [pa.array(sizes), *[pa.array(np.add.reduceat(x[of], begin)) for x in (known, base, p)]]
 
     def run(batches):
-        held, held_key = (np.array(unknown), np.zeros(0, np.int64), np.zeros(0)), None
-        for b in batches:
-            if not b.num_rows:
-                continue
-            w, s, kind = (b.column(x).to_numpy() for x in ("w", "s", "kind"))
-            start = _starts(w, s)
-            g = np.zeros(len(w), np.int64)
-            g[start] = 1
-            g = np.cumsum(g) - 1
-            size, c = b.column("cs").value_lengths().to_numpy(), b.column("cs").flatten().to_numpy()
-            xsize, xs = b.column("xs").value_lengths().to_numpy(), b.column("xs").flatten().to_numpy()
-            row, xrow = np.repeat(np.arange(len(w)), size), np.repeat(np.arange(len(w)), xsize)
-            states = np.tile(np.array(unknown), (len(start), 1))
-            own = np.full(len(c), 1 - d)
-            own[kind[row] == 2] = xs[kind[xrow] == 2]
-            known = np.flatnonzero(kind[row] < 3)
-            dg, dc, dx = g[row[known]], c[known], own[known]
-            if held_key == (w[0], s[0]):
-                states[0] = held[0]
-                dg, dc, dx = np.concatenate((np.zeros(len(held[1]), np.int64), dg)), np.concatenate((held[1], dc)), np.concatenate((held[2], dx))
-            states[g[kind == 0]] = xs[kind[xrow] == 0].reshape(-1, width)
-            last = dg == len(start) - 1
-            held, held_key = (states[-1].copy(), dc[last], dx[last]), (w[-1], s[-1])
-            asks = np.flatnonzero(kind == 3)
-            if not len(asks):
-                continue
-            code = lambda g, c: mix(c.view(np.uint64) + mix(g.astype(np.uint64) + np.uint64(1)) * _C)
-            have = code(dg, dc)
-            order = np.argsort(have)
-            have, dx = have[order], dx[order]
-            of, i = b.column("of").to_numpy(), b.column("i").to_numpy()
-            asks = asks[np.argsort(of[asks], kind="stable")]
-            first = np.cumsum(size) - size
-            n = size[asks]
-            at = np.repeat(first[asks] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            want = code(g[row[at]], c[at])
-            mine = np.zeros(len(want))
-            if len(have):
-                k = np.minimum(np.searchsorted(have, want), len(have) - 1)
-                mine = np.where(have[k] == want, dx[k], 0.0)
-            st = states[g[asks]]
-            cut = _starts(of[asks])
-            rows = np.diff(np.append(cut, len(asks)))
-            pairs = np.add.reduceat(n, cut)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(of[asks[cut]]), _lists(i[asks], rows), _lists(n.astype(np.int32), rows), _lists(st[:, 0].astype(np.int64), rows), _lists(st[:, 1:].astype(np.float32).ravel(), rows * (width - 1)), _lists(mine.astype(np.float32), pairs)],
-                ["of", "at", "len", "count", "states", "own"],
-            )
+        for _, mail in _grouped(batches, "of"):
+            yield pa.RecordBatch.from_arrays([pa.array(mail[CHUNK][0]["ids"], pa.int64()), *score(mail)], ["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
     return run
 
 
-def _finisher(m: Model, d: float, total: int, types: int):
-    """A chunk's documents from its tokens and the answers; predictive probabilities are averaged over the states."""
-    scale, k = total + 0.5 * (types + 1), m.samples
-
-    def finish(left: pa.Table, right: pa.Table) -> pa.Table:
-        flat = lambda x: right.column(x).combine_chunks().flatten().to_numpy()
-        sizes, tokens, w, c = (np.frombuffer(left.column(x)[0].as_py(), np.int32) for x in ("sizes", "tokens", "w", "c"))
-        at, n = flat("at").astype(np.int64), flat("len").astype(np.int64)
-        v = len(left.column("ws")[0].values)
-        count, states = np.zeros(v, np.int64), np.zeros((v, 2 * k))
-        count[w[at]] = flat("count")
-        states[w[at]] = flat("states").reshape(-1, 2 * k)
-        p = np.empty(len(w))
-        p[np.repeat(at - (np.cumsum(n) - n), n) + np.arange(n.sum())] = flat("own")
-        p0, tables = states[:, :k], states[:, k:]
-        p += sum((m.theta + d * tables[c, j]) * p0[w, j] for j in range(k)) / k
-        p = np.log10(p / (m.theta + (count[c] if m.contexts else total)))
-        base, known = np.log10((count + 0.5) / scale)[w], (count > 0)[w].astype(np.int64)
-        begin = np.cumsum(sizes, dtype=np.int64) - sizes
-        cols = [left.column("ids").combine_chunks().flatten(), pa.array(sizes.astype(np.int64)), *[pa.array(np.add.reduceat(x[tokens], begin)) for x in (known, base, p)]]
-        return pa.Table.from_arrays(cols, ["doc_id", "n_tokens", "n_known", "base_score", "score"])
-
-    return finish
+def _stats(sent: DataFrame) -> list[list[np.ndarray]]:
+    """The boxes' totals: a small row a box, with the hot words' shares of it."""
+    return [unpack(r["data"]) for r in sent.where(F.col("kind") == STATS).select("data").collect()]
 
 
-def _learn(learn: DataFrame, m: Model, scratch: Scratch) -> tuple[np.ndarray, DataFrame]:
-    """The hot words' sorted hashes and (w, s, cs, ns), a row a word and slice; its shuffles end with the call."""
-    common = learn.mapInArrow(_common(m.chunk_bytes), "w long, n long, all long").groupBy("w").agg(F.sum("n").alias("n"), F.sum("all").alias("all"))
-    common = scratch.pin(common)
-    tokens = common.agg(F.sum("all")).first()[0] or 0
-    hot = common.where(F.col("n") * HOT_SHARE > tokens).select("w").collect()  # HOT_SHARE at most
-    hot = np.sort(np.array([r["w"] for r in hot], np.int64).view(np.uint64))
-    # a word has a row a chunk and slice at most; chunks are what is summed before the exchange
-    counts = learn.mapInArrow(_counter(m, hot), "w long, s int, cs array<long>, ns array<long>")
-    return hot, scratch.pin(counts.repartition("w", "s").sortWithinPartitions("w", "s").mapInArrow(_grouper, "w long, s int, cs array<long>, ns array<long>"))
+def _hot_sums(rows: list[tuple[np.ndarray, np.ndarray]], size: int) -> np.ndarray:
+    out = np.zeros(size, np.int64)
+    for at, x in rows:
+        np.add.at(out, at.astype(np.int64), x)
+    return out
 
 
 def score_documents(docs: DataFrame, train: Column, model: Model = Model()) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) for every row of ``docs``.
 
     Learns from the rows where ``train`` holds. ``base_score`` is an add-half unigram log10 probability,
-    ``score`` the hierarchical model's. Counts of (context, word) pairs are first made unique within chunks
-    of documents; what is shuffled is a row for each chunk and word, words with over a thousandth of the
-    tokens cut into slices by context. The seating is one chain: each sweep takes the contexts' tables and
-    the words' parent probabilities of the sweep before. Predictive probabilities are averaged over the
-    last ``samples`` states. No context is left out; what is gathered grows with the observed pairs.
+    ``score`` the hierarchical model's.
+
+    Texts become chunks of numbered tokens in a written table. A chunk sends its distinct (word, context)
+    pairs with their training counts to boxes by word; words with more than half a box are cut into slices by
+    context, so no box grows with one word. A box sums its pairs and remembers what each chunk asked. In each
+    sweep boxes seat all customers of all pairs by their contexts' tables and their words' parent
+    probability of the sweep before, and send the tables of each context, summed, to the context's cell, which
+    sends the total back. Predictive probabilities are averaged over the last ``samples`` states. Answers go
+    back to the chunks as whole numbers. No pair and no context is left out; what is gathered grows with them.
 
     Null and empty texts are the end token alone; an untrained model (no training rows) knows only the
-    unknown symbol; rows that repeat are scored each.
+    unknown symbol; rows that repeat are scored each; other columns are not read; an empty table gives none.
     """
     m = model
     if m.contexts not in (0, 1):
         raise ValueError("contexts of no or one word")
     spark = docs.sparkSession
     scratch = Scratch(spark, "hpy")
-    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", train.alias("_train"))
-    hot, words = _learn(src.where("_train").select("doc_id", "text"), m, scratch)
-    scratch.release()
-
-    ctx = words.select("cs", "ns").mapInArrow(_by_context, "c long, n long, n1 long, n2 long, k long")
-    ctx = scratch.pin(ctx.groupBy("c").agg(*[F.sum(x).alias(x) for x in ("n", "n1", "n2", "k")]))
-    n1, n2 = ctx.agg(F.sum("n1"), F.sum("n2")).first()
-    ctx = ctx.select("c", "n1", (F.col("k") - F.col("n1")).alias("k2"), F.col("k").cast("double").alias("T"), F.array().cast("array<double>").alias("Ts"))
-    once = F.size(F.filter("ns", lambda x: x == 1)).cast("long")
-    par = words.select("w", F.aggregate("ns", F.lit(0).cast("long"), lambda a, x: a + x).alias("c"), once.alias("n1"), F.size("ns").cast("long").alias("k"))
-    par = scratch.pin(par.groupBy("w").agg(*[F.sum(x).alias(x) for x in ("c", "n1", "k")]))
-    one = par.agg(F.count(F.lit(1)), F.sum("c"), F.sum("k"), F.count_if(F.col("k") == 1), F.count_if(F.col("k") == 2)).first()
-    types, total, c0 = one[0], one[1] or 0, float(one[2] or 0)
+    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(train, F.lit(False)).alias("_train"))
+    packed = src.mapInArrow(_packer(m.chunk_bytes), "ids array<long>, n long, much binary, ws binary, body binary")
+    packed = scratch.pin(packed.withColumn("chunk", F.monotonically_increasing_id()))
+    total = packed.agg(F.sum("n")).first()[0] or 0
+    boxes = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BOX_TOKENS))
+    # a chunk names at most MOST_HOT words; those with more than half a box are at most 2 * boxes
+    named = packed.select("much").mapInArrow(_named, "w long, n long").groupBy("w").agg(F.sum("n").alias("n"))
+    named = named.where(F.col("n") * min(2 * boxes, MOST_HOT) > total).collect()
+    hot = np.array([r["w"] for r in named], np.int64).view(np.uint64)
+    order = np.argsort(hot)
+    hot, slices = hot[order], np.array([-(-r["n"] * 2 * boxes // total) for r in named], np.int64)[order]
+
+    asks = packed.select("chunk", "ws", "body").mapInArrow(_asker(m.contexts, boxes, hot, slices), MSG)
+    counted = scratch.pin(_deliver(boxes, _collect_counts(boxes, hot), asks), by="kind")
+    of = lambda t, *kinds: t.where(F.col("kind").isin(*kinds)).select("b", "kind", "of", "data")
+    stats = _stats(counted)
+    n1, n2, one, two, types, c0 = sum((s[0] for s in stats), np.zeros(6, np.int64)).tolist()
+    hot_count, hot_c0 = (_hot_sums([(s[1], s[k]) for s in stats], len(hot)) for k in (2, 3))
+    types += int((hot_count > 0).sum())
     discount = lambda a, b: min(0.95, max(0.05, a / (a + 2 * b))) if a else 0.5
-    d, d0, t0, h = discount(n1, n2), discount(one[3], one[4]), float(types), 1.0 / (types + 1)
-
-    def back() -> float:
-        return (m.theta + d0 * t0) / (m.theta + c0) * h
-
-    def parent() -> Column:
-        return (F.col("c0") - d0 * F.col("t0")) / (m.theta + c0) + back()
+    d, d0, h = discount(n1, n2), discount(one, two), 1.0 / (types + 1)
 
-    par = par.select("w", "c", "n1", (F.col("k") - F.col("n1")).alias("k2"), F.col("k").cast("double").alias("c0"), F.lit(1.0).alias("t0"), F.array().cast("array<double>").alias("p0s"))
-    pairs = scratch.pin(words.mapInArrow(_several, "w long, s int, c long, n long").withColumn("sum_t", F.lit(0.0)))
-    unknown = []
+    cells = scratch.pin(_deliver(boxes, _first_cells(hot), of(counted, FIRST_UP)), by="kind")
+    down, words, tables, parents, hot_tables = of(cells, DOWN), None, None, [], []
+    parent = _Parent(m.theta, d0, float(c0), float(types), h, hot, hot_c0, np.minimum(hot_c0, 1))
     for sweep in range(m.sweeps + m.samples):
-        keep = sweep >= m.sweeps
-        salt = 1000 * (sweep + 1)
-        met = salted_join(pairs.select("w", "s", "c", "n", "sum_t"), ctx.where("k2 > 0").select("c", "k2", "T"), ["c"], "k2", ["w"])
-        met = salted_join(met, par.where("k2 > 0").select("w", "k2", parent().alias("p0")), ["w"], "k2", ["c"])
-        if sweep <= m.sweeps:  # only the states kept are summed
-            met = met.withColumn("sum_t", F.lit(0.0))
-        then = scratch.pin(met.mapInArrow(_seat_pairs(m, d, salt), "w long, s int, c long, n long, t double, sum_t double"))
-        by_c = then.groupBy("c").agg(F.sum("t").alias("_t"))
-        ctx_ = ctx.join(by_c, "c", "left").withColumn("T", F.col("n1") + F.coalesce("_t", F.lit(0.0))).drop("_t")
-        ctx_ = scratch.pin(ctx_.withColumn("Ts", F.concat("Ts", F.array("T"))) if keep else ctx_)
-        by_w = then.groupBy("w").agg(F.sum("t").alias("_t"))
-        par_ = par.join(by_w, "w", "left").withColumn("c0", F.col("n1") + F.coalesce("_t", F.lit(0.0))).drop("_t")
-        par_ = scratch.pin(par_.select("w", "c", "n1", "k2", "c0", "p0s").mapInArrow(_seat_words((m.theta + d0 * t0) * h, d0, salt + 1), "w long, c long, n1 long, k2 long, c0 double, t0 double, p0s array<double>"))
-        got = par_.agg(F.sum("c0"), F.sum("t0")).first()
-        c0, t0 = got[0] or 0.0, got[1] or 0.0
-        scratch.drop(pairs, ctx, par)
-        pairs, ctx, par = then, ctx_, par_
+        keep, salt = sweep >= m.sweeps, 1000 * (sweep + 1)
+        read = [of(counted, STATE), down, *([of(words, WORDS)] if words else [])]
+        then = scratch.pin(_deliver(boxes, _sweep(m, boxes, d, parent, salt, keep), *read), by="kind")
+        stats = _stats(then)
+        customers, seated = sum((s[0] for s in stats), np.zeros(2, np.int64)).tolist()
+        hot_c0 = _hot_sums([(s[1], s[2]) for s in stats], len(hot))
+        hot_t0 = seat(hot_c0, np.full(len(hot), (m.theta + d0 * parent.tables) * h), d0, mix(hot), salt + 1)
+        parent = _Parent(m.theta, d0, float(customers + hot_c0.sum()), float(seated + hot_t0.sum()), h, hot, hot_c0, hot_t0)
+        told = scratch.pin(_deliver(boxes, _cells(hot, sweep, keep), of(cells, CELL, PLACES), of(then, UP)), by="kind")
         if keep:
-            par = par.withColumn("p0s", F.concat("p0s", F.array(parent())))
-            par._scratch_path = par_._scratch_path
-            unknown.append(back())
-        scratch.release()
-
-    states = par.join(ctx.select(F.col("c").alias("w"), "Ts"), "w", "left")
-    none = F.array(*[F.lit(0.0)] * m.samples)
-    states = states.select("w", F.concat(F.array(F.col("c").cast("double")), "p0s", F.coalesce("Ts", none)).alias("xs"))
-    slices = F.sequence(F.lit(0), F.when(F.col("hot").isNotNull(), F.lit(SALTS - 1)).otherwise(F.lit(0)))
-    hot_words = spark.createDataFrame([(int(x), True) for x in hot.view(np.int64)], "w long, hot boolean")
-    states = states.join(F.broadcast(hot_words), "w", "left").select("w", F.explode(slices).alias("s"), "xs")
-    no_of, no_cs, no_xs = F.lit(0).cast("long").alias("of"), F.array().cast("array<long>").alias("cs"), F.array().cast("array<double>").alias("xs")
-    zero = F.lit(0).alias("i")
-    states = states.select("w", "s", F.lit(0).alias("kind"), no_of, zero, no_cs, "xs")
-    singles = words.select("w", "s", F.filter(F.arrays_zip("cs", "ns"), lambda x: x["ns"] == 1)["cs"].alias("cs")).where(F.size("cs") > 0)
-    singles = singles.select("w", "s", F.lit(1).alias("kind"), no_of, zero, "cs", no_xs)
-    others = pairs.select("w", "s", F.lit(2).alias("kind"), no_of, zero, F.array("c").alias("cs"), F.array(F.col("n") - d * F.col("sum_t") / m.samples).alias("xs"))
-
-    packed = src.select("doc_id", "text").mapInArrow(_packer(m, hot), "ids array<long>, sizes binary, tokens binary, w binary, c binary, cut binary, start binary, ws array<long>")
-    packed = scratch.pin(packed.withColumn("chunk", F.monotonically_increasing_id()))
-    asks = packed.select("chunk", "w", "c", "cut", "start", "ws").mapInArrow(_asker, _STREAM)
-    stream = states.unionByName(singles).unionByName(others).unionByName(asks)
-    stream = stream.repartition("w", "s").sortWithinPartitions("w", "s", "kind")
-    answer = _answerer(d, [0.0, *(unknown or [h] * m.samples), *[0.0] * m.samples])
-    got = scratch.pin(stream.mapInArrow(answer, "of long, at array<int>, len array<int>, count array<long>, states array<float>, own array<float>"))
-    scratch.release()
-    done = packed.groupBy("chunk").cogroup(got.groupBy("of")).applyInArrow(_finisher(m, d, total, types), "doc_id long, n_tokens long, n_known long, base_score double, score double")
+            parents.append(parent)
+            hot_tables.append(_hot_sums([tuple(s) for s in _stats(told)], len(hot)))
+            tables = of(told, TABLES) if tables is None else tables.unionByName(of(told, TABLES))
+        down, words = of(told, DOWN), then
+
+    hot_rows = np.array([hot_count, *(p.hot_customers for p in parents), *(p.hot_tables for p in parents), *hot_tables], np.int64).reshape(1 + 3 * m.samples, len(hot))
+    reads = [of(counted, STATE, ASKED), of(words, WORDS), of(cells, CELL), *([tables] if tables else [])]
+    answers = scratch.pin(_deliver(boxes, _answers(m.samples, hot, hot_rows), *reads))
+    scratch.keep(packed, answers)
+    none = F.lit(None).cast("array<long>").alias("ids")
+    both = packed.select(F.col("chunk").alias("of"), F.lit(CHUNK).alias("kind"), "ids", F.col("body").alias("data")).unionByName(answers.select("of", "kind", none, "data"))
+    done = both.repartition("of").sortWithinPartitions("of", "kind").mapInArrow(_finisher(m, d, parents, total, types), "doc_id long, n_tokens long, n_known long, base_score double, score double")
     return done.withColumn("train_tokens", F.lit(total).cast("long"))
 
 
+def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for r in range(b.num_rows):
+            w, n = unpack(b.column(0)[r].as_py())
+            yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(n.astype(np.int64))], ["w", "n"])
+
+
 def perplexity(scores: DataFrame) -> DataFrame:
     """Per-token perplexity of all rows, from ``score`` and ``n_tokens``."""
     return scores.agg(F.pow(F.lit(10.0), -F.sum("score") / F.sum("n_tokens")).alias("perplexity"))

@@ -3,22 +3,30 @@
 from __future__ import annotations
 
 import atexit
-import gc
+import contextlib
+import re
 import shutil
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
+_FOLDERS: set[tuple[SparkSession, str]] = set()
+#: Shuffle files of a query go when it ends, not when the driver's garbage happens to be collected.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
+    """The folder of ``spark.checkpoint.dir``; a temporary one only where that is unset and Spark is local (tests)."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = tempfile.mkdtemp(prefix="evalloom-")
@@ -26,39 +34,101 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_OWN[app]}"
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder wherever Spark keeps it."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def delete_at_exit(spark: SparkSession, path: str) -> None:
+    """Delete a folder when the driver's Python ends, if its session still runs."""
+    if not _FOLDERS:
+        atexit.register(_delete_all)
+    _FOLDERS.add((spark, path))
+
+
+def _delete_all() -> None:
+    for spark, path in _FOLDERS:
+        with contextlib.suppress(Exception):  # the JVM may have gone first
+            if spark.sparkContext._jsc is not None:
+                delete(spark, path)
+
+
+@contextlib.contextmanager
+def _own_shuffles(spark: SparkSession):
+    before = spark.conf.get(_CLEAN, None)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_CLEAN) if before is None else spark.conf.set(_CLEAN, before)
+
+
 class Scratch:
-    """Tables written for one operator call; superseded ones can be dropped."""
+    """Tables written for one operator call. Those its result doesn't read go by ``keep``, the others when
+    the driver's Python ends."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.base = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         self.n = 0
-        self.paths: dict[int, str] = {}
+        self.held: set[str] = set()
+        delete_at_exit(spark, self.base)
 
-    def pin(self, df: DataFrame) -> DataFrame:
-        """Write ``df`` once and return a scan of it."""
+    def pin(self, df: DataFrame, by: str | None = None) -> DataFrame:
+        """Write ``df`` once, in a folder for each value of ``by``, and return a scan of it."""
         self.n += 1
         path = f"{self.base}/t{self.n}"
-        df.write.option("compression", "zstd").parquet(path)
+        to = df.write.option("compression", "zstd")
+        with _own_shuffles(self.spark):
+            (to.partitionBy(by) if by else to).parquet(path)
+        self.held.add(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = path
         out._scratch_path = path
         return out
 
-    def release(self) -> None:
-        """Let Spark delete shuffle files of plans that nothing holds any more."""
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
-
     def drop(self, *frames: DataFrame) -> None:
         """Delete tables made by ``pin`` that nothing reads any more."""
-        jvm = self.spark.sparkContext._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
         for df in frames:
             path = getattr(df, "_scratch_path", None)
-            if path:
-                p = jvm.org.apache.hadoop.fs.Path(path)
-                p.getFileSystem(conf).delete(p, True)
+            if path in self.held:
+                self.held.remove(path)
+                delete(self.spark, path)
+
+    def keep(self, *frames: DataFrame) -> None:
+        """Delete all tables but these."""
+        stay = {getattr(df, "_scratch_path", None) for df in frames}
+        for path in self.held - stay:
+            delete(self.spark, path)
+        self.held &= stay
+
+
+def _is_scan(df: DataFrame) -> bool:
+    """Whether ``df`` is a file scan with nothing but projections and filters over it."""
+    plan = df._jdf.queryExecution().analyzed()
+    while plan.children().size() == 1 and plan.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.children().head()
+    return plan.children().size() == 0 and plan.nodeName().startswith(("Relation", "LogicalRelation"))
+
+
+def numbered(df: DataFrame, name: str, scratch: Scratch) -> DataFrame:
+    """``df`` with a long ``name`` that is unique to each row and the same whenever the result is read.
+
+    Rows of files are numbered by their place in them, which asks for no copy: a file's rows follow those
+    of the files before it by name. Other tables are numbered in a written copy.
+    """
+    if not _is_scan(df):
+        return scratch.pin(df.withColumn(name, F.monotonically_increasing_id()))
+    path, row = F.col("_metadata.file_path"), F.col("_metadata.row_index")
+    try:
+        placed = df.select("*", path.alias("_at_path"), row.alias("_at_row"))
+    except AnalysisException:  # files of another kind
+        return scratch.pin(df.withColumn(name, F.monotonically_increasing_id()))
+    files = placed.groupBy("_at_path").agg((F.max("_at_row") + 1).alias("_at_n"))
+    start = F.sum("_at_n").over(W.orderBy("_at_path")) - F.col("_at_n")  # a row a file
+    files = scratch.pin(files.select("_at_path", start.alias("_at_start")))
+    got = placed.join(sized_broadcast(files, 100_000), "_at_path")
+    return got.select(*df.columns, (F.col("_at_start") + F.col("_at_row")).alias(name))
 
 
 def sized_broadcast(df: DataFrame, max_rows: int) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,8 +10,6 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 SHARD_BYTES = 2 << 20
-#: Bytes hashed at a time: each takes some 40 bytes while it is.
-SEGMENT_BYTES = 1 << 18
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -32,20 +31,10 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-_ODD = 0x5851F42D4C957F2D
-_pow: list[np.ndarray] = []
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _pow or len(_pow[0]) < n + 1:
-        m = max(n + 1, SEGMENT_BYTES + 1)
-        for base in (_ODD, pow(_ODD, -1, 1 << 64)):
-            p = np.full(m, base, np.uint64)
-            p[0] = 1
-            _pow.append(np.cumprod(p, dtype=np.uint64))
-        _pow[:] = _pow[-2:]
-    return _pow[0], _pow[1]
+#: Longer words are hashed one by one (BLAKE2b); shorter ones all at once, eight bytes a step.
+LONG_WORD = 64
+_LANE = np.uint64(0x9E3779B97F4A7C15)
+_KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -77,13 +66,15 @@ def shards(batch: pa.RecordBatch, text: str, limit: int = SHARD_BYTES) -> Iterat
 def hashed(raw: np.ndarray, offsets: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words in order, and each document's first word (n + 1 pointers).
 
-    A-Z is lower-cased first. Hashing runs in segments, so a very long text costs a few bytes a byte.
+    A-Z is lower-cased first. A word's length and then its bytes, eight at a time, go through a non-linear
+    mixer, so no two words collide by their structure; 64 bits are the only bound.
     """
     n = len(raw)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
-    x = _LOWER[raw]
-    w = kind[x]
+    x = np.zeros(n + 8, np.uint8)
+    np.take(_LOWER, raw, out=x[:n])
+    w = kind[x[:n]]
     first = w.copy()
     first[1:] &= ~w[:-1]
     last = w.copy()
@@ -94,18 +85,20 @@ def hashed(raw: np.ndarray, offsets: np.ndarray, kind: np.ndarray) -> tuple[np.n
     back = cut[cut > 0] - 1
     last[back] = w[back]
     s, e = np.flatnonzero(first), np.flatnonzero(last) + 1
-    out = np.empty(len(s), np.uint64)
-    at = 0
-    while at < len(s):
-        lo = s[at]
-        to = max(at + 1, int(np.searchsorted(e, lo + SEGMENT_BYTES, "right")))
-        hi = e[to - 1]
-        up, down = _powers(int(hi - lo))
-        c = np.zeros(hi - lo + 1, np.uint64)
-        np.cumsum(_BYTE[x[lo:hi]] * up[: hi - lo], out=c[1:])
-        out[at:to] = (c[e[at:to] - lo] - c[s[at:to] - lo]) * down[s[at:to] - lo] + (e[at:to] - s[at:to]).astype(np.uint64)
-        at = to
-    return mix(out), np.searchsorted(s, offsets).astype(np.int64)
+    del first, last, w
+    size = e - s
+    lanes = np.ndarray((n + 1,), "<u8", x, strides=(1,))  # the eight bytes from every place on
+    out = mix(size.astype(np.uint64) * _LANE)
+    live = np.flatnonzero(size <= LONG_WORD)
+    for step in range(0, LONG_WORD, 8):
+        live = live[size[live] > step]
+        if not len(live):
+            break
+        got = lanes[s[live] + step] & _KEEP[np.minimum(size[live] - step, 8)]
+        out[live] = mix(out[live] + mix(got + _LANE))
+    for i in np.flatnonzero(size > LONG_WORD):
+        out[i] = int.from_bytes(hashlib.blake2b(x[s[i] : e[i]].tobytes(), digest_size=8).digest(), "little")
+    return out, np.searchsorted(s, offsets).astype(np.int64)
 
 
 def signed(x: np.ndarray) -> pa.Array:
