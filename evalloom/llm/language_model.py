@@ -17,7 +17,11 @@ from .words import SPACED, hashed, mix, shards, utf8
 END = np.uint64(0x0E0D_0E0D_0E0D_0E0D)
 _C = np.uint64(0x9E3779B97F4A7C15)
 #: Tokens dealt to a box at most, but for words of more than a ``MOST_HOT``-th of all; a chunk names as many words.
-BOX_TOKENS, MOST_HOT = 1 << 22, 5000
+BOX_TOKENS, MOST_HOT = 1 << 21, 5000
+#: Boxes a cell: what boxes and cells tell each other is a message a pair of them.
+CELL_BOXES = 16
+#: A context is told by the upper 48 bits of its word's hash: what is sent is mostly contexts.
+_SHORT = np.uint64(16)
 
 
 @dataclass(frozen=True)
@@ -35,7 +39,7 @@ class Model:
 
 # Messages: rows (b, kind, of, data) to box ``b``; ``data`` is packed arrays of numbers.
 MSG = "b int, kind int, of long, data binary"
-ASK, STATE, ASKED, FIRST_UP, STATS, CELL, PLACES, UP, DOWN, WORDS, TABLES, ANSWER, CHUNK = range(13)
+ASK, STATE, ASKED, FIRST_UP, STATS, CELL, PLACES, UP, DOWN, WORDS, OWN, TABLES, ANSWER, CHUNK = range(14)
 
 
 def _small(a: np.ndarray) -> np.ndarray:
@@ -191,8 +195,16 @@ def _pairs(body: bytes, contexts: int):
     return sizes.astype(np.int64), train.astype(bool), pairs // v, pairs % v, of
 
 
-def _box(words: np.ndarray, boxes: int) -> np.ndarray:
-    return (mix(words + np.uint64(1)) % np.uint64(boxes)).astype(np.int64)
+def _box(contexts: np.ndarray, boxes: int) -> np.ndarray:
+    """The box of a word, given as a context."""
+    return (mix(contexts + np.uint64(1)) % np.uint64(boxes)).astype(np.int64)
+
+
+def _groups(of: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """An order by ``of``, and each value's (value, from, to) in it."""
+    order = np.argsort(of, kind="stable")
+    ends = [*_starts(of[order]).tolist(), len(order)]
+    return order, [(int(of[order[lo]]), lo, hi) for lo, hi in zip(ends, ends[1:])]
 
 
 def _starts(*keys: np.ndarray) -> np.ndarray:
@@ -222,35 +234,32 @@ def _asker(contexts: int, boxes: int, hot: np.ndarray, slices: np.ndarray):
                 ws = unpack(b.column("ws")[r].as_py())[0]
                 sizes, train, w, c, of = _pairs(b.column("body")[r].as_py(), contexts)
                 n = np.bincount(of[np.repeat(train, sizes)], minlength=len(w))
-                box = _box(ws, boxes)[w]
+                short = ws >> _SHORT
+                box = _box(short, boxes)[w]
                 at = _find(hot, ws)[w]
                 cut = np.flatnonzero(at >= 0)
                 if len(cut):
-                    part = (mix(ws[c[cut]]) >> np.uint64(32)) * slices[at[cut]].astype(np.uint64) >> np.uint64(32)
+                    part = (mix(short[c[cut]]) >> np.uint64(32)) * slices[at[cut]].astype(np.uint64) >> np.uint64(32)
                     box[cut] = _box(ws[w[cut]] + (part + np.uint64(1)) * _C, boxes)
                 rank = np.empty(len(ws), np.int64)
                 rank[np.argsort(ws)] = np.arange(len(ws))
                 order = np.argsort(box * len(ws) + rank[w], kind="stable")
                 box, w, c, n = box[order], w[order], c[order], n[order]
-                ends = [*_starts(box).tolist(), len(box)]
                 chunk = b.column("chunk")[r].as_py()
+                ends = [*_starts(box).tolist(), len(box)]
                 for lo, hi in zip(ends, ends[1:]):
                     run = _starts(w[lo:hi])
                     size = np.diff(np.append(run, hi - lo))
-                    yield int(box[lo]), ASK, chunk, pack(ws[w[lo:hi][run]], _small(size), ws[c[lo:hi]], _small(n[lo:hi]), _steps(order[lo:hi]))
+                    yield int(box[lo]), ASK, chunk, pack(ws[w[lo:hi][run]], _small(size), short[c[lo:hi]], _small(n[lo:hi]), _steps(order[lo:hi]))
 
     return lambda batches: _mail(rows(batches))
 
 
-def _by_cell(contexts: np.ndarray, boxes: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
-    """An order of ``contexts`` by their cells, and each cell's (number, from, to) in it."""
-    cell = _box(contexts, boxes)
-    order = np.argsort(cell, kind="stable")
-    ends = [*_starts(cell[order]).tolist(), len(order)]
-    return order, [(int(cell[order[lo]]), lo, hi) for lo, hi in zip(ends, ends[1:])]
+def _by_cell(contexts: np.ndarray, boxes: int, cells: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    return _groups(_box(contexts, boxes) % cells)
 
 
-def _collect_counts(boxes: int, hot: np.ndarray):
+def _collect_counts(boxes: int, cells: int, hot: np.ndarray):
     """A box sums its pairs: its state, what each chunk asked as numbers of it, contexts' counts to their cells."""
 
     def read(b, mail):
@@ -275,8 +284,8 @@ def _collect_counts(boxes: int, hot: np.ndarray):
             yield b, ASKED, chunk, pack(_small(word_no[of_word[run : run + len(ws)]]), size, _small(pair_no[of[row : row + len(cs)]]), place)
             run, row = run + len(ws), row + len(cs)
         singles, all_ = np.bincount(c[n == 1], minlength=len(ctx)), np.bincount(c, minlength=len(ctx))
-        order, cells = _by_cell(ctx, boxes)
-        for cell, lo, hi in cells:
+        order, to = _by_cell(ctx, boxes, cells)
+        for cell, lo, hi in to:
             x = order[lo:hi]
             yield cell, FIRST_UP, b, pack(ctx[x], _small(singles[x]), _small(all_[x]))
         at, count = _find(hot, words), np.bincount(np.repeat(np.arange(len(words)), k), n, minlength=len(words)).astype(np.int64)
@@ -288,8 +297,9 @@ def _collect_counts(boxes: int, hot: np.ndarray):
     return read
 
 
-def _first_cells(hot: np.ndarray):
-    """A cell learns its contexts: their singles, the places of each box's others, and a table a pair to start with."""
+def _first_cells(boxes: int):
+    """A cell learns its contexts: their singles, the places of each box's others, and a table a pair to start
+    with. It tells a box which of the box's own words it knows as contexts."""
 
     def read(cell, mail):
         ups = [(r["of"], unpack(r["data"])) for r in mail[FIRST_UP]]
@@ -297,6 +307,9 @@ def _first_cells(hot: np.ndarray):
         singles = np.bincount(of, np.concatenate([u[1] for _, u in ups])).astype(np.int64)
         tables = np.bincount(of, np.concatenate([u[2] for _, u in ups])).astype(np.int64)
         yield cell, CELL, cell, pack(ctx, _small(singles))
+        order, to = _groups(_box(ctx, boxes))
+        for b, lo, hi in to:
+            yield b, OWN, cell, pack(ctx[order[lo:hi]])
         at = 0
         for b, (cs, s, k) in ups:
             x = of[at : at + len(cs)][k > s]
@@ -308,7 +321,7 @@ def _first_cells(hot: np.ndarray):
     return read
 
 
-def _cells(hot: np.ndarray, sweep: int, keep: bool):
+def _cells(boxes: int, hot: np.ndarray, sweep: int, keep: bool):
     """A cell sums its contexts' tables and tells the boxes."""
 
     def read(cell, mail):
@@ -320,8 +333,10 @@ def _cells(hot: np.ndarray, sweep: int, keep: bool):
         for b, x in places.items():
             yield b, DOWN, cell, pack(_small(tables[x]))
         if keep:
-            yield cell, TABLES, sweep, pack(_small(tables))
-            at = _find(hot, ctx)
+            order, to = _groups(_box(ctx, boxes))
+            for b, lo, hi in to:
+                yield b, TABLES, sweep, pack(_small(tables[order[lo:hi]]))
+            at = _find(hot >> _SHORT, ctx)
             yield cell, STATS, cell, pack(_small(at[at >= 0]), tables[at >= 0])
 
     return read
@@ -405,7 +420,7 @@ class _Parent:
         return (customers - self.d * tables) / (self.theta + self.customers) + self.unknown()
 
 
-def _sweep(m: Model, boxes: int, d: float, parent: _Parent, salt: int, keep: bool):
+def _sweep(m: Model, boxes: int, cells: int, d: float, parent: _Parent, salt: int, keep: bool):
     """A box seats its pairs, then its words in the unigram restaurant, by the tables of the sweep before."""
 
     def read(b, mail):
@@ -419,7 +434,7 @@ def _sweep(m: Model, boxes: int, d: float, parent: _Parent, salt: int, keep: boo
         several = np.flatnonzero(n > 1)
         shared = np.bincount(c[several], minlength=len(ctx)) > 0
         mine = np.flatnonzero(shared)
-        order, cells = _by_cell(ctx[mine], boxes)
+        order, to = _by_cell(ctx[mine], boxes, cells)
         tables = np.zeros(len(ctx))
         if len(mine):
             tables[mine[order]] = np.concatenate([unpack(r["data"])[0] for r in mail[DOWN]])
@@ -435,7 +450,7 @@ def _sweep(m: Model, boxes: int, d: float, parent: _Parent, salt: int, keep: boo
             got[2] = got[2].astype(np.int64) + t.astype(np.int64)
         yield b, WORDS, b, pack(*(_small(x) for x in (customers, seated, got[2], *kept)))
         sums = np.bincount(c[several], t, minlength=len(ctx))[mine]
-        for cell, lo, hi in cells:
+        for cell, lo, hi in to:
             yield cell, UP, b, pack(_small(sums[order[lo:hi]]))
         yield b, STATS, b, pack(np.array([customers[cold].sum(), seated[cold].sum()], np.int64), _small(at[~cold]), customers[~cold])
 
@@ -459,9 +474,9 @@ def _answers(samples: int, hot: np.ndarray, hot_rows: np.ndarray):
         row[0, 1:] = count
         for j in range(samples):
             row[1 + j, 1:], row[1 + samples + j, 1:] = kept[2 * j], kept[2 * j + 1]
-        if CELL in mail:
-            ctx = unpack(mail[CELL][0]["data"])[0]
-            at = _find(ctx, words)
+        if OWN in mail:
+            ctx = unpack(mail[OWN][0]["data"])[0]  # of one cell
+            at = _find(ctx, words >> _SHORT)
             for j, r in enumerate(mail[TABLES]):
                 row[1 + 2 * samples + j, 1:] = np.where(at >= 0, unpack(r["data"])[0][at].astype(np.int64), 0)
         at = _find(hot, words)
@@ -535,8 +550,9 @@ def score_documents(docs: DataFrame, train: Column, model: Model = Model()) -> D
     context, so no box grows with one word. A box sums its pairs and remembers what each chunk asked. In each
     sweep boxes seat all customers of all pairs by their contexts' tables and their words' parent
     probability of the sweep before, and send the tables of each context, summed, to the context's cell, which
-    sends the total back. Predictive probabilities are averaged over the last ``samples`` states. Answers go
+    sends the total back; a cell serves several boxes, so messages stay few. Predictive probabilities are averaged over the last ``samples`` states. Answers go
     back to the chunks as whole numbers. No pair and no context is left out; what is gathered grows with them.
+    Words are told apart by 64 bits of hash, contexts by 48 (of 10^8 words some 18 pairs share a restaurant).
 
     Null and empty texts are the end token alone; an untrained model (no training rows) knows only the
     unknown symbol; rows that repeat are scored each; other columns are not read; an empty table gives none.
@@ -558,8 +574,9 @@ def score_documents(docs: DataFrame, train: Column, model: Model = Model()) -> D
     order = np.argsort(hot)
     hot, slices = hot[order], np.array([-(-r["n"] * 2 * boxes // total) for r in named], np.int64)[order]
 
+    cells = max(1, boxes // CELL_BOXES)
     asks = packed.select("chunk", "ws", "body").mapInArrow(_asker(m.contexts, boxes, hot, slices), MSG)
-    counted = scratch.pin(_deliver(boxes, _collect_counts(boxes, hot), asks), by="kind")
+    counted = scratch.pin(_deliver(boxes, _collect_counts(boxes, cells, hot), asks), by="kind")
     of = lambda t, *kinds: t.where(F.col("kind").isin(*kinds)).select("b", "kind", "of", "data")
     stats = _stats(counted)
     n1, n2, one, two, types, c0 = sum((s[0] for s in stats), np.zeros(6, np.int64)).tolist()
@@ -568,27 +585,27 @@ def score_documents(docs: DataFrame, train: Column, model: Model = Model()) -> D
     discount = lambda a, b: min(0.95, max(0.05, a / (a + 2 * b))) if a else 0.5
     d, d0, h = discount(n1, n2), discount(one, two), 1.0 / (types + 1)
 
-    cells = scratch.pin(_deliver(boxes, _first_cells(hot), of(counted, FIRST_UP)), by="kind")
-    down, words, tables, parents, hot_tables = of(cells, DOWN), None, None, [], []
+    told = first = scratch.pin(_deliver(cells, _first_cells(boxes), of(counted, FIRST_UP)), by="kind")
+    words, tables, parents, hot_tables = None, None, [], []
     parent = _Parent(m.theta, d0, float(c0), float(types), h, hot, hot_c0, np.minimum(hot_c0, 1))
     for sweep in range(m.sweeps + m.samples):
         keep, salt = sweep >= m.sweeps, 1000 * (sweep + 1)
-        read = [of(counted, STATE), down, *([of(words, WORDS)] if words else [])]
-        then = scratch.pin(_deliver(boxes, _sweep(m, boxes, d, parent, salt, keep), *read), by="kind")
+        read = [of(counted, STATE), of(told, DOWN), *([of(words, WORDS)] if words else [])]
+        then = scratch.pin(_deliver(boxes, _sweep(m, boxes, cells, d, parent, salt, keep), *read), by="kind")
         stats = _stats(then)
         customers, seated = sum((s[0] for s in stats), np.zeros(2, np.int64)).tolist()
         hot_c0 = _hot_sums([(s[1], s[2]) for s in stats], len(hot))
         hot_t0 = seat(hot_c0, np.full(len(hot), (m.theta + d0 * parent.tables) * h), d0, mix(hot), salt + 1)
         parent = _Parent(m.theta, d0, float(customers + hot_c0.sum()), float(seated + hot_t0.sum()), h, hot, hot_c0, hot_t0)
-        told = scratch.pin(_deliver(boxes, _cells(hot, sweep, keep), of(cells, CELL, PLACES), of(then, UP)), by="kind")
+        told = scratch.pin(_deliver(cells, _cells(boxes, hot, sweep, keep), of(first, CELL, PLACES), of(then, UP)), by="kind")
         if keep:
             parents.append(parent)
             hot_tables.append(_hot_sums([tuple(s) for s in _stats(told)], len(hot)))
             tables = of(told, TABLES) if tables is None else tables.unionByName(of(told, TABLES))
-        down, words = of(told, DOWN), then
+        words = then
 
     hot_rows = np.array([hot_count, *(p.hot_customers for p in parents), *(p.hot_tables for p in parents), *hot_tables], np.int64).reshape(1 + 3 * m.samples, len(hot))
-    reads = [of(counted, STATE, ASKED), of(words, WORDS), of(cells, CELL), *([tables] if tables else [])]
+    reads = [of(counted, STATE, ASKED), of(words, WORDS), of(first, OWN), *([tables] if tables else [])]
     answers = scratch.pin(_deliver(boxes, _answers(m.samples, hot, hot_rows), *reads))
     scratch.keep(packed, answers)
     none = F.lit(None).cast("array<long>").alias("ids")
