@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import Scratch, salted_join, sized_broadcast, table
+from .scratch import Scratch, numbered, salted_join, semi_join, sized_broadcast, table
 
 #: Lines are cut into blocks of so many characters at most; one edit touches one block.
 BLOCK = 128
@@ -108,12 +108,13 @@ def removed_lines(docs: DataFrame, *, min_chars: int = MIN_CHARS, min_exact: int
     first_no = scratch.pin(first_no.join(many.select("h1", "h2", "n"), ["h1", "h2"]))
     copies = scratch.pin(salted_join(repeats, first_no, ["h1", "h2"], "n", place).where("doc_id <> d0 or line_no <> l0").select("doc_id", "line_no"))
 
-    def shared(keyed_rows: DataFrame) -> DataFrame:
-        """Keys that two contents have."""
-        return scratch.pin(keyed_rows.groupBy("rest").agg(F.min("h1").alias("a"), F.max("h1").alias("z")).where("a <> z").select("rest"))
+    def sharing(keyed_rows: DataFrame, *columns: str) -> DataFrame:
+        """The rows whose key two contents have; very common keys are dealt out by line."""
+        keys = keyed_rows.groupBy("rest").agg(F.min("h1").alias("a"), F.max("h1").alias("z"), F.count(F.lit(1)).alias("n")).where("a <> z").select("rest", "n")
+        return semi_join(keyed_rows.select("rest", *columns), scratch.pin(keys), ["rest"], "n", place, MAX_BROADCAST_ROWS)
 
     halves = lines.select("doc_id", "line_no", content[0], F.explode(_halves(F.col("line"))).alias("rest"))
-    some = halves.select("doc_id", "line_no", "rest").join(sized_broadcast(shared(halves), MAX_BROADCAST_ROWS), "rest", "left_semi").select("doc_id", "line_no")
+    some = sharing(halves, *place).select(*place)
     # later copies of a content add nothing
     some = scratch.pin(some.join(sized_broadcast(copies, MAX_BROADCAST_ROWS), ["doc_id", "line_no"], "left_anti").distinct())
     held = scratch.pin(some.select("doc_id").distinct())
@@ -125,13 +126,13 @@ def removed_lines(docs: DataFrame, *, min_chars: int = MIN_CHARS, min_exact: int
     own = F.col("b.cls") == F.length("line")
     block = F.substring(F.col("line"), F.col("b.j") * BLOCK + 1, F.least(F.lit(BLOCK), F.col("b.cls") - F.col("b.j") * BLOCK) + F.when(own, 0).otherwise(1))
     blocks = scratch.pin(blocks.select("doc_id", "line_no", "h1", F.col("b.rest").alias("rest"), F.col("b.j").alias("j"), own.alias("own"), block.alias("block")))
-    live = blocks.join(shared(blocks), "rest", "left_semi").select("doc_id", "line_no", "rest", "own", "block", "j").repartition(spread, "doc_id", "line_no", "j")
+    live = sharing(blocks, *place, "own", "block", "j").repartition(spread, "doc_id", "line_no", "j")
     v = live.select("doc_id", "line_no", "rest", F.explode(_variants(F.col("block"), F.col("own"))).alias("x"))
     v = v.select("doc_id", "line_no", F.col("x.kind").alias("kind"), F.xxhash64("rest", F.greatest(F.col("x.kind"), F.lit(-1)), "x.v").alias("key"))
     v = scratch.pin(v)
     whole, cut = F.col("kind") == -1, F.col("kind") == -2
-    first = v.groupBy("key").agg(F.min(F.when(~cut, at)).alias("plain"), F.min(F.when(cut, at)).alias("longer"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    met = v.join(first, "key").select("doc_id", "line_no", F.when(F.col("kind") >= 0, F.col("plain")).when(whole, F.col("longer")).otherwise(F.col("plain")).alias("by"))
+    first = v.groupBy("key").agg(F.min(F.when(~cut, at)).alias("plain"), F.min(F.when(cut, at)).alias("longer"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    met = salted_join(v, scratch.pin(first), ["key"], "n", place).select("doc_id", "line_no", F.when(F.col("kind") >= 0, F.col("plain")).when(whole, F.col("longer")).otherwise(F.col("plain")).alias("by"))
     pairs = scratch.pin(met.where(F.col("by").isNotNull() & ((F.col("by.doc_id") < F.col("doc_id")) | ((F.col("by.doc_id") == F.col("doc_id")) & (F.col("by.line_no") < F.col("line_no"))))).select("doc_id", "line_no", F.col("by.doc_id").alias("d0"), F.col("by.line_no").alias("l0")).distinct())
     left = pairs.join(wanted, ["doc_id", "line_no"])
     right = wanted.select(F.col("doc_id").alias("d0"), F.col("line_no").alias("l0"), F.col("line").alias("line0"))
@@ -144,18 +145,19 @@ def dedup_lines(docs: DataFrame, *, by_row: bool = False, **params) -> DataFrame
 
     Null texts and ids pass unchanged with null counts for the former; an empty text is one empty line;
     rows that repeat a doc_id lose the same lines; other columns are kept (``n_lines``, ``n_removed`` and
-    names starting with ``_ln`` are reserved). ``by_row`` numbers the rows in a written table: each then
-    loses its own lines, those that repeat an id too, and those without one come last.
+    names starting with ``_ln`` or ``_at`` are reserved). ``by_row`` numbers the rows: each then loses its own
+    lines, those that repeat an id too, and those without one come last. An empty table stays one.
     """
     scratch, key, kept_columns = Scratch(docs.sparkSession, "lines"), "doc_id", docs.columns
     if by_row:
-        docs, key = scratch.pin(docs.withColumn("_ln_row", F.monotonically_increasing_id())), "_ln_row"
+        docs, key = numbered(docs, "_ln_row", Scratch(docs.sparkSession, "rows")), "_ln_row"
         none = F.col("doc_id").isNull()
         place = F.struct(none.alias("none"), F.when(~none, F.col("doc_id").cast("long")).otherwise(F.lit(0)).alias("id"), F.col("_ln_row").alias("row"))
-        gone = removed_lines(docs.select(place.alias("doc_id"), "text"), **params).select(F.col("doc_id.row").alias("_ln_row"), "line_no")
+        gone = removed_lines(docs.select(place.alias("doc_id"), "text"), scratch=scratch, **params).select(F.col("doc_id.row").alias("_ln_row"), "line_no")
     else:
-        gone = removed_lines(docs, **params)
+        gone = removed_lines(docs, scratch=scratch, **params)
     per = scratch.pin(gone.groupBy(key).agg(F.collect_set("line_no").alias("_ln_gone")))
+    scratch.keep(per)
     got = docs.join(per.hint("merge"), key, "left")  # one strategy at every size
     all_ = split_lines(F.col("text"))
     kept = F.filter(F.transform(all_, lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda s: ~F.array_contains(F.col("_ln_gone"), s["i"]))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected
-from .scratch import Scratch, salted_join, sized_broadcast, table
+from .scratch import Scratch, numbered, salted_join, sized_broadcast, table
 from .words import SPACED, hashed, mix, shards, utf8
 
 
@@ -45,6 +45,7 @@ class Near:
     miss: float = 1e-9
     star_rounds: int = 2
     tile: int = 512
+    tile_items: int = 1 << 20
 
     def __post_init__(self):
         if not self.bands:
@@ -167,10 +168,10 @@ def _matches(a, b, p: Near):
     return F.lit(p.k) - F.aggregate(F.zip_with(a, b, differ), F.lit(0), lambda s, x: s + x)
 
 
-def _open_buckets(bc: DataFrame) -> DataFrame:
+def _open_buckets(bc: DataFrame, scratch: Scratch) -> DataFrame:
     """Rows (key, rep, comp) of the buckets that hold two components."""
-    active = bc.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("z")).where("a < z").select("key")
-    return bc.join(active, "key", "left_semi")
+    active = bc.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("z"), F.count(F.lit(1)).alias("n")).where("a < z").select("key", "n")
+    return salted_join(bc, scratch.pin(active), ["key"], "n", ["rep"])
 
 
 def _with_leaders(pairs: DataFrame, of: DataFrame, scratch: Scratch) -> DataFrame:
@@ -280,10 +281,11 @@ def near_duplicates(docs: DataFrame, params: Near = Near()) -> DataFrame:
     classes = real.groupBy(*same).agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n"))
     member = scratch.pin(salted_join(real.select("doc_id", *same), scratch.pin(classes), same, "n", ["doc_id"]).select("doc_id", "rep").distinct())
     reps = real.join(member.where("doc_id = rep").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id", "f1"])
+    signed_sizes = scratch.pin(reps.select("doc_id", "n_shingles"))
     reps = scratch.pin(reps.select(F.col("doc_id").alias("rep"), "bands", "sig"))
     keys = reps.select("rep", F.explode("bands").alias("key"))
-    shared = keys.groupBy("key").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a < z").select("key")
-    buckets = scratch.pin(keys.join(shared, "key"))
+    shared = keys.groupBy("key").agg(F.min("rep").alias("a"), F.max("rep").alias("z"), F.count(F.lit(1)).alias("n")).where("a < z").select("key", "n")
+    buckets = scratch.pin(salted_join(keys, scratch.pin(shared), ["key"], "n", ["rep"]))
     in_play = scratch.pin(buckets.select("rep").distinct())
 
     # texts of candidates only
@@ -298,7 +300,7 @@ def near_duplicates(docs: DataFrame, params: Near = Near()) -> DataFrame:
     several = scratch.pin(several.select("a", "b"))
     for _ in range(p.star_rounds):
         bc = scratch.pin(buckets.join(comp, "rep"))
-        live = scratch.pin(_open_buckets(bc))
+        live = scratch.pin(_open_buckets(bc, scratch))
         scratch.drop(bc)
         if live.isEmpty():
             break
@@ -318,10 +320,13 @@ def near_duplicates(docs: DataFrame, params: Near = Near()) -> DataFrame:
         scratch.drop(live, lead, likely)
     # what is still open: all members against each other, in tiles that return spanning forests
     bc = scratch.pin(buckets.join(comp, "rep"))
-    live = scratch.pin(_open_buckets(bc))
+    live = scratch.pin(_open_buckets(bc, scratch))
     if not live.isEmpty():
-        size = live.groupBy("key").agg((F.floor((F.count(F.lit(1)) - 1) / p.tile) + 1).cast("int").alias("nb"))
-        placed = live.join(size, "key").withColumn("i", F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int"))
+        # a side of a tile has about ``tile`` rows and ``tile_items`` shingles, whatever the texts' lengths
+        sized = live.join(signed_sizes.withColumnRenamed("doc_id", "rep"), "rep")
+        many = F.greatest(F.ceil(F.count(F.lit(1)) / p.tile), F.ceil(F.sum("n_shingles") / p.tile_items))
+        size = scratch.pin(sized.groupBy("key").agg(many.cast("int").alias("nb"), F.count(F.lit(1)).alias("n")))
+        placed = salted_join(live, size, ["key"], "n", ["rep"]).withColumn("i", F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int"))
         tiled = placed.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select("key", F.least("i", "k").alias("ti"), F.greatest("i", "k").alias("tj"), "rep", "comp")
         tiled = tiled.join(sigs, "rep").join(sets, "rep").select("key", "ti", "tj", "rep", "comp", "sig", "items")
         tiled = tiled.repartition("key", "ti", "tj").sortWithinPartitions("key", "ti", "tj")
@@ -333,25 +338,29 @@ def near_duplicates(docs: DataFrame, params: Near = Near()) -> DataFrame:
     of = of.groupBy("doc_id").agg(F.min(F.coalesce("tied", "comp")).alias("component_id"))
     out = signed.select("doc_id", "n_shingles").join(of, "doc_id", "left")
     cid = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", "n_shingles", cid.alias("component_id"), F.coalesce(cid == F.col("doc_id"), F.lit(True)).alias("kept"))
+    out = scratch.pin(out.select("doc_id", "n_shingles", cid.alias("component_id"), F.coalesce(cid == F.col("doc_id"), F.lit(True)).alias("kept")))
+    scratch.keep(out)
+    return out
 
 
 def keep_one(docs: DataFrame, params: Near = Near()) -> DataFrame:
     """``docs`` with one row of each group of near duplicates: the one with the smallest doc_id, null last.
 
-    Rows are numbered in a written table and each stands for itself: those that share an id but not a
-    text both stay, and those without an id are grouped as well.
+    Rows are numbered and each stands for itself: those that share an id but not a text both stay, and
+    those without an id are grouped as well. Null and empty texts stay; columns whose names start with
+    ``_near`` or ``_at`` are reserved, all others are kept.
     """
-    scratch = Scratch(docs.sparkSession, "rows")
-    rows = scratch.pin(docs.withColumn("_near_row", F.monotonically_increasing_id()))
+    scratch, own = Scratch(docs.sparkSession, "near"), Scratch(docs.sparkSession, "rows")
+    rows = numbered(docs, "_near_row", own)
     near = near_duplicates(rows.select(F.col("_near_row").alias("doc_id"), "text"), params)
-    near = scratch.pin(near.select(F.col("doc_id").alias("_near_row"), F.col("component_id").alias("_near_of")))
-    ids = rows.select("_near_row", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_near_row").alias("at"))
+    near = near.select(F.col("doc_id").alias("_near_row"), F.col("component_id").alias("_near_of"))
     grouped = near.where("_near_row <> _near_of").select(F.col("_near_of"), "_near_row")
-    grouped = grouped.unionByName(grouped.select("_near_of", F.col("_near_of").alias("_near_row")).distinct())
-    grouped = scratch.pin(grouped.join(ids, "_near_row"))
-    best = grouped.groupBy("_near_of").agg(F.min("at")["_near_row"].alias("_near_row")).select("_near_row")
-    gone = grouped.select("_near_row").join(best, "_near_row", "left_anti")
+    grouped = scratch.pin(grouped.unionByName(grouped.select("_near_of", F.col("_near_of").alias("_near_row")).distinct()))
+    ids = rows.select("_near_row", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_near_row").alias("at"))
+    placed = grouped.join(ids, "_near_row")
+    best = placed.groupBy("_near_of").agg(F.min("at")["_near_row"].alias("_near_row")).select("_near_row")
+    gone = scratch.pin(grouped.select("_near_row").join(best, "_near_row", "left_anti"))
+    scratch.keep(gone)
     return rows.join(gone, "_near_row", "left_anti").select(*docs.columns)
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .scratch import Scratch, table
+from .scratch import Scratch, numbered, table
 
 _WORDS = r"[^\x20\x09-\x0D]+"
 
@@ -114,22 +114,27 @@ def mix(docs: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), max_repeats: i
     if last is not None:
         for e in range(max_repeats):
             taken = taken + F.when(at(F.lit(e)) <= last, F.col("size")).otherwise(0)
+    scratch.keep(placed)
     return placed.select("doc_id", *row_id, "source", "size", "source_size", "target", taken.cast("long").alias("taken"), at(F.lit(0)).alias("finish"), "weight")
 
 
 def mixed_documents(docs: DataFrame, **params) -> DataFrame:
     """The mix itself: one row of ``docs`` per copy taken, with ``size, source_size, target, taken, copy``.
 
-    Rows are numbered in a written table, so those that repeat a doc_id or have none are each taken as often
-    as the mix says. Columns of ``docs`` with the added names are replaced.
+    Rows are numbered, so those that repeat a doc_id or have none are each taken as often as the mix says.
+    Columns of ``docs`` with the added names are replaced, in any case of letters; all others are kept, but
+    names starting with ``_mix`` or ``_at`` are reserved. Rows of size 0 are never taken.
     """
-    added = ("size", "source_size", "target", "taken", "copy")
-    rows = docs.drop(*added).withColumn("_mix_row", F.monotonically_increasing_id())
-    rows = Scratch(docs.sparkSession, "mix").pin(rows)
-    slim = mix(rows, **params).where("taken > 0").drop("doc_id", "source")
-    copies = rows.join(slim, "_mix_row").withColumn("copy", F.explode(F.sequence(F.lit(1), (F.col("taken") / F.col("size")).cast("int"))))
-    order = copies.withColumn("_mix_at", ((F.col("copy") - 1) * F.col("source_size") + F.col("finish") * F.col("weight")) / F.col("weight"))
-    return order.repartitionByRange("_mix_at", "_mix_row").sortWithinPartitions("_mix_at", "_mix_row").drop("_mix_at", "_mix_row", "finish", "weight")
+    added = ("size", "source_size", "target", "taken")
+    docs = docs.drop(*added, "copy")
+    spark = docs.sparkSession
+    own = Scratch(spark, "rows")
+    rows = numbered(docs, "_mix_row", own)
+    slim = mix(rows, **params).where("taken > 0").select("_mix_row", *[F.col(c).alias(f"_mix_{c}") for c in (*added, "finish", "weight")])
+    copies = rows.join(slim, "_mix_row").withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), (F.col("_mix_taken") / F.col("_mix_size")).cast("int"))))
+    order = copies.withColumn("_mix_at", ((F.col("_mix_copy") - 1) * F.col("_mix_source_size") + F.col("_mix_finish") * F.col("_mix_weight")) / F.col("_mix_weight"))
+    order = order.repartitionByRange("_mix_at", "_mix_row").sortWithinPartitions("_mix_at", "_mix_row")
+    return order.select(*docs.columns, *[F.col(f"_mix_{c}").alias(c) for c in added], F.col("_mix_copy").alias("copy"))
 
 
 def op7_mixing(spark, sf_dir):

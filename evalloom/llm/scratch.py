@@ -155,5 +155,12 @@ def salted_join(rows: DataFrame, unique: DataFrame, on: list[str], n: str, salt_
     return dealt.join(copied, [*on, "_salt"]).drop("_salt")
 
 
+def semi_join(rows: DataFrame, unique: DataFrame, on: list[str], n: str, salt_by: list[str], max_rows: int) -> DataFrame:
+    """``salted_join`` with keys alone, which are broadcast if they are at most ``max_rows``."""
+    if unique.limit(max_rows + 1).count() <= max_rows:
+        return rows.join(F.broadcast(unique.select(*on)), on, "left_semi")
+    return salted_join(rows, unique, on, n, salt_by)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
