@@ -26,7 +26,8 @@ REPORT = frozenset("said says say told quote quoted claimed wrote sagte sagt sch
 
 _TOKEN = re.compile(r"[^\W\d_]+|[.!?;:\n]+")
 _WORD = re.compile(r"[^\W\d_]+")
-PREFIX = (4, 5, 6)
+#: Lengths of stems.
+PREFIX = (4, 5, 6, 7, 8)
 #: What a token is read as: insult, threat verb, target, clitic, negation, report, other. A ``~`` marks what a
 #: negation governs, a quote mark what is reported, ``@`` what is aimed at a target.
 INSULT, VERB, AT, BEFORE, NO, SAID, OTHER = LETTERS = "ivtcnro"
@@ -41,7 +42,7 @@ class Params:
     max_rows: int = 20_000
     least_docs: int = 3
     chance: float = 0.01
-    least_weight: float = 2.5
+    least_weight: float = 2.0
     negated: float = 0.5
     reported: float = 0.6
     aimed: float = 1.3
@@ -264,20 +265,47 @@ def held_out(doc_id: Column, k: int = 0) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == k, F.lit(False))
 
 
-def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for toxic in (0, 1):
-            n: Counter[str] = Counter()
-            rows = 0
-            for text, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if y == toxic:
-                    words = set(_WORD.findall((text or "").lower()))
-                    n.update(words)
-                    n.update({f"{w[:k]}*" for w in words for k in PREFIX if len(w) >= k})
-                    rows += 1
-            if rows:
-                n[""] = rows
-                yield pa.RecordBatch.from_arrays([pa.array(list(n)), pa.array([toxic] * len(n), pa.int32()), pa.array(list(n.values()), pa.int64())], ["term", "toxic", "n"])
+def _counter(known: frozenset[str] | None):
+    """Rows that hold each word; with ``known`` words, each stem of other words. The term '' counts the rows."""
+
+    def terms(text: str | None) -> set[str]:
+        words = set(_WORD.findall((text or "").lower()))
+        return words if known is None else {w[:k] for w in words - known for k in PREFIX if len(w) > k}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for toxic in (0, 1):
+                n: Counter[str] = Counter()
+                for text, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                    if y == toxic:
+                        n.update(terms(text))
+                        n[""] += 1
+                if n:
+                    yield pa.RecordBatch.from_arrays([pa.array(list(n)), pa.array([toxic] * len(n), pa.int32()), pa.array(list(n.values()), pa.int64())], ["term", "toxic", "n"])
+
+    return run
+
+
+def _telling(rows: DataFrame, p: Params, known: frozenset[str] | None = None) -> list[tuple[str, float, float]]:
+    """(term, weight, certainty) of the words, or stems of other words, that toxic rows hold more often than
+    chance over all terms tried allows (Chernoff bound, Bonferroni); at most what ``max_rows`` rows hold."""
+    counts = rows.mapInArrow(_counter(known), "term string, toxic int, n long").groupBy("term").agg(
+        F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("t"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("c")
+    )
+    counts = counts.persist()
+    try:
+        total, tried = counts.where("term = ''").first(), counts.count()
+        if not total or not total["t"] or not total["c"]:
+            return []
+        nt, nc = total["t"], total["c"]
+        weight = F.log((F.col("t") + 0.5) / (nt + 1)) - F.log((F.col("c") + 0.5) / (nc + 1))
+        n, q, pi = F.col("t") + F.col("c"), F.col("t") / (F.col("t") + F.col("c")), nt / (nt + nc)
+        kl = n * (q * F.log(q / pi) + F.when(q < 1, (1 - q) * F.log((1 - q) / (1 - pi))).otherwise(0.0))
+        got = counts.where((F.col("t") >= p.least_docs) & (q > pi) & (F.col("term") != "")).select("term", weight.alias("w"), kl.alias("kl"))
+        got = got.where((F.col("kl") >= math.log(tried / p.chance)) & (F.col("w") >= p.least_weight)).collect()
+    finally:
+        counts.unpersist()
+    return sorted(((r["term"], float(r["w"]), float(r["kl"])) for r in got), key=lambda r: (-r[2], -len(r[0]), r[0]))
 
 
 _SKETCH = ("_k1", "_k2", "_k3")
@@ -317,28 +345,14 @@ def fit(docs: DataFrame, labels: DataFrame, params: Params = Params()) -> Gramma
     y = y.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(p.max_rows)
     rows = docs.select("doc_id", "text").join(F.broadcast(y), "doc_id").select("text", "toxic")  # at most max_rows ids
     rows = _thinned(rows).persist()
-    counts = rows.mapInArrow(_counter, "term string, toxic int, n long").groupBy("term").agg(
-        F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("t"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("c")
-    )
     g = Grammar(params=p)
-    n = docs.sparkSession.createDataFrame([("",)], "term string")
-    counts = counts.persist()
-    try:
-        total = counts.join(n, "term", "left_semi").first()
-        if not total or not total["t"] or not total["c"]:
-            rows.unpersist()
-            return g
-        nt, nc = total["t"], total["c"]
-        weight = F.log((F.col("t") + 0.5) / (nt + 1)) - F.log((F.col("c") + 0.5) / (nc + 1))
-        # a term's share of toxic rows must beat chance over all terms tried (Chernoff bound, Bonferroni)
-        n_, q, pi = F.col("t") + F.col("c"), F.col("t") / (F.col("t") + F.col("c")), nt / (nt + nc)
-        kl = q * F.log(q / pi) + F.when(q < 1, (1 - q) * F.log((1 - q) / (1 - pi))).otherwise(0.0)
-        sure = (F.col("t") >= p.least_docs) & (q > pi) & (n_ * kl >= math.log(counts.count() / p.chance))
-        top = counts.where((F.col("term") != "") & sure).withColumn("w", weight).where(F.col("w") >= p.least_weight).orderBy("term").collect()
-    finally:
-        counts.unpersist()
-    for r in top:
-        (g.stems if r["term"].endswith("*") else g.words)[r["term"].rstrip("*")] = float(r["w"])
+    g.words = {term: w for term, w, _ in _telling(rows, p)}
+    if not g.words:
+        rows.unpersist()
+        return g
+    for term, w, _ in _telling(rows, p, frozenset(g.words)):  # the surest first; neither what it begins nor what begins it adds any
+        if not any(term.startswith(s) or s.startswith(term) for s in g.stems):
+            g.stems[term] = w
     marks = rows.mapInArrow(_writer(g), "toxic int, marks map<string,double>").collect()  # at most max_rows small maps
     rows.unpersist()
     return _weigh(g, [(r["marks"], r["toxic"]) for r in marks])
