@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import struct
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -373,30 +374,59 @@ def _binomial(n: int, p: np.ndarray, u: np.ndarray) -> np.ndarray:
     return np.clip(out, 0, n)
 
 
-def seat(n: np.ndarray, pull: np.ndarray, d: float, key: np.ndarray, salt: int) -> np.ndarray:
-    """Tables of ``n`` customers of one dish, seated one by one as in the Chinese restaurant.
+#: Customers of a dish whose tables are drawn exactly.
+EXACT = 256
 
-    The first opens a table; the next opens one with odds ``pull`` (the restaurant's (theta + d T) times
-    the parent's probability) against (seated - d tables). The first 16 are seated singly, later ones
-    in blocks that double.
+
+@functools.lru_cache(4)
+def _arrangements(d: float) -> np.ndarray:
+    """Logarithms of the generalised Stirling numbers: weights of seating n customers at t tables, [n, t]."""
+    out = np.full((EXACT + 1, EXACT + 1), -np.inf)
+    out[1, 1] = 0.0
+    for n in range(1, EXACT):
+        t = np.arange(1, n + 1)
+        out[n + 1, 1 : n + 2] = np.logaddexp(out[n, : n + 1], np.append(np.log(n - d * t) + out[n, 1 : n + 1], -np.inf))
+    return out
+
+
+def seat(n: np.ndarray, others: np.ndarray, p0: np.ndarray, theta: float, d: float, key: np.ndarray, salt: int) -> np.ndarray:
+    """Gibbs draws of the tables of ``n`` customers of one dish, given the ``others`` tables of the restaurant and
+    the parent's probability ``p0`` of the dish.
+
+    t tables of n customers weigh S(n, t) times the product of (theta + d (others + j)) p0 over j < t. Up to
+    ``EXACT`` customers this is drawn from as it is; those beyond are seated after them in blocks that double,
+    opening tables by the restaurant's odds.
     """
+    n = n.astype(np.int64)
     t = np.minimum(n, 1).astype(np.float64)
-    done, block, step = 1, 1, 0
-    live = np.flatnonzero(n > 1)
+    start = theta + d * np.maximum(others, 0.0)
+    first = np.minimum(n, EXACT)
+    order = np.argsort(first, kind="stable")
+    order = order[np.searchsorted(first[order], 2) :]
+    sizes = first[order]
+    at = 0
+    while at < len(order):
+        k = int(sizes[at])
+        to = min(int(np.searchsorted(sizes, k, "right")), at + max(1, (1 << 20) // k))
+        rows = order[at:to]
+        opened = np.log(start[rows, None] + d * np.arange(k)) + np.log(p0[rows, None])
+        w = np.cumsum(opened, axis=1) + _arrangements(d)[k, 1 : k + 1]
+        w = np.cumsum(np.exp(w - w.max(axis=1, keepdims=True)), axis=1)
+        t[rows] = 1 + (w < _uniform(key[rows], salt * 64)[:, None] * w[:, -1:]).sum(axis=1)
+        at = to
+    done, block, step = EXACT, 8, 0
+    live = np.flatnonzero(n > EXACT)
     while len(live):
         step += 1
         left = n[live] - done
-        full = left >= block
-        for size in {block, *np.unique(left[~full]).tolist()} if block > 1 else {1}:
-            rows = live[full] if size == block else live[left == size]
-            if not len(rows):
-                continue
-            p = pull[rows] / (pull[rows] + np.maximum(done + (size - 1) / 2 - d * t[rows], 1e-9))
+        for size in np.unique(np.minimum(left, block)).tolist():
+            rows = live[np.minimum(left, block) == size]
+            pull = (start[rows] + d * t[rows]) * p0[rows]
+            p = pull / (pull + np.maximum(done + (size - 1) / 2 - d * t[rows], 1e-9))
             t[rows] += _binomial(int(size), p, _uniform(key[rows], salt * 64 + step))
         done += block
         live = live[n[live] > done]
-        if done >= 16:
-            block *= 2
+        block *= 2
     return np.minimum(t, n)
 
 
@@ -419,6 +449,10 @@ class _Parent:
     def p(self, customers: np.ndarray, tables: np.ndarray) -> np.ndarray:
         return (customers - self.d * tables) / (self.theta + self.customers) + self.unknown()
 
+    def seat(self, customers: np.ndarray, tables: np.ndarray, key: np.ndarray, salt: int) -> np.ndarray:
+        """New tables of words with these customers, which had ``tables``."""
+        return seat(customers, self.tables - tables.astype(np.float64), np.full(len(customers), self.h), self.theta, self.d, key, salt)
+
 
 def _sweep(m: Model, boxes: int, cells: int, d: float, parent: _Parent, salt: int, keep: bool):
     """A box seats its pairs, then its words in the unigram restaurant, by the tables of the sweep before."""
@@ -427,11 +461,12 @@ def _sweep(m: Model, boxes: int, cells: int, d: float, parent: _Parent, salt: in
         words, k, ctx, c, n = unpack(mail[STATE][0]["data"])
         k, n = k.astype(np.int64), n.astype(np.int64)
         w = np.repeat(np.arange(len(words)), k)
-        got = unpack(mail[WORDS][0]["data"]) if WORDS in mail else [k, np.ones(len(k), np.int64), np.zeros(int((n > 1).sum()), np.int64)]
+        several = np.flatnonzero(n > 1)
+        one = np.ones(len(several), np.int64)
+        got = unpack(mail[WORDS][0]["data"]) if WORDS in mail else [k, np.ones(len(k), np.int64), one, 0 * one]
         p0 = parent.p(got[0].astype(np.float64), got[1].astype(np.float64))
         at = _find(parent.hot, words)
         p0[at >= 0] = parent.p(parent.hot_customers, parent.hot_tables)[at[at >= 0]]
-        several = np.flatnonzero(n > 1)
         shared = np.bincount(c[several], minlength=len(ctx)) > 0
         mine = np.flatnonzero(shared)
         order, to = _by_cell(ctx[mine], boxes, cells)
@@ -439,16 +474,16 @@ def _sweep(m: Model, boxes: int, cells: int, d: float, parent: _Parent, salt: in
         if len(mine):
             tables[mine[order]] = np.concatenate([unpack(r["data"])[0] for r in mail[DOWN]])
         key = mix(words[w[several]] + mix(ctx[c[several]]) * _C)
-        t = seat(n[several], (m.theta + d * tables[c[several]]) * p0[w[several]], d, key, salt)
+        t = seat(n[several], tables[c[several]] - got[2].astype(np.float64), p0[w[several]], m.theta, d, key, salt)
         customers = k - np.bincount(w[several], minlength=len(words)) + np.bincount(w[several], t, minlength=len(words)).astype(np.int64)
         cold = at < 0
         seated = np.zeros(len(words))
-        seated[cold] = seat(customers[cold], np.full(int(cold.sum()), (m.theta + parent.d * parent.tables) * parent.h), parent.d, mix(words[cold]), salt + 1)
-        kept = got[3:]
+        seated[cold] = parent.seat(customers[cold], got[1][cold], mix(words[cold]), salt + 1)
+        kept = got[4:]
         if keep:
             kept += [customers, seated]
-            got[2] = got[2].astype(np.int64) + t.astype(np.int64)
-        yield b, WORDS, b, pack(*(_small(x) for x in (customers, seated, got[2], *kept)))
+            got[3] = got[3].astype(np.int64) + t.astype(np.int64)
+        yield b, WORDS, b, pack(*(_small(x) for x in (customers, seated, t, got[3], *kept)))
         sums = np.bincount(c[several], t, minlength=len(ctx))[mine]
         for cell, lo, hi in to:
             yield cell, UP, b, pack(_small(sums[order[lo:hi]]))
@@ -468,7 +503,7 @@ def _answers(samples: int, hot: np.ndarray, hot_rows: np.ndarray):
             return
         words, k, _, _, n = unpack(mail[STATE][0]["data"])
         k, n = k.astype(np.int64), n.astype(np.int64)
-        _, _, sums, *kept = unpack(mail[WORDS][0]["data"])
+        _, _, _, sums, *kept = unpack(mail[WORDS][0]["data"])
         count = np.bincount(np.repeat(np.arange(len(words)), k), n, minlength=len(words))
         row = np.zeros((1 + 3 * samples, len(words) + 1), np.int64)
         row[0, 1:] = count
@@ -595,7 +630,7 @@ def score_documents(docs: DataFrame, train: Column, model: Model = Model()) -> D
         stats = _stats(then)
         customers, seated = sum((s[0] for s in stats), np.zeros(2, np.int64)).tolist()
         hot_c0 = _hot_sums([(s[1], s[2]) for s in stats], len(hot))
-        hot_t0 = seat(hot_c0, np.full(len(hot), (m.theta + d0 * parent.tables) * h), d0, mix(hot), salt + 1)
+        hot_t0 = parent.seat(hot_c0, parent.hot_tables, mix(hot), salt + 1)
         parent = _Parent(m.theta, d0, float(customers + hot_c0.sum()), float(seated + hot_t0.sum()), h, hot, hot_c0, hot_t0)
         told = scratch.pin(_deliver(cells, _cells(boxes, hot, sweep, keep), of(first, CELL, PLACES), of(then, UP)), by="kind")
         if keep:
