@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import Scratch, table
+from .scratch import Scratch, numbered, table
 from .words import ALNUM, hashed, shards, utf8
 
 WINDOW = 13
@@ -79,95 +79,121 @@ class Index:
 
 def windows(ptr: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(item, start, length) of all windows: every ``window`` words of an item, or the whole of a shorter one."""
-    item, at, length = [], [], []
-    for i in range(len(ptr) - 1):
-        n = int(ptr[i + 1] - ptr[i])
-        k = max(1, n - window + 1) if n else 0
-        item.append(np.full(k, i))
-        at.append(ptr[i] + np.arange(k))
-        length.append(np.full(k, min(n, window)))
-    cat = lambda x: np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64)
-    return cat(item), cat(at), cat(length)
-
-
-def search_shard(words: np.ndarray, ptr: np.ndarray, items: list[int], test: np.ndarray, tptr: np.ndarray, window: int) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
-    """Per document: hit mask over the words, found item ids, longest verbatim match in words."""
-    hit = np.zeros(len(words) + 1, np.int64)
-    docs = len(ptr) - 1
-    longest = np.zeros(docs, np.int64)
-    doc_of = np.repeat(np.arange(docs), np.diff(ptr))
-    found: list[tuple[np.ndarray, np.ndarray]] = []
+    size = np.diff(ptr)
+    count = np.where(size > 0, np.maximum(size - window + 1, 1), 0)
+    item = np.repeat(np.arange(len(size)), count)
+    at = ptr[:-1][item] + np.arange(count.sum()) - (np.cumsum(count) - count)[item]
+    return item.astype(np.int64), at.astype(np.int64), np.minimum(size, window)[item].astype(np.int64)
+
+
+def occurrences(index: Index, ptr: np.ndarray, test: np.ndarray, tptr: np.ndarray, window: int) -> np.ndarray:
+    """(document, item, place in the shard, place in the test, words) of all occurrences of windows, a column
+    each; an occurrence lies within one document."""
     item, at, length = windows(tptr, window)
-    if len(words) and len(at):
-        index = Index(words)
-        lo, hi = index.ranges(test, at, length)
-        for i in np.flatnonzero(hi > lo):
-            p = index.sa[lo[i] : hi[i]]
-            d = doc_of[p]
-            ok = p + length[i] <= ptr[d + 1]  # an occurrence lies in one document
-            p, d = p[ok], d[ok]
-            if not len(p):
-                continue
-            np.add.at(hit, p, 1)
-            np.add.at(hit, p + length[i], -1)
-            found.append((d, np.full(len(d), item[i])))
-            # the suffix goes on beyond the window: extend to the longest match
-            run = np.full(len(p), length[i])
-            q, p_, d_ = at[i], p, d
-            live = np.arange(len(p))
-            while len(live) and q + run[live[0]] < tptr[item[i] + 1]:
-                k = run[live[0]]
-                nxt = p_[live] + k
-                same = (nxt < ptr[d_[live] + 1]) & (words[np.minimum(nxt, len(words) - 1)] == test[q + k])
-                live = live[same]
-                run[live] += 1
-            np.maximum.at(longest, d, run)
-    mask = np.cumsum(hit[:-1]) > 0
-    ids: list[np.ndarray] = [np.zeros(0, np.int64)] * docs
-    if found:
-        pairs = np.unique(np.stack((np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found]))), axis=1)
-        cut = np.searchsorted(pairs[0], np.arange(docs + 1))
-        ids = [pairs[1][cut[k] : cut[k + 1]] for k in range(docs)]
-    return mask, ids, longest
+    if not index.n or not len(at):
+        return np.zeros((5, 0), np.int64)
+    lo, hi = index.ranges(test, at, length)
+    n = hi - lo
+    of = np.repeat(np.arange(len(at)), n)
+    p = index.sa[np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+    d = np.searchsorted(ptr, p, "right") - 1
+    got = np.stack((d, item[of], p, at[of], length[of]))
+    return got[:, p + length[of] <= ptr[d + 1]]
+
+
+def spans(found: np.ndarray) -> np.ndarray:
+    """Occurrences that follow each other in both texts, joined to verbatim matches as long as they go."""
+    d, item, p, q, n = found
+    found = found[:, np.lexsort((p, p - q, item, d))]
+    d, item, p, q, n = found
+    if not len(p):
+        return found
+    new = np.concatenate(([True], (d[1:] != d[:-1]) | (item[1:] != item[:-1]) | (p[1:] != p[:-1] + 1) | (q[1:] != q[:-1] + 1)))
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(p)) - 1
+    return np.stack((d[first], item[first], p[first], q[first], p[last] + n[last] - p[first]))
+
+
+def longest(index: Index, test: np.ndarray, tptr: np.ndarray, ptr: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """For every suffix of every item: how many of its first ``depth`` words, within the item, some document of
+    the shard has in a row, and where. The longest match of a suffix stands beside its place in the array."""
+    at = np.arange(len(test))
+    left = np.minimum(np.repeat(tptr[1:], np.diff(tptr)) - at, depth)
+    best, where = np.zeros(len(test), np.int64), np.full(len(test), -1)
+    if not index.n:
+        return best, where
+    ends = np.repeat(ptr[1:], np.diff(ptr))
+    # a match ends with its document: shorter prefixes may then match longer elsewhere, so lengths are halved down
+    todo, size = at, left.copy()
+    lo_ok, hi_no = np.zeros(len(at), np.int64), left + 1
+    while len(todo):
+        lo, hi = index.ranges(test, todo, size[todo])
+        ok = np.full(len(todo), -1)
+        for k in np.flatnonzero(hi > lo):
+            p = index.sa[lo[k] : hi[k]]
+            fit = p[p + size[todo[k]] <= ends[p]]
+            if len(fit):
+                ok[k] = fit.min()
+        good = ok >= 0
+        best[todo[good]], where[todo[good]] = size[todo[good]], ok[good]
+        lo_ok[todo[good]], hi_no[todo[~good]] = size[todo[good]], size[todo[~good]]
+        size[todo] = (lo_ok[todo] + hi_no[todo]) // 2
+        todo = todo[hi_no[todo] - lo_ok[todo] > 1]
+    return best, where
+
+
+def _blocks(bench: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(item ids, words, pointers) of blocks of about ``BLOCK_WORDS`` words; one is held at a time."""
+    bench = bench.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "text")
+    ids, texts, held, some = [], [], 0, False
+
+    def block():
+        return np.array(ids, np.int64), *hashed(*utf8(pa.array(texts, pa.large_string())), ALNUM)
+
+    for row in bench.toLocalIterator():
+        n = len(row["text"]) // 2 + 1
+        if held and held + n > BLOCK_WORDS:
+            yield block()
+            ids, texts, held, some = [], [], 0, True
+        ids.append(row["item_id"])
+        texts.append(row["text"])
+        held += n
+    if ids or not some:
+        yield block()
+
+
+_SPAN = "array<struct<item_id:long,item_at:int,doc_at:int,words:int>>"
 
 
 def contamination(docs: DataFrame, bench: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc_id, n_words, n_hit, items, longest) for every row of ``docs``.
+    """(doc_id, n_words, n_hit, items, longest, matches) for every row of ``docs``.
 
     Each Arrow batch is cut into shards of whole documents; a shard's words (64-bit hashes) get a suffix
-    array, and every suffix of every benchmark item is binary-searched in it. All of a document's
+    array, and the suffixes of every benchmark item are binary-searched in it. All of a document's
     matches lie in its shard, so nothing is shuffled. The benchmark is a stated query set: it goes to the
     tasks in blocks of at most ``BLOCK_WORDS`` words, one pass over the corpus for each.
 
+    ``matches`` are the verbatim matches of a window or more (or of a whole shorter item) with their places
+    in item and document, in words; ``longest`` is the longest of them, 0 if there is none.
+    ``longest_matches`` tells of shorter ones.
+
     Null and empty texts have no words; items without words or id are ignored; repeated item ids count
-    once; repeated documents and those without an id are searched each; the other columns are not read, but
-    for a number named ``_hit_text``, which is kept. Where there are several blocks, the rows are numbered
-    in a written table first and the blocks' results merged by that number.
+    once; repeated documents and those without an id are searched each; an empty table gives none; the
+    other columns are not read, but for a number named ``_hit_text``, which is kept. Ids are whole numbers.
+    Where there are several blocks, rows are numbered and the blocks' results merged by that number.
     """
     extra = [c for c in docs.columns if c == "_hit_text"]
-    bench = bench.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select("item_id", "text")
-    blocks: list[tuple[list, list]] = [([], [])]
-    held = 0
-    for row in bench.toLocalIterator():
-        n = len(row["text"]) // 2 + 1
-        if held and held + n > BLOCK_WORDS:
-            blocks.append(([], []))
-            held = 0
-        blocks[-1][0].append(row["item_id"])
-        blocks[-1][1].append(row["text"])
-        held += n
     spark = docs.sparkSession
     keyed = docs.select("doc_id", "text", *extra)
-    if len(blocks) > 1:
-        keyed = Scratch(spark, "hits").pin(keyed.withColumn("_hit_row", F.monotonically_increasing_id()))
-    schema = "doc_id long, n_words long, n_hit long, items array<long>, longest long, hits binary" + "".join(f", {c} long" for c in keyed.columns[2:])
+    shared = [spark.sparkContext.broadcast(b) for b in _blocks(bench)]  # at most BLOCK_WORDS words each
+    if len(shared) > 1:
+        keyed = numbered(keyed, "_hit_row", Scratch(spark, "hits"))
+    schema = f"doc_id long, n_words long, n_hit long, items array<long>, longest long, matches {_SPAN}, hits binary" + "".join(f", {c} long" for c in keyed.columns[2:])
     out = None
-    for ids, texts in blocks:
-        test, tptr = hashed(*utf8(pa.array(texts, pa.large_string())), ALNUM)
-        shared = spark.sparkContext.broadcast((ids, test, tptr))  # at most BLOCK_WORDS words
-        part = keyed.mapInArrow(_searcher(shared, window), schema)
+    for block in shared:
+        part = keyed.mapInArrow(_searcher(block, window), schema)
         out = part if out is None else out.unionByName(part)
-    if len(blocks) > 1:  # a word may be hit by several blocks
+    if len(shared) > 1:  # a word may be hit by several blocks
         out = out.groupBy("_hit_row").applyInArrow(_merge_blocks, schema)
     return out.drop("hits", "_hit_row")
 
@@ -178,29 +204,75 @@ def _merge_blocks(t: pa.Table) -> pa.Table:
     for r in rows:
         if r["hits"]:
             bits |= np.unpackbits(np.frombuffer(r["hits"], np.uint8), count=len(bits)).astype(bool)
-    got = {"doc_id": rows[0]["doc_id"], "n_words": len(bits), "n_hit": int(bits.sum()), "items": sorted({i for r in rows for i in r["items"]}), "longest": max(r["longest"] for r in rows), "hits": None}
+    got = {"n_hit": int(bits.sum()), "items": sorted({i for r in rows for i in r["items"]}), "longest": max(r["longest"] for r in rows), "matches": sorted((m for r in rows for m in r["matches"]), key=lambda m: (m["doc_at"], m["item_id"], m["item_at"])), "hits": None}
     return pa.Table.from_pylist([rows[0] | got], t.schema)
 
 
+def search_shard(words: np.ndarray, ptr: np.ndarray, test: np.ndarray, tptr: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """The hit mask over a shard's words, and its ``spans``."""
+    found = occurrences(Index(words, max(window, 16)), ptr, test, tptr, window)
+    hit = np.zeros(len(words) + 1, np.int64)
+    np.add.at(hit, found[2], 1)
+    np.add.at(hit, found[2] + found[4], -1)
+    return np.cumsum(hit[:-1]) > 0, spans(found)
+
+
 def _searcher(shared, window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, test, tptr = shared.value
-        idv = np.array(ids, np.int64)
         for batch in batches:
             for b in shards(batch, "text"):
                 words, ptr = hashed(*utf8(b.column(1)), ALNUM)
-                mask, got, longest = search_shard(words, ptr, ids, test, tptr, window)
+                mask, (d, item, p, q, n) = search_shard(words, ptr, test, tptr, window)
                 c = np.concatenate(([0], np.cumsum(mask)))
                 n_hit = c[ptr[1:]] - c[ptr[:-1]]
+                order = np.lexsort((q, ids[item], p))  # by document, as shards are
+                d, item, p, q, n = (x[order] for x in (d, item, p, q, n))
+                cut = np.searchsorted(d, np.arange(b.num_rows + 1))
+                match = pa.StructArray.from_arrays([pa.array(ids[item]), *(pa.array(x.astype(np.int32)) for x in (q - tptr[item], p - ptr[d], n))], ["item_id", "item_at", "doc_at", "words"])
+                most = np.zeros(b.num_rows, np.int64)
+                np.maximum.at(most, d, n)
+                items = [np.unique(ids[item[lo:hi]]).tolist() for lo, hi in zip(cut, cut[1:])]
                 hits = [np.packbits(mask[ptr[i] : ptr[i + 1]]).tobytes() if n_hit[i] else None for i in range(b.num_rows)]
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).cast(pa.int64()), pa.array(np.diff(ptr)), pa.array(n_hit.astype(np.int64)), pa.array([sorted({*idv[g].tolist()}) for g in got], pa.list_(pa.int64())), pa.array(longest), pa.array(hits, pa.binary()), *b.columns[2:]],
-                    ["doc_id", "n_words", "n_hit", "items", "longest", "hits", *b.schema.names[2:]],
+                    [b.column(0).cast(pa.int64()), pa.array(np.diff(ptr)), pa.array(n_hit.astype(np.int64)), pa.array(items, pa.list_(pa.int64())), pa.array(most), pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), match), pa.array(hits, pa.binary()), *b.columns[2:]],
+                    ["doc_id", "n_words", "n_hit", "items", "longest", "matches", "hits", *b.schema.names[2:]],
                 )
 
     return run
 
 
+def longest_matches(docs: DataFrame, bench: DataFrame, depth: int = 64) -> DataFrame:
+    """(item_id, item_at, words, doc_id, doc_at): for every suffix of every item the longest run of its first
+    ``depth`` words at most that some document holds, and the first such place by doc_id; suffixes whose
+    first word no document has are left out. A row a suffix and task is summed map-side."""
+    spark = docs.sparkSession
+    keyed = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text")
+    schema = "item_id long, item_at int, words int, doc_id long, doc_at int"
+    out = None
+    for block in _blocks(bench):
+        part = keyed.mapInArrow(_longest_in(spark.sparkContext.broadcast(block), depth), schema)
+        out = part if out is None else out.unionByName(part)
+    best = F.min(F.struct((-F.col("words")).alias("less"), "doc_id", "doc_at")).alias("b")
+    return out.groupBy("item_id", "item_at").agg(best).select("item_id", "item_at", (-F.col("b.less")).alias("words"), "b.doc_id", "b.doc_at")
+
+
+def _longest_in(shared, depth: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, test, tptr = shared.value
+        item = np.repeat(np.arange(len(ids)), np.diff(tptr))
+        for batch in batches:
+            for b in shards(batch, "text"):
+                words, ptr = hashed(*utf8(b.column(1)), ALNUM)
+                best, where = longest(Index(words, max(depth, 16)), test, tptr, ptr, depth)
+                i = np.flatnonzero(best)
+                d = np.searchsorted(ptr, where[i], "right") - 1
+                cols = [ids[item[i]], (i - tptr[item[i]]).astype(np.int32), best[i].astype(np.int32), b.column(0).cast(pa.int64()).to_numpy()[d], (where[i] - ptr[d]).astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["item_id", "item_at", "words", "doc_id", "doc_at"])
+
+    return run
+
+
 def contaminated(n_hit, n_words, share: int = 20):
     return (n_hit > 0) & (share * n_hit >= n_words)
 
@@ -209,7 +281,8 @@ def remove_contaminated(docs: DataFrame, bench: DataFrame, window: int = WINDOW)
     """``docs`` without the rows a twentieth or more of whose words lie in benchmark windows.
 
     Each goes or stays by its own text, whatever its id: equal texts fare alike, so the join is by their
-    64-bit hash, which asks for no numbered copy of the rows.
+    64-bit hash, which asks for no numbered copy of the rows. Rows without an id and rows that repeat one are
+    judged like all others; null and empty texts stay; all columns are kept (``_hit_text`` is reserved).
     """
     rows = docs.withColumn("_hit_text", F.xxhash64("text"))
     bad = contamination(rows, bench, window).where(contaminated(F.col("n_hit"), F.col("n_words"))).select("_hit_text").distinct()
@@ -217,7 +290,7 @@ def remove_contaminated(docs: DataFrame, bench: DataFrame, window: int = WINDOW)
 
 
 def op5_decontaminate(spark, sf_dir):
-    """All documents against the whole benchmark."""
+    """All documents against the whole benchmark; repeated rows are judged each, null texts have no words."""
     c = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     ids = F.array_join(F.array_sort(F.transform("items", lambda i: i.cast("string"))), ",")
     return c.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(ids, 256).alias("items_sha256"), contaminated(F.col("n_hit"), F.col("n_words")).alias("contaminated"), "longest")
