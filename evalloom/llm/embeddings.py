@@ -12,6 +12,8 @@ from .scratch import Scratch, table
 
 #: Vectors in a packed block at most; a tile pairs two blocks.
 BLOCK_ROWS = 8192
+#: Components in a packed block at most; so blocks of long vectors have fewer rows.
+BLOCK_VALUES = 1 << 22
 #: Small tables still get so many blocks, so tiles spread over tasks.
 LEAST_BLOCKS = 16
 _STRIP = 512
@@ -25,13 +27,13 @@ def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return code, scale, err
 
 
-def tile_links(xa: np.ndarray, xb: np.ndarray, threshold: float, same: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+def tile_links(xa: np.ndarray, xb: np.ndarray, threshold: float, same: bool, va: np.ndarray | None = None, vb: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
     """Links between unit rows of two blocks: counts for rows of a and b, forest edges (i, j), pairs recomputed.
 
     With unit x = qs + e, |x.y - qs.qt| <= |e| + |f| + |e||f| for the errors e, f of x and y. Products of
     int8 codes of up to 1,040 components are exact in float32, so the bound is rigorous; pairs whose
     interval holds the threshold are recomputed in double precision. Within a tile, links become a
-    spanning forest over its rows, at most one edge a row.
+    spanning forest over its rows, at most one edge a row. Rows with equal ids in ``va`` and ``vb`` aren't linked.
     """
     (ca, sa, ea), (cb, sb, eb) = quantise(xa), quantise(xb)
     wide = np.float32 if xa.shape[1] <= 1040 else np.float64
@@ -45,12 +47,19 @@ def tile_links(xa: np.ndarray, xb: np.ndarray, threshold: float, same: bool) ->
         hi = min(lo + _STRIP, len(xa))
         dot = (ca[lo:hi].astype(wide) @ cbt) * sa[lo:hi, None].astype(wide)
         dot *= sb[None, :].astype(wide)
-        # slack covers the two float32 roundings of scaling
-        slack = ea[lo:hi, None].astype(np.float32) * 1.02 + (eb[None, :] * 1.02 + 2e-6).astype(np.float32)
+        # |e| + |f| + |e||f|; 4e-6 covers the roundings: two of scaling, those of the bound, all below 2 ** -22
+        f32 = lambda x: np.nextafter(x.astype(np.float32), np.float32(np.inf))
+        e, f = f32(ea[lo:hi, None]), f32(eb[None, :])
+        slack = e * f
+        slack += e
+        slack += f + np.float32(4e-6)
         i, j = np.nonzero(dot + slack >= threshold)
         if same:
             up = j > i + lo
             i, j = i[up], j[up]
+        if va is not None:
+            other = va[i + lo] != vb[j]
+            i, j = i[other], j[other]
         if not len(i):
             continue
         sure = dot[i, j] - slack[i, j] >= threshold
@@ -102,6 +111,7 @@ def _pack(t: pa.Table) -> pa.Table:
 def _tiler(threshold: float, dtype: str):
     def unit(data: bytes, dim: int) -> np.ndarray:
         x = np.frombuffer(data, dtype).reshape(-1, dim).astype(np.float64)
+        x /= np.abs(x).max(axis=1)[:, None]  # so that no square overflows or vanishes
         return x / np.sqrt((x * x).sum(axis=1))[:, None]
 
     def run(batches):
@@ -111,7 +121,7 @@ def _tiler(threshold: float, dtype: str):
                 va = np.frombuffer(ia, np.int64)
                 xa = unit(da, dim)
                 vb, xb = (va, xa) if same else (np.frombuffer(ib, np.int64), unit(db, dim))
-                na, nb, edges, _ = tile_links(xa, xb, threshold, same)
+                na, nb, edges, _ = tile_links(xa, xb, threshold, same, va, vb)
                 both = np.concatenate((va, vb))
                 ids, n = np.concatenate((va, vb)), np.concatenate((na, nb))
                 some = n > 0
@@ -132,8 +142,8 @@ def cosine_links(vectors: DataFrame, threshold: float = 0.9) -> DataFrame:
     threshold recompute just those in double precision.
 
     Vectors that are null, empty, zero or hold null or non-finite components link with nothing, nor do
-    vectors of different length. A null vec_id stands alone. Rows that repeat a vec_id are compared each;
-    links between rows of one id are not counted.
+    vectors of different length. A null vec_id stands alone. Rows that repeat a vec_id are compared each but not
+    with each other, and share their links' number; other columns are not read; an empty table gives none.
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark, "cosine")
@@ -143,11 +153,12 @@ def cosine_links(vectors: DataFrame, threshold: float = 0.9) -> DataFrame:
         v, kind = v.withColumn("embedding", F.col("embedding").cast("array<double>")), "double"
     fine = ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("embedding", lambda x: x != 0)
     good = v.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & fine)
-    n = good.count()
+    n, most = good.agg(F.count(F.lit(1)), F.max(F.size("embedding"))).first()
     if not n:
         return v.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    blocks = max(LEAST_BLOCKS if n > LEAST_BLOCKS * 32 else 1, -(-n // BLOCK_ROWS))
-    packed = good.withColumns({"dim": F.size("embedding"), "block": F.pmod(F.xxhash64("vec_id"), F.lit(blocks))})
+    blocks = max(LEAST_BLOCKS if n > LEAST_BLOCKS * 32 else 1, -(-n // min(BLOCK_ROWS, max(1, BLOCK_VALUES // most))))
+    # dealt by row too: rows of one id may be very many
+    packed = good.withColumns({"dim": F.size("embedding"), "block": F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.lit(blocks))})
     packed = scratch.pin(packed.groupBy("dim", "block").applyInArrow(_pack, "dim int, block long, ids binary, data binary"))
     left, right = (packed.select("dim", *[F.col(c).alias(f"{c}_{s}") for c in ("block", "ids", "data")]) for s in "ab")
     # the grid of tiles, listed by number first so that every tile is dealt out on its own
