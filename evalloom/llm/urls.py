@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import table
+from .scratch import Scratch, salted_join, sized_broadcast, table
 
 #: (verdict, host and path); a rule covers its host and all subdomains, paths by prefix.
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
@@ -46,7 +46,7 @@ def rule_for(host: Column, path: Column, rules=RULES) -> Column:
 
 
 def reputation(outcomes: DataFrame, params: Reputation = Reputation()) -> DataFrame:
-    """(host, n_good, n_all, mean, bound) from labelled outcomes ``(host, good 0/1 or null)`` of pages.
+    """(host, pages, n_good, n_all, mean, bound) from labelled outcomes ``(host, good 0/1 or null)`` of pages.
 
     Hosts shrink to their registered domain (last two labels), domains to their suffix (last label),
     suffixes to the overall rate, each as a beta-binomial: the prior's mean is the parent's posterior
@@ -54,8 +54,9 @@ def reputation(outcomes: DataFrame, params: Reputation = Reputation()) -> DataFr
     by host before anything is joined; a host without labelled pages gets its parent's mean.
     """
     p = params
-    host = outcomes.groupBy("host").agg(F.sum(F.coalesce(F.col("good"), F.lit(0))).cast("double").alias("g"), F.count("good").cast("double").alias("n"))
-    host = host.withColumns({"domain": F.substring_index("host", ".", -2), "suffix": F.substring_index("host", ".", -1)})
+    scratch = Scratch(outcomes.sparkSession, "hosts")
+    host = outcomes.groupBy("host").agg(F.sum(F.coalesce(F.col("good"), F.lit(0))).cast("double").alias("g"), F.count("good").cast("double").alias("n"), F.count(F.lit(1)).alias("pages"))
+    host = scratch.pin(host).withColumns({"domain": F.substring_index("host", ".", -2), "suffix": F.substring_index("host", ".", -1)})
 
     def up(df: DataFrame, *keys: str) -> DataFrame:
         return df.groupBy(*keys).agg(F.sum("g").alias("g"), F.sum("n").alias("n"))
@@ -76,21 +77,25 @@ def reputation(outcomes: DataFrame, params: Reputation = Reputation()) -> DataFr
         return m.select(F.least(F.greatest(s, F.lit(p.least_strength)), F.lit(p.most_strength)).alias("strength"))
 
     domain, suffix = up(host, "domain", "suffix"), up(host, "suffix")
+    hosts = host.groupBy("domain").agg(F.count(F.lit(1)).alias("hosts"))
     overall = suffix.agg(((F.coalesce(F.sum("g"), F.lit(0.0)) + 1) / (F.coalesce(F.sum("n"), F.lit(0.0)) + 2)).alias("mean"))
 
     def shrink(child: DataFrame, parent: DataFrame, on: list[str]) -> DataFrame:
         s = F.broadcast(strength(child))  # one row
-        got = child.join(parent, on) if on else child.join(F.broadcast(parent))
+        if on == ["domain"]:  # a domain may have very many hosts
+            got = salted_join(child, parent, on, "hosts", ["host"])
+        else:  # suffixes are few
+            got = child.join(sized_broadcast(parent, 100_000), on) if on else child.join(F.broadcast(parent))
         got = got.join(s)
         a = F.col("g") + F.col("strength") * F.col("mean")
         n = F.col("n") + F.col("strength")
         return got.withColumns({"a": a, "ab": n}).withColumn("mean", F.col("a") / F.col("ab"))
 
-    at_suffix = shrink(suffix, overall, []).select("suffix", "mean")
-    at_domain = shrink(domain, at_suffix, ["suffix"]).select("domain", "mean")
+    at_suffix = scratch.pin(shrink(suffix, overall, []).select("suffix", "mean"))
+    at_domain = scratch.pin(shrink(domain, at_suffix, ["suffix"]).select("domain", "mean").join(hosts, "domain"))
     at_host = shrink(host, at_domain, ["domain"])
     sd = F.sqrt(F.col("mean") * (1 - F.col("mean")) / (F.col("ab") + 1))
-    return at_host.select("host", F.col("g").cast("long").alias("n_good"), F.col("n").cast("long").alias("n_all"), "mean", (F.col("mean") - F.lit(p.z) * sd).alias("bound"))
+    return at_host.select("host", "pages", F.col("g").cast("long").alias("n_good"), F.col("n").cast("long").alias("n_all"), "mean", (F.col("mean") - F.lit(p.z) * sd).alias("bound"))
 
 
 def judge(pages: DataFrame, rules=RULES, params: Reputation = Reputation()) -> DataFrame:
@@ -99,14 +104,15 @@ def judge(pages: DataFrame, rules=RULES, params: Reputation = Reputation()) -> D
     A rule's verdict stands; a page that no rule fits is allowed if its host's posterior lower bound
     reaches the floor. The labelled outcomes are the rules' own verdicts. A null url, or one without
     ``://``, has an empty host and path and is judged by the overall rate. Columns of ``pages`` other
-    than ``page_id`` and ``url`` are not read.
+    than ``page_id`` and ``url`` are not read; repeated rows are judged each; an empty table gives none.
     """
     host, path = host_of(F.col("url")), path_of(F.col("url"))
-    p = pages.select("page_id", "url").withColumns({"host": host, "path": path}).drop("url")
+    p = pages.select("page_id", "url").withColumns({"host": host, "path": path})
     p = p.withColumn("_rule", rule_for(F.col("host"), F.col("path"), rules))
     seen = reputation(p.select("host", (F.col("_rule.verdict") == "allow").cast("int").alias("good")), params)
     verdict = F.coalesce(F.col("_rule.verdict"), F.when(F.col("bound") >= params.floor, F.lit("allow")).otherwise(F.lit("block")))
-    return p.join(seen, "host").select("page_id", "host", "path", F.col("_rule.rule").alias("rule"), verdict.alias("verdict"), F.round("mean", 6).alias("mean"), F.round("bound", 6).alias("bound"))
+    seen = Scratch(pages.sparkSession, "seen").pin(seen.select("host", "pages", "mean", "bound"))
+    return salted_join(p, seen, ["host"], "pages", ["page_id", "url"]).select("page_id", "host", "path", F.col("_rule.rule").alias("rule"), verdict.alias("verdict"), F.round("mean", 6).alias("mean"), F.round("bound", 6).alias("bound"))
 
 
 def op3_url_filter(spark, sf_dir):
