@@ -19,13 +19,21 @@ HEX = re.compile(r"[0-9a-f]+")
 LONG_HEX = re.compile(r"[0-9a-f]{16,}")
 KINDS = ("assign", "access", "hex", "entropy")
 
-_CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
-#: Strings that look random but are not secret: UUIDs, dates and times, runs of one character, plain paths.
+#: A candidate: unbroken characters of the widest class.
+LEAST = 16
+_CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST},}}")
+#: Strings that look random but are not secret: UUIDs, dates and times, runs of one character, rulers and numbers,
+#: paths and names of lower-case words, words in one case and CamelCase names of words of 3 letters or more.
 ALLOW = re.compile(
-    r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|\d{4}-\d\d-\d\d(?:T[\d-]*)?|(.)\1*|[0-9_=+/-]+|(?:/?[a-z]+(?:[-_/][a-z]+)*/?)|[A-Za-z]+"
+    r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|\d{4}-\d\d-\d\d(?:T[\d-]*)?|(.)\1*|[0-9_=+/-]+|(?:/?[a-z]+(?:[-_/][a-z]+)*/?)|[A-Z]+(?:[-_][A-Z]+)*|[a-z]*(?:[A-Z][a-z]{2,})+"
+)
+#: Per character class: its runs of ``LEAST`` or more, window length and least bits a character in a full window;
+#: a run shorter than the window is held to the same share of the most that its length allows.
+CLASSES = (
+    ("hex", re.compile(rf"[0-9a-f]{{{LEAST},}}|[0-9A-F]{{{LEAST},}}"), 20, 2.9),
+    ("alnum", re.compile(rf"[A-Za-z0-9]{{{LEAST},}}"), 20, 3.5),
+    ("base64", re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST},}}"), 24, 3.9),
 )
-#: Per character class: its members, window length and least bits a character.
-CLASSES = (("hex", re.compile(r"[0-9a-fA-F]+"), 20, 2.9), ("alnum", re.compile(r"[A-Za-z0-9]+"), 20, 3.5), ("base64", re.compile(r"[A-Za-z0-9+/_=-]+"), 24, 3.9))
 
 
 def window_entropy(s: str, width: int) -> float:
@@ -55,17 +63,25 @@ def window_entropy(s: str, width: int) -> float:
 
 
 def entropy_spans(text: str) -> list[tuple[int, int]]:
-    """Candidate strings with a window of high entropy in their narrowest character class, less the allowed ones."""
-    out = []
+    """Spans of candidates' runs of a character class whose best window has enough entropy for the class.
+
+    Classes go from the narrowest: a run is looked at only outside what a narrower class has found. A
+    candidate or a run that ``ALLOW`` fits is suppressed whole, whatever its entropy.
+    """
+    out: list[tuple[int, int]] = []
     for m in _CANDIDATE.finditer(text):
-        s = m[0]
+        s, at = m[0], m.start()
         if ALLOW.fullmatch(s):
             continue
-        for _, members, width, bits in CLASSES:
-            if members.fullmatch(s):
-                if len(s) >= width and any(c.isdigit() for c in s) and window_entropy(s, width) >= bits:
-                    out.append(m.span())
-                break
+        found: list[tuple[int, int]] = []
+        for _, runs, width, bits in CLASSES:
+            for r in runs.finditer(s):
+                if any(a < r.end() and r.start() < b for a, b in found) or ALLOW.fullmatch(r[0]):
+                    continue
+                w = min(width, len(r[0]))
+                if window_entropy(r[0], w) * math.log2(width) >= bits * math.log2(w):
+                    found.append(r.span())
+        out += [(at + a, at + b) for a, b in sorted(found)]
     return out
 
 
