@@ -274,9 +274,11 @@ def _collect_counts(boxes: int, cells: int, hot: np.ndarray):
         w, c, n = codes[known] // len(ctx), codes[known] % len(ctx), n[known]
         k = np.bincount(w, minlength=len(words))
         base = np.cumsum(k) - k
-        # numbers of what is known, from 1; 0 is unknown
-        word_no = np.where(k > 0, np.cumsum(k > 0), 0)
-        pair_no = np.where(known, np.cumsum(known) - base[codes // len(ctx)], 0)
+        # numbers of what is known, from 1; 0 is unknown. Hot words follow the box's own, as other boxes may know
+        # what this slice doesn't; their pairs are numbered from the box's first
+        at = _find(hot, words)
+        word_no = np.where(at >= 0, (k > 0).sum() + 1 + at, np.where(k > 0, np.cumsum(k > 0), 0))
+        pair_no = np.where(known, np.cumsum(known) - np.where(at >= 0, 0, base)[codes // len(ctx)], 0)
         met = np.bincount(c, minlength=len(ctx)) > 0
         c, ctx, words, k = (np.cumsum(met) - 1)[c], ctx[met], words[k > 0], k[k > 0]
         yield b, STATE, b, pack(words, _small(k), ctx, _small(c), _small(n))
@@ -492,7 +494,7 @@ def _sweep(m: Model, boxes: int, cells: int, d: float, parent: _Parent, salt: in
     return read
 
 
-def _answers(samples: int, hot: np.ndarray, hot_rows: np.ndarray):
+def _answers(samples: int, hot_rows: np.ndarray):
     """A box's answers to the chunks: pairs' counts and tables, words' counts and tables in both restaurants.
 
     ``hot_rows`` has these of the hot words, a column each.
@@ -505,20 +507,19 @@ def _answers(samples: int, hot: np.ndarray, hot_rows: np.ndarray):
         k, n = k.astype(np.int64), n.astype(np.int64)
         _, _, _, sums, *kept = unpack(mail[WORDS][0]["data"])
         count = np.bincount(np.repeat(np.arange(len(words)), k), n, minlength=len(words))
-        row = np.zeros((1 + 3 * samples, len(words) + 1), np.int64)
-        row[0, 1:] = count
+        row = np.zeros((1 + 3 * samples, len(words)), np.int64)
+        row[0] = count
         for j in range(samples):
-            row[1 + j, 1:], row[1 + samples + j, 1:] = kept[2 * j], kept[2 * j + 1]
+            row[1 + j], row[1 + samples + j] = kept[2 * j], kept[2 * j + 1]
         if OWN in mail:
             ctx = unpack(mail[OWN][0]["data"])[0]  # of one cell
             at = _find(ctx, words >> _SHORT)
             for j, r in enumerate(mail[TABLES]):
-                row[1 + 2 * samples + j, 1:] = np.where(at >= 0, unpack(r["data"])[0][at].astype(np.int64), 0)
-        at = _find(hot, words)
-        row[:, 1:][:, at >= 0] = hot_rows[:, at[at >= 0]]
+                row[1 + 2 * samples + j] = np.where(at >= 0, unpack(r["data"])[0][at].astype(np.int64), 0)
+        row = np.concatenate((np.zeros((len(row), 1), np.int64), row, hot_rows), axis=1)
         t = np.ones(len(n), np.int64) * samples
         t[n > 1] = sums
-        base = np.concatenate(([0], np.cumsum(k) - k))
+        base = np.concatenate(([0], np.cumsum(k) - k, np.zeros(hot_rows.shape[1], np.int64)))
         for r in mail[ASKED]:
             word, size, pair, place = unpack(r["data"])
             word, pair = word.astype(np.int64), pair.astype(np.int64)
@@ -641,7 +642,7 @@ def score_documents(docs: DataFrame, train: Column, model: Model = Model()) -> D
 
     hot_rows = np.array([hot_count, *(p.hot_customers for p in parents), *(p.hot_tables for p in parents), *hot_tables], np.int64).reshape(1 + 3 * m.samples, len(hot))
     reads = [of(counted, STATE, ASKED), of(words, WORDS), of(first, OWN), *([tables] if tables else [])]
-    answers = scratch.pin(_deliver(boxes, _answers(m.samples, hot, hot_rows), *reads))
+    answers = scratch.pin(_deliver(boxes, _answers(m.samples, hot_rows), *reads))
     scratch.keep(packed, answers)
     none = F.lit(None).cast("array<long>").alias("ids")
     both = packed.select(F.col("chunk").alias("of"), F.lit(CHUNK).alias("kind"), "ids", F.col("body").alias("data")).unionByName(answers.select("of", "kind", none, "data"))
