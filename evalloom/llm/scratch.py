@@ -136,8 +136,9 @@ def sized_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
-#: A key with more than this share of the rows is hot; so there are at most as many hot keys.
-HOT_SHARE, SALTS = 1000, 64
+#: A key with more than this share of the rows is hot, so there are at most as many hot keys; fewer rows than
+#: ``HOT_LEAST`` are no load for a task.
+HOT_SHARE, HOT_LEAST, SALTS = 1000, 500, 64
 
 
 def salted_join(rows: DataFrame, unique: DataFrame, on: list[str], n: str, salt_by: list[str]) -> DataFrame:
@@ -146,8 +147,11 @@ def salted_join(rows: DataFrame, unique: DataFrame, on: list[str], n: str, salt_
     Keys with more than 1 / ``HOT_SHARE`` of all these rows, ``HOT_SHARE`` at most, are broadcast: their
     rows never meet in one task. The other keys are joined as usual. ``n`` is dropped.
     """
-    total = unique.agg(F.coalesce(F.sum(n), F.lit(0))).first()[0]
-    hot = F.col(n) * HOT_SHARE > total
+    total, most = unique.agg(F.coalesce(F.sum(n), F.lit(0)), F.max(n)).first()
+    least = max(HOT_LEAST, total // HOT_SHARE)
+    if (most or 0) <= least:
+        return rows.join(unique.drop(n), on)
+    hot = F.col(n) > least
     salt = F.pmod(F.xxhash64(*salt_by), F.lit(SALTS)).cast("int")
     dealt = rows.join(F.broadcast(unique.where(hot).select(*on, F.lit(True).alias("_hot"))), on, "left")
     dealt = dealt.withColumn("_salt", F.when(F.col("_hot"), salt).otherwise(F.lit(0))).drop("_hot")
