@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Model ids that stand for another checkpoint (extend as needed).
-ALIASES: dict[str, str] = {}
+#: Model ids that stand for another checkpoint.
+ALIASES: dict[str, str] = {"qwen3-8b:low": "deepseek-ai/DeepSeek-R1-0528-Qwen3-8B"}
 
 
 def compact_json(*parts: Column) -> Column:
@@ -60,8 +60,12 @@ def numbered(prefix: str, n: Column, width: int = 2) -> Column:
     return F.format_string(f"{prefix}%0{width}d", n)
 
 
-def chat_prompt(user: Column, system: Column | None = None) -> Column:
-    """A plain prompt: system text, if any, a blank line, then the user's."""
+def chat_prompt(user: Column, system: Column | None = None, template: str | None = None) -> Column:
+    """A prompt: by ``template`` with its places {system} and {user}, where there is a system text; else that
+    text, if any, a blank line and the user's."""
+    if template is not None and system is not None:
+        marked = F.replace(F.replace(F.lit(template), F.lit("{system}"), system), F.lit("{user}"), user)
+        return F.when(system.isNull() | (system == ""), user).otherwise(marked)
     return user if system is None else F.when(system.isNull() | (system == ""), user).otherwise(F.concat(system, F.lit("\n\n"), user))
 
 
@@ -70,6 +74,11 @@ def numeric(x: Column) -> Column:
     return x.try_cast("double")
 
 
+def id_union(*ids: Column) -> Column:
+    """The distinct ids of scalar and array columns, sorted; null counts as none."""
+    return F.array_sort(F.array_distinct(F.filter(F.flatten(F.array(*ids)), lambda x: x.isNotNull())))
+
+
 def id_set(value) -> list[int]:
     """The ids of a scalar, a sequence or None, sorted."""
     if value is None:

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 #: The metrics' names in their contractual order.
 METRICS = (
-    "generation_mean_logprob generation_nll generation_perplexity generation_min_logprob generation_max_logprob generation_std_logprob "
-    "generation_mink_logprob generation_mean_prob generation_min_prob generation_mean_entropy generation_std_entropy generation_frac_top1 "
-    "generation_frac_high generation_frac_low"
+    "generation_mean_logprob generation_mean_prob generation_mean_nll generation_ppl generation_min_logprob generation_max_logprob "
+    "generation_std_logprob generation_min_k_logprob generation_mean_entropy generation_mean_top1_prob generation_mean_top2_margin "
+    "generation_frac_selected_is_top1 generation_frac_high_conf_tokens generation_frac_low_conf_tokens"
 ).split()
 
 
@@ -47,19 +47,23 @@ def generation_metrics(steps: DataFrame, key: str, *, low: float = 0.1, high: fl
 
     A response without valid tokens has count 0 and NaN elsewhere. Deviations are population ones. Min-K
     is the mean of the max(1, ceil(n * fraction)) smallest log probabilities; comparisons are inclusive
-    and NaN is never high or low.
+    and NaN is never high or low. A mean log probability that isn't finite has no NLL and no perplexity.
     """
+    if not 0 < fraction <= 1:
+        raise ValueError("fraction must be in (0, 1]")
     v = F.col("valid")
     pick = lambda c: F.when(v, F.col(c))
     share = lambda cond: F.avg(F.when(v, cond.cast("double")))
     p = F.col("prob")
     g = steps.groupBy(key).agg(
         F.count_if(v).alias("generation_num_tokens"), F.avg(pick("log_prob")).alias("_mean"), F.min(pick("log_prob")).alias("_min"), F.max(pick("log_prob")).alias("_max"),
-        F.stddev_pop(pick("log_prob")).alias("_std"), F.sort_array(F.collect_list(pick("log_prob"))).alias("_all"), F.avg(pick("prob")).alias("_mp"), F.min(pick("prob")).alias("_minp"),
-        F.avg(pick("entropy")).alias("_me"), F.stddev_pop(pick("entropy")).alias("_se"), share(F.col("is_top1")).alias("_f1"),
+        F.stddev_pop(pick("log_prob")).alias("_std"), F.sort_array(F.collect_list(pick("log_prob"))).alias("_all"), F.avg(pick("prob")).alias("_mp"),
+        F.avg(pick("entropy")).alias("_me"), F.avg(pick("top1_prob")).alias("_t1"), F.avg(pick("margin")).alias("_t2"), share(F.col("is_top1")).alias("_f1"),
         share(~F.isnan(p) & (p >= high)).alias("_fh"), share(~F.isnan(p) & (p <= low)).alias("_fl"),
     )
     k = F.greatest(F.lit(1), F.ceil(F.size("_all") * F.lit(fraction)).cast("int"))
     mink = F.aggregate(F.slice("_all", F.lit(1), k), F.lit(0.0), lambda a, x: a + x) / F.least(k, F.greatest(F.size("_all"), F.lit(1)))
-    values = [F.col("_mean"), -F.col("_mean"), F.exp(-F.col("_mean")), F.col("_min"), F.col("_max"), F.col("_std"), F.when(F.size("_all") > 0, mink), F.col("_mp"), F.col("_minp"), F.col("_me"), F.col("_se"), F.col("_f1"), F.col("_fh"), F.col("_fl")]
+    finite = ~F.isnan("_mean") & (F.abs("_mean") != float("inf"))
+    nll = F.when(finite, -F.col("_mean"))
+    values = [F.col("_mean"), F.col("_mp"), nll, F.exp(nll), F.col("_min"), F.col("_max"), F.col("_std"), F.when(F.size("_all") > 0, mink), *map(F.col, ("_me", "_t1", "_t2", "_f1", "_fh", "_fl"))]
     return g.select(key, "generation_num_tokens", *[F.coalesce(x, F.lit(float("nan"))).alias(n) for n, x in zip(METRICS, values)])

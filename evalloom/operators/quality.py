@@ -39,6 +39,26 @@ def report(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
     return one.select(F.explode(F.array(*[F.struct(F.lit(k).alias("rule"), F.col(k).alias("violations")) for k in rules])).alias("r")).select("r.*")
 
 
+def class_report(df: DataFrame, group: str, label: str, least: int) -> DataFrame:
+    """(rule, violations): a class that is absent, and classes with fewer groups than ``least``. A group counts
+    for the class of its rows."""
+    per = df.groupBy(F.col(label).alias("_y")).agg(F.count_distinct(group).alias("_n")).where("_y is not null")
+    one = per.agg(F.count(F.lit(1)).alias("k"), F.count_if(F.col("_n") < least).alias("few"))
+    rules = F.array(F.struct(F.lit("absent_class").alias("rule"), F.greatest(2 - F.col("k"), F.lit(0)).cast("long").alias("violations")), F.struct(F.lit("few_groups").alias("rule"), F.col("few").alias("violations")))
+    return one.select(F.explode(rules).alias("r")).select("r.*")
+
+
+def require_classes(df: DataFrame, group: str, label: str, least: int = 1) -> DataFrame:
+    """Both classes, each with at least ``least`` groups, or an error."""
+    require(class_report(df, group, label, least).where("violations > 0"), "classes")
+    return df
+
+
+def null_report(df: DataFrame, *columns: str) -> DataFrame:
+    """(rule, violations): nulls of every column, counted in one pass."""
+    return report(df, {c: F.col(c).isNull() for c in require_columns(df, *columns).columns if c in columns})
+
+
 def in_unit(x: Column) -> Column:
     """A finite number of [0, 1]; null where the value is none."""
     v = x.try_cast("double")

@@ -243,11 +243,17 @@ def token_step_stats(v: Views):
 
 
 _NAN = "coalesce({}, 'nan'::DOUBLE)"
-_MET = dict(zip(T.METRICS, ["avg(log_prob)", "-avg(log_prob)", "exp(-avg(log_prob))", "min(log_prob)", "max(log_prob)", "stddev_pop(log_prob)", "avg(CASE WHEN rn <= greatest(1, ceil(n * 0.2::DOUBLE)) THEN log_prob END)", "avg(exp(log_prob))", "min(exp(log_prob))", "avg(entropy)", "stddev_pop(entropy)", "avg((top1_id = token)::INT)", "avg((exp(log_prob) >= 0.9)::INT)", "avg((exp(log_prob) <= 0.1)::INT)"]))
+_MET = {  # by the contract's names and order, not by the library's list
+    "generation_mean_logprob": "avg(log_prob)", "generation_mean_prob": "avg(exp(log_prob))", "generation_mean_nll": "-avg(log_prob)", "generation_ppl": "exp(-avg(log_prob))",
+    "generation_min_logprob": "min(log_prob)", "generation_max_logprob": "max(log_prob)", "generation_std_logprob": "stddev_pop(log_prob)",
+    "generation_min_k_logprob": "avg(CASE WHEN rn <= greatest(1, ceil(n * 0.2::DOUBLE)) THEN log_prob END)", "generation_mean_entropy": "avg(entropy)",
+    "generation_mean_top1_prob": "avg(top1_prob)", "generation_mean_top2_margin": "avg(margin)", "generation_frac_selected_is_top1": "avg((top1_id = token)::INT)",
+    "generation_frac_high_conf_tokens": "avg((exp(log_prob) >= 0.9)::INT)", "generation_frac_low_conf_tokens": "avg((exp(log_prob) <= 0.1)::INT)",
+}
 _METRIC_SQL = ", ".join(f"round({_NAN.format(x)}, 6) AS {n}" for n, x in _MET.items())
 
 
-@query(f"WITH {STEPS}, ok AS (SELECT *, row_number() OVER (PARTITION BY resp_id ORDER BY log_prob, step) rn, count(*) OVER (PARTITION BY resp_id) n FROM v_step WHERE token NOT IN (0, 9)), m AS (SELECT resp_id, count(*) AS generation_num_tokens, {_METRIC_SQL} FROM ok GROUP BY resp_id) SELECT r.resp_id, coalesce(generation_num_tokens, 0) AS generation_num_tokens, " + ", ".join(f"coalesce({n}, 'nan'::DOUBLE) AS {n}" for n in T.METRICS) + " FROM (SELECT DISTINCT resp_id FROM v_step) r LEFT JOIN m USING (resp_id)")
+@query(f"WITH {STEPS}, ok AS (SELECT *, row_number() OVER (PARTITION BY resp_id ORDER BY log_prob, step) rn, count(*) OVER (PARTITION BY resp_id) n FROM v_step WHERE token NOT IN (0, 9)), m AS (SELECT resp_id, count(*) AS generation_num_tokens, {_METRIC_SQL} FROM ok GROUP BY resp_id) SELECT r.resp_id, coalesce(generation_num_tokens, 0) AS generation_num_tokens, " + ", ".join(f"coalesce({n}, 'nan'::DOUBLE) AS {n}" for n in _MET) + " FROM (SELECT DISTINCT resp_id FROM v_step) r LEFT JOIN m USING (resp_id)")
 def generation_metrics(v: Views):
     s = T.step_stats(v.steps()).withColumn("valid", T.valid_token(F.col("token"), 0, [9]))
     g = T.generation_metrics(s, "resp_id")
@@ -470,3 +476,6 @@ def ml_regressor_oof(v: Views):
     x = VectorAssembler(inputCols=["n", "w"], outputCol="features").transform(d)
     got = selection.out_of_fold(x, "group", "model_is_robust", "features", "target", selection.Candidate("forest", 5, 3))
     return got.select("id", "group", "fold", "target", "prediction")
+
+
+from . import studies  # noqa: E402,F401  registers its queries

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -32,9 +34,7 @@ def local_session(cpus: int = 8, partitions: int = 8, memory: str = "8g") -> Spa
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Send this package to the Python workers of ``spark``, once an application, and bound their batches."""
-    if spark.conf.get(_BATCH) in ("64MB", "67108864b", "67108864"):
-        spark.conf.set(_BATCH, BATCH_BYTES)
+    """Send this package to the Python workers of ``spark``, once an application."""
     app = spark.sparkContext.applicationId
     if app not in _SHIPPED:
         root = Path(__file__).parent
@@ -45,3 +45,20 @@ def ship(spark: SparkSession) -> SparkSession:
         spark.sparkContext.addPyFile(path)
         _SHIPPED.add(app)
     return spark
+
+
+def bound_batches(spark: SparkSession) -> SparkSession:
+    """Bound Arrow batches of a session that has Spark's own bound. This changes the session: callers ask for it."""
+    if spark.conf.get(_BATCH) in ("64MB", "67108864b", "67108864"):
+        spark.conf.set(_BATCH, BATCH_BYTES)
+    return spark
+
+
+def work_dir(spark: SparkSession, name: str) -> str:
+    """A new folder's path below ``spark.checkpoint.dir``, or below a temporary one where that is unset and Spark is local."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not named:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        named = f"file://{tempfile.mkdtemp(prefix='evalloom-')}"
+    return f"{named.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-import os
+import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.keys import compact_json, resolve_alias
-from ..operators.quality import DataQualityError, duplicates, require
+from ..functions.keys import ALIASES, compact_json, resolve_alias
+from ..operators.cache import content_digest
+from ..operators.quality import DataQualityError, conflicts, duplicates, require, require_columns
+from . import files
 
 
 def json_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -60,17 +63,20 @@ def load_labels(spark: SparkSession, path: str) -> DataFrame:
 
 
 def load_predictions(spark: SparkSession, path: str) -> tuple[DataFrame, int]:
-    """(predictions (_pos, id, is_robust, valid), malformed lines); a missing file has none of either."""
-    if "://" not in path and not os.path.exists(path):
+    """(predictions (_pos, id, is_robust, valid), malformed lines); a missing file has none of either.
+
+    ``is_robust`` and ``valid`` are null unless they are exact booleans: such a prediction covers nothing.
+    """
+    if not files.exists(spark, path):
         return spark.createDataFrame([], "_pos long, id string, is_robust boolean, valid boolean"), 0
-    rows = json_lines(spark, path).select(F.col("line_no").alias("_pos"), "is_object", exact("v", "id", "STRING").alias("id"), exact("v", "is_robust", "BOOLEAN").alias("is_robust"), F.coalesce(exact("v", "valid", "BOOLEAN"), F.lit(True)).alias("valid"))
+    rows = json_lines(spark, path).select(F.col("line_no").alias("_pos"), "is_object", exact("v", "id", "STRING").alias("id"), exact("v", "is_robust", "BOOLEAN").alias("is_robust"), exact("v", "valid", "BOOLEAN").alias("valid"))
     fine = F.col("is_object") & F.coalesce(F.length("id") > 0, F.lit(False))
     bad = rows.where(~fine).count()
     return rows.where(fine).drop("is_object"), bad
 
 
 def read_any(spark: SparkSession, path: str) -> DataFrame:
-    """Parquet, a JSON array or JSON lines, by suffix."""
+    """Parquet, a JSON array or envelope, or JSON lines, by suffix."""
     if path.endswith(".parquet"):
         return spark.read.parquet(path)
     if path.endswith(".jsonl"):
@@ -80,24 +86,89 @@ def read_any(spark: SparkSession, path: str) -> DataFrame:
     raise DataQualityError(f"unknown kind of file: {path}")
 
 
+def read_study(spark: SparkSession, path: str, model: str | None = None) -> DataFrame:
+    """Rows of any kind of file as study rows: typed, with unique ids, no text with two families or labels, and one model."""
+    raw = read_any(spark, path)
+    require_columns(raw, *(["original_problem"] if "original_problem" in raw.columns else ["problem"]), *(["model_is_robust"] if "model_is_robust" in raw.columns else ["is_robust"]))
+    label = raw.schema["model_is_robust" if "model_is_robust" in raw.columns else "is_robust"].dataType.simpleString()
+    if label != "boolean":
+        raise DataQualityError(f"labels must be booleans, not {label}")
+    r = normalise_study_rows(raw.withColumn("_pos", F.monotonically_increasing_id()) if "_pos" not in raw.columns else raw)
+    blank = F.coalesce(F.trim("problem") == "", F.lit(True)) | F.col("is_robust").isNull() | F.coalesce(F.col("family_id") == "", F.lit(True))
+    require(r.where(blank).select("id"), "rows without problem, label or family")
+    require(duplicates(r, "id"), "repeated ids")
+    require(conflicts(r, ["problem"], ["family_id", "is_robust"]), "texts with two families or labels")
+    models = r.where(F.col("model_id") != "").select("model_id").distinct().limit(3).collect()
+    wanted = {ALIASES.get(m, m) for m in [model, *[x["model_id"] for x in models]] if m}
+    if len(wanted) > 1:
+        raise DataQualityError(f"several models: {sorted(wanted)}")
+    if r.isEmpty():
+        raise DataQualityError("no rows")
+    return r
+
+
 def unwrap(df: DataFrame) -> DataFrame:
-    """Rows of a ``{"rows":[{"row":{...}}]}`` envelope; other tables as they are. Partial envelopes are refused."""
+    """Rows of a ``{"rows":[{"row":{...}}]}`` envelope, checked; other tables as they are. Partial envelopes are refused."""
     if "rows" not in df.columns:
         return df
+    kind = df.schema["rows"].dataType.simpleString()
+    if not kind.startswith("array<struct<") or "row:struct<" not in kind:
+        raise DataQualityError(f"rows must be an array of objects with an object row, not {kind}")
     if "partial" in df.columns:
         require(df.where(F.col("partial")).select("partial"), "partial pages")
+    require(df.where(F.col("rows").isNull() | F.exists("rows", lambda r: r["row"].isNull())).select(F.size("rows").alias("rows")), "malformed rows")
     return df.select(F.explode("rows").alias("r")).select("r.row.*")
 
 
 def read_pages(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """All rows of local page files in order: totals must agree and be met."""
-    pages = spark.read.option("multiLine", True).json(sorted(paths))
-    t = pages.agg(F.count_distinct("num_rows_total").alias("k"), F.max("num_rows_total").alias("n"), F.sum(F.size("rows")).alias("got")).first()
-    if t["k"] != 1:
+    """All rows of page files in the order given, with ``_pos`` from 0: page i starts where those before it end.
+
+    Totals must be whole numbers of at least 0, agree and be met; a page without rows before the last row
+    has come is an early end; partial pages are refused.
+    """
+    order = spark.createDataFrame(list(enumerate(paths)), "page long, path string")
+    name = F.regexp_replace("path", r"^file:/*", "/")
+    raw = spark.read.option("multiLine", True).json(list(paths)).withColumn("path", F.col("_metadata.file_path"))
+    pages = raw.withColumn("path", name).join(F.broadcast(order.withColumn("path", name)), "path")  # a row a page
+    require_columns(pages, "rows", "num_rows_total")
+    t = pages.select("page", "num_rows_total", F.size("rows").alias("n")).orderBy("page").collect()
+    totals = {r["num_rows_total"] for r in t}
+    if len(totals) != 1:
         raise DataQualityError("the total changed between pages")
-    if t["got"] != t["n"]:
-        raise DataQualityError(f"{t['got']} rows of {t['n']}")
-    return unwrap(pages)
+    total = totals.pop()
+    if not isinstance(total, int) or total < 0:
+        raise DataQualityError("the total is no number of rows")
+    start, at = {}, 0
+    for r in t:
+        if r["n"] <= 0 and at < total:
+            raise DataQualityError("pages ended before all rows had come")
+        start[r["page"]], at = at, at + max(r["n"], 0)
+    if at != total:
+        raise DataQualityError(f"{at} rows of {total}")
+    unwrap(pages.drop("page", "path"))  # its checks
+    starts = spark.createDataFrame(list(start.items()), "page long, _start long")
+    rows = pages.join(F.broadcast(starts), "page").select("_start", F.posexplode("rows").alias("_i", "r"))
+    return rows.select((F.col("_start") + F.col("_i")).alias("_pos"), "r.row.*")
+
+
+def split_files(spark: SparkSession, folder: str, split: str) -> DataFrame:
+    """The union of ``{split}-*.parquet`` of a folder, with the files' place by name in ``_file``."""
+    found = [n for n in files.names(spark, folder) if n.startswith(f"{split}-") and n.endswith(".parquet")]
+    if not found:
+        raise DataQualityError(f"no files of split {split}")
+    df = spark.read.parquet(*[f"{folder}/{n}" for n in found])
+    place = spark.createDataFrame(list(enumerate(found)), "_file long, _name string")
+    top = F.regexp_extract(F.col("_metadata.file_path"), rf"/({split}-[^/]*\.parquet)(?:/|$)", 1)
+    return df.withColumn("_name", top).join(F.broadcast(place), "_name").drop("_name")
+
+
+def verified(read: Callable[[], DataFrame], *columns: str) -> DataFrame:
+    """A source read twice: the digests of both reads must agree."""
+    first, again = read(), read()
+    one, two = (content_digest(df, *(columns or df.columns)).first() for df in (first, again))
+    if one != two:
+        raise DataQualityError("the source changed between two reads")
+    return again
 
 
 def first_source(*readers) -> DataFrame:
@@ -132,8 +203,14 @@ def parquet_shards(spark: SparkSession, path: str) -> DataFrame:
 
 
 def directory_bytes(spark: SparkSession, path: str) -> DataFrame:
-    """(path, length, sha256) of all files below a folder but hidden ones."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length", F.sha2("content", 256).alias("sha256"))
+    """(path below the folder, length, sha256) of all files but hidden and compiled ones, by path; none is an error."""
+    df = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    below = F.regexp_extract("path", rf"^.*?{re.escape(path.rstrip('/').rpartition('://')[2].lstrip('/'))}/(.*)$", 1)
+    df = df.select(below.alias("path"), "length", F.sha2("content", 256).alias("sha256"))
+    df = df.where(~F.col("path").rlike(r"(^|/)__pycache__/|\.py[co]$|(^|/)\.[^/]*$"))
+    if df.isEmpty():
+        raise DataQualityError(f"no files in {path}")
+    return df.orderBy("path")
 
 
 def string_list(x: Column) -> Column:

@@ -5,20 +5,25 @@ from __future__ import annotations
 import json
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import files
+
 
 def write_json(path: str, record: dict) -> None:
-    """One record, written beside its place and renamed."""
+    """One record with sorted keys, written beside its place and moved over it; ``path`` may be in any store."""
+    text = json.dumps(record, sort_keys=True, ensure_ascii=False) + "\n"
+    if "://" in path:
+        return files.write_text(SparkSession.getActiveSession(), path, text)
     folder = os.path.dirname(os.path.abspath(path))
     os.makedirs(folder, exist_ok=True)
     fd, tmp = tempfile.mkstemp(dir=folder, prefix=".", suffix=".tmp")
     try:
         with os.fdopen(fd, "w", encoding="utf-8") as f:
-            json.dump(record, f, sort_keys=True, ensure_ascii=False)
-            f.write("\n")
+            f.write(text)
         os.replace(tmp, path)
     except BaseException:
         os.unlink(tmp)
@@ -45,9 +50,25 @@ def write_dataset(cases: DataFrame, labels: DataFrame, metadata: dict, path: str
     write_json(f"{path}/metadata.json", metadata)
 
 
-def write_split(rows: DataFrame, split: DataFrame, group: str, path: str) -> None:
-    """``train`` and ``validation`` folders by one partitioned write; the target must be new."""
+def write_split(rows: DataFrame, split: DataFrame, group: str, path: str, **settings) -> None:
+    """``train`` and ``validation`` folders of JSON lines by one partitioned write, and ``split.json`` with the
+    settings and each side's groups; the target must be new. The groups' list is small by nature."""
     rows.join(split, group).write.partitionBy("split").mode("errorifexists").json(path)
+    sides = {r["split"]: sorted(r["groups"]) for r in split.groupBy("split").agg(F.collect_set(F.col(group).cast("string")).alias("groups")).collect()}
+    write_json(f"{path}/split.json", settings | {f"{k}_groups": v for k, v in sides.items()})
+
+
+def write_parquet(df: DataFrame, path: str) -> None:
+    """Written beside its place and moved over it: a failed write leaves what was there."""
+    spark, aside = df.sparkSession, f"{path}.{uuid.uuid4().hex[:8]}.tmp"
+    try:
+        df.write.parquet(aside)
+        if files.exists(spark, path):
+            files.delete(spark, path)
+        files.rename(spark, aside, path)
+    except BaseException:
+        files.delete(spark, aside)
+        raise
 
 
 def write_requests(payload: DataFrame, path: str) -> None:
