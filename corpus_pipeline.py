@@ -12,18 +12,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalloom.llm import decontaminate, lines, minhash, mixing, toxicity
-from evalloom.llm.scratch import shared_dir, table
-from evalloom.session import ship
+from evalloom.llm.scratch import delete, delete_at_exit, shared_dir, table
+from evalloom.session import bound_batches
+from evalloom.session import ship as shipped
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Workers get the package and batches of a bounded size."""
+    return bound_batches(shipped(spark))
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the pattern grammar, fitted on the labels, doesn't call toxic."""
+    """Documents that the pattern grammar, fitted on the labels, doesn't call toxic. Rows without an id and rows
+    that repeat one are judged by their own texts; null and empty texts stay; all columns are kept."""
     ship(spark)
     return toxicity.remove_toxic(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without lines seen earlier, equal ones of any length; a document that loses all it had goes. n_chars follows the text."""
+    """Texts without lines seen earlier, equal ones of any length; a document that loses all it had goes. n_chars
+    follows the text. Each row loses its own lines, those without an id come last; null and empty texts stay."""
     ship(spark)
     got = lines.dedup_lines(docs, min_exact=1, by_row=True)
     emptied = (F.col("n_removed") > 0) & ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
@@ -35,19 +43,21 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (five-word shingles, 0.8)."""
+    """One document of each group of near duplicates (five-word shingles, 0.8), whatever the rows' ids; null and
+    empty texts stay."""
     ship(spark)
     return minhash.keep_one(docs).select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with less than a twentieth of their words in benchmark windows."""
+    """Documents with less than a twentieth of their words in benchmark windows; each row is judged by its own text."""
     ship(spark)
     return decontaminate.remove_contaminated(docs, table(spark, sf_dir, "benchmark")).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row per copy taken, in mixing order, with ``size, source_size, target, taken, copy``."""
+    """A row per copy taken, in mixing order, with ``size, source_size, target, taken, copy`` (these names are
+    replaced). Rows that repeat an id or have none are taken each; rows without words never are."""
     ship(spark)
     return mixing.mixed_documents(docs)
 
@@ -65,10 +75,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written to the shared folder and read again."""
+    """All stages over ``documents``, each written to the shared folder and read again; an empty table stays empty.
+
+    What a stage wrote goes once the next one is written, the last one's when the driver's Python ends."""
     docs = table(spark, sf_dir, "documents")
     base = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex[:12]}"
+    delete_at_exit(spark, base)
+    before = None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{base}/{name}")
         docs = spark.read.parquet(f"{base}/{name}")
+        if before:
+            delete(spark, f"{base}/{before}")
+        before = name
     return docs
