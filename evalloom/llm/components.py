@@ -12,6 +12,13 @@ def _mins(arcs: DataFrame) -> DataFrame:
     return arcs.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
 
 
+def _stars(arcs: DataFrame) -> bool:
+    """Whether every node has one smaller neighbour that has none itself: then components are told."""
+    ends = arcs.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("up")), F.struct(F.col("v").alias("node"), F.lit(0).alias("up")))).alias("e")).select("e.*")
+    per = ends.groupBy("node").agg(F.sum("up").alias("up"), F.min("up").alias("least"))
+    return per.agg(F.coalesce(F.bool_and((F.col("up") == 0) | ((F.col("up") == 1) & (F.col("least") == 1))), F.lit(True))).first()[0]
+
+
 def connected(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, component) for every node of ``edges(a, b)``; component is the smallest node reached.
 
@@ -19,8 +26,7 @@ def connected(edges: DataFrame, scratch: Scratch) -> DataFrame:
     many links is dealt with by Spark's skew join. Every round is cut off by a written table.
     """
     now = scratch.pin(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    seen = None
-    while True:
+    while not _stars(now):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = both.join(_mins(both), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large = scratch.pin(large)
@@ -29,11 +35,5 @@ def connected(edges: DataFrame, scratch: Scratch) -> DataFrame:
         then = scratch.pin(small)
         scratch.drop(large, now)
         now = then
-        mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.countDistinct("u")).first()
-        if tuple(mark) == seen and mark[0] == mark[2]:
-            break
-        if mark[0] == 0:
-            break
-        seen = tuple(mark)
     stars = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return stars.unionByName(stars.select(F.col("component").alias("node"), "component").distinct())
