@@ -181,12 +181,12 @@ def _with_leaders(pairs: DataFrame, of: DataFrame, scratch: Scratch) -> DataFram
 
 
 def _contract(comp: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
-    """``comp(rep, comp)`` with the components that ``links(a, b)`` join made one."""
+    """``comp(rep, met, comp)`` with the components that ``links(a, b)`` join made one."""
     ca = comp.select(F.col("rep").alias("a"), F.col("comp").alias("ca"))
     cb = comp.select(F.col("rep").alias("b"), F.col("comp").alias("cb"))
     joined = links.join(ca, "a").join(cb, "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
     moved = connected(joined, scratch).withColumnRenamed("node", "comp")
-    return scratch.pin(comp.join(moved, "comp", "left").select("rep", F.coalesce("component", "comp").alias("comp")))
+    return scratch.pin(comp.join(moved, "comp", "left").select("rep", "met", F.coalesce("component", "comp").alias("comp")))
 
 
 def tile_forest(comp: np.ndarray, sig: np.ndarray, sets: list[np.ndarray], p: Near) -> list[tuple[int, int]]:
@@ -263,7 +263,7 @@ def near_duplicates(docs: DataFrame, params: Near = Near()) -> DataFrame:
 
     Documents with one shingle set are one class from the start, so copies never meet as pairs. Class
     representatives that share a band are candidates. In each bucket all members are first compared with
-    one leader, for ``star_rounds`` rounds: links contract components, and a leader that met all others
+    one leader, the member that meets most others in all its buckets, for ``star_rounds`` rounds: links contract components, and a leader that met all others
     leaves its bucket. A group around one text so costs its size. Buckets that still hold two components are
     compared in full, in tiles of about twice ``tile`` rows that return spanning forests.
 
@@ -281,21 +281,22 @@ def near_duplicates(docs: DataFrame, params: Near = Near()) -> DataFrame:
     classes = real.groupBy(*same).agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n"))
     member = scratch.pin(salted_join(real.select("doc_id", *same), scratch.pin(classes), same, "n", ["doc_id"]).select("doc_id", "rep").distinct())
     reps = real.join(member.where("doc_id = rep").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id", "f1"])
-    signed_sizes = scratch.pin(reps.select("doc_id", "n_shingles"))
-    reps = scratch.pin(reps.select(F.col("doc_id").alias("rep"), "bands", "sig"))
-    keys = reps.select("rep", F.explode("bands").alias("key"))
-    shared = keys.groupBy("key").agg(F.min("rep").alias("a"), F.max("rep").alias("z"), F.count(F.lit(1)).alias("n")).where("a < z").select("key", "n")
+    reps = scratch.pin(reps.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("size"), "bands", "sig"))
+    keys = reps.select("rep", "size", F.explode("bands").alias("key"))
+    shared = keys.groupBy("key").agg(F.min("rep").alias("a"), F.max("rep").alias("z"), F.count(F.lit(1)).alias("n")).where("a < z").select("key", "n", F.col("n").alias("others"))
     buckets = scratch.pin(salted_join(keys, scratch.pin(shared), ["key"], "n", ["rep"]))
-    in_play = scratch.pin(buckets.select("rep").distinct())
+    # a text in the middle of a group meets the most others: such lead first
+    in_play = scratch.pin(buckets.groupBy("rep").agg(F.sum("others").alias("met")))
+    buckets = buckets.drop("others")
 
     # texts of candidates only
-    play = sized_broadcast(in_play, 200_000)
+    play = sized_broadcast(in_play.select("rep"), 200_000)
     texts = src.join(play.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
     sets = texts.mapInArrow(_set_maker(p.shingle), "rep long, items array<long>")
     sets = scratch.pin(sets)
     sigs = scratch.pin(reps.join(in_play, "rep", "left_semi").select("rep", "sig"))
 
-    comp = scratch.pin(in_play.select("rep", F.col("rep").alias("comp")))
+    comp = in_play.withColumn("comp", F.col("rep"))
     several = member.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a < b")
     several = scratch.pin(several.select("a", "b"))
     for _ in range(p.star_rounds):
@@ -304,7 +305,7 @@ def near_duplicates(docs: DataFrame, params: Near = Near()) -> DataFrame:
         scratch.drop(bc)
         if live.isEmpty():
             break
-        lead = live.groupBy("key").agg(F.min(F.struct("rep", "comp")).alias("l"), F.count(F.lit(1)).alias("n"))
+        lead = live.groupBy("key").agg(F.min(F.struct(-F.col("met"), "rep", "comp")).alias("l"), F.count(F.lit(1)).alias("n"))
         lead = scratch.pin(lead.select("key", F.col("l.rep").alias("lead"), F.col("l.comp").alias("lcomp"), "n"))
         pairs = salted_join(live, lead, ["key"], "n", ["rep"]).where("comp <> lcomp").select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b"))
         pairs = scratch.pin(pairs.distinct())
@@ -316,25 +317,24 @@ def near_duplicates(docs: DataFrame, params: Near = Near()) -> DataFrame:
         inter = F.size(F.array_intersect("items_a", "items_b"))
         new = both.where(100 * inter >= p.percent * (F.size("items_a") + F.size("items_b") - inter)).select("a", "b").distinct()
         comp = _contract(comp, scratch.pin(new), scratch)
-        buckets = scratch.pin(live.select("key", "rep").join(lead.select("key", F.col("lead").alias("rep")), ["key", "rep"], "left_anti"))
+        buckets = scratch.pin(live.select("key", "rep", "size").join(lead.select("key", F.col("lead").alias("rep")), ["key", "rep"], "left_anti"))
         scratch.drop(live, lead, likely)
     # what is still open: all members against each other, in tiles that return spanning forests
     bc = scratch.pin(buckets.join(comp, "rep"))
     live = scratch.pin(_open_buckets(bc, scratch))
     if not live.isEmpty():
         # a side of a tile has about ``tile`` rows and ``tile_items`` shingles, whatever the texts' lengths
-        sized = live.join(signed_sizes.withColumnRenamed("doc_id", "rep"), "rep")
-        many = F.greatest(F.ceil(F.count(F.lit(1)) / p.tile), F.ceil(F.sum("n_shingles") / p.tile_items))
-        size = scratch.pin(sized.groupBy("key").agg(many.cast("int").alias("nb"), F.count(F.lit(1)).alias("n")))
-        placed = salted_join(live, size, ["key"], "n", ["rep"]).withColumn("i", F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int"))
+        many = F.greatest(F.ceil(F.count(F.lit(1)) / p.tile), F.ceil(F.sum("size") / p.tile_items))
+        blocks = scratch.pin(live.groupBy("key").agg(many.cast("int").alias("nb"), F.count(F.lit(1)).alias("n")))
+        placed = salted_join(live, blocks, ["key"], "n", ["rep"]).withColumn("i", F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int"))
         tiled = placed.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select("key", F.least("i", "k").alias("ti"), F.greatest("i", "k").alias("tj"), "rep", "comp")
-        tiled = tiled.join(sigs, "rep").join(sets, "rep").select("key", "ti", "tj", "rep", "comp", "sig", "items")
+        tiled = tiled.join(sets.join(sigs, "rep"), "rep").select("key", "ti", "tj", "rep", "comp", "sig", "items")
         tiled = tiled.repartition("key", "ti", "tj").sortWithinPartitions("key", "ti", "tj")
         comp = _contract(comp, scratch.pin(tiled.mapInArrow(_tiler(p), "a long, b long").distinct()), scratch)
     # class, then component of its representative; rows sharing an id but not a text tie classes together
     ties = several.join(comp.select(F.col("rep").alias("a"), F.col("comp").alias("ca")), "a", "left").join(comp.select(F.col("rep").alias("b"), F.col("comp").alias("cb")), "b", "left")
     tied = connected(ties.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")), scratch).select(F.col("node").alias("comp"), F.col("component").alias("tied"))
-    of = member.join(comp, "rep", "left").withColumn("comp", F.coalesce("comp", "rep")).join(tied, "comp", "left")
+    of = member.join(comp.drop("met"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep")).join(tied, "comp", "left")
     of = of.groupBy("doc_id").agg(F.min(F.coalesce("tied", "comp")).alias("component_id"))
     out = signed.select("doc_id", "n_shingles").join(of, "doc_id", "left")
     cid = F.coalesce("component_id", "doc_id")
