@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import work_dir
+
 
 def run_batches(cases: DataFrame, predict: Callable[[str, list[str]], list[bool]]) -> DataFrame:
     """(id, is_robust, valid): ``predict(model_id, problems)`` once for each model, with all its problems.
@@ -92,9 +94,13 @@ def majority_baseline(train: DataFrame, test: DataFrame, label: str) -> DataFram
 
 def numbered_in_order(df: DataFrame, *order: str, out: str = "pos") -> DataFrame:
     """Global positions from 0 by a unique order. Rows are sorted in ranges and each range adds the sizes
-    before it, so no task holds more than its range."""
+    before it, so no task holds more than its range. Names starting with ``_`` are reserved."""
     t = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
-    t = t.withColumns({"_part": F.shiftright("_id", 33), "_at": F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))}).persist()
+    t = t.withColumns({"_part": F.shiftright("_id", 33), "_at": F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))}).drop("_id")
+    # ranges are drawn from a sample anew each time, so the table is written once
+    path = work_dir(df.sparkSession, "ordered")
+    t.write.parquet(path)
+    t = df.sparkSession.read.schema(t.schema).parquet(path)
     sizes = t.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     starts = sizes.select("_part", (F.sum("_n").over(W.orderBy("_part")) - F.col("_n")).alias("_before"))  # a row a partition
-    return t.join(F.broadcast(starts), "_part").withColumn(out, F.col("_before") + F.col("_at")).drop("_id", "_part", "_at", "_before")
+    return t.join(F.broadcast(starts), "_part").withColumn(out, F.col("_before") + F.col("_at")).drop("_part", "_at", "_before")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
 import re
 import tempfile
@@ -11,6 +13,9 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+from .sources.files import delete
+
+_MADE: set[tuple[SparkSession, str]] = set()
 _SHIPPED: set[str] = set()
 
 #: Bytes of an Arrow batch to Python, where the session has Spark's own 64 MB: a batch is held on both sides.
@@ -55,10 +60,22 @@ def bound_batches(spark: SparkSession) -> SparkSession:
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
-    """A new folder's path below ``spark.checkpoint.dir``, or below a temporary one where that is unset and Spark is local."""
+    """A new folder's path below ``spark.checkpoint.dir``, or below a temporary one where that is unset and Spark is local.
+    It goes when the driver's Python ends."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not named:
         if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         named = f"file://{tempfile.mkdtemp(prefix='evalloom-')}"
-    return f"{named.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{named.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    if not _MADE:
+        atexit.register(_delete_made)
+    _MADE.add((spark, path))
+    return path
+
+
+def _delete_made() -> None:
+    for spark, path in _MADE:
+        with contextlib.suppress(Exception):  # the JVM may have gone first
+            if spark.sparkContext._jsc is not None:
+                delete(spark, path)
