@@ -160,8 +160,10 @@ def dedup_lines(docs: DataFrame, *, by_row: bool = False, **params) -> DataFrame
     scratch.keep(per)
     got = docs.join(per.hint("merge"), key, "left")  # one strategy at every size
     all_ = split_lines(F.col("text"))
-    kept = F.filter(F.transform(all_, lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda s: ~F.array_contains(F.col("_ln_gone"), s["i"]))
-    text = F.when(F.col("_ln_gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda s: s["x"]), "\n"))
+    # bound once, so that neither the lines nor those gone are looked at again for each line
+    bound = F.array(F.struct(all_.alias("lines"), F.col("_ln_gone").alias("gone")))
+    kept = F.transform(bound, lambda b: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(b["lines"]) - 1), b["gone"]), lambda i: F.get(b["lines"], i)), "\n"))[0]
+    text = F.when(F.col("_ln_gone").isNull(), F.col("text")).otherwise(kept)
     got = got.withColumns({"n_lines": F.size(all_).cast("long"), "n_removed": F.when(F.col("text").isNotNull(), F.coalesce(F.size("_ln_gone"), F.lit(0))).cast("long"), "text": text})
     return got.select(*kept_columns, "n_lines", "n_removed")
 
