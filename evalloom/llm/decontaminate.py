@@ -294,3 +294,18 @@ def op5_decontaminate(spark, sf_dir):
     c = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     ids = F.array_join(F.array_sort(F.transform("items", lambda i: i.cast("string"))), ",")
     return c.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(ids, 256).alias("items_sha256"), contaminated(F.col("n_hit"), F.col("n_words")).alias("contaminated"), "longest")
+
+
+SQL = r"""
+WITH a AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce("text", ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce("text", ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark WHERE item_id IS NOT NULL),
+q AS (SELECT item_id, ix, least(13, len(ws)) AS n, ws[ix + 1 : ix + least(13, len(ws))] AS w FROM (SELECT *, unnest(range(greatest(1, len(ws) - 12))) AS ix FROM b WHERE len(ws) > 0)),
+p AS (SELECT r, ix, n, ws[ix + 1 : ix + n] AS w FROM (SELECT r, ws, n, unnest(range(greatest(0, len(ws) - n + 1))) AS ix FROM a, (SELECT DISTINCT n FROM q))),
+m AS (SELECT p.r, q.item_id, p.ix AS p, q.ix AS q, q.n FROM p JOIN q ON p.n = q.n AND p.w = q.w),
+i AS (SELECT r, item_id, n, count(*) + any_value(n) - 1 AS words FROM (SELECT *, p - row_number() OVER (PARTITION BY r, item_id, p - q ORDER BY p) AS k FROM (SELECT DISTINCT * FROM m)) GROUP BY r, item_id, p - q, k, n),
+h AS (SELECT r, count(DISTINCT x) AS n_hit FROM (SELECT r, unnest(range(p, p + n)) AS x FROM m) GROUP BY r),
+o AS (SELECT r, count(DISTINCT item_id) AS n_items, array_to_string(list_sort(list_distinct(list(CAST(item_id AS VARCHAR)))), ',') AS ids FROM m GROUP BY r),
+x AS (SELECT r, max(words) AS longest FROM i GROUP BY r)
+SELECT doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit > 0 AND 20 * n_hit >= len(ws), false) AS contaminated, coalesce(longest, 0) AS longest
+FROM a LEFT JOIN h USING (r) LEFT JOIN o USING (r) LEFT JOIN x USING (r)
+"""

@@ -367,3 +367,19 @@ def keep_one(docs: DataFrame, params: Near = Near()) -> DataFrame:
 def op9_minhash(spark, sf_dir):
     """All documents with three-word shingles at 0.85."""
     return near_duplicates(table(spark, sf_dir, "documents"), Near(shingle=3, percent=85))
+
+
+SQL = r"""
+WITH RECURSIVE a AS (SELECT doc_id, regexp_extract_all(translate(coalesce("text", ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(ws[ix : ix + 2], ' ') AS x FROM (SELECT *, unnest(range(1, greatest(1, len(ws) - 2) + 1)) AS ix FROM a WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT md5(string_agg(x, chr(10) ORDER BY x)) AS k, min(doc_id) AS rep, doc_id FROM s GROUP BY doc_id),
+g AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY k) AS rep FROM c),
+j AS (SELECT p.doc_id AS u, q.doc_id AS v, count(*) AS i FROM s p JOIN s q ON p.x = q.x AND p.doc_id < q.doc_id WHERE p.doc_id IN (SELECT rep FROM g) AND q.doc_id IN (SELECT rep FROM g) GROUP BY ALL),
+l AS (SELECT u, v FROM j JOIN n a ON a.doc_id = u JOIN n b ON b.doc_id = v WHERE 100 * i >= 85 * (a.n + b.n - i)),
+e AS (SELECT u, v FROM l UNION ALL SELECT v, u FROM l),
+r(v, w) AS (SELECT DISTINCT rep, rep FROM g UNION SELECT r.v, e.v FROM r JOIN e ON e.u = r.w),
+m AS (SELECT v AS rep, min(w) AS component FROM r GROUP BY v),
+o AS (SELECT doc_id, component FROM g JOIN m USING (rep))
+SELECT doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(component, doc_id) AS component_id, coalesce(component, doc_id) = doc_id AS kept FROM a LEFT JOIN n USING (doc_id) LEFT JOIN o USING (doc_id)
+"""

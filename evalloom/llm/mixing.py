@@ -45,7 +45,8 @@ def mix(docs: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), max_repeats: i
 
     Each source's documents are shuffled by a seeded hash, ``max_repeats`` times in a row. A copy's
     virtual finish time is its source's cumulative words over the source's weight; all copies are ranged
-    by finish time and taken while the words so far stay within the budget (the words of all documents).
+    by finish time and taken while the words so far stay within the budget (the words of all documents); copies
+    that finish at the same time are taken together or not at all.
     ``taken`` counts a document's words in the mix, ``finish`` is its first copy's finish time.
 
     Cumulative words come from hash runs of about ``rows_per_run`` rows: runs are summed first, so no
@@ -104,7 +105,7 @@ def mix(docs: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), max_repeats: i
         if full is None or full["a"] == full["b"]:
             break
         if full["n"] <= 10_000:
-            ranked = W.orderBy("_t", F.col("source").asc_nulls_last(), "_mix_key", "_mix_tie", "doc_id", "_e").rowsBetween(W.unboundedPreceding, 0)
+            ranked = W.orderBy("_t").rangeBetween(W.unboundedPreceding, W.currentRow)  # equal times together
             edge = here.where((F.col("_t") >= full["a"]) & (F.col("_t") <= full["b"])).withColumn("_sum", F.sum("size").over(ranked))
             fits = edge.where(F.col("_sum") + before <= total).agg(F.max("_t")).first()[0]
             last = last if fits is None else fits
@@ -140,3 +141,20 @@ def mixed_documents(docs: DataFrame, **params) -> DataFrame:
 def op7_mixing(spark, sf_dir):
     """Mixes all documents; ties of finish time break by source, hash and doc_id."""
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "finish")
+
+
+SQL = r"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce("text", ''), '[^\x20\x09-\x0D]+')) AS size,
+  coalesce(CAST(doc_id AS VARCHAR), 'text:' || md5("text"), '') AS name FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, ([1, 2, 3])[(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight FROM d GROUP BY source),
+f AS (SELECT *, 3 * source_size AS ceiling, 3 * source_size / weight AS full_at FROM s),
+g AS (SELECT *, coalesce(sum(ceiling) OVER (ORDER BY full_at, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS gone, sum(weight) OVER (ORDER BY full_at, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest, sum(source_size) OVER () AS total FROM f),
+l AS (SELECT min_by((total - gone) / rest, full_at) AS level FROM g WHERE (total - gone) / rest <= full_at),
+t AS (SELECT source, source_size, weight, total, least(ceiling::DOUBLE, coalesce((SELECT level FROM l) * weight, ceiling::DOUBLE)) AS target FROM g),
+c AS (SELECT d.doc_id, d.source, d.size, t.source_size, t.target, t.weight, t.total, sum(d.size) OVER (PARTITION BY d.source ORDER BY ('0x' || substr(md5('mix:' || name), 1, 15))::BIGINT, d.doc_id NULLS FIRST, d.size ROWS UNBOUNDED PRECEDING)::BIGINT AS cum, row_number() OVER () AS r
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+e AS (SELECT r, size, total, (k * source_size + cum) / weight AS ix FROM c, (VALUES (0), (1), (2)) v(k)),
+u AS (SELECT r, size, sum(size) OVER (ORDER BY ix) <= total AS fits FROM e),
+n AS (SELECT r, coalesce(sum(size) FILTER (fits), 0)::BIGINT AS taken FROM u GROUP BY r)
+SELECT doc_id, size, source_size, target, taken, cum / weight AS finish FROM c JOIN n USING (r)
+"""

@@ -22,4 +22,5 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     """SQL for the queries that SQL can express over whole tables at a bearable cost."""
-    return {"op2_chat": chat.SQL, "op3_url_filter": urls.SQL, "op4_embeddings": embeddings.SQL, "op6_line_dedup": lines.SQL}
+    by_name = {"op2_chat": chat, "op3_url_filter": urls, "op4_embeddings": embeddings, "op5_decontaminate": decontaminate, "op6_line_dedup": lines, "op7_mixing": mixing, "op9_minhash": minhash}
+    return {name: module.SQL for name, module in by_name.items()}
