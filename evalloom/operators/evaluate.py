@@ -92,15 +92,35 @@ def majority_baseline(train: DataFrame, test: DataFrame, label: str) -> DataFram
     return test.crossJoin(F.broadcast(m)).agg(F.first("majority").alias("majority"), F.avg((F.col(label) == F.col("majority")).cast("double")).alias("accuracy"))
 
 
-def numbered_in_order(df: DataFrame, *order: str, out: str = "pos") -> DataFrame:
-    """Global positions from 0 by a unique order. Rows are sorted in ranges and each range adds the sizes
-    before it, so no task holds more than its range. Names starting with ``_`` are reserved."""
+def in_ranges(df: DataFrame, *order: str) -> DataFrame:
+    """``df`` dealt out in ranges of ``order`` and sorted within, with the range (``_part``) and the place in it (``_at``).
+
+    Ranges are drawn from a sample anew each time, so the table is written once.
+    """
     t = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
     t = t.withColumns({"_part": F.shiftright("_id", 33), "_at": F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))}).drop("_id")
-    # ranges are drawn from a sample anew each time, so the table is written once
     path = work_dir(df.sparkSession, "ordered")
     t.write.parquet(path)
-    t = df.sparkSession.read.schema(t.schema).parquet(path)
+    return df.sparkSession.read.schema(t.schema).parquet(path)
+
+
+def numbered_in_order(df: DataFrame, *order: str, out: str = "pos") -> DataFrame:
+    """Global positions from 0 by a unique order. Rows are sorted in ranges and each range adds the sizes
+    before it, so no task holds more than its range. Names starting with ``_`` are reserved."""
+    t = in_ranges(df, *order)
     sizes = t.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    starts = sizes.select("_part", (F.sum("_n").over(W.orderBy("_part")) - F.col("_n")).alias("_before"))  # a row a partition
+    starts = sizes.select("_part", (F.sum("_n").over(W.orderBy("_part")) - F.col("_n")).alias("_before"))  # a row a range
     return t.join(F.broadcast(starts), "_part").withColumn(out, F.col("_before") + F.col("_at")).drop("_part", "_at", "_before")
+
+
+def running_sums(df: DataFrame, order: str, *columns: str) -> DataFrame:
+    """Adds for each column its sum up to the row by a unique ``order`` (``c_c``) and its whole sum (``all_c``), and
+    the ``next`` value of ``order``. Ranges add what lies before them, so no task holds more than its range."""
+    t = in_ranges(df, order)
+    per = t.groupBy("_part").agg(F.min(order).alias("_first"), *[F.sum(c).alias(f"_s_{c}") for c in columns])
+    over, all_ = W.orderBy("_part"), W.partitionBy()  # a row a range
+    sums = [(F.sum(f"_s_{c}").over(over) - F.col(f"_s_{c}")).alias(f"_b_{c}") for c in columns] + [F.sum(f"_s_{c}").over(all_).alias(f"all_{c}") for c in columns]
+    starts = per.select("_part", F.lead("_first").over(over).alias("_next"), *sums)
+    inside = W.partitionBy("_part").orderBy("_at")
+    got = t.join(F.broadcast(starts), "_part").withColumns({"next": F.coalesce(F.lead(order).over(inside), "_next"), **{f"c_{c}": F.col(f"_b_{c}") + F.sum(c).over(inside) for c in columns}})
+    return got.select(*df.columns, "next", *[f"{k}_{c}" for c in columns for k in ("c", "all")])

@@ -6,9 +6,9 @@ import itertools
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .evaluate import numbered_in_order, running_sums
 from .families import fold_assignment
 from .quality import DataQualityError, require_classes
 
@@ -20,8 +20,7 @@ def threshold_sweep(scores: DataFrame) -> DataFrame:
     counted by score, so the running sums are over distinct scores.
     """
     by = scores.groupBy(F.col("score").cast("double").alias("score")).agg(F.count_if("label").alias("p"), F.count_if(~F.col("label")).alias("n"))
-    o = W.orderBy("score")
-    run = by.select("score", F.sum("p").over(o).alias("cp"), F.sum("n").over(o).alias("cn"), F.lead("score").over(o).alias("nxt"), F.sum("p").over(W.partitionBy()).alias("P"), F.sum("n").over(W.partitionBy()).alias("N"))
+    run = running_sums(by, "score", "p", "n").select("score", F.col("c_p").alias("cp"), F.col("c_n").alias("cn"), F.col("next").alias("nxt"), F.col("all_p").alias("P"), F.col("all_n").alias("N"))
     up, down = F.expr("cast(reflect('java.lang.Math', 'nextUp', score) as double)"), F.expr("cast(reflect('java.lang.Math', 'nextDown', score) as double)")
     inner = run.select(F.when(F.col("nxt").isNull(), up).otherwise(F.col("score") + (F.col("nxt") - F.col("score")) / 2).alias("threshold"), F.col("cp").alias("tp"), (F.col("N") - F.col("cn")).alias("tn"), "P", "N")
     least = run.orderBy("score").limit(1).select(down.alias("threshold"), F.lit(0).cast("long").alias("tp"), F.col("N").alias("tn"), "P", "N")
@@ -51,8 +50,12 @@ def rank_candidates(candidates: DataFrame) -> DataFrame:
 
 
 def impute_median(df: DataFrame, column: str, out: str) -> DataFrame:
-    """Nulls replaced by the column's exact median."""
-    m = df.agg(F.median(column).alias("_m"))
+    """Nulls replaced by the column's exact median: the mean of the one or two middle values by rank, found without
+    holding the column in a task."""
+    values = df.where(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("v"))
+    n = values.count()
+    middle = F.col("r").isin((n - 1) // 2, n // 2)
+    m = numbered_in_order(values, "v", out="r").where(middle).agg(F.avg("v").alias("_m"))
     return df.crossJoin(F.broadcast(m)).withColumn(out, F.coalesce(F.col(column).cast("double"), "_m")).drop("_m")
 
 
