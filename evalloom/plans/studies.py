@@ -7,6 +7,7 @@ import json
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import programs
 from ..functions import keys as K
 from ..functions import tokens as T
 from ..operators import artifacts, cache, evaluate, families, inference, quality, selection, study
@@ -338,3 +339,26 @@ def run_records(v: Views):
             pass
     got = [json.loads(files.read_text(v.spark, f"{root}/{n}/result.json")) for n in ("first", "second")]
     return v.spark.createDataFrame([(r["name"], r["status"], r.get("error_type"), bool(r["inputs"])) for r in got], "name string, status string, error_type string, digested boolean")
+
+
+@query(f"WITH c AS ({_CASES}), l AS (SELECT CAST(doc_id AS VARCHAR) AS id, quality = 1 AS y FROM labels), j AS (SELECT y, length(problem) % 2 = 0 AS p, model_id <> 'src3' AS ok FROM c JOIN l USING (id)) SELECT round(count(*) FILTER (ok AND y = p) / count(*), 6) AS accuracy, round(count(*) FILTER (ok) / count(*), 6) AS coverage, count(*) FILTER (NOT ok) AS invalid_predictions FROM j")
+def evaluated_submission(v: Views):
+    """A dataset's folder through the ingestion and the scoring programs; the function fails for one model."""
+    root = work_dir(v.spark, "evaluation")
+    labels = v.rows().select("_pos", "id", F.col("model_is_robust").alias("is_robust"))
+    sinks.write_json_lines(_cases(v), f"{root}/in/cases.jsonl", "_pos")
+    sinks.write_json_lines(labels, f"{root}/all/ref/labels.jsonl", "_pos")
+    files.write_text(v.spark, f"{root}/solution/solution.py", "def are_robust(model_id, problems):\n    return [len(p) % 2 == 0 for p in problems] if model_id != 'src3' else [1]\n")
+    programs.ingest(v.spark, f"{root}/in", f"{root}/all/res", f"{root}/solution")
+    s = programs.score(v.spark, f"{root}/all", f"{root}/out")
+    return v.spark.createDataFrame([(round(s["accuracy"], 6), round(s["coverage"], 6), s["invalid_predictions"])], "accuracy double, coverage double, invalid_predictions long")
+
+
+@query(f"WITH r AS (SELECT CAST(doc_id AS VARCHAR) AS id, quality = 1 AS y, substr(sha256(text), 1, 12) AS fam FROM documents JOIN labels USING (doc_id) WHERE trim(text) <> ''), g AS (SELECT fam, row_number() OVER (ORDER BY sha256('5:' || fam), fam) - 1 k, count(*) OVER () n FROM (SELECT DISTINCT fam FROM r)) SELECT id, CASE WHEN k < least(n - 1, greatest(1, round_even(n * 0.25, 0))) THEN 'validation' ELSE 'train' END AS split FROM r JOIN g USING (fam)")
+def split_study(v: Views):
+    """A study's file split by families, read back from its folders."""
+    root = work_dir(v.spark, "split")
+    r = v.rows().where(F.trim("original_problem") != "").select("id", F.substring(F.sha2("original_problem", 256), 1, 12).alias("family_id"), "original_problem", "model_is_robust")
+    r.write.parquet(f"{root}/rows.parquet")
+    programs.split(v.spark, f"{root}/rows.parquet", f"{root}/out", 0.25, 5)
+    return v.spark.read.option("basePath", f"{root}/out").json(f"{root}/out/split=*").select("id", "split")

@@ -271,3 +271,22 @@ def test_candidates_fill_gaps_inside_folds(spark):
     assert max(r["balanced_accuracy"] for r in results) >= baseline["balanced_accuracy"]
     with pytest.raises(quality.DataQualityError, match="classes"):
         selection.select_model(d.where("y"), ["n"], "g", "y", "target", selection.grid(), folds=2)
+
+
+def test_programs(spark, tmp_path, capsys):
+    from evalloom import programs
+
+    ask = {"tasks": [{"family_id": "f", "original_problem": "p"}]}
+    good = {"tasks": [{"family_id": "f", "variants": [{"variant_id": f"v{i:02d}", "problem": f"q{i}"} for i in range(1, 11)]}]}
+    bad = {"tasks": [{"family_id": "f", "variants": good["tasks"][0]["variants"][:9]}, {"family_id": "g", "variants": []}]}
+    for name, x in (("ask", ask), ("good", good), ("bad", bad)):
+        (tmp_path / f"{name}.json").write_text(json.dumps(x))
+    root = f"file://{tmp_path}"
+    assert programs.main(["respond", f"{root}/ask.json", f"{root}/good.json"]) == 0
+    assert programs.main(["respond", f"{root}/ask.json", f"{root}/bad.json"]) == 1
+    assert {r["rule"] for r in json.loads(capsys.readouterr().out.strip().splitlines()[-1])} >= {"wrong_count", "wrong_ids", "unexpected_family"}
+    with pytest.raises(quality.DataQualityError, match="fraction"):
+        programs.split(spark, f"{root}/x.jsonl", f"{root}/out", 1.0, 0)
+    spark.createDataFrame([("a", "f", "p", True), ("b", "f", "q", True)], "id string, family_id string, problem string, is_robust boolean").write.json(f"{root}/one.jsonl")
+    with pytest.raises(quality.DataQualityError, match="two families"):
+        programs.split(spark, f"{root}/one.jsonl", f"{root}/out", 0.5, 0)
