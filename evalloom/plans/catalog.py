@@ -450,7 +450,7 @@ def ordered_digest(v: Views):
     return g.select("source", "n_rows", F.sha2(F.array_join(F.col("i").cast("array<string>"), ","), 256).alias("digest"))
 
 
-@query()
+@query("WITH d AS (SELECT md5(concat_ws(chr(31), coalesce(CAST(doc_id AS VARCHAR), chr(0)), coalesce(text, chr(0)), coalesce(source, chr(0)))) AS m FROM documents) SELECT count(*) AS n_rows, CAST(sum(CAST('0x' || substr(m, 1, 15) AS BIGINT)) AS VARCHAR) AS sum_1, CAST(sum(CAST('0x' || substr(m, 16, 15) AS BIGINT)) AS VARCHAR) AS sum_2 FROM d")
 def content_digest(v: Views):
     return cache.content_digest(v.table("documents"), "doc_id", "text", "source")
 
