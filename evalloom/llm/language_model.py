@@ -33,7 +33,7 @@ class Model:
 
     contexts: int = 1
     sweeps: int = 2
-    samples: int = 2
+    samples: int = 4
     theta: float = 1.0
     chunk_bytes: int = 12 << 20
 
