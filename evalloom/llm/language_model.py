@@ -18,7 +18,7 @@ from .words import SPACED, hashed, mix, shards, utf8
 END = np.uint64(0x0E0D_0E0D_0E0D_0E0D)
 _C = np.uint64(0x9E3779B97F4A7C15)
 #: Tokens dealt to a box at most, but for words of more than a ``MOST_HOT``-th of all; a chunk names as many words.
-BOX_TOKENS, MOST_HOT = 1 << 21, 5000
+BOX_TOKENS, MOST_HOT = 1 << 21, 50_000
 #: Boxes a cell: what boxes and cells tell each other is a message a pair of them.
 CELL_BOXES = 16
 #: A context is told by the upper 48 bits of its word's hash: what is sent is mostly contexts.
