@@ -141,7 +141,7 @@ def cosine_links(vectors: DataFrame, threshold: float = 0.9) -> DataFrame:
     near copies costs its rows and not its pairs in what is shuffled. Tiles that hold pairs near the
     threshold recompute just those in double precision.
 
-    Vectors that are null, empty, zero or hold null or non-finite components link with nothing, nor do
+    Ids are whole numbers. Vectors that are null, empty, zero or hold null or non-finite components link with nothing, nor do
     vectors of different length. A null vec_id stands alone. Rows that repeat a vec_id are compared each but not
     with each other, and share their links' number; other columns are not read; an empty table gives none.
     """

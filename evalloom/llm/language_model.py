@@ -590,7 +590,7 @@ def score_documents(docs: DataFrame, train: Column, model: Model = Model()) -> D
     back to the chunks as whole numbers. No pair and no context is left out; what is gathered grows with them.
     Words are told apart by 64 bits of hash, contexts by 48 (of 10^8 words some 18 pairs share a restaurant).
 
-    Null and empty texts are the end token alone; an untrained model (no training rows) knows only the
+    Ids are whole numbers. Null and empty texts are the end token alone; an untrained model (no training rows) knows only the
     unknown symbol; rows that repeat are scored each; other columns are not read; an empty table gives none.
     """
     m = model

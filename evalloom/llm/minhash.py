@@ -268,7 +268,7 @@ def near_duplicates(docs: DataFrame, params: Near = Near()) -> DataFrame:
     compared in full, in tiles of about twice ``tile`` rows that return spanning forests.
 
     Candidates' similarity is first estimated from the packed low bits, corrected for chance collisions;
-    pairs not ruled out are confirmed on full shingle sets. Null or empty texts link with nothing; rows
+    pairs not ruled out are confirmed on full shingle sets. Null or empty texts link with nothing; ids are whole numbers; rows
     that repeat a doc_id share a component; a null doc_id stands alone and is kept.
     """
     p = params

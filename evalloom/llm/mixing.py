@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .scratch import Scratch, numbered, table
+from .scratch import Scratch, numbered, sized_broadcast, table
 
 _WORDS = r"[^\x20\x09-\x0D]+"
 
@@ -40,7 +40,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeats:
     )
 
 
-def mix(docs: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), max_repeats: int = 3, seed: str = "mix", rows_per_run: int = 4000) -> DataFrame:
+def mix(docs: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), max_repeats: int = 3, seed: str = "mix", rows_per_run: int = 1000) -> DataFrame:
     """Every row of ``docs`` with ``size, source_size, target, taken, finish``.
 
     Each source's documents are shuffled by a seeded hash, ``max_repeats`` times in a row. A copy's
@@ -51,7 +51,8 @@ def mix(docs: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), max_repeats: i
 
     Cumulative words come from hash runs of about ``rows_per_run`` rows: runs are summed first, so no
     window holds a whole source, and the final cut is found in a histogram of finish times before rows
-    near it are ranked. Null text has size 0; null sources are one source, last in order; repeated rows
+    near it are ranked. A run that one key swells, as rows without id and text may, is cut by row number
+    into runs of that size (only there the order isn't by key). Null text has size 0; null sources are one source, last in order; repeated rows
     count each; rows without an id are shuffled by their texts; an empty table gives an empty result.
     Other columns are not read, but for a row number named ``_mix_row``, which is kept; names starting
     with ``_mix`` are reserved.
@@ -59,29 +60,35 @@ def mix(docs: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), max_repeats: i
     spark = docs.sparkSession
     scratch = Scratch(spark, "mix")
     row_id = [c for c in docs.columns if c == "_mix_row"]
+    if not row_id:
+        docs = numbered(docs.select("doc_id", "source", "text"), "_mix_row", Scratch(spark, "rows"))
     name = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text:"), F.md5("text")), F.lit(""))
     key = F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), name)), 1, 15), 16, 10).cast("long")
-    slim = scratch.pin(docs.select("doc_id", *row_id, "source", word_count(F.col("text")).alias("size"), key.alias("_mix_key")))
+    slim = scratch.pin(docs.select("doc_id", "_mix_row", "source", word_count(F.col("text")).alias("size"), key.alias("_mix_key")))
     n, total = slim.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
     width = max(1, (1 << 60) * rows_per_run // max(n, 1))
     slim = slim.withColumn("_mix_run", F.floor(F.col("_mix_key") / F.lit(width)).cast("long") if width < 1 << 60 else F.lit(0).cast("long"))
 
-    runs = scratch.pin(slim.groupBy("source", "_mix_run").agg(F.sum("size").alias("_mix_sum")))
+    runs = slim.groupBy("source", "_mix_run").agg(F.count(F.lit(1)).alias("_mix_n")).where(F.col("_mix_n") > 4 * rows_per_run)
+    swollen = scratch.pin(runs.select(F.col("source").alias("_s"), F.col("_mix_run").alias("_r"), F.ceil(F.col("_mix_n") / rows_per_run).alias("_k")))
+    slim = slim.join(sized_broadcast(swollen, 100_000), F.col("source").eqNullSafe(F.col("_s")) & (F.col("_mix_run") == F.col("_r")), "left")
+    slim = slim.withColumn("_mix_cut", F.coalesce(F.pmod(F.xxhash64("_mix_row"), "_k"), F.lit(0))).drop("_s", "_r", "_k")
+    runs = scratch.pin(slim.groupBy("source", "_mix_run", "_mix_cut").agg(F.sum("size").alias("_mix_sum")))
     # the running sum over runs: bounded groups again, by cutting each source's runs into blocks
     block = F.floor(F.col("_mix_run") / 1024)
     blocks = runs.groupBy("source", block.alias("_b")).agg(F.sum("_mix_sum").alias("_bs"))
     blocks = blocks.select("source", "_b", (F.sum("_bs").over(W.partitionBy("source").orderBy("_b")) - F.col("_bs")).alias("_b0"))
     r = runs.withColumn("_b", block)
-    r = r.withColumn("_r0", F.sum("_mix_sum").over(W.partitionBy("source", "_b").orderBy("_mix_run")) - F.col("_mix_sum")).alias("r")
+    r = r.withColumn("_r0", F.sum("_mix_sum").over(W.partitionBy("source", "_b").orderBy("_mix_run", "_mix_cut")) - F.col("_mix_sum")).alias("r")
     starts = r.join(blocks.alias("k"), F.col("r.source").eqNullSafe(F.col("k.source")) & (F.col("r._b") == F.col("k._b")))
-    starts = starts.select(F.col("r.source"), F.col("r._mix_run"), (F.col("_r0") + F.col("_b0")).alias("_mix_start"))
+    starts = starts.select(F.col("r.source"), F.col("r._mix_run"), F.col("r._mix_cut"), (F.col("_r0") + F.col("_b0")).alias("_mix_start"))
     goal = targets(runs.groupBy("source").agg(F.sum("_mix_sum").alias("source_size")), weights, max_repeats)
-    plan = scratch.pin(starts.alias("s").join(goal.alias("g"), F.col("s.source").eqNullSafe(F.col("g.source"))).select("s.source", "_mix_run", "_mix_start", "weight", "source_size", "target"))
+    plan = scratch.pin(starts.alias("s").join(goal.alias("g"), F.col("s.source").eqNullSafe(F.col("g.source"))).select("s.source", "_mix_run", "_mix_cut", "_mix_start", "weight", "source_size", "target"))
 
-    inside = W.partitionBy("source", "_mix_run").orderBy("_mix_key", "doc_id", "size")
-    placed = slim.withColumns({"_mix_in": F.sum("size").over(inside.rowsBetween(W.unboundedPreceding, 0)), "_mix_tie": F.row_number().over(inside)}).alias("d")
-    on = F.col("d.source").eqNullSafe(F.col("p.source")) & (F.col("d._mix_run") == F.col("p._mix_run"))
-    placed = placed.join(plan.alias("p"), on).select("doc_id", *row_id, "d.source", "size", "source_size", "target", "weight", "_mix_key", "_mix_tie", (F.col("_mix_start") + F.col("_mix_in")).alias("_mix_cum"))
+    inside = W.partitionBy("source", "_mix_run", "_mix_cut").orderBy("_mix_key", "doc_id", "size", "_mix_row")
+    placed = slim.withColumn("_mix_in", F.sum("size").over(inside.rowsBetween(W.unboundedPreceding, 0))).alias("d")
+    on = F.col("d.source").eqNullSafe(F.col("p.source")) & (F.col("d._mix_run") == F.col("p._mix_run")) & (F.col("d._mix_cut") == F.col("p._mix_cut"))
+    placed = placed.join(plan.alias("p"), on).select("doc_id", *row_id, "d.source", "size", "source_size", "target", "weight", (F.col("_mix_start") + F.col("_mix_in")).alias("_mix_cum"))
     placed = scratch.pin(placed)
 
     # copies of epoch e finish at (e * source_size + cum) / weight; the budget cuts the range-sorted copies

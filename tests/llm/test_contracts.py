@@ -471,3 +471,14 @@ def test_urls_with_a_hot_host_and_clashes(spark):
     rows = [(i % 5, "http://a.b.com/x", "h") for i in range(3000)] + [(None, None, "h"), (7, "", "h"), (8, "http://c.org/", "h")]
     got = urls.judge(spark.createDataFrame(rows, "page_id long, url string, host string")).groupBy("host", "verdict").count().collect()
     assert sum(r["count"] for r in got) == 3003 and ("c.org", "allow") in {(r.host, r.verdict) for r in got}
+
+
+def test_rows_without_id_and_text_swell_no_run(spark):
+    rows = [(None, None, "a")] * 900 + [(None, "same text", "a")] * 700 + [(i, f"w {i}", "b") for i in range(100)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    got = mixing.mix(d, rows_per_run=50).collect()
+    assert len(got) == 1700 and sum(r["size"] for r in got) == 1600
+    taken = Counter()
+    for r in got:
+        taken[r.source] += r.taken
+    assert taken["b"] == 600 and abs(taken["a"] - 1000) <= 2 and len({r.finish for r in got if r.source == "a"}) > 600
