@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import programs
 from ..functions import keys as K
+from ..functions import linear as L
 from ..functions import tokens as T
 from ..operators import artifacts, cache, evaluate, families, inference, quality, selection, study
 from ..session import work_dir
@@ -153,6 +154,7 @@ def resumed_features(v: Views):
     f = lambda one: one.select("key", F.length("text").cast("long").alias("n"))
     cache.resume(d.where(F.col("doc_id") % 3 == 0), f"{path}/partial", "key", f)
     cache.resume(d, f"{path}/partial", "key", f)
+    sinks.append_features(v.spark.read.parquet(f"{path}/partial").limit(1), f"{path}/partial")  # a key twice does no harm
     return cache.finish(d.select("doc_id", "key"), f"{path}/partial", "key", f"{path}/final").select("doc_id", "n")
 
 
@@ -362,3 +364,12 @@ def split_study(v: Views):
     r.write.parquet(f"{root}/rows.parquet")
     programs.split(v.spark, f"{root}/rows.parquet", f"{root}/out", 0.25, 5)
     return v.spark.read.option("basePath", f"{root}/out").json(f"{root}/out/split=*").select("id", "split")
+
+
+@query("WITH x AS (SELECT vec_id, unnest(embedding)::DOUBLE x, generate_subscripts(embedding, 1) i FROM embeddings), s AS (SELECT i, avg(x) m, greatest(stddev_pop(x), 1e-6) d FROM x WHERE vec_id % 5 <> 0 GROUP BY i) SELECT vec_id, round(sum((x - m) / d * i), 4) AS weighted FROM x JOIN s USING (i) GROUP BY vec_id")
+def flattened_states(v: Views):
+    """Two layers of half a vector each, flattened, then standardised by the training rows."""
+    e = v.table("embeddings").select("vec_id", L.flattened(F.array(F.slice("embedding", 1, 32), F.slice("embedding", 33, 32))).alias("x"))
+    z = L.standardise(e, "x", L.standardise_stats(e.where(F.col("vec_id") % 5 != 0), "x"))
+    order = F.sequence(F.lit(1), F.size("z"))
+    return z.select("vec_id", F.round(F.aggregate(F.zip_with("z", order, lambda x, i: x * i), F.lit(0.0), lambda s, x: s + x), 4).alias("weighted"))

@@ -290,3 +290,9 @@ def test_programs(spark, tmp_path, capsys):
     spark.createDataFrame([("a", "f", "p", True), ("b", "f", "q", True)], "id string, family_id string, problem string, is_robust boolean").write.json(f"{root}/one.jsonl")
     with pytest.raises(quality.DataQualityError, match="two families"):
         programs.split(spark, f"{root}/one.jsonl", f"{root}/out", 0.5, 0)
+
+
+def test_id_sets():
+    assert K.id_set(None) == [] and K.id_set(3) == [3] and K.id_set([2, 1, 2]) == [1, 2]
+    with pytest.raises(TypeError):
+        K.id_set(True)
