@@ -10,13 +10,14 @@ from pyspark.sql import functions as F
 from .components import connected
 from .scratch import Scratch, table
 
-#: Vectors in a packed block at most; a tile pairs two blocks.
-BLOCK_ROWS = 8192
+#: Vectors in a packed block at most; a tile pairs two blocks, so what is shuffled falls as blocks grow.
+BLOCK_ROWS = 32768
 #: Components in a packed block at most; so blocks of long vectors have fewer rows.
 BLOCK_VALUES = 1 << 22
 #: Small tables still get so many blocks, so tiles spread over tasks.
 LEAST_BLOCKS = 16
-_STRIP = 512
+#: Products held at a time.
+_STRIP = 1 << 22
 
 
 def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -43,8 +44,9 @@ def tile_links(xa: np.ndarray, xb: np.ndarray, threshold: float, same: bool, va:
     off = 0 if same else len(xa)
     edges: list[np.ndarray] = []
     redone = 0
-    for lo in range(0, len(xa), _STRIP):
-        hi = min(lo + _STRIP, len(xa))
+    strip = max(1, _STRIP // max(len(xb), 1))
+    for lo in range(0, len(xa), strip):
+        hi = min(lo + strip, len(xa))
         dot = (ca[lo:hi].astype(wide) @ cbt) * sa[lo:hi, None].astype(wide)
         dot *= sb[None, :].astype(wide)
         # |e| + |f| + |e||f|; 4e-6 covers the roundings: two of scaling, those of the bound, all below 2 ** -22
