@@ -75,6 +75,19 @@ def _variants(block: Column, own: Column) -> Column:
     return F.when(own, F.concat(gone, whole)).otherwise(F.array_distinct(gone))
 
 
+def one_edit(a: Column, b: Column) -> Column:
+    """Whether two lines differ by one edit at most. Equal blocks at the head are passed over; the edit must then
+    lie in the next block, and what follows it be equal: time grows with the lines' length, not its square."""
+    swap, far = F.length(a) > F.length(b), F.lit(1 << 30)
+    pair = F.array(F.struct(F.when(swap, b).otherwise(a).alias("s"), F.when(swap, a).otherwise(b).alias("l")))
+    first = F.transform(pair, lambda c: F.struct(c["s"].alias("s"), c["l"].alias("l"), F.array_position(F.zip_with(_pieces(c["s"]), _pieces(c["l"]), lambda x, y: ~x.eqNullSafe(y)), F.lit(True)).alias("k")))
+    at = lambda c: F.greatest(c["k"] - 1, F.lit(0)) * BLOCK + 1
+    tails = F.transform(first, lambda c: F.struct(F.substring(c["s"], at(c).cast("int"), far).alias("s"), F.substring(c["l"], at(c).cast("int"), far).alias("l"), (F.length(c["l"]) - F.length(c["s"])).alias("d")))
+    return F.transform(tails, lambda c: c["d"].between(0, 1)
+        & F.levenshtein(F.substring(c["s"], F.lit(1), F.lit(BLOCK)), F.substring(c["l"], F.lit(1), c["d"] + BLOCK), 1).between(0, 1)
+        & (F.substring(c["s"], F.lit(BLOCK + 1), far) == F.substring(c["l"], c["d"] + BLOCK + 1, far)))[0]
+
+
 def removed_lines(docs: DataFrame, *, min_chars: int = MIN_CHARS, min_exact: int | None = None, scratch: Scratch | None = None) -> DataFrame:
     """(doc_id, line_no) of the lines that an earlier line equals or differs from by at most one edit.
 
@@ -136,7 +149,7 @@ def removed_lines(docs: DataFrame, *, min_chars: int = MIN_CHARS, min_exact: int
     pairs = scratch.pin(met.where(F.col("by").isNotNull() & ((F.col("by.doc_id") < F.col("doc_id")) | ((F.col("by.doc_id") == F.col("doc_id")) & (F.col("by.line_no") < F.col("line_no"))))).select("doc_id", "line_no", F.col("by.doc_id").alias("d0"), F.col("by.line_no").alias("l0")).distinct())
     left = pairs.join(wanted, ["doc_id", "line_no"])
     right = wanted.select(F.col("doc_id").alias("d0"), F.col("line_no").alias("l0"), F.col("line").alias("line0"))
-    near = left.join(right, ["d0", "l0"]).where(F.levenshtein("line", "line0", 1).between(0, 1)).select("doc_id", "line_no").distinct()
+    near = left.join(right, ["d0", "l0"]).where(one_edit(F.col("line"), F.col("line0"))).select("doc_id", "line_no").distinct()
     return copies.unionByName(scratch.pin(near)).distinct()
 
 

@@ -482,3 +482,24 @@ def test_rows_without_id_and_text_swell_no_run(spark):
     for r in got:
         taken[r.source] += r.taken
     assert taken["b"] == 600 and abs(taken["a"] - 1000) <= 2 and len({r.finish for r in got if r.source == "a"}) > 600
+
+
+def test_one_edit_against_brute_force(spark):
+    rng = random.Random(12)
+
+    def near(a, b):
+        if len(a) == len(b):
+            return sum(x != y for x, y in zip(a, b)) <= 1
+        s, t = sorted((a, b), key=len)
+        return len(t) - len(s) == 1 and any(t[:i] + t[i + 1 :] == s for i in range(len(t)))
+
+    pairs = []
+    for n in (0, 1, 2, 127, 128, 129, 130, 255, 256, 257, 400):
+        for _ in range(12):
+            a = b = "".join(rng.choice("abé😀") for _ in range(n))
+            for _ in range(rng.choice([0, 1, 1, 2])):
+                i = rng.randrange(len(b) + 1)
+                b = rng.choice([b[:i] + "z" + b[i:], b[:i] + b[i + 1 :], b[:i] + "y" + b[i + 1 :]])
+            pairs += [(a, b), (b, a)]
+    d = spark.createDataFrame(pairs, "a string, b string").select("a", "b", lines.one_edit(F.col("a"), F.col("b")).alias("near"))
+    assert all(r.near == near(r.a, r.b) for r in d.collect())
