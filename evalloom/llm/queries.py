@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, embeddings, language_model, lines, minhash, mixing, secret_scan, toxicity, urls
+from . import chat, decontaminate, embeddings, language_model, lines, minhash, mixing, packing, secret_scan, toxicity, urls
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_secrets": secret_scan.op8_secrets,
         "op9_minhash": minhash.op9_minhash,
         "op10_language_model": language_model.op10_language_model,
+        "op12_packing": packing.op12_packing,
     }
 
 
