@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from bisect import bisect_right
@@ -20,14 +21,14 @@ from .scratch import Scratch, table
 #: Fixed values of the queries: tokens of a sequence, and the id that ends a document.
 CAPACITY, END = 4096, 1
 #: Text between white space that a worker remembers the ids of: chunks, and characters of a chunk at most.
-REMEMBERED, CHUNK = 1 << 19, 64
+REMEMBERED, CHUNK = 1 << 20, 64
 _SPACE = re.compile(r"[\x20\x09-\x0D]+")
 
 
 class Encoder(dict):
     """Ids of whole texts, as bytes of unsigned 32-bit numbers, by a tokenizer file whose tokens never span white space
-    and don't depend on what lies beyond it (``word_bpe_49k.json`` is such): what stands between ASCII white
-    space is encoded once. Of ASCII words, lower case is encoded, and apart from a mark that ends them.
+    and don't depend on what lies beyond it (``word_bpe_49k.json`` is such): what stands between white space is
+    encoded once. Of ASCII words, lower case is encoded, and apart from a mark that ends them.
 
     When half of ``REMEMBERED`` chunks of ``CHUNK`` characters are held, those of the time before that weren't met again
     go: a worker's memory is bounded, and frequent words stay.
@@ -37,6 +38,7 @@ class Encoder(dict):
         from tokenizers import Tokenizer
 
         super().__init__()
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer = Tokenizer.from_file(path)
         self.before: dict[str, bytes] = {}
 
@@ -44,10 +46,8 @@ class Encoder(dict):
         got = self.before.pop(chunk, None)
         if got is not None:
             pass
-        elif len(chunk) > 1 and chunk[-1] in ".,;:?!" and chunk[-2].isascii() and chunk[-2].isalpha():
-            got = self[chunk[:-1]] + self[chunk[-1]]
-        elif chunk.isascii() and "<" not in chunk and chunk != chunk.lower():
-            got = self[chunk.lower()]
+        elif (plain := _plain(chunk)) != chunk:
+            got = self[plain] + (self[chunk[-1]] if len(plain) < len(chunk) else b"")
         else:
             got = np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
         if len(chunk) <= CHUNK:  # long ones are seldom seen again
@@ -58,7 +58,17 @@ class Encoder(dict):
         if len(self) > REMEMBERED // 2:
             self.before = dict(self)
             self.clear()
-        return b"".join(map(self.__getitem__, _SPACE.split(text)))
+        return b"".join(map(self.__getitem__, _SPACE.split(text) if _ODD.search(text) else text.split()))
+
+
+#: What Python alone takes for white space.
+_ODD = re.compile("[\x1c-\x1f]")
+
+
+def _plain(chunk: str) -> str:
+    """Of ASCII letters and what ends with them and a mark, what has the same ids without the mark, in lower case."""
+    word = chunk[:-1] if len(chunk) > 1 and chunk[-1] in ".,;:?!" and chunk[-2].isascii() and chunk[-2].isalpha() else chunk
+    return word.lower() if word.isascii() and "<" not in word else word
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -216,7 +226,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = E
     starts = scratch.pin(per.select("length", "_task", "_n", before.alias("_before")))
     counts = starts.groupBy("length").agg(F.sum("_n").alias("n")).collect()  # at most ``capacity`` rows
     places = spark.sparkContext.broadcast(Places(plan({r["length"]: r["n"] for r in counts}, capacity)))
-    ranked = pieces.join(starts.drop("_n"), ["length", "_task"]).withColumn("_rank", F.col("_before") + F.col("_nth"))
+    ranked = pieces.join(starts.drop("_n").hint("merge"), ["length", "_task"]).withColumn("_rank", F.col("_before") + F.col("_nth"))
     names = ["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if keep_ids else [])]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
