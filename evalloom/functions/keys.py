@@ -11,10 +11,18 @@ ALIASES: dict[str, str] = {"qwen3-8b:low": "deepseek-ai/DeepSeek-R1-0528-Qwen3-8
 
 def compact_json(*parts: Column) -> Column:
     """A JSON array of strings without spaces, non-ASCII kept; a null part is ``null``."""
-    quoted = [F.coalesce(F.regexp_replace(F.to_json(F.array(p)), r"(?s)^\[(.*)\]$", "$1"), F.lit("null")) for p in parts]
+    quoted = [F.coalesce(F.regexp_replace(_lower_escapes(F.to_json(F.array(p)), p), r"(?s)^\[(.*)\]$", "$1"), F.lit("null")) for p in parts]
     return F.concat(F.lit("["), F.concat_ws(",", *quoted), F.lit("]"))
 
 
+def _lower_escapes(text: Column, source: Column) -> Column:
+    """Control characters escaped with small letters, as in ``\\u000b``."""
+    out = text
+    for code in (0x0B, 0x0E, 0x0F, *range(0x1A, 0x20)):
+        out = F.regexp_replace(out, rf"(?<!\\)((?:\\\\)*)\\u{code:04X}", rf"$1\\u{code:04x}")
+    return F.when(source.rlike(r"[\x0B\x0E\x0F\x1A-\x1F]"), out).otherwise(text)
+
+
 def case_id(model: Column, dataset: Column, problem: Column, permutation: Column) -> Column:
     """``case-`` and 24 hex digits of the SHA-256 of ``[model,dataset,problem,[permutation...]]``."""
     body = compact_json(model, dataset, problem)

@@ -396,7 +396,7 @@ def first_n_then_dedup(v: Views):
 _ALIAS = {"src1": "src-one", "src2": "src-two"}
 
 
-@query("WITH d AS (SELECT doc_id, text, CASE WHEN doc_id % 3 = 0 THEN lang END fam, CASE WHEN doc_id % 2 = 0 THEN CAST(doc_id AS VARCHAR) ELSE '' END i, lang, source, n_chars FROM documents), e AS (SELECT *, coalesce(fam, '[' || to_json(lang)::VARCHAR || ',' || to_json(doc_id::VARCHAR)::VARCHAR || ']') f FROM d) SELECT CASE WHEN i = '' THEN sha256(f || '|' || text || '|' || doc_id::VARCHAR) ELSE i END AS id, f AS family_id, CASE source WHEN 'src1' THEN 'src-one' WHEN 'src2' THEN 'src-two' ELSE source END AS model_id, n_chars >= 1000 AS is_robust FROM e")
+@query("WITH d AS (SELECT doc_id, text, CASE WHEN doc_id % 3 = 0 THEN lang END fam, CASE WHEN doc_id % 2 = 0 THEN CAST(doc_id AS VARCHAR) ELSE '' END i, lang, source, n_chars FROM documents), e AS (SELECT *, coalesce(fam, '[' || to_json(lang)::VARCHAR || ',' || to_json(doc_id::VARCHAR)::VARCHAR || ']') f FROM d) SELECT CASE WHEN i = '' THEN sha256('[' || to_json(f)::VARCHAR || ',' || coalesce(to_json(text)::VARCHAR, 'null') || ',' || doc_id::VARCHAR || ']') ELSE i END AS id, f AS family_id, CASE source WHEN 'src1' THEN 'src-one' WHEN 'src2' THEN 'src-two' ELSE source END AS model_id, n_chars >= 1000 AS is_robust FROM e")
 def row_key_coalesce(v: Views):
     d = v.table("documents").select(
         F.col("doc_id").alias("_pos"), F.when(F.col("doc_id") % 2 == 0, F.col("doc_id").cast("string")).otherwise("").alias("id"), F.when(F.col("doc_id") % 3 == 0, F.col("lang")).alias("family_id"),

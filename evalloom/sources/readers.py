@@ -6,31 +6,63 @@ import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.keys import ALIASES, compact_json, resolve_alias
+from ..functions.keys import ALIASES, compact_json, resolve_alias, stripped
 from ..operators.cache import content_digest
 from ..operators.quality import DataQualityError, conflicts, duplicates, require, require_columns
 from . import files
 
 
-def json_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(line_no, raw, v, is_object) of the non-blank lines of one JSONL file; ``v`` is null for malformed JSON.
+def in_file_order(df: DataFrame, out: str) -> DataFrame:
+    """Adds ``out``, each row's place from 0 in files by name and in a file by its own order. ``df`` is a scan with its
+    files' ``_path`` and ``_block`` (the split's first byte), filtered at most.
 
-    Lines end at CR or LF only. The ordinal is physical, counted before blanks go. A line that repeats a
-    key inside one object counts as malformed.
+    Spark packs large splits first, so rows are counted by split and splits are put in order: a row a file split
+    is all that is ranked. A split that comes otherwise in a second reading is an error, not another number.
     """
-    rows = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("_id"), F.spark_partition_id().alias("_p"))
-    sizes = rows.groupBy("_p").count().collect()  # a number a file split
-    before, at = {}, 0
-    for r in sorted(sizes, key=lambda r: r["_p"]):
-        before[r["_p"]], at = at, at + r["count"]
-    start = F.element_at(F.create_map(*[F.lit(x) for kv in before.items() for x in kv]), F.col("_p")) if before else F.lit(0)
-    got = rows.select((start + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)) + 1).alias("line_no"), F.col("value").alias("raw"))
-    got = got.where(~F.col("raw").rlike(r"^\s*$")).withColumn("v", F.try_parse_json("raw"))
+    t = df.withColumn("_id", F.monotonically_increasing_id())
+    per = t.groupBy("_path", "_block").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(W.orderBy("_path", "_block")) - F.col("_n")
+    starts = per.select(F.col("_path").alias("_p"), F.col("_block").alias("_b"), "_first", before.alias("_before"))
+    if starts.limit(SPLITS + 1).count() <= SPLITS:
+        starts = F.broadcast(starts)
+    at = F.coalesce(F.col("_before"), F.raise_error(F.lit("the files' splits changed between two readings"))) + F.col("_id") - F.col("_first")
+    return t.join(starts, (F.col("_path") == F.col("_p")) & (F.col("_block") == F.col("_b")), "left").withColumn(out, at).drop("_id", "_p", "_b", "_first", "_before")
+
+
+#: File splits whose counts are broadcast at most.
+SPLITS = 100_000
+
+
+def _scan(df: DataFrame, *columns) -> DataFrame:
+    return df.select(*columns, F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_block"))
+
+
+def _text(spark: SparkSession, path: str) -> DataFrame:
+    return _scan(spark.read.text(path), F.col("value").alias("raw"))
+
+
+def _blank():
+    return F.col("raw").rlike(r"^\s*$")
+
+
+def _parsed(rows: DataFrame) -> DataFrame:
+    got = rows.drop("_path", "_block").withColumn("v", F.try_parse_json("raw"))
     return got.withColumn("is_object", F.coalesce(F.startswith(F.schema_of_variant("v"), F.lit("OBJECT")), F.lit(False)))
 
 
+def json_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(line_no, raw, v, is_object) of the non-blank lines of JSONL files; ``v`` is null for malformed JSON.
+
+    Lines end at CR or LF only. The ordinal is physical, counted before blanks go; a folder's files follow each
+    other by name. A line that repeats a key inside one object counts as malformed.
+    """
+    rows = in_file_order(_text(spark, path), "line_no").withColumn("line_no", F.col("line_no") + 1)
+    return _parsed(rows.where(~_blank()))
+
+
 def exact(v: str, field: str, kind: str) -> Column:
     """The field if it has exactly this JSON type (STRING or BOOLEAN), else null; 1 is no boolean."""
     it = f"try_variant_get({v}, '$.{field}', 'variant')"
@@ -86,16 +118,40 @@ def read_any(spark: SparkSession, path: str) -> DataFrame:
     raise DataQualityError(f"unknown kind of file: {path}")
 
 
+def study_records(spark: SparkSession, path: str) -> DataFrame:
+    """(_pos, v): a file's rows as variants, numbered from 0 in their order without blank lines. A JSON array is one
+    value, so its size is bounded by a variant's; larger tables come as lines or Parquet.
+
+    A Parquet file has all its columns as keys of every row; rows of JSON lines and of a JSON array have the keys that they have.
+    """
+    if path.endswith(".parquet"):
+        df = spark.read.parquet(path)
+        keep = [c for c in df.columns if c in STUDY_KEYS]
+        v = F.to_variant_object(F.struct(*[F.col(c) for c in keep])) if keep else F.try_parse_json(F.lit("{}"))
+        return in_file_order(_scan(df, v.alias("v")), "_pos").select("_pos", "v")
+    if path.endswith(".jsonl"):
+        rows = _parsed(in_file_order(_text(spark, path).where(~_blank()), "_pos"))
+        require(rows.where(~F.col("is_object")).select("_pos"), "lines that are no JSON objects")
+        return rows.select("_pos", "v")
+    if path.endswith(".json"):
+        whole = in_file_order(_scan(spark.read.option("multiLine", True).option("singleVariantColumn", "v").json(path), "v"), "_file")
+        if not whole.where(F.expr("try_variant_get(v, '$.rows', 'variant')").isNotNull()).isEmpty():
+            unwrap(spark.read.option("multiLine", True).json(path))  # an envelope's checks
+        rows = F.expr("coalesce(transform(try_variant_get(v, '$.rows', 'array<variant>'), e -> try_variant_get(e, '$.row', 'variant')), try_variant_get(v, '$', 'array<variant>'))")
+        require(whole.where(rows.isNull()).select("_file"), "files that are no lists of records")
+        got = whole.select("_file", F.posexplode(rows).alias("_at", "v"))  # a file's list is one value
+        require(got.where(~F.coalesce(F.startswith(F.schema_of_variant("v"), F.lit("OBJECT")), F.lit(False))).select("_at"), "rows that are no JSON objects")
+        return got.select((F.col("_file") * (1 << 32) + F.col("_at")).alias("_pos"), "v")
+    raise DataQualityError(f"unknown kind of file: {path}")
+
+
 def read_study(spark: SparkSession, path: str, model: str | None = None) -> DataFrame:
     """Rows of any kind of file as study rows: typed, with unique ids, no text with two families or labels, and one model."""
-    raw = read_any(spark, path)
-    require_columns(raw, *(["original_problem"] if "original_problem" in raw.columns else ["problem"]), *(["model_is_robust"] if "model_is_robust" in raw.columns else ["is_robust"]))
-    label = raw.schema["model_is_robust" if "model_is_robust" in raw.columns else "is_robust"].dataType.simpleString()
-    if label != "boolean":
-        raise DataQualityError(f"labels must be booleans, not {label}")
-    r = normalise_study_rows(raw.withColumn("_pos", F.monotonically_increasing_id()) if "_pos" not in raw.columns else raw)
-    blank = F.coalesce(F.trim("problem") == "", F.lit(True)) | F.col("is_robust").isNull() | F.coalesce(F.col("family_id") == "", F.lit(True))
-    require(r.where(blank).select("id"), "rows without problem, label or family")
+    r = _keyed(study_records(spark, path))
+    wrong = F.coalesce(stripped(F.col("problem")) == "", F.lit(True)) | F.col("is_robust").isNull() | F.coalesce(F.col("family_id") == "", F.lit(True))
+    require(r.where(wrong).select("_pos"), "rows without problem string, boolean label or family")
+    require(r.where(F.col("id").isNull()).select("_pos"), "ids that are no strings")
+    r = r.drop("_pos")
     require(duplicates(r, "id"), "repeated ids")
     require(conflicts(r, ["problem"], ["family_id", "is_robust"]), "texts with two families or labels")
     models = r.where(F.col("model_id") != "").select("model_id").distinct().limit(3).collect()
@@ -182,17 +238,47 @@ def first_source(*readers) -> DataFrame:
     raise DataQualityError(f"no source can be read: {errors}")
 
 
+#: The keys of a study's rows.
+STUDY_KEYS = "id family_id dataset_id problem_id original_problem problem model_is_robust is_robust model_id".split()
+
+
+def _at(key: str) -> Column:
+    """The key's value as a variant: a null variant for JSON null, null where the row lacks the key."""
+    return F.expr(f"try_variant_get(v, '$.{key}', 'variant')")
+
+
+def _as_text(key: str) -> Column:
+    """A scalar as text (true as ``True``); null for null, missing keys, objects and lists."""
+    kind, text = F.schema_of_variant(_at(key)), F.expr(f"try_variant_get(v, '$.{key}', 'string')")
+    return F.when(kind == "BOOLEAN", F.initcap(text)).when(~kind.rlike("^(OBJECT|ARRAY|VOID)"), text)
+
+
+def _keyed(rows: DataFrame, aliases: dict[str, str] | None = None) -> DataFrame:
+    """(_pos, id, family_id, problem, is_robust, model_id) of ``rows(_pos, v)``; each row takes its own keys.
+
+    ``original_problem`` and ``model_is_robust`` go before ``problem`` and ``is_robust`` wherever a row has them, null or
+    not. A family that is missing or null is the compact JSON of dataset and problem, if the row has both. An id that
+    is missing, null, false, 0 or empty is the SHA-256 of the compact JSON ``[family,problem,place]``. Null
+    are: problems and families that are no strings, labels that are no booleans, and ids that are something else.
+    """
+    string = lambda key: exact("v", key, "STRING")
+    problem = F.when(_at("original_problem").isNotNull(), string("original_problem")).otherwise(string("problem"))
+    label = F.when(_at("model_is_robust").isNotNull(), exact("v", "model_is_robust", "BOOLEAN")).otherwise(exact("v", "is_robust", "BOOLEAN"))
+    without = lambda key: _at(key).isNull() | F.is_variant_null(_at(key))
+    d, p = _as_text("dataset_id"), _as_text("problem_id")
+    derived = F.when(d.isNotNull() & p.isNotNull(), compact_json(d, p))
+    family = F.when(without("family_id"), derived).otherwise(string("family_id"))
+    falsy = without("id") | F.coalesce(F.expr("try_variant_get(v, '$.id', 'string')").isin("", "false", "0", "0.0"), F.lit(False)) & ~F.coalesce(string("id").isin("false", "0", "0.0"), F.lit(False))
+    named = rows.select("_pos", "v", problem.alias("problem"), label.alias("is_robust"), family.alias("family_id"), resolve_alias(string("model_id"), aliases).alias("model_id"))
+    place = F.col("_pos").cast("string")
+    made = F.sha2(F.concat(F.regexp_replace(compact_json(F.col("family_id"), F.col("problem")), r"\]$", ","), place, F.lit("]")), 256)
+    return named.select("_pos", F.when(falsy, made).otherwise(string("id")).alias("id"), "family_id", "problem", "is_robust", "model_id")
+
+
 def normalise_study_rows(df: DataFrame, aliases: dict[str, str] | None = None) -> DataFrame:
-    """(id, family_id, problem, is_robust, model_id) with fallbacks by column presence; needs ``_pos``."""
-    has = set(df.columns)
-    problem = F.col("original_problem" if "original_problem" in has else "problem")
-    label = F.col("model_is_robust" if "model_is_robust" in has else "is_robust")
-    derived = compact_json(F.col("dataset_id").cast("string"), F.col("problem_id").cast("string")) if {"dataset_id", "problem_id"} <= has else F.lit(None).cast("string")
-    family = F.coalesce(F.col("family_id"), derived) if "family_id" in has else derived
-    model = resolve_alias(F.col("model_id"), aliases) if "model_id" in has else F.lit(None).cast("string")
-    made = F.sha2(F.concat_ws("|", family, problem, F.col("_pos").cast("string")), 256)
-    own = F.when(F.col("id").isNull() | (F.col("id") == ""), made).otherwise(F.col("id")) if "id" in has else made
-    return df.select(own.alias("id"), family.alias("family_id"), problem.alias("problem"), label.alias("is_robust"), model.alias("model_id"))
+    """(id, family_id, problem, is_robust, model_id) of a table with ``_pos``, whose columns are the keys of all its rows; see ``_keyed``."""
+    keep = [F.col(c) for c in df.columns if c in STUDY_KEYS]
+    return _keyed(df.select(F.col("_pos").cast("long").alias("_pos"), F.to_variant_object(F.struct(*keep)).alias("v")), aliases).drop("_pos")
 
 
 def parquet_shards(spark: SparkSession, path: str) -> DataFrame:
