@@ -8,8 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.linear import ensemble_margins
-from ..sources import files
-from . import artifacts
+from . import artifacts, packages
 from .quality import DataQualityError
 
 
@@ -59,30 +58,17 @@ def probe_predictions(cases: DataFrame, probes: DataFrame | None, layer: int, en
     return cases.select("id").join(got, "id", "left").select("id", finite(F.col("margin"), "a margin").alias("margin"), "is_robust")
 
 
-_LOADED: dict[str, Callable] = {}
-
-
-def _defined(source: str) -> Callable:
-    if source not in _LOADED:
-        space: dict = {"__name__": "participant_solution"}
-        exec(compile(source, "solution.py", "exec"), space)  # noqa: S102 running the participant's code is the contract
-        if not callable(space.get("are_robust")):
-            raise DataQualityError("solution.py must define are_robust(model_id, problems)")
-        _LOADED[source] = space["are_robust"]
-    return _LOADED[source]
-
-
 def participant(spark: SparkSession, folder: str) -> Callable[[str, list[str]], list[bool]]:
-    """The function ``are_robust`` of the folder's solution.py, for ``evaluate.run_batches``. The source travels
-    to the workers, each of which defines it once."""
-    path = f"{folder}/solution.py"
-    if not files.exists(spark, path):
-        raise DataQualityError("a submission must have solution.py at its root")
-    source = files.read_text(spark, path)
-    _defined(source)
+    """The function ``are_robust`` of the folder's solution.py, for ``evaluate.run_batches``.
+
+    The whole folder travels to the workers, so it may import its own modules and packages and read its own files
+    beside ``__file__``. Each worker loads it once, apart from other submissions' modules of the same names.
+    """
+    name = packages.shipped(spark, folder)
+    packages.check_loads(spark, name)
 
     def predict(model_id: str, problems: list[str]) -> list[bool]:
-        return _defined(source)(model_id, problems)
+        return packages.loaded(name)(model_id, problems)
 
     return predict
 

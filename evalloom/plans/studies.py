@@ -279,6 +279,23 @@ def participant_file(v: Views):
     return evaluate.run_batches(_cases(v), inference.participant(v.spark, path)).select("id", "is_robust", "valid")
 
 
+@query(f"WITH c AS ({_CASES}), l AS (SELECT CAST(doc_id AS VARCHAR) AS id, quality = 1 AS y FROM labels) SELECT round(avg((y = (length(problem) >= 1000))::INT), 6) AS accuracy, 1.0::DOUBLE AS coverage, 0::BIGINT AS invalid_predictions, count(*) AS cases FROM c JOIN l USING (id)")
+def participant_package(v: Views):
+    """A submission of several modules, a package and a data file, through ingestion, then scored."""
+    root = work_dir(v.spark, "package")
+    for name, text in {
+        "solution.py": "import helper\nfrom rules.length import long_enough\n\n\ndef are_robust(model_id, problems):\n    from rules import late\n\n    return [late.exactly(long_enough(p, helper.limit())) for p in problems]\n",
+        "helper.py": "from pathlib import Path\n\n\ndef limit():\n    return int((Path(__file__).parent / 'limit.txt').read_text())\n", "limit.txt": "1000",
+        "rules/__init__.py": "", "rules/length.py": "def long_enough(p, n):\n    return len(p) >= n\n", "rules/late.py": "def exactly(x):\n    return bool(x)\n",
+    }.items():
+        files.write_text(v.spark, f"{root}/solution/{name}", text)
+    made = evaluate.run_batches(_cases(v), inference.participant(v.spark, f"{root}/solution"))
+    sinks.write_json_lines(made, f"{root}/predictions.jsonl", "_pos")
+    got, malformed = readers.load_predictions(v.spark, f"{root}/predictions.jsonl")
+    labels = v.rows().select("id", F.col("model_is_robust").alias("is_robust"))
+    return evaluate.score(labels, got, malformed).select(r6("accuracy").alias("accuracy"), "coverage", "invalid_predictions", F.col("n_labels").alias("cases"))
+
+
 @query("SELECT p_partkey, length(p_name)::DOUBLE AS f0, unicode(right(p_name, 1))::DOUBLE AS f1, 1.0::DOUBLE AS f2, length(p_name)::DOUBLE AS f3 FROM part")
 def hidden_states(v: Views):
     """A toy model whose states are (count so far, code point) and (1, count so far), padded on the left."""

@@ -32,13 +32,17 @@ def rename(spark: SparkSession, source: str, target: str, overwrite: bool = True
 
 
 def write_text(spark: SparkSession, path: str, text: str, overwrite: bool = True) -> None:
+    write_bytes(spark, path, text.encode("utf-8"), overwrite)
+
+
+def write_bytes(spark: SparkSession, path: str, data: bytes, overwrite: bool = True) -> None:
     """Write beside the target, then move over it: readers see the old file or the new one."""
     folder, _, name = path.rpartition("/")
     aside = f"{folder}/.{name}.{uuid.uuid4().hex[:8]}.tmp"
     fs, p = _at(spark, aside)
     out = fs.create(p, False)
     try:
-        out.write(bytearray(text.encode("utf-8")))
+        out.write(bytearray(data))
         out.close()
         rename(spark, aside, path, overwrite)
     except BaseException:
@@ -46,16 +50,32 @@ def write_text(spark: SparkSession, path: str, text: str, overwrite: bool = True
         raise
 
 
-def read_text(spark: SparkSession, path: str) -> str:
-    """A small file's text, on the driver."""
+def read_bytes(spark: SparkSession, path: str) -> bytes:
+    """A small file, on the driver."""
     fs, p = _at(spark, path)
     stream = fs.open(p)
     try:
-        return bytes(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode("utf-8")
+        return bytes(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
     finally:
         stream.close()
 
 
+def read_text(spark: SparkSession, path: str) -> str:
+    return read_bytes(spark, path).decode("utf-8")
+
+
+def walk(spark: SparkSession, folder: str) -> list[tuple[str, int]]:
+    """(path below the folder, bytes) of all files below it, sorted; none if it doesn't exist."""
+    fs, p = _at(spark, folder)
+    if not fs.exists(p):
+        return []
+    top, found, out = fs.getFileStatus(p).getPath().toString().rstrip("/") + "/", fs.listFiles(p, True), []
+    while found.hasNext():
+        f = found.next()
+        out.append((f.getPath().toString().removeprefix(top), f.getLen()))
+    return sorted(out)
+
+
 def names(spark: SparkSession, folder: str) -> list[str]:
     """The names in a folder, sorted."""
     fs, p = _at(spark, folder)
