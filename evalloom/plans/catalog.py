@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import keys as K
 from ..functions import linear as L
 from ..functions import tokens as T
-from ..operators import cache, evaluate, families, quality, selection
+from ..operators import cache, digests, evaluate, families, quality, selection
 from ..sources import readers
 from .views import FIRST, LABELS, PRED, ROWS, STEPS, Views
 
@@ -450,6 +450,16 @@ def ordered_digest(v: Views):
     return g.select("source", "n_rows", F.sha2(F.array_join(F.col("i").cast("array<string>"), ","), 256).alias("digest"))
 
 
+_ROW_MD5 = "md5(concat_ws(chr(31), coalesce(CAST(doc_id AS VARCHAR), chr(0)), coalesce(text, chr(0))))"
+_FOLDED = "CAST(list_reduce(list(CAST(CAST('0x' || substr(m, {at}, 15) AS BIGINT) AS HUGEINT) ORDER BY n_chars, doc_id, m), lambda a, x: (a * {base} + x) % 2305843009213693951, 0::HUGEINT) AS VARCHAR)"
+
+
+@query(f"WITH d AS (SELECT source, n_chars, doc_id, {_ROW_MD5} AS m FROM documents) SELECT source, count(*) AS n_rows, {_FOLDED.format(at=1, base=1_000_003_000_019)} AS digest_1, {_FOLDED.format(at=16, base=1_700_000_000_000_029)} AS digest_2 FROM d GROUP BY source")
+def sequence_digests(v: Views):
+    """What each source's rows are, in the order of their lengths and ids; no source is in one task."""
+    return digests.sequence_digest(v.table("documents"), ["n_chars", "doc_id"], ["doc_id", "text"], ["source"])
+
+
 @query("WITH d AS (SELECT md5(concat_ws(chr(31), coalesce(CAST(doc_id AS VARCHAR), chr(0)), coalesce(text, chr(0)), coalesce(source, chr(0)))) AS m FROM documents) SELECT count(*) AS n_rows, CAST(sum(CAST('0x' || substr(m, 1, 15) AS BIGINT)) AS VARCHAR) AS sum_1, CAST(sum(CAST('0x' || substr(m, 16, 15) AS BIGINT)) AS VARCHAR) AS sum_2 FROM d")
 def content_digest(v: Views):
     return cache.content_digest(v.table("documents"), "doc_id", "text", "source")

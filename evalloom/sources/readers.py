@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.keys import ALIASES, compact_json, resolve_alias, stripped
 from ..operators.cache import content_digest
+from ..operators.digests import sequence_digest
 from ..operators.quality import DataQualityError, conflicts, duplicates, require, require_columns
 from . import files
 
@@ -218,11 +219,24 @@ def split_files(spark: SparkSession, folder: str, split: str) -> DataFrame:
     return df.withColumn("_name", top).join(F.broadcast(place), "_name").drop("_name")
 
 
-def verified(read: Callable[[], DataFrame], *columns: str) -> DataFrame:
-    """A source read twice: the digests of both reads must agree."""
-    first, again = read(), read()
-    one, two = (content_digest(df, *(columns or df.columns)).first() for df in (first, again))
-    if one != two:
+def verified(read: Callable[[], DataFrame], *columns: str, order: list[str] | None = None, revision: Callable[[], str] | None = None, pinned: str | None = None) -> DataFrame:
+    """A source read twice: the digests of both reads must agree, that of their order too if ``order`` is given.
+
+    ``revision`` tells the source's revision: a non-empty string, the same before and after, and ``pinned`` if that is given.
+    """
+
+    def at() -> str | None:
+        got = revision() if revision else None
+        if revision and not (isinstance(got, str) and got):
+            raise DataQualityError("the source tells no revision")
+        if pinned is not None and got != pinned:
+            raise DataQualityError(f"the source is at revision {got}, not {pinned}")
+        return got
+
+    before, first, again = at(), read(), read()
+    digest = (lambda df: sequence_digest(df, order, list(columns or df.columns))) if order else (lambda df: content_digest(df, *(columns or df.columns)))
+    one, two = (digest(df).first() for df in (first, again))
+    if one != two or at() != before:
         raise DataQualityError("the source changed between two reads")
     return again
 

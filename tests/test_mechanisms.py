@@ -6,7 +6,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from evalloom.operators import evaluate, inference, packages, quality
+from evalloom.operators import digests, evaluate, inference, packages, quality
 from evalloom.sources import files, readers
 
 canonical = lambda x: json.dumps(x, ensure_ascii=False, sort_keys=True, separators=(",", ":"))
@@ -135,3 +135,44 @@ def test_submissions_are_found_in_any_store_and_bounded(spark, tmp_path, monkeyp
     monkeypatch.setattr(packages, "MOST_BYTES", 10)
     with pytest.raises(quality.DataQualityError, match="10 bytes"):
         packages.shipped(spark, root)
+
+
+def test_digests_of_order_equal_a_plain_fold(spark):
+    import random
+
+    rng = random.Random(1)
+    rows = [(rng.choice(["a", "b", None]), rng.randrange(30), rng.choice(["x", "", None, "é"]), i % 40) for i in range(500)]
+    d = spark.createDataFrame(rows, "g string, o int, t string, u int")
+    want = {}
+    for g in ("a", "b", None):
+        hashes = sorted((o, hashlib.md5("\x1f".join("\x00" if x is None else str(x) for x in (t, u)).encode()).hexdigest()) for k, o, t, u in rows if k == g)
+        want[g] = (len(hashes), *(str(digests.fold([int(h[at : at + 15], 16) for _, h in hashes], b)[1]) for at, b in ((0, digests.BASES[0]), (15, digests.BASES[1]))))
+    for parts in (1, 3, 7):
+        spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+        got = digests.sequence_digest(d.repartition(parts), ["o"], ["t", "u"], ["g"]).collect()
+        assert {r.g: (r.n_rows, r.digest_1, r.digest_2) for r in got} == want
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    one = digests.sequence_digest(d, ["o"], ["t", "u"]).first()
+    assert one != digests.sequence_digest(d.withColumn("o", -F.col("o")), ["o"], ["t", "u"]).first() and one.n_rows == 500
+    assert digests.sequence_digest(d.limit(0), ["o"], ["t"]).collect() == []
+
+
+def test_runs_put_together_are_the_whole_run():
+    values = [pow(3, i, digests.PRIME) for i in range(20)]
+    for cut in range(21):
+        assert digests.after(digests.fold(values[:cut], 7), digests.fold(values[cut:], 7)) == digests.fold(values, 7)
+
+
+def test_sources_are_pinned_and_their_order_is_verified(spark):
+    a, b = (spark.createDataFrame(x, "k int, t string") for x in ([(1, "x"), (2, "y")], [(1, "y"), (2, "x")]))
+    reads = lambda *d: iter(d).__next__
+    assert readers.verified(reads(a, b), "t").count() == 2  # the same texts in some order
+    with pytest.raises(quality.DataQualityError, match="changed"):
+        readers.verified(reads(a, b), "t", order=["k"])
+    assert readers.verified(reads(a, a), order=["k"], revision=lambda: "r1", pinned="r1").count() == 2
+    with pytest.raises(quality.DataQualityError, match="r2"):
+        readers.verified(reads(a, a), revision=lambda: "r2", pinned="r1")
+    with pytest.raises(quality.DataQualityError, match="changed"):
+        readers.verified(reads(a, a), revision=reads("r1", "r2"))
+    with pytest.raises(quality.DataQualityError, match="no revision"):
+        readers.verified(reads(a, a), revision=lambda: "")
