@@ -108,6 +108,71 @@ def fold_assignment(df: DataFrame, group: str, label: str, folds: int = 5, seed:
     return ranked.select(group, F.pmod("_r", F.lit(folds)).cast("long").alias("fold"))
 
 
+def deal(signatures: list[tuple[int, int, int]], folds: int) -> list[tuple[int, list[int]]]:
+    """For groups of (rows of class False, rows of class True, how many such groups): (groups dealt to every fold alike,
+    folds of the others).
+
+    As many alike groups as there are folds change nothing in the balance, so whole rounds go to all folds. The
+    rest are placed one by one, those whose classes differ most first: each goes where the shares of the classes
+    then differ least between folds, then where the fewest rows are, then to the first fold.
+    """
+    total = [sum(s[c] * s[2] for s in signatures) or 1 for c in (0, 1)]
+    rows = [[0, 0] for _ in range(folds)]
+    out: list[tuple[int, list[int]]] = [(0, [])] * len(signatures)
+    for k, (no, yes, n) in enumerate(signatures):
+        out[k] = (n // folds, [])
+        for r in rows:
+            r[0] += no * (n // folds)
+            r[1] += yes * (n // folds)
+
+    def unevenness(f: int, add: tuple[int, int]) -> float:
+        spread = 0.0
+        for c in (0, 1):
+            shares = [(r[c] + (add[c] if i == f else 0)) / total[c] for i, r in enumerate(rows)]
+            mean = sum(shares) / folds
+            spread += (sum((x - mean) ** 2 for x in shares) / folds) ** 0.5
+        return round(spread, 12)
+
+    for k in sorted(range(len(signatures)), key=lambda k: (-abs(signatures[k][0] - signatures[k][1]), -sum(signatures[k][:2]), signatures[k])):
+        add = signatures[k][:2]
+        for _ in range(signatures[k][2] % folds):
+            f = min(range(folds), key=lambda f: (unevenness(f, add), sum(rows[f]), f))
+            rows[f][0] += add[0]
+            rows[f][1] += add[1]
+            out[k][1].append(f)
+    return out
+
+
+#: Kinds of groups, by their rows of either class, that are dealt out on the driver at most.
+SIGNATURES = 1_000_000
+
+
+def balanced_folds(df: DataFrame, group: str, label: str, folds: int = 5, seed: int = 42) -> DataFrame:
+    """(group, fold): whole groups, folds with nearly the same rows of either class.
+
+    Groups with the same rows of either class are alike, so only the numbers of alike groups reach the driver, where ``deal``
+    settles how many of them each fold gets; which ones is their seeded hash's matter. Groups are numbered in
+    ranges, so neither a large group nor very many alike ones meet in a task. A null label counts as False, a null
+    group as a group. Names starting with ``_`` are reserved.
+    """
+    from .evaluate import numbered_in_order
+
+    if folds < 2:
+        raise DataQualityError("folds are 2 at least")
+    y = F.coalesce(F.col(label), F.lit(False))
+    g = df.groupBy(group).agg(F.count_if(~y).alias("_no"), F.count_if(y).alias("_yes"))
+    g = g.withColumn("_o", F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(group).cast("string"), F.lit("\x00"))), 256))
+    ranked = numbered_in_order(g, "_no", "_yes", "_o", group, out="_r")
+    kinds = ranked.groupBy("_no", "_yes").agg(F.count(F.lit(1)).alias("_n"), F.min("_r").alias("_first")).orderBy("_no", "_yes").limit(SIGNATURES + 1).collect()
+    if len(kinds) > SIGNATURES:
+        raise DataQualityError(f"groups are of more than {SIGNATURES} kinds")
+    dealt = deal([(k["_no"], k["_yes"], k["_n"]) for k in kinds], folds)
+    plan = df.sparkSession.createDataFrame([(k["_no"], k["_yes"], k["_first"], each, rest) for k, (each, rest) in zip(kinds, dealt)], "_no long, _yes long, _first long, _each long, _rest array<int>")
+    at = F.col("_r") - F.col("_first")
+    fold = F.when(at < F.col("_each") * folds, F.pmod(at, F.lit(folds))).otherwise(F.get("_rest", (at - F.col("_each") * folds).cast("int")))
+    return ranked.join(plan, ["_no", "_yes"]).select(group, fold.cast("long").alias("fold"))
+
+
 def fold_leakage(assignment: DataFrame, group: str) -> DataFrame:
     """Groups in more than one fold."""
     return assignment.groupBy(group).agg(F.count_distinct("fold").alias("n_folds")).where("n_folds > 1")

@@ -10,15 +10,17 @@ from pyspark.sql import functions as F
 
 from .evaluate import numbered_in_order, running_sums
 from .families import fold_assignment
-from .quality import DataQualityError, require_classes
+from .quality import DataQualityError, require, require_classes
 
 
 def threshold_sweep(scores: DataFrame) -> DataFrame:
     """(threshold, balanced_accuracy, accuracy, tp, tn) for rows (score, label); score < threshold is robust.
 
     Candidates: just below the least score, midpoints of neighbours, just above the greatest. Rows are first
-    counted by score, so the running sums are over distinct scores.
+    counted by score, so the running sums are over distinct scores. Scores must be finite and labels known.
     """
+    x = F.col("score").cast("double")
+    require(scores.where(x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")) | F.col("label").isNull()).limit(1), "scores that aren't finite or rows without label")
     by = scores.groupBy(F.col("score").cast("double").alias("score")).agg(F.count_if("label").alias("p"), F.count_if(~F.col("label")).alias("n"))
     run = running_sums(by, "score", "p", "n").select("score", F.col("c_p").alias("cp"), F.col("c_n").alias("cn"), F.col("next").alias("nxt"), F.col("all_p").alias("P"), F.col("all_n").alias("N"))
     up, down = F.expr("cast(reflect('java.lang.Math', 'nextUp', score) as double)"), F.expr("cast(reflect('java.lang.Math', 'nextDown', score) as double)")
@@ -50,13 +52,14 @@ def rank_candidates(candidates: DataFrame) -> DataFrame:
 
 
 def impute_median(df: DataFrame, column: str, out: str) -> DataFrame:
-    """Nulls replaced by the column's exact median: the mean of the one or two middle values by rank, found without
-    holding the column in a task."""
-    values = df.where(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("v"))
+    """Nulls and NaN replaced by the other values' exact median: the mean of the one or two middle values by rank, found
+    without holding the column in a task. A column without values stays null."""
+    known = F.nanvl(F.col(column).cast("double"), F.lit(None).cast("double"))
+    values = df.where(known.isNotNull()).select(known.alias("v"))
     n = values.count()
     middle = F.col("r").isin((n - 1) // 2, n // 2)
     m = numbered_in_order(values, "v", out="r").where(middle).agg(F.avg("v").alias("_m"))
-    return df.crossJoin(F.broadcast(m)).withColumn(out, F.coalesce(F.col(column).cast("double"), "_m")).drop("_m")
+    return df.crossJoin(F.broadcast(m)).withColumn(out, F.coalesce(known, "_m")).drop("_m")
 
 
 @dataclass(frozen=True, order=True)

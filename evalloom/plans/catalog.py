@@ -227,6 +227,19 @@ def fold_assignment_counts(v: Views):
     return m.groupBy("fold").agg(F.count_distinct("user_id").alias("n_groups"), F.count(F.lit(1)).alias("n_rows"), F.count_if("label").alias("n_true"))
 
 
+@query("WITH g AS (SELECT user_id, count(*) n, count(*) FILTER (event_type <> 'error') y FROM events GROUP BY user_id) SELECT count(*) AS n_groups, CAST(sum(n) AS BIGINT) AS n_rows, CAST(sum(y) AS BIGINT) AS n_true, true AS whole, true AS rows_even, true AS classes_even FROM g")
+def balanced_fold_counts(v: Views):
+    """Every group in one of five folds, whose rows of either class differ by one largest group at most."""
+    s = v.scores()
+    a = families.balanced_folds(s, "user_id", "label")
+    per = s.join(a, "user_id").groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.count_if("label").alias("y"), F.count_distinct("user_id").alias("g"))
+    most = s.groupBy("user_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("most"))
+    even = lambda x: F.max(x) - F.min(x)
+    one = per.agg(F.sum("g").alias("n_groups"), F.sum("n").alias("n_rows"), F.sum("y").alias("n_true"), F.count(F.lit(1)).alias("k"), even(F.col("n")).alias("dn"), even(F.col("y")).alias("dy"), even(F.col("n") - F.col("y")).alias("dz"))
+    leak = families.fold_leakage(a, "user_id").agg(F.count(F.lit(1)).alias("leaks"))
+    return one.crossJoin(most).crossJoin(leak).select("n_groups", "n_rows", "n_true", ((F.col("leaks") == 0) & (F.col("k") == 5)).alias("whole"), (F.col("dn") <= F.col("most")).alias("rows_even"), (F.greatest("dy", "dz") <= F.col("most")).alias("classes_even"))  # a row each
+
+
 @query(f"WITH {_FOLD}, b AS (SELECT user_id, fold FROM fa UNION ALL SELECT user_id, (fold + 1) % 5 FROM fa WHERE user_id % 50 = 0) SELECT user_id, count(DISTINCT fold) AS n_folds FROM b GROUP BY user_id HAVING count(DISTINCT fold) > 1")
 def fold_leakage(v: Views):
     """An assignment broken on purpose, so that something is found."""
@@ -379,6 +392,14 @@ def median_impute(v: Views):
     return selection.impute_median(d, "x", "value").select("event_id", r6("value").alias("value"))
 
 
+@query("WITH d AS (SELECT event_id, CASE WHEN event_id % 7 = 0 THEN NULL WHEN event_id % 11 = 0 THEN 'nan'::DOUBLE ELSE value END x FROM events), m AS (SELECT median(x) md FROM d WHERE x IS NOT NULL AND NOT isnan(x)) SELECT event_id, round(CASE WHEN x IS NULL OR isnan(x) THEN md ELSE x END, 6) AS value FROM d, m")
+def median_impute_nan(v: Views):
+    """NaN counts as missing, like null."""
+    e = v.table("events")
+    d = e.select("event_id", F.when(F.col("event_id") % 7 == 0, F.lit(None).cast("double")).when(F.col("event_id") % 11 == 0, F.lit(float("nan"))).otherwise(F.col("value")).alias("x"))
+    return selection.impute_median(d, "x", "value").select("event_id", r6("value").alias("value"))
+
+
 @query("SELECT c_custkey AS key, c_name AS name, c_mktsegment AS segment, CAST(NULL AS DOUBLE) AS balance FROM customer UNION ALL BY NAME SELECT s_suppkey AS key, s_name AS name, s_acctbal AS balance FROM supplier")
 def shard_union(v: Views):
     a = v.table("customer").select(F.col("c_custkey").alias("key"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"))

@@ -2,11 +2,14 @@
 
 import hashlib
 import json
+import random
+import statistics
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
-from evalloom.operators import digests, evaluate, inference, packages, quality
+from evalloom.operators import digests, evaluate, families, inference, packages, quality, selection
 from evalloom.sources import files, readers
 
 canonical = lambda x: json.dumps(x, ensure_ascii=False, sort_keys=True, separators=(",", ":"))
@@ -138,8 +141,6 @@ def test_submissions_are_found_in_any_store_and_bounded(spark, tmp_path, monkeyp
 
 
 def test_digests_of_order_equal_a_plain_fold(spark):
-    import random
-
     rng = random.Random(1)
     rows = [(rng.choice(["a", "b", None]), rng.randrange(30), rng.choice(["x", "", None, "é"]), i % 40) for i in range(500)]
     d = spark.createDataFrame(rows, "g string, o int, t string, u int")
@@ -176,3 +177,69 @@ def test_sources_are_pinned_and_their_order_is_verified(spark):
         readers.verified(reads(a, a), revision=reads("r1", "r2"))
     with pytest.raises(quality.DataQualityError, match="no revision"):
         readers.verified(reads(a, a), revision=lambda: "")
+
+
+def spread(rows, assigned, folds):
+    """The sum over classes of the deviation of their shares between folds, and rows by fold."""
+    per = [[0, 0] for _ in range(folds)]
+    for g, y in rows:
+        per[assigned[g]][y] += 1
+    total = [sum(p[c] for p in per) or 1 for c in (0, 1)]
+    return sum(statistics.pstdev([p[c] / total[c] for p in per]) for c in (0, 1)), [sum(p) for p in per]
+
+
+def greedy(rows, folds):
+    """Groups one by one, the most uneven first, each where the shares then differ least."""
+    groups = Counter(g for g, _ in rows)
+    yes = Counter(g for g, y in rows if y)
+    at, seen = {}, []
+    for g in sorted(groups, key=lambda g: -abs(groups[g] - 2 * yes[g])):
+        seen += [r for r in rows if r[0] == g]
+        at[g] = min(range(folds), key=lambda f: (round(spread_over(rows, seen, at | {g: f}, folds), 12), f))
+    return at
+
+
+def spread_over(rows, seen, at, folds):
+    total = [sum(1 for _, y in rows if y == c) or 1 for c in (0, 1)]
+    per = [[0, 0] for _ in range(folds)]
+    for g, y in seen:
+        per[at[g]][y] += 1
+    return sum(statistics.pstdev([p[c] / total[c] for p in per]) for c in (0, 1))
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_folds_are_balanced_by_rows_and_classes(spark, seed):
+    rng = random.Random(seed)
+    rows = [(f"g{g}", rng.random() < (0.2 if g % 3 else 0.9)) for g in range(200) for _ in range(rng.choice([1, 1, 2, 3, 5, 9, 30]))]
+    d = spark.createDataFrame(rows, "g string, y boolean")
+    got = {r.g: r.fold for r in families.balanced_folds(d, "g", "y", 5, seed).collect()}
+    again = {r.g: r.fold for r in families.balanced_folds(d.repartition(7), "g", "y", 5, seed).collect()}
+    assert got == again and set(got) == {g for g, _ in rows} and set(got.values()) == set(range(5))
+    mine, sizes = spread(rows, got, 5)
+    plain, _ = spread(rows, greedy(rows, 5), 5)
+    assert max(sizes) - min(sizes) <= 30 and mine <= plain + 0.01
+    assert got != {r.g: r.fold for r in families.balanced_folds(d, "g", "y", 5, seed + 1).collect()}
+
+
+def test_alike_groups_are_dealt_in_rounds():
+    assert families.deal([(1, 0, 10), (0, 1, 10)], 5) == [(2, []), (2, [])]
+    each, rest = families.deal([(2, 2, 10**12 + 3)], 4)[0]
+    assert each == (10**12 + 3) // 4 and rest == [0, 1, 2]
+    assert sorted(f for _, rest in families.deal([(9, 9, 1), (9, 8, 1), (8, 9, 1)], 3) for f in rest) == [0, 1, 2]
+
+
+def test_folds_of_null_groups_and_labels_and_too_few(spark):
+    d = spark.createDataFrame([(None, True), (None, None), ("a", False), ("b", True)], "g string, y boolean")
+    got = {r.g: r.fold for r in families.balanced_folds(d, "g", "y", 2).collect()}
+    assert set(got) == {None, "a", "b"} and set(got.values()) == {0, 1}
+    with pytest.raises(quality.DataQualityError, match="2 at least"):
+        families.balanced_folds(d, "g", "y", 1)
+
+
+def test_nan_is_missing_for_medians_and_refused_as_score(spark):
+    d = spark.createDataFrame([(1.0,), (3.0,), (float("nan"),), (None,)], "x double")
+    assert sorted(r.y for r in selection.impute_median(d, "x", "y").collect()) == [1.0, 2.0, 2.0, 3.0]
+    assert [r.y for r in selection.impute_median(d.where("x is null"), "x", "y").collect()] == [None]
+    for bad in (float("nan"), float("inf"), None):
+        with pytest.raises(quality.DataQualityError, match="finite"):
+            selection.threshold_sweep(spark.createDataFrame([(0.5, True), (bad, False)], "score double, label boolean"))
