@@ -64,6 +64,8 @@ def impute_median(df: DataFrame, column: str, out: str) -> DataFrame:
 
 @dataclass(frozen=True, order=True)
 class Candidate:
+    """One of three families: ``boosted``, ``extra`` (extremely randomised) and ``forest``."""
+
     family: str
     trees: int
     depth: int
@@ -75,6 +77,10 @@ class Candidate:
     def build(self, features: str, label: str, seed: int = 42):
         from pyspark.ml import regression as R
 
+        from .trees import ExtraTreesRegressor
+
+        if self.family == "extra":
+            return ExtraTreesRegressor(featuresCol=features, labelCol=label, numTrees=self.trees, maxDepth=self.depth, seed=seed)
         if self.family == "forest":
             return R.RandomForestRegressor(featuresCol=features, labelCol=label, numTrees=self.trees, maxDepth=self.depth, seed=seed)
         return R.GBTRegressor(featuresCol=features, labelCol=label, maxIter=self.trees, maxDepth=self.depth, seed=seed)

@@ -11,7 +11,7 @@ from .. import programs
 from ..functions import keys as K
 from ..functions import linear as L
 from ..functions import tokens as T
-from ..operators import artifacts, cache, evaluate, families, inference, quality, selection, study
+from ..operators import artifacts, cache, evaluate, families, inference, networks, quality, selection, study
 from ..session import work_dir
 from ..sources import files, readers, sinks
 from .catalog import _FOLD, _SEL, _SPLIT, _selected, query, r6
@@ -335,6 +335,29 @@ def model_selection(v: Views):
     return back.estimator.predict(d).select("id", "score")
 
 
+@query("SELECT count(*) AS n_rows, true AS finite, true AS beats_the_mean, true AS same_when_loaded FROM events")
+def extra_trees(v: Views):
+    """Trees over four numbers of every event, saved, loaded and applied: their error against the mean's."""
+    from pyspark.ml import PipelineModel
+
+    o = v.table("events").select("event_id", F.col("value").alias("target"), (F.col("event_id") % 7).cast("double").alias("a"), F.when(F.col("event_id") % 5 != 0, F.col("user_id") % 11).cast("double").alias("b"), F.log1p("value").alias("c"), F.lit(1.0).alias("d"))
+    made = selection.pipeline(selection.Candidate("extra", 5, 4), ["a", "b", "c", "d"], "target").fit(o)
+    path = work_dir(v.spark, "trees")
+    made.save(path)
+    both = PipelineModel.load(path).transform(o).select("event_id", "target", F.col("prediction").alias("again")).join(made.transform(o).select("event_id", "prediction"), "event_id")
+    m = both.agg(F.count(F.lit(1)).alias("n_rows"), F.bool_and(~F.isnan("prediction")).alias("finite"), F.avg((F.col("target") - F.col("prediction")) ** 2).alias("e"), F.var_pop("target").alias("s"), F.bool_and(F.col("again") == F.col("prediction")).alias("same_when_loaded"))
+    return m.select("n_rows", "finite", (F.col("e") < F.col("s") / 2).alias("beats_the_mean"), "same_when_loaded")
+
+
+@query("SELECT count(*) AS n_rows, 3 AS epochs, true AS loss_falls, true AS beats_majority FROM embeddings")
+def network_training(v: Views):
+    """A head with a hidden layer, trained by minibatches of 256 on four fifths of the vectors and applied to all."""
+    e = v.table("embeddings").select("vec_id", (F.col("label") < 5).alias("y"), F.transform("embedding", lambda x: x.cast("double")).alias("features"))
+    made = networks.train(e.where(F.col("vec_id") % 5 != 0), "vec_id", label="y", width=8, epochs=3, batch=256, rate=0.05)
+    right = made.predict(e).agg(F.count(F.lit(1)).alias("n_rows"), F.avg((F.col("is_robust") == F.col("y")).cast("double")).alias("a"), F.avg(F.col("y").cast("double")).alias("m"))
+    return right.select("n_rows", F.lit(len(made.history)).alias("epochs"), F.lit(made.history[-1] < made.history[0]).alias("loss_falls"), (F.col("a") > F.greatest(F.col("m"), 1 - F.col("m"))).alias("beats_majority"))
+
+
 @query()
 def head_training(v: Views):
     """A head trained, its outputs saved and loaded, its predictions journalled."""

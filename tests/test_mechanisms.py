@@ -6,10 +6,11 @@ import random
 import statistics
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from evalloom.operators import digests, evaluate, families, inference, packages, quality, selection
+from evalloom.operators import digests, evaluate, families, inference, networks, packages, quality, selection, study, trees
 from evalloom.sources import files, readers
 
 canonical = lambda x: json.dumps(x, ensure_ascii=False, sort_keys=True, separators=(",", ":"))
@@ -243,3 +244,126 @@ def test_nan_is_missing_for_medians_and_refused_as_score(spark):
     for bad in (float("nan"), float("inf"), None):
         with pytest.raises(quality.DataQualityError, match="finite"):
             selection.threshold_sweep(spark.createDataFrame([(0.5, True), (bad, False)], "score double, label boolean"))
+
+
+def plain_tree(rows, seed, tree, depth, least, k):
+    """Extremely randomised growth by recursion over lists of (features, target)."""
+    out = trees.Tree()
+
+    def go(node, mine, level):
+        n, s = len(mine), sum(y for _, y in mine)
+        low, high = ([f(x[j] for x, _ in mine) for j in range(len(mine[0][0]))] for f in (min, max))
+        best = None
+        if level < depth and n >= 2 * least and len({y for _, y in mine}) > 1:
+            for f, cut in trees.draw(seed, tree, node, low, high, k).items():
+                left = [y for x, y in mine if x[f] <= cut]
+                if least <= len(left) <= n - least:
+                    g = trees.gain(n, s, len(left), sum(left))
+                    if best is None or g > best[0] + 1e-9:
+                        best = (g, f, cut)
+        if best is None:
+            out.leaves[node] = s / n
+        else:
+            out.splits[node] = best[1:]
+            go(2 * node, [r for r in mine if r[0][best[1]] <= best[2]], level + 1)
+            go(2 * node + 1, [r for r in mine if r[0][best[1]] > best[2]], level + 1)
+
+    go(1, rows, 0)
+    return out
+
+
+@pytest.mark.parametrize(("depth", "least", "share", "k"), [(4, 1, "1.0", 4), (3, 5, "sqrt", 2), (0, 1, "0.5", 2)])
+def test_extra_trees_equal_plain_growth(spark, tmp_path, depth, least, share, k):
+    rng = random.Random(depth)
+    rows = [([rng.random(), float(rng.randrange(3)), rng.gauss(0, 5), 1.0], rng.random() + (i % 2)) for i in range(150)]
+    mean = sum(y for _, y in rows) / len(rows)
+    d = spark.createDataFrame(rows, "features array<double>, label double").repartition(3)
+    model = trees.ExtraTreesRegressor(numTrees=3, maxDepth=depth, minLeaf=least, maxFeatures=share, seed=9).fit(d)
+    want = [plain_tree([(x, y - mean) for x, y in rows], 9, t, depth, least, k) for t in range(3)]
+    for a, b in zip(model.grown(), want):
+        assert a.splits == b.splits and a.leaves.keys() == b.leaves.keys()
+        assert all(abs(a.leaves[i] - mean - b.leaves[i]) < 1e-9 for i in b.leaves)
+    got = model.transform(d).collect()
+    for r in got:
+        each = [next(t.leaves[n] for n in [int(t.nodes(np.array([r.features]), 16)[0])]) for t in model.grown()]
+        assert abs(r.prediction - sum(each) / 3) < 1e-9
+    model.save(f"file://{tmp_path}/model")
+    back = trees.ExtraTreesModel.load(f"file://{tmp_path}/model")
+    assert sorted(r.prediction for r in back.transform(d).collect()) == sorted(r.prediction for r in got)
+
+
+def test_extra_trees_refuse_what_they_cannot_fit(spark):
+    d = spark.createDataFrame([([1.0], 1.0), ([float("nan")], 2.0)], "features array<double>, label double")
+    with pytest.raises(quality.DataQualityError, match="finite"):
+        trees.ExtraTreesRegressor(numTrees=1).fit(d)
+    with pytest.raises(quality.DataQualityError, match="no rows"):
+        trees.ExtraTreesRegressor(numTrees=1).fit(d.limit(0))
+    for bad in ({"maxDepth": 17}, {"minLeaf": 0}, {"maxFeatures": "0"}, {"numTrees": 0}):
+        with pytest.raises(ValueError, match="allowed"):
+            trees.ExtraTreesRegressor(**bad).fit(d)
+
+
+def test_three_families_in_one_grid(spark, tmp_path):
+    rows = [(str(i), i % 10, i % 10 < 5, float(i % 10 >= 5), None if i % 7 == 0 else float(i % 10)) for i in range(60)]
+    d = spark.createDataFrame(rows, "id string, g int, y boolean, target double, n double")
+    grid = selection.grid(("boosted", "extra", "forest"), (2,), (2,))
+    best, model, results, baseline = selection.select_model(d, ["n"], "g", "y", "target", grid, folds=2)
+    assert [r["identifier"].split("-")[0] for r in results] == ["boosted", "extra", "forest"] and min(r["balanced_accuracy"] for r in results) > baseline["balanced_accuracy"]
+    one = selection.pipeline(selection.Candidate("extra", 2, 2), ["n"], "target").fit(d)
+    one.save(f"file://{tmp_path}/p")
+    from pyspark.ml import PipelineModel
+
+    assert sorted(r.prediction for r in PipelineModel.load(f"file://{tmp_path}/p").transform(d).collect()) == sorted(r.prediction for r in one.transform(d).collect())
+
+
+@pytest.mark.parametrize("width", [0, 3])
+def test_minibatch_training_equals_numpy_on_the_same_order(spark, width):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(50, 4)) * [1, 5, 0.1, 0] + [0, 3, 0, 2]
+    rows = [(i, x[i].tolist(), bool(x[i, 0] + x[i, 1] > 3)) for i in range(50)]
+    d = spark.createDataFrame(rows, "k int, features array<double>, is_robust boolean").repartition(3)
+    made = networks.train(d, "k", width=width, epochs=3, batch=16, rate=0.05, seed=3)
+    std = np.maximum(x.std(axis=0), 1e-6)
+    z, y = (x - x.mean(axis=0)) / std, np.array([float(r[2]) for r in rows])
+    p, history = networks.start(4, width, 3), []
+    m, s, t = np.zeros_like(p), np.zeros_like(p), 0
+
+    def loss_of(p, i):
+        w, b, out, bias = networks.unpacked(p, 4, width)
+        h = np.maximum(z[i] @ w.T + b, 0) if width else z[i]
+        q = 1 / (1 + np.exp(-(h @ out + bias)))
+        return -(y[i] * np.log(q) + (1 - y[i]) * np.log(1 - q)).mean()
+
+    for epoch in range(3):
+        order = sorted(range(50), key=lambda k: (hashlib.sha256(f"3:{epoch}:{k}".encode()).hexdigest(), k))
+        total = 0.0
+        for at in range(0, 50, 16):
+            i = order[at : at + 16]
+            total += loss_of(p, i) * len(i)
+            g = np.array([(loss_of(p + h, i) - loss_of(p - h, i)) / 2e-6 for h in np.eye(len(p)) * 1e-6])  # by differences
+            t += 1
+            m, s = 0.9 * m + 0.1 * g, 0.999 * s + 0.001 * g * g
+            p = p - 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(s / (1 - 0.999**t)) + 1e-8)
+        history.append(total / 50)
+    assert np.allclose(made.history, history, atol=1e-4) and made.history[-1] < made.history[0]
+    got = {r.k: r.probability for r in made.predict(d).collect()}
+    w, b, out, bias = (np.array(v) for v in (made.hidden, made.hidden_bias, made.weights, made.bias))
+    h = np.maximum(z @ w.T + b, 0) if width else z
+    assert np.allclose([got[i] for i in range(50)], 1 / (1 + np.exp(-(h @ out + bias))), atol=1e-9)
+    assert networks.Network(**json.loads(json.dumps(made.record()))) == made
+
+
+def test_training_stops_at_its_deadline_and_refuses_bad_rows(spark):
+    d = spark.createDataFrame([(1, [1.0], True), (2, [2.0], False)], "k int, features array<double>, is_robust boolean")
+    with pytest.raises(TimeoutError):
+        networks.train(d, "k", deadline=study.Deadline(0))
+    for bad in ("array(double('nan'))", "null"):
+        with pytest.raises(quality.DataQualityError, match="finite"):
+            networks.train(d.withColumn("features", F.expr(f"if(k = 1, {bad}, features)")), "k")
+    with pytest.raises(quality.DataQualityError, match="lengths"):
+        networks.train(d.withColumn("features", F.expr("if(k = 1, array(1d, 2d), features)")), "k")
+    with pytest.raises(quality.DataQualityError, match="no rows"):
+        networks.train(d.limit(0), "k")
+    for dim, width in ((0, 1), (2, -1), (2.0, 1)):
+        with pytest.raises(ValueError, match="whole numbers"):
+            networks.start(dim, width, 0)
