@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import math
+import re
 import uuid
 from dataclasses import asdict, dataclass, field, fields
 from typing import Protocol
@@ -131,13 +132,12 @@ def check(p: object) -> dict:
 
 def safe_id(model_id: str) -> str:
     """The driver's counterpart of ``keys.safe_model_id``."""
-    kept = "".join(c if c.isascii() and (c.isalnum() or c in "._-") else " " for c in model_id)
-    return "_".join(kept.split()) if " " in kept else kept
+    return re.sub(r"[^A-Za-z0-9._-]+", "_", model_id).strip("_")
 
 
 def candidates(root: str, model_id: str) -> list[str]:
     """Where a model's artifact may lie, the most specific place first."""
-    own = safe_id(model_id).strip("_")
+    own = safe_id(model_id)
     return [*([f"{root}/{own}"] if own else []), f"{root}/generic"]
 
 
@@ -182,9 +182,7 @@ def export(spark: SparkSession, root: str, manifest: dict, model=None, sample: D
             a, b = ([r[0] for r in d.collect()] for d in (one.select("_one").orderBy("_one"), two.orderBy("_two")))  # a sample
             if a != b:
                 raise DataQualityError("the artifact read back scores otherwise")
-        if files.exists(spark, place):
-            files.delete(spark, place)
-        files.rename(spark, inside, place)
+        files.replace(spark, inside, place)
     finally:
         files.delete(spark, aside)
     return load(spark, root, manifest["model_id"])

@@ -13,7 +13,7 @@ from ..functions import linear as L
 from ..functions import tokens as T
 from ..operators import artifacts, cache, evaluate, families, inference, networks, quality, selection, study
 from ..session import work_dir
-from ..sources import files, readers, sinks
+from ..sources import files, paged, readers, sinks
 from .catalog import _FOLD, _SEL, _SPLIT, _selected, query, r6
 from .views import ROWS, STEPS, Views
 
@@ -91,6 +91,30 @@ def paged_rows(v: Views):
     return readers.first_source(lambda: readers.read_any(v.spark, f"{path}/none.xml"), lambda: readers.read_pages(v.spark, paths)).select("_pos", "n_nationkey", "n_name")
 
 
+@query("SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS _pos, o_orderkey, o_orderpriority FROM orders")
+def paged_source(v: Views):
+    """All orders through a source that asks for pages of up to 700; the interface answers with 500 at most.
+
+    Spark writes what the interface serves, in documents of 500 rows; the workers' requests read them.
+    """
+    path = work_dir(v.spark, "served")
+    rows = evaluate.numbered_in_order(v.table("orders").select("o_orderkey", "o_orderpriority"), "o_orderkey", out="place").withColumn("page", F.floor(F.col("place") / 500))
+    total = rows.count()
+    docs = rows.groupBy("page").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "o_orderkey", "o_orderpriority"))), lambda r: F.struct(r["place"].alias("row_idx"), F.struct(r["o_orderkey"].alias("o_orderkey"), r["o_orderpriority"].alias("o_orderpriority")).alias("row"))).alias("rows"))
+    docs.select("page", F.to_json(F.struct("rows")).alias("value")).write.partitionBy("page").text(path)
+
+    def fetch(offset: int, length: int) -> dict:
+        from pyarrow import fs
+
+        store, at = fs.FileSystem.from_uri(path)
+        found = [f.path for f in store.get_file_info(fs.FileSelector(f"{at}/page={offset // 500}")) if f.base_name.startswith("part-")] if offset < total else []
+        rows = json.loads(store.open_input_stream(found[0]).read())["rows"] if found else []
+        return {"rows": rows[offset % 500 : offset % 500 + length], "num_rows_total": total, "partial": False}
+
+    v.spark.dataSource.register(paged.paged("orders_pages", fetch))
+    return v.spark.read.format("orders_pages").option("pageSize", 700).option("pagesPerPartition", 2).schema("_pos long, o_orderkey long, o_orderpriority string").load()
+
+
 @query("SELECT (r_regionkey % 2)::BIGINT AS _file, r_regionkey, r_name FROM region")
 def split_files(v: Views):
     """Only the split's files, in the order of their names."""

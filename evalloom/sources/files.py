@@ -9,7 +9,8 @@ from pyspark.sql import SparkSession
 
 def _at(spark: SparkSession, path: str):
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return fs, fs.makeQualified(p)
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -31,6 +32,22 @@ def rename(spark: SparkSession, source: str, target: str, overwrite: bool = True
     jvm.org.apache.hadoop.fs.FileContext.getFileContext(q.toUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(p, q, how)
 
 
+def replace(spark: SparkSession, source: str, target: str) -> None:
+    """Move a folder over another: the old one steps aside and comes back if the new one can't be moved."""
+    old = f"{target.rstrip('/')}.{uuid.uuid4().hex[:8]}.old"
+    had = exists(spark, target)
+    if had:
+        rename(spark, target, old, overwrite=False)
+    try:
+        rename(spark, source, target, overwrite=False)
+    except BaseException:
+        if had:
+            rename(spark, old, target, overwrite=False)
+        raise
+    if had:
+        delete(spark, old)
+
+
 def write_text(spark: SparkSession, path: str, text: str, overwrite: bool = True) -> None:
     write_bytes(spark, path, text.encode("utf-8"), overwrite)
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import json
-import os
-import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,27 +14,44 @@ from . import files
 
 
 def write_json(path: str, record: dict) -> None:
-    """One record with sorted keys, written beside its place and moved over it; ``path`` may be in any store."""
-    text = json.dumps(record, sort_keys=True, ensure_ascii=False) + "\n"
-    if "://" in path:
-        return files.write_text(SparkSession.getActiveSession(), path, text)
-    folder = os.path.dirname(os.path.abspath(path))
-    os.makedirs(folder, exist_ok=True)
-    fd, tmp = tempfile.mkstemp(dir=folder, prefix=".", suffix=".tmp")
+    """One record with sorted keys, written beside its place and moved over it, in the store that Spark takes the path for."""
+    spark = SparkSession.getActiveSession()
+    if spark is None:
+        raise RuntimeError("writing needs an active Spark session")
+    files.write_text(spark, path, json.dumps(record, sort_keys=True, ensure_ascii=False) + "\n")
+
+
+@contextlib.contextmanager
+def committed(spark: SparkSession, path: str, overwrite: bool = False) -> Iterator[str]:
+    """A folder's path to write to, which becomes ``path`` if all goes well and is deleted if not: readers see a whole
+    folder or what was there before. Without ``overwrite`` an existing target is an error, found before and after."""
+    if not overwrite and files.exists(spark, path):
+        raise FileExistsError(f"{path} exists")
+    folder, _, name = path.rstrip("/").rpartition("/")
+    aside = f"{folder}/.{name}.{uuid.uuid4().hex[:8]}.tmp" if folder else f".{name}.{uuid.uuid4().hex[:8]}.tmp"
     try:
-        with os.fdopen(fd, "w", encoding="utf-8") as f:
-            f.write(text)
-        os.replace(tmp, path)
+        yield aside
+        if overwrite:
+            files.replace(spark, aside, path)
+        else:
+            files.rename(spark, aside, path, overwrite=False)
     except BaseException:
-        os.unlink(tmp)
+        files.delete(spark, aside)
         raise
 
 
 def write_json_lines(df: DataFrame, path: str, order: str, mode: str = "errorifexists") -> None:
-    """Compact JSON lines with sorted keys, in order: ranges of ``order`` become files in name order."""
+    """Compact JSON lines with sorted keys, in order: ranges of ``order`` become files in name order, which the readers
+    keep. The folder appears once all tasks are done; a failure leaves nothing. Modes: errorifexists, overwrite, append."""
     cols = sorted(c for c in df.columns if c != order)
     rows = df.repartitionByRange(order).sortWithinPartitions(order)
-    rows.select(F.to_json(F.struct(*cols), {"ignoreNullFields": "false"}).alias("value")).write.mode(mode).text(path)
+    lines = rows.select(F.to_json(F.struct(*cols), {"ignoreNullFields": "false"}).alias("value"))
+    if mode == "append":
+        return lines.write.mode(mode).text(path)
+    if mode not in ("errorifexists", "error", "overwrite"):
+        raise ValueError(f"unknown mode: {mode}")
+    with committed(df.sparkSession, path, mode == "overwrite") as aside:
+        lines.write.text(aside)
 
 
 def write_record(df: DataFrame, path: str) -> dict:
@@ -60,15 +77,8 @@ def write_split(rows: DataFrame, split: DataFrame, group: str, path: str, **sett
 
 def write_parquet(df: DataFrame, path: str) -> None:
     """Written beside its place and moved over it: a failed write leaves what was there."""
-    spark, aside = df.sparkSession, f"{path}.{uuid.uuid4().hex[:8]}.tmp"
-    try:
+    with committed(df.sparkSession, path, overwrite=True) as aside:
         df.write.parquet(aside)
-        if files.exists(spark, path):
-            files.delete(spark, path)
-        files.rename(spark, aside, path)
-    except BaseException:
-        files.delete(spark, aside)
-        raise
 
 
 def write_requests(payload: DataFrame, path: str) -> None:

@@ -8,10 +8,11 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from evalloom.operators import digests, evaluate, families, inference, networks, packages, quality, selection, study, trees
-from evalloom.sources import files, readers
+from evalloom.sources import files, paged, readers, sinks
 
 canonical = lambda x: json.dumps(x, ensure_ascii=False, sort_keys=True, separators=(",", ":"))
 
@@ -367,3 +368,59 @@ def test_training_stops_at_its_deadline_and_refuses_bad_rows(spark):
     for dim, width in ((0, 1), (2, -1), (2.0, 1)):
         with pytest.raises(ValueError, match="whole numbers"):
             networks.start(dim, width, 0)
+
+
+def serve(n, **change):
+    """An interface with n rows, of which it gives 4 at a time; ``change`` says what a page of an offset does instead."""
+
+    def fetch(offset, length):
+        page = {"rows": [{"row": {"x": i, "t": f"t{i}" if i % 2 else None}} for i in range(offset, min(n, offset + length, offset + 4))], "num_rows_total": n, "partial": False}
+        return page | change.get(f"at_{offset}", {})
+
+    return fetch
+
+
+@pytest.mark.parametrize("n", [0, 1, 23, 40])
+def test_pages_are_asked_for_by_partitions(spark, n):
+    spark.dataSource.register(paged.paged("rows_of_pages", serve(n)))
+    d = spark.read.format("rows_of_pages").option("pageSize", 5).option("pagesPerPartition", 2).schema("_pos long, x long, t string, absent int").load()
+    assert sorted(map(str, d.collect())) == sorted(map(str, [Row(_pos=i, x=i, t=f"t{i}" if i % 2 else None, absent=None) for i in range(n)]))
+    assert d.rdd.getNumPartitions() == max(1, -(-n // 10))
+
+
+@pytest.mark.parametrize(("change", "said"), [
+    ({"at_14": {"num_rows_total": 24}}, "changed"), ({"at_10": {"partial": True}}, "partial"), ({"at_14": {"rows": []}}, "ended at row 14"), ({"at_10": {"rows": None}}, "no list"), ({"at_4": {"rows": [{"row": 1}]}}, "malformed"),
+    ({"at_0": {"num_rows_total": True}}, "no number"), ({"at_0": {"num_rows_total": -1}}, "no number"), ({"at_10": {"rows": [{"row": {}}] * 6}}, "asked for"),
+])
+def test_pages_that_lie_fail_the_read(spark, change, said):
+    spark.dataSource.register(paged.paged("lying_pages", serve(23, **change)))
+    with pytest.raises(Exception, match=said):
+        spark.read.format("lying_pages").option("pageSize", 5).option("pagesPerPartition", 2).schema("x long").load().collect()
+
+
+def test_failed_writes_leave_what_was_there(spark, tmp_path):
+    path, fails = f"file://{tmp_path}/out", F.when(F.col("id") == 777, F.raise_error(F.lit("broken"))).otherwise(F.col("id"))
+    d = spark.range(2000).select(F.col("id").alias("_o"), fails.alias("n"))
+    with pytest.raises(Exception, match="broken"):
+        sinks.write_json_lines(d, path, "_o")
+    assert list(tmp_path.iterdir()) == []
+    good = spark.range(2000).select((2000 - F.col("id")).alias("_o"), F.col("id").alias("n")).repartition(5)
+    sinks.write_json_lines(good, path, "_o")
+    rows = readers.json_lines(spark, path).select("line_no", F.expr("try_variant_get(v, '$.n', 'long')").alias("n")).collect()
+    assert all(r.line_no == 2000 - r.n for r in rows) and len(rows) == 2000
+    for write in (lambda: sinks.write_json_lines(d, path, "_o", "overwrite"), lambda: sinks.write_parquet(d, path)):
+        with pytest.raises(Exception, match="broken"):
+            write()
+        assert [p.name for p in tmp_path.iterdir()] == ["out"] and readers.json_lines(spark, path).count() == 2000
+    with pytest.raises(FileExistsError):
+        sinks.write_json_lines(good, path, "_o")
+    sinks.write_json_lines(good.limit(3), path, "_o", "overwrite")
+    assert readers.json_lines(spark, path).count() == 3 and [p.name for p in tmp_path.iterdir()] == ["out"]
+
+
+def test_a_move_that_fails_gives_the_old_folder_back(spark, tmp_path):
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "x").write_text("old")
+    with pytest.raises(Exception):
+        files.replace(spark, f"file://{tmp_path}/none", f"file://{tmp_path}/a")
+    assert (tmp_path / "a" / "x").read_text() == "old" and [p.name for p in tmp_path.iterdir()] == ["a"]
