@@ -1,13 +1,8 @@
-"""Studies: training a head, time budgets, run journals and what a run leaves behind."""
+"""Studies: checking splits, seeded batches, training a head and what a run leaves behind."""
 
 from __future__ import annotations
 
-import contextlib
 import json
-import re
-import time
-import traceback
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 from pyspark.ml.classification import LogisticRegression
@@ -17,20 +12,9 @@ from pyspark.sql import functions as F
 
 from ..functions.linear import standardise, standardise_stats
 from ..sources import files, sinks
-from .cache import content_digest
 from .evaluate import numbered_in_order
 from .quality import DataQualityError, overlap, require, require_classes
-
-
-class Deadline:
-    """A cooperative time budget: ``check`` raises once it is spent."""
-
-    def __init__(self, seconds: float, clock=time.monotonic):
-        self.clock, self.end = clock, clock() + seconds
-
-    def check(self) -> None:
-        if self.clock() >= self.end:
-            raise TimeoutError("the time budget is spent")
+from .runs import Deadline, Journal
 
 
 def minibatches(rows: DataFrame, key: str, size: int, seed: int = 0, epoch: int = 0) -> DataFrame:
@@ -99,36 +83,5 @@ def load_head(spark: SparkSession, path: str) -> Head:
     return Head(**json.loads(files.read_text(spark, f"{path}/head.json")))
 
 
-@contextlib.contextmanager
-def journal(spark: SparkSession, root: str, name: str, inputs: dict[str, DataFrame], settings: dict | None = None) -> Iterator[dict]:
-    """A run's record at ``root/name/result.json``: running, then completed, failed or interrupted.
-
-    Names are simple and new; one run at a time holds ``root/run.lock``. The inputs' digests are taken before
-    and after: a run whose inputs changed has failed. What the caller adds to the record is kept.
-    """
-    if not re.fullmatch(r"[A-Za-z0-9][A-Za-z0-9_.-]{0,79}", name):
-        raise DataQualityError("a run needs a simple name")
-    if files.exists(spark, f"{root}/{name}"):
-        raise FileExistsError(f"there is a run named {name}")
-    files.write_text(spark, f"{root}/run.lock", name, overwrite=False)
-    digests = lambda: {k: list(content_digest(df, *df.columns).first()) for k, df in sorted(inputs.items())}
-    record = {"name": name, "status": "running", "settings": settings or {}, "started_at": time.time()}
-    put = lambda: files.write_text(spark, f"{root}/{name}/result.json", json.dumps(record, sort_keys=True))
-    try:
-        put()
-        try:
-            record["inputs"] = digests()
-            yield record
-            if digests() != record["inputs"]:
-                raise DataQualityError("the inputs changed during the run")
-            record["status"] = "completed"
-        except BaseException as e:
-            record |= {"status": "interrupted" if isinstance(e, KeyboardInterrupt) else "failed", "error_type": type(e).__name__}
-            files.write_text(spark, f"{root}/{name}/error.txt", traceback.format_exc())
-            raise
-        finally:
-            record["finished_at"] = time.time()
-            put()
-    finally:
-        files.delete(spark, f"{root}/run.lock")
-
+#: A run's record as a context; see ``Journal``.
+journal = Journal

@@ -82,10 +82,12 @@ def read_text(spark: SparkSession, path: str) -> str:
 
 
 def walk(spark: SparkSession, folder: str) -> list[tuple[str, int]]:
-    """(path below the folder, bytes) of all files below it, sorted; none if it doesn't exist."""
+    """(path below the folder, bytes) of all files below it, sorted; none if it doesn't exist; a file itself is ``""``."""
     fs, p = _at(spark, folder)
     if not fs.exists(p):
         return []
+    if fs.getFileStatus(p).isFile():
+        return [("", fs.getFileStatus(p).getLen())]
     top, found, out = fs.getFileStatus(p).getPath().toString().rstrip("/") + "/", fs.listFiles(p, True), []
     while found.hasNext():
         f = found.next()

@@ -4,6 +4,8 @@ import hashlib
 import json
 import random
 import statistics
+import threading
+import time
 from collections import Counter
 
 import numpy as np
@@ -11,7 +13,7 @@ import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
-from evalloom.operators import digests, evaluate, families, inference, networks, packages, quality, selection, study, trees
+from evalloom.operators import digests, evaluate, families, inference, networks, packages, quality, runs, selection, study, trees
 from evalloom.sources import files, paged, readers, sinks
 
 canonical = lambda x: json.dumps(x, ensure_ascii=False, sort_keys=True, separators=(",", ":"))
@@ -424,3 +426,66 @@ def test_a_move_that_fails_gives_the_old_folder_back(spark, tmp_path):
     with pytest.raises(Exception):
         files.replace(spark, f"file://{tmp_path}/none", f"file://{tmp_path}/a")
     assert (tmp_path / "a" / "x").read_text() == "old" and [p.name for p in tmp_path.iterdir()] == ["a"]
+
+
+def sleeper(seconds):
+    def run(batches):
+        for b in batches:
+            time.sleep(seconds)
+            yield b
+
+    return run
+
+
+def test_a_long_job_ends_with_its_budget_and_the_journal_says_so(spark, tmp_path):
+    root, began = f"file://{tmp_path}", time.monotonic()
+    other = []
+    beside = threading.Thread(target=lambda: other.append(spark.range(4, numPartitions=1).mapInArrow(sleeper(2), "id long").count()))
+    beside.start()
+    with pytest.raises(TimeoutError), study.journal(spark, root, "slow", {"t": spark.range(3)}, seconds=1):
+        spark.range(4).mapInArrow(sleeper(60), "id long").collect()
+    assert time.monotonic() - began < 20
+    beside.join()
+    assert other == [4]  # jobs outside the budget go on
+    got = json.loads(files.read_text(spark, f"{root}/slow/result.json"))
+    assert (got["status"], got["error_type"]) == ("failed", "TimeoutError") and "budget" in files.read_text(spark, f"{root}/slow/error.txt")
+    assert spark.range(5).count() == 5 and not files.exists(spark, f"{root}/run.lock")
+
+
+def test_the_job_stops_within_a_second_of_the_budget(spark):
+    spark.range(4).mapInArrow(lambda bs: bs, "id long").collect()  # workers are up
+    began = time.monotonic()
+    with pytest.raises(TimeoutError), runs.Deadline(1).over(spark):
+        spark.range(4).mapInArrow(sleeper(60), "id long").collect()
+    assert time.monotonic() - began < 2.5
+    with pytest.raises(TimeoutError), runs.Deadline(0.1).over(spark):
+        time.sleep(0.3)  # no job at all
+    with pytest.raises(ZeroDivisionError), runs.Deadline(60).over(spark):
+        1 / 0
+
+
+def test_journals_digest_code_inputs_and_outputs(spark, tmp_path, monkeypatch):
+    root, read = f"file://{tmp_path}", lambda n: json.loads((tmp_path / n / "result.json").read_text())
+    d = spark.range(3)
+    with study.journal(spark, root, "a", {"t": d}, {"k": 1}, {"out": f"{root}/made.txt", "rows": f"{root}/rows"}) as record:
+        assert read("a")["status"] == "running" and record["scientific_status"] == "unreviewed"
+        files.write_text(spark, f"{root}/made.txt", "x")
+        sinks.write_json_lines(d.withColumn("o", F.col("id")), f"{root}/rows", "o")
+    got = read("a")
+    assert got["status"] == "completed" and got["artifacts"]["out"] == hashlib.sha256(b"x").hexdigest() and len(got["artifacts"]["rows"]) >= 1
+    assert got["source_files"]["operators/runs.py"] == hashlib.sha256(open(runs.__file__, "rb").read()).hexdigest() and got["finished_at"] >= got["started_at"]
+    with pytest.raises(quality.DataQualityError, match="nothing"), study.journal(spark, root, "b", {}, outputs={"out": f"{root}/none"}):
+        pass
+    with pytest.raises(quality.DataQualityError, match="code"), study.journal(spark, root, "c", {}):
+        monkeypatch.setattr(runs, "code_digests", lambda: {})
+    monkeypatch.undo()
+    with pytest.raises(KeyboardInterrupt), study.journal(spark, root, "d", {}):
+        raise KeyboardInterrupt
+    spark.range(2).write.parquet(f"{root}/t")
+    with pytest.raises(quality.DataQualityError, match="inputs"), study.journal(spark, root, "e", {"t": lambda: spark.read.parquet(f"{root}/t")}):
+        spark.range(3).write.mode("append").parquet(f"{root}/t")
+    assert [read(n)["status"] for n in "abcde"] == ["completed", "failed", "failed", "interrupted", "failed"]
+    with pytest.raises(RuntimeError, match="from completed"):
+        j = runs.Journal(spark, root, "f", {})
+        j.record["status"] = "completed"
+        j._to("failed")
