@@ -11,7 +11,7 @@ from .. import programs
 from ..functions import keys as K
 from ..functions import linear as L
 from ..functions import tokens as T
-from ..operators import artifacts, cache, evaluate, families, inference, networks, quality, selection, study
+from ..operators import artifacts, cache, evaluate, extraction, families, inference, networks, probes, quality, selection, study
 from ..session import work_dir
 from ..sources import files, paged, readers, sinks
 from .catalog import _FOLD, _SEL, _SPLIT, _selected, query, r6
@@ -335,6 +335,51 @@ def hidden_states(v: Views):
     return cache.extract_states(v.table("part"), "p_partkey", "p_name", llm, [0, 2]).select("p_partkey", *[F.col("features")[i].alias(f"f{i}") for i in range(4)])
 
 
+@query("WITH d AS (SELECT c_custkey, left('U:' || c_name || ' A:', 20) AS t FROM customer) SELECT c_custkey, 1.0::DOUBLE AS f0, length(t)::DOUBLE AS f1, length(t)::DOUBLE AS f2, unicode(right(t, 1))::DOUBLE AS f3 FROM d")
+def prompt_states(v: Views):
+    """All customers' names in a chat template, cut at 20 positions, by a toy model that is loaded once a task."""
+
+    def load():
+        import numpy as np
+
+        class Toy:
+            def chat(self, text):
+                return f"U:{text} A:"
+
+            def encode(self, prompts, max_length, plain):
+                rows = [[ord(c) for c in p[:max_length]] for p in prompts]
+                width = max(map(len, rows))
+                return np.array([r + [0] * (width - len(r)) for r in rows]), np.array([[1] * len(r) + [0] * (width - len(r)) for r in rows])
+
+            def states(self, ids, mask):
+                count = mask.cumsum(axis=1)
+                return [np.stack((count, ids), axis=2), np.zeros((*ids.shape, 2)), np.stack((np.ones(ids.shape), count), axis=2)]
+
+        return Toy()
+
+    got = extraction.hidden_states(v.table("customer"), "c_custkey", "c_name", load, extraction.Spec((2, 0), max_length=20, template="chat"))
+    return got.select("c_custkey", *[F.col("features")[i].alias(f"f{i}") for i in range(4)])
+
+
+@query("WITH x AS (SELECT vec_id, unnest(embedding)::DOUBLE x, generate_subscripts(embedding, 1) i FROM embeddings), m AS (SELECT vec_id AS id, CASE vec_id % 3 WHEN 0 THEN sum(x * (i % 3)) + 0.5 - 0.25 WHEN 1 THEN (sum(x * (i % 5)) - 0.25 + sum(x * (i % 2)) + 0.5) / 2 END AS margin FROM x GROUP BY vec_id) SELECT id, round(margin, 5) AS margin, coalesce(margin >= 0, false) AS is_robust FROM m")
+def probe_artifacts(v: Views):
+    """All vectors against artifacts: a model with an NPZ probe, one with an ensemble, one without either."""
+    import io
+
+    import numpy as np
+
+    root, w = work_dir(v.spark, "probes"), lambda m: [float(i % m) for i in range(1, 65)]
+    held = io.BytesIO()
+    np.savez(held, model_id="org/single", layer_index=3, weights=np.array([w(3)]), bias=np.array(0.5), threshold=np.array([0.25]))
+    files.write_bytes(v.spark, f"{root}/{probes.FOLDER}/org_single.npz", held.getvalue())
+    groups = [{"probes": {"3": {"weights": [w(5)], "bias": [0.25], "threshold": [0.5]}}}, {"probes": {"3": {"weights": w(2), "bias": 0.5, "threshold": 0.0}, "4": {"weights": w(7), "bias": 9.0, "threshold": 0.0}}}]
+    files.write_text(v.spark, f"{root}/{probes.FOLDER}/org_many.json", json.dumps({"schema_version": 2, "artifact_type": probes.KIND, "groups": groups, "best_layer_index": 4, "recommended_strategy": {"name": probes.STRATEGY, "layer_index": 3}}))
+    k = F.col("vec_id") % 3
+    cases = v.table("embeddings").select(F.col("vec_id").alias("id"), F.when(k == 0, "org/single").when(k == 1, "org/many").otherwise("org/none").alias("model_id"), F.transform("embedding", lambda x: x.cast("double")).alias("features"))
+    got = probes.predictions(cases, root, lambda c, layer, prompt: c.select("id", "features"))
+    return got.select("id", F.round("margin", 5).alias("margin"), "is_robust")
+
+
 @query(f"WITH {_FOLD}, d AS (SELECT event_id, value, fold FROM events JOIN fa USING (user_id)), s AS (SELECT fold, sum(value) s, count(value) n FROM d GROUP BY fold) SELECT event_id, round(((SELECT sum(s) FROM s) - s.s) / ((SELECT sum(n) FROM s) - s.n), 6) AS prediction FROM d JOIN s USING (fold)")
 def mean_baseline(v: Views):
     s = v.scores()

@@ -1,6 +1,7 @@
 """Order of sources, keys by row, submissions of many files, digests of order, folds, trees, heads, pages, budgets."""
 
 import hashlib
+import io
 import json
 import random
 import statistics
@@ -13,7 +14,7 @@ import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
-from evalloom.operators import digests, evaluate, families, inference, networks, packages, quality, runs, selection, study, trees
+from evalloom.operators import digests, evaluate, extraction, families, inference, networks, packages, probes, quality, runs, selection, study, trees
 from evalloom.sources import files, paged, readers, sinks
 
 canonical = lambda x: json.dumps(x, ensure_ascii=False, sort_keys=True, separators=(",", ":"))
@@ -489,3 +490,89 @@ def test_journals_digest_code_inputs_and_outputs(spark, tmp_path, monkeypatch):
         j = runs.Journal(spark, root, "f", {})
         j.record["status"] = "completed"
         j._to("failed")
+
+
+def toy(counter, width=2, too_long=False, mask=None):
+    def load():
+        counter.add(1)
+
+        class Toy:
+            def chat(self, text):
+                return f"<{text}>"
+
+            def encode(self, prompts, max_length, plain):
+                rows = [[ord(c) for c in (("^" if plain else "") + p)[: max_length + too_long]] for p in prompts]
+                n = max(map(len, rows))
+                return np.array([[0] * (n - len(r)) + r for r in rows]), np.array(mask or [[0] * (n - len(r)) + [1] * len(r) for r in rows])
+
+            def states(self, ids, mask):
+                return [np.stack((mask.cumsum(axis=1), ids), axis=2), np.repeat(ids[:, :, None], width, axis=2)]
+
+        return Toy()
+
+    return load
+
+
+def test_states_load_once_a_task_and_do_not_depend_on_batches(spark):
+    texts = ["a", "bcd", "x" * 40, "ef", "g" * 7, "h"] * 8
+    d = spark.createDataFrame(list(enumerate(texts)), "k long, t string").repartition(3).cache()
+    want = lambda p: [float(ord(p[-1]))] * 2 + [float(len(p)), float(ord(p[-1]))]
+    for batch in (1, 5, 64):
+        loads = spark.sparkContext.accumulator(0)
+        got = extraction.hidden_states(d, "k", "t", toy(loads), extraction.Spec((1, 0), 10, "chat", batch)).collect()
+        assert loads.value == 3 and {r.k: r.features for r in got} == {i: want(f"<{t}>"[:10]) for i, t in enumerate(texts)}
+    plain = extraction.hidden_states(d, "k", "t", toy(spark.sparkContext.accumulator(0)), extraction.Spec((1, 0))).collect()
+    assert {r.k: r.features for r in plain} == {i: want("^" + t) for i, t in enumerate(texts)}
+    assert extraction.hidden_states(d.limit(0), "k", "t", toy(spark.sparkContext.accumulator(0)), extraction.Spec((0,))).collect() == []
+
+
+def test_states_that_break_the_contract(spark):
+    none = spark.sparkContext.accumulator(0)
+    d = spark.createDataFrame([(1, "ab"), (2, "c")], "k long, t string").coalesce(1)
+    for load, spec, said in ((toy(none, too_long=True), extraction.Spec((0,), 2), "by 2 at most"), (toy(none), extraction.Spec((2,)), "no such layer"), (toy(none, mask=[[1, 2, 1], [1, 1, 1]]), extraction.Spec((0,)), "0 and 1"), (toy(none, mask=[[0, 0, 0], [1, 1, 1]]), extraction.Spec((0,)), "real token")):
+        with pytest.raises(Exception, match=said):
+            extraction.hidden_states(d, "k", "t", load, spec).collect()
+    with pytest.raises(Exception, match="non-empty"):
+        extraction.hidden_states(d.withColumn("t", F.lit(" ")), "k", "t", toy(none), extraction.Spec((0,))).collect()
+    for bad in ({"layers": ()}, {"layers": (1, 1)}, {"layers": (True,)}, {"layers": (0,), "max_length": 0}, {"layers": (0,), "template": "other"}, {"layers": (0,), "batch": 0}):
+        with pytest.raises(ValueError):
+            extraction.Spec(**bad)
+
+
+def archive(**change):
+    out = io.BytesIO()
+    held = {"model_id": "m", "layer_index": 3, "weights": np.ones((1, 2)), "bias": 0.5, "threshold": 0.25} | change
+    np.savez(out, **{k: v for k, v in held.items() if v is not None})
+    return out.getvalue()
+
+
+def test_archives_are_read_without_unpickling():
+    assert probes.of_arrays(archive(system_prompt="s")) == [("m", "s", 3, "3", "0", [1.0, 1.0], 0.5, 0.25)]
+    for bad, said in ((archive(weights=np.array([{}], object)), "plain arrays"), (archive(bias=None, threshold=None), r"\['bias', 'threshold'\]"), (archive(weights=np.zeros(0)), "weights"), (archive(weights=np.array([np.nan])), "weights"), (archive(bias=np.ones(2)), "bias"), (b"no archive", "archive")):
+        with pytest.raises(quality.DataQualityError, match=said):
+            probes.of_arrays(bad)
+
+
+def ensemble(**change):
+    return json.dumps({"schema_version": 2, "artifact_type": probes.KIND, "best_layer_index": 4, "groups": [{"probes": {"4": {"weights": [[1, 2], [3, 4]], "bias": [0, 1], "threshold": [0, 0]}}}, {}]} | change)
+
+
+def test_ensembles_are_checked():
+    assert [(r[2], r[3], r[4], r[5], r[6]) for r in probes.of_ensemble(ensemble())] == [(4, "4", "0.0", [1.0, 2.0], 0.0), (4, "4", "0.1", [3.0, 4.0], 1.0)]
+    assert probes.of_ensemble(ensemble(recommended_strategy={"name": probes.STRATEGY, "layer_index": 9}))[0][2] == 9
+    for change in ({"schema_version": 1}, {"schema_version": True}, {"artifact_type": "x"}, {"groups": []}, {"best_layer_index": None}, {"recommended_strategy": {"name": "x"}}, {"groups": [{"probes": {"4": {"weights": [[1]], "bias": [0, 1], "threshold": [0]}}}]}):
+        with pytest.raises(quality.DataQualityError):
+            probes.of_ensemble(ensemble(**change))
+
+
+def test_artifacts_are_looked_up_in_order(spark, tmp_path):
+    root = f"file://{tmp_path}"
+    order = probes.places(root, "org/m")
+    assert len(order) == 5 and probes.places(root, "//") == order[2:] and probes.find(spark, root, "org/m") is None
+    for n, place in reversed(list(enumerate(order))):  # each one goes before those that are there
+        if place.endswith(".npz"):
+            files.write_bytes(spark, place, archive(model_id=f"m{n}"))
+        else:
+            files.write_text(spark, place, ensemble(model_id=f"m{n}"))
+        assert probes.find(spark, root, "org/m").first()["model_id"] == f"m{n}"
+    assert probes.find(spark, root, "other").first()["model_id"] == "m2"
