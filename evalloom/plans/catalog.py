@@ -266,7 +266,10 @@ _MET = {  # by the contract's names and order, not by the library's list
 _METRIC_SQL = ", ".join(f"round({_NAN.format(x)}, 6) AS {n}" for n, x in _MET.items())
 
 
-@query(f"WITH {STEPS}, ok AS (SELECT *, row_number() OVER (PARTITION BY resp_id ORDER BY log_prob, step) rn, count(*) OVER (PARTITION BY resp_id) n FROM v_step WHERE token NOT IN (0, 9)), m AS (SELECT resp_id, count(*) AS generation_num_tokens, {_METRIC_SQL} FROM ok GROUP BY resp_id) SELECT r.resp_id, coalesce(generation_num_tokens, 0) AS generation_num_tokens, " + ", ".join(f"coalesce({n}, 'nan'::DOUBLE) AS {n}" for n in _MET) + " FROM (SELECT DISTINCT resp_id FROM v_step) r LEFT JOIN m USING (resp_id)")
+_METRICS_SQL = f"WITH {STEPS}, ok AS (SELECT *, row_number() OVER (PARTITION BY resp_id ORDER BY log_prob, step) rn, count(*) OVER (PARTITION BY resp_id) n FROM v_step WHERE token NOT IN (0, 9)), m AS (SELECT resp_id, count(*) AS generation_num_tokens, {_METRIC_SQL} FROM ok GROUP BY resp_id) SELECT r.resp_id, coalesce(generation_num_tokens, 0) AS generation_num_tokens, " + ", ".join(f"coalesce({n}, 'nan'::DOUBLE) AS {n}" for n in _MET) + " FROM (SELECT DISTINCT resp_id FROM v_step) r LEFT JOIN m USING (resp_id)"
+
+
+@query(_METRICS_SQL)
 def generation_metrics(v: Views):
     s = T.step_stats(v.steps()).withColumn("valid", T.valid_token(F.col("token"), 0, [9]))
     g = T.generation_metrics(s, "resp_id")

@@ -14,7 +14,8 @@ from ..functions import tokens as T
 from ..operators import artifacts, cache, evaluate, extraction, families, inference, networks, probes, quality, selection, study
 from ..session import work_dir
 from ..sources import files, paged, readers, sinks
-from .catalog import _FOLD, _SEL, _SPLIT, _selected, query, r6
+from ..streaming import generation
+from .catalog import _FOLD, _METRICS_SQL, _SEL, _SPLIT, _selected, query, r6
 from .views import ROWS, STEPS, Views
 
 
@@ -335,6 +336,21 @@ def hidden_states(v: Views):
     return cache.extract_states(v.table("part"), "p_partkey", "p_name", llm, [0, 2]).select("p_partkey", *[F.col("features")[i].alias(f"f{i}") for i in range(4)])
 
 
+@query(_METRICS_SQL)
+def arriving_metrics(v: Views):
+    """The same metrics from a stream: a step's token comes with the next event, in files that mix all responses."""
+    path = work_dir(v.spark, "arriving")
+    s = v.steps().select("resp_id", "step", "token", "logits")
+    ends = s.groupBy("resp_id").agg((F.max("step") + 1).alias("step"))
+    told = s.select("resp_id", (F.col("step") + 1).alias("step"), "token")
+    events = s.select("resp_id", "step", "logits").unionByName(ends.withColumn("logits", F.lit(None).cast("array<double>"))).join(told, ["resp_id", "step"], "left")
+    events.select("resp_id", "step", F.col("token").cast("long").alias("token"), "logits").withColumn("part", F.pmod(F.xxhash64("resp_id", "step"), F.lit(4))).write.partitionBy("part").parquet(f"{path}/events")
+    stream = v.spark.readStream.schema(generation.EVENT).option("maxFilesPerTrigger", 4).option("recursiveFileLookup", True).parquet(f"{path}/events")
+    generation.write_metrics(stream, f"{path}/metrics", f"{path}/checkpoint", lambda t: T.valid_token(t, 0, [9]))
+    g = v.spark.read.parquet(f"{path}/metrics")
+    return g.select("resp_id", "generation_num_tokens", *[r6(c).alias(c) for c in T.METRICS])
+
+
 @query("WITH d AS (SELECT c_custkey, left('U:' || c_name || ' A:', 20) AS t FROM customer) SELECT c_custkey, 1.0::DOUBLE AS f0, length(t)::DOUBLE AS f1, length(t)::DOUBLE AS f2, unicode(right(t, 1))::DOUBLE AS f3 FROM d")
 def prompt_states(v: Views):
     """All customers' names in a chat template, cut at 20 positions, by a toy model that is loaded once a task."""

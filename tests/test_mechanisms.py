@@ -15,7 +15,9 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from evalloom.operators import digests, evaluate, extraction, families, inference, networks, packages, probes, quality, runs, selection, study, trees
+from evalloom.functions import tokens
 from evalloom.sources import files, paged, readers, sinks
+from evalloom.streaming import generation
 
 canonical = lambda x: json.dumps(x, ensure_ascii=False, sort_keys=True, separators=(",", ":"))
 
@@ -576,3 +578,37 @@ def test_artifacts_are_looked_up_in_order(spark, tmp_path):
             files.write_text(spark, place, ensemble(model_id=f"m{n}"))
         assert probes.find(spark, root, "org/m").first()["model_id"] == f"m{n}"
     assert probes.find(spark, root, "other").first()["model_id"] == "m2"
+
+
+def test_metrics_of_arriving_steps_equal_those_of_the_whole(spark, tmp_path):
+    rng = np.random.default_rng(8)
+    logits = {(r, t): rng.normal(size=5).round(3).tolist() for r in range(6) for t in range(r + 2)}
+    token = {k: int(rng.integers(5)) for k in logits}
+    events = [(r, t, token.get((r, t - 1)), logits.get((r, t))) for r in range(6) for t in range(r + 3)] + [(9, 0, None, None)]
+    open_ = [e for e in events if not (e[0] == 5 and e[1] >= 6)]  # response 5 goes on in the last file
+    late = [e for e in events if e[0] == 5 and e[1] >= 6]
+    rng.shuffle(open_)
+    src, out, check = (f"file://{tmp_path}/{n}" for n in ("in", "out", "check"))
+    schema = generation.EVENT
+    put = lambda rows: spark.createDataFrame([tuple(r) for r in rows], schema).coalesce(1).write.mode("append").parquet(src)
+    for i in range(0, len(open_), 7):
+        put(open_[i : i + 7])
+    stream = lambda: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+    valid = lambda t: tokens.valid_token(t, 0, [4])
+    generation.write_metrics(stream(), out, check, valid)
+    whole = tokens.step_stats(spark.createDataFrame([(r, t, token[r, t], x) for (r, t), x in logits.items()], "resp_id long, step long, token long, logits array<double>"))
+    want = {r.resp_id: tuple(r)[1:] for r in tokens.generation_metrics(whole.withColumn("valid", valid(F.col("token"))), "resp_id").collect()}
+
+    def told():
+        got = {}
+        for r in spark.read.parquet(out).collect():
+            assert r.resp_id not in got
+            got[r.resp_id] = tuple(r[c] for c in ("generation_num_tokens", *tokens.METRICS))
+        return got
+
+    first = told()
+    assert set(first) == {0, 1, 2, 3, 4}
+    put(late)
+    generation.write_metrics(stream(), out, check, valid)  # goes on from its checkpoint
+    got = told()
+    assert set(got) == set(want) and all(np.allclose(got[r], want[r], atol=1e-9, equal_nan=True) for r in want)
