@@ -85,16 +85,36 @@ def loaded(name: str) -> Package:
 
 
 def _zipped(spark: SparkSession, folder: str) -> bytes:
-    """The folder as an archive that is the same for the same files; compiled and hidden ones are left out."""
-    found = [(p, n) for p, n in files.walk(spark, folder) if not any(x.startswith(".") or x == "__pycache__" for x in p.split("/")) and not p.endswith((".pyc", ".pyo"))]
-    if FILE not in [p for p, _ in found]:
-        raise DataQualityError(f"a submission must have {FILE} at its root")
+    """The folder, or an archive of one, as an archive that is the same for the same files; compiled and hidden ones are left out."""
+    if folder.endswith(".zip"):
+        return _archive({n: b for n, b in _unzipped(files.read_bytes(spark, folder)).items() if _wanted(n)})
+    found = [(p, n) for p, n in files.walk(spark, folder) if _wanted(p)]
     if sum(n for _, n in found) > MOST_BYTES:
         raise DataQualityError(f"a submission has {MOST_BYTES} bytes at most")
+    return _archive({p: files.read_bytes(spark, f"{folder}/{p}") for p, _ in found})
+
+
+def _wanted(path: str) -> bool:
+    return not any(x.startswith(".") or x == "__pycache__" for x in path.split("/")) and not path.endswith((".pyc", ".pyo"))
+
+
+def _unzipped(data: bytes) -> dict[str, bytes]:
+    with zipfile.ZipFile(io.BytesIO(data)) as z:
+        found = [i for i in z.infolist() if not i.is_dir()]
+        if sum(i.file_size for i in found) > MOST_BYTES:
+            raise DataQualityError(f"a submission has {MOST_BYTES} bytes at most")
+        if any(i.filename.startswith("/") or ".." in i.filename.split("/") for i in found):
+            raise DataQualityError("a submission's paths must lie in its folder")
+        return {i.filename: z.read(i) for i in found}
+
+
+def _archive(parts: dict[str, bytes]) -> bytes:
+    if FILE not in parts:
+        raise DataQualityError(f"a submission must have {FILE} at its root")
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-        for p, _ in sorted(found):
-            z.writestr(zipfile.ZipInfo(p), files.read_bytes(spark, f"{folder}/{p}"))
+        for p, data in sorted(parts.items()):
+            z.writestr(zipfile.ZipInfo(p), data)
     return out.getvalue()
 
 

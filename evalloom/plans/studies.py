@@ -7,7 +7,7 @@ import json
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .. import programs
+from .. import preparation, programs
 from ..functions import keys as K
 from ..functions import linear as L
 from ..functions import tokens as T
@@ -481,6 +481,37 @@ def evaluated_submission(v: Views):
     return v.spark.createDataFrame([(round(s["accuracy"], 6), round(s["coverage"], 6), s["invalid_predictions"])], "accuracy double, coverage double, invalid_predictions long")
 
 
+_ASKED = "r AS (SELECT 'set' AS d, sha256(text) AS p, text AS t, bool_or(quality = 1) AS y, count(*) AS n FROM documents JOIN labels USING (doc_id) WHERE text <> '' GROUP BY text)"
+
+
+def _source_file(v: Views) -> str:
+    """Labelled texts as a study's source rows, those of one text with one label: JSON lines."""
+    path = f"{work_dir(v.spark, 'source')}/rows.jsonl"
+    r = v.rows().where(F.col("original_problem") != "")
+    label = r.groupBy("original_problem").agg(F.bool_or("model_is_robust").alias("model_is_robust"))
+    rows = r.select("original_problem").join(label, "original_problem").select(F.lit("some/model").alias("model_id"), F.lit("set").alias("dataset_id"), F.sha2("original_problem", 256).alias("problem_id"), "original_problem", "model_is_robust", F.array(F.lit("plain")).alias("permutation_type"))
+    rows.write.json(path)
+    return path
+
+
+@query(f"WITH {_ASKED} SELECT 'case-' || substr(sha256('[\"some/model\",\"set\",\"' || p || '\",[\"plain\"]]'), 1, 24) AS id, row_number() OVER (ORDER BY p) AS line, sha256(t) AS problem, y AS is_robust, (SELECT sum(n) - count(*) FROM r)::BIGINT AS removed FROM r")
+def imported_dataset(v: Views):
+    """Source rows through the import program, its cases and labels read back by the ingestion's readers."""
+    source, out = _source_file(v), work_dir(v.spark, "imported")
+    told = preparation.import_rows(v.spark, source, out, flat=True)
+    cases, labels = readers.load_cases(v.spark, f"{out}/input/cases.jsonl"), readers.load_labels(v.spark, f"{out}/reference/labels.jsonl").select("id", "is_robust")
+    return cases.join(labels, "id").select("id", F.col("_pos").alias("line"), F.sha2("problem", 256).alias("problem"), "is_robust", F.lit(told["duplicate_rows_removed"]).cast("long").alias("removed"))
+
+
+@query(f"WITH {_ASKED}, f AS (SELECT 'f' || substr(sha256('[\"set\",\"' || p || '\"]'), 1, 12) AS family_id, t, y FROM r), s AS (SELECT *, sha256(family_id) AS o, row_number() OVER (PARTITION BY y ORDER BY sha256(family_id)) AS k FROM f), c AS (SELECT *, row_number() OVER (ORDER BY NOT CASE WHEN y THEN k <= 3 ELSE k <= 2 END, o) - 1 AS place FROM s WHERE k <= 10) SELECT place // 5 + 1 AS batch, place % 5 AS at, family_id, sha256(t) AS problem FROM c")
+def prepared_requests(v: Views):
+    """A study of twenty families, ten of either label, in requests of five: the pilot first."""
+    out = work_dir(v.spark, "prepared")
+    preparation.prepare(v.spark, _source_file(v), out, study=20)
+    d = v.spark.read.option("multiLine", True).schema("tasks array<struct<family_id:string,original_problem:string>>").json(f"{out}/requests/batches").withColumn("batch", F.regexp_extract(F.col("_metadata.file_name"), r"batch-(\d+)", 1).cast("long"))
+    return d.select("batch", F.posexplode("tasks").alias("at", "t")).select("batch", F.col("at").cast("long").alias("at"), "t.family_id", F.sha2("t.original_problem", 256).alias("problem"))
+
+
 @query(f"WITH r AS (SELECT CAST(doc_id AS VARCHAR) AS id, quality = 1 AS y, substr(sha256(text), 1, 12) AS fam FROM documents JOIN labels USING (doc_id) WHERE trim(text) <> ''), g AS (SELECT fam, row_number() OVER (ORDER BY sha256('5:' || fam), fam) - 1 k, count(*) OVER () n FROM (SELECT DISTINCT fam FROM r)) SELECT id, CASE WHEN k < least(n - 1, greatest(1, round_even(n * 0.25, 0))) THEN 'validation' ELSE 'train' END AS split FROM r JOIN g USING (fam)")
 def split_study(v: Views):
     """A study's file split by families, read back from its folders."""

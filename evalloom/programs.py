@@ -9,8 +9,10 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from .operators import evaluate, families, inference, quality, study
+from .preparation import import_rows, prepare
 from .session import local_session, ship
 from .sources import files, readers, sinks
+from .training import export_run, fit
 
 
 def ingest(spark: SparkSession, source: str, output: str, submission: str) -> dict:
@@ -52,19 +54,50 @@ def respond(spark: SparkSession, request: str, response: str) -> list[dict]:
     return [r.asDict() for r in quality.check_response(variants, asked).where("violations > 0").collect()]
 
 
+def judge(spark: SparkSession, cases: str, labels: str, submission: str, output: str) -> dict:
+    """A submission over a file of cases against a file of labels: predictions, their summary and scores in ``output``."""
+    made = evaluate.run_batches(readers.load_cases(spark, cases), inference.participant(spark, submission))
+    sinks.write_json_lines(made, f"{output}/predictions.jsonl", "_pos")
+    done, malformed = readers.load_predictions(spark, f"{output}/predictions.jsonl")
+    summary = sinks.write_record(evaluate.ingestion_summary(done), f"{output}/ingestion_summary.json")
+    one = evaluate.score(readers.load_labels(spark, labels), done, malformed)
+    return summary | sinks.write_record(one.select("accuracy", "coverage", "invalid_predictions"), f"{output}/scores.json")
+
+
+def export(spark: SparkSession, root: str, name: str, extractor: str, output: str) -> list[str]:
+    """``export_run`` with the extractor's source read from a file."""
+    return export_run(spark, root, name, files.read_text(spark, extractor), output)
+
+
+#: Each program's function, its places in order and its options.
+PROGRAMS = {
+    "ingest": (ingest, ("source", "output", "submission"), {}),
+    "score": (score, ("source", "output"), {}),
+    "judge": (judge, ("cases", "labels", "submission", "output"), {}),
+    "split": (split, ("source", "output"), {"fraction": 0.2, "seed": 0, "model": None}),
+    "respond": (respond, ("request", "response"), {}),
+    "import": (import_rows, ("source", "output"), {"flat": False, "dataset": "", "revision": "", "config": "default", "split": ""}),
+    "prepare": (prepare, ("source", "output"), {"study": 50, "dataset": "", "revision": "", "config": "default", "split": ""}),
+    "fit": (fit, ("source", "root", "results"), {"folds": 5, "seed": 42}),
+    "export": (export, ("root", "name", "extractor", "output"), {}),
+}
+
+
 def main(argv: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="evalloom", description=__doc__)
     sub = p.add_subparsers(dest="program", required=True)
-    for name, names in {"ingest": ("source", "output", "submission"), "score": ("source", "output"), "split": ("source", "output"), "respond": ("request", "response")}.items():
-        a = sub.add_parser(name)
-        for x in names:
+    for name, (f, places, options) in PROGRAMS.items():
+        a = sub.add_parser(name, help=(f.__doc__ or "").split(".")[0])
+        for x in places:
             a.add_argument(x)
-        if name == "split":
-            a.add_argument("--fraction", type=float, default=0.2)
-            a.add_argument("--seed", type=int, default=0)
-            a.add_argument("--model")
+        for x, default in options.items():
+            if default is False:
+                a.add_argument(f"--{x}", action="store_true")
+            else:
+                a.add_argument(f"--{x}", type=type(default) if default is not None else str, default=default)
     a = vars(p.parse_args(argv))
     spark = ship(SparkSession.getActiveSession() or local_session())
-    got = {"ingest": ingest, "score": score, "split": split, "respond": respond}[a.pop("program")](spark, **a)
+    program = a.pop("program")
+    got = PROGRAMS[program][0](spark, **a)
     print(json.dumps(got, sort_keys=True))
-    return int(bool(got)) if isinstance(got, list) else 0
+    return int(program == "respond" and bool(got))

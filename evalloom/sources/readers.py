@@ -119,15 +119,15 @@ def read_any(spark: SparkSession, path: str) -> DataFrame:
     raise DataQualityError(f"unknown kind of file: {path}")
 
 
-def study_records(spark: SparkSession, path: str) -> DataFrame:
+def study_records(spark: SparkSession, path: str, keep: tuple[str, ...] | None = None) -> DataFrame:
     """(_pos, v): a file's rows as variants, numbered from 0 in their order without blank lines. A JSON array is one
     value, so its size is bounded by a variant's; larger tables come as lines or Parquet.
 
-    A Parquet file has all its columns as keys of every row; rows of JSON lines and of a JSON array have the keys that they have.
+    A Parquet file has all its columns as keys of every row, of which ``keep`` are read (a study's, if it isn't given); rows of JSON lines and of a JSON array have the keys that they have.
     """
     if path.endswith(".parquet"):
         df = spark.read.parquet(path)
-        keep = [c for c in df.columns if c in STUDY_KEYS]
+        keep = [c for c in df.columns if c in (keep or STUDY_KEYS)]
         v = F.to_variant_object(F.struct(*[F.col(c) for c in keep])) if keep else F.try_parse_json(F.lit("{}"))
         return in_file_order(_scan(df, v.alias("v")), "_pos").select("_pos", "v")
     if path.endswith(".jsonl"):
