@@ -127,13 +127,15 @@ def split_files(v: Views):
     return readers.split_files(v.spark, path, "train").select("_file", "r_regionkey", "r_name")
 
 
-@query("SELECT * FROM (VALUES ('a.txt', 1), ('sub/b.txt', 2)) t(path, length)")
+@query("SELECT 's_nationkey=' || s_nationkey AS folder, CAST(sum(length(s_name) + 1) AS BIGINT) AS length, count(DISTINCT s_nationkey) AS files FROM supplier GROUP BY s_nationkey")
 def directory_listing(v: Views):
-    """Compiled and hidden files are left out."""
+    """Suppliers' names in a file a nation; compiled and hidden files beside them are left out."""
     path = work_dir(v.spark, "folder")
-    for name, text in {"a.txt": "x", "sub/b.txt": "yy", ".hidden": "z", "__pycache__/c.txt": "z", "d.pyc": "z"}.items():
-        files.write_text(v.spark, f"{path}/{name}", text)
-    return readers.directory_bytes(v.spark, path).select("path", F.col("length").cast("int").alias("length"))
+    v.table("supplier").select("s_nationkey", F.col("s_name").alias("value")).repartition("s_nationkey").sortWithinPartitions("s_nationkey").write.partitionBy("s_nationkey").text(path)
+    for name in (".hidden", "__pycache__/c.txt", "d.pyc"):
+        files.write_text(v.spark, f"{path}/{name}", "z")
+    found = readers.directory_bytes(v.spark, path).withColumn("folder", F.regexp_extract("path", r"^(s_nationkey=\d+)/", 1))
+    return found.groupBy("folder").agg(F.sum("length").cast("long").alias("length"), F.count_distinct("path").alias("files"))
 
 
 @query("SELECT s_suppkey, s_name FROM supplier")
@@ -214,18 +216,30 @@ def null_rules(v: Views):
     return quality.null_report(v.table("events").select("value", F.get_json_object("props", "$.k").alias("k")), "k", "value")
 
 
-@query("SELECT * FROM (VALUES ('default', true), ('zero batch', false), ('boolean batch', false), ('sampling', false), ('fraction of 0', false), ('extra key', false), ('missing key', false)) t(name, ok)")
+@query("SELECT p_partkey, p_size % 8 >= 1 AND p_retailprice % 3 > 0 AND p_retailprice % 3 <= 1 AND p_partkey % 5 <> 0 AND p_partkey % 7 <> 0 AND p_partkey % 11 <> 0 AS ok FROM part")
 def config_checks(v: Views):
+    """A configuration of every part: batch size and fraction by its numbers, some with sampling, a key too many or one too few."""
     whole = artifacts.asdict(artifacts.GenerationConfig())
-    tries = {"default": whole, "zero batch": whole | {"batch_size": 0}, "boolean batch": whole | {"batch_size": True}, "sampling": whole | {"do_sample": True}, "fraction of 0": whole | {"min_k_fraction": 0}, "extra key": whole | {"x": 1}, "missing key": {k: x for k, x in whole.items() if k != "batch_size"}}
 
-    def fine(values) -> bool:
-        try:
-            return artifacts.GenerationConfig.of(values) is not None
-        except ValueError:
-            return False
+    def fine(key, size, fraction):
+        import pandas as pd
+
+        out = []
+        for k, n, f in zip(key, size, fraction):
+            given = whole | {"batch_size": int(n), "min_k_fraction": float(f), "do_sample": k % 5 == 0} | ({"x": 1} if k % 7 == 0 else {})
+            if k % 11 == 0:
+                del given["batch_size"]
+            try:
+                out.append(artifacts.GenerationConfig.of(given) is not None)
+            except ValueError:
+                out.append(False)
+        return pd.Series(out)
 
-    return v.spark.createDataFrame([(k, fine(x)) for k, x in tries.items()], "name string, ok boolean")
+    import pandas as pd
+
+    fine.__annotations__ = {"key": pd.Series, "size": pd.Series, "fraction": pd.Series, "return": pd.Series}
+    p = v.table("part")
+    return p.select("p_partkey", F.pandas_udf(fine, "boolean")("p_partkey", F.col("p_size") % 8, F.col("p_retailprice") % 3).alias("ok"))
 
 
 @query("SELECT p_partkey, row_number() OVER (ORDER BY p_brand, p_type, p_size, [p_name, p_brand], p_partkey) - 1 AS pos FROM part")
@@ -420,6 +434,24 @@ def model_selection(v: Views):
     return back.estimator.predict(d).select("id", "score")
 
 
+@query(f"WITH {ROWS} SELECT count(*) AS n_rows, count(DISTINCT model_id) AS n_groups, 3 AS candidates, true AS each_row_once, true AS finite, true AS best_is_best, true AS same_when_loaded FROM v_rows")
+def selection_summary(v: Views):
+    """A grid of all three families against the mean, by folds that keep sources apart: what must hold of its results."""
+    d = v.rows().select("id", F.coalesce("model_id", F.lit("")).alias("group"), F.col("model_is_robust").alias("label"), F.col("model_is_robust").cast("double").alias("target"), F.length("original_problem").cast("double").alias("n"), F.when(F.col("_pos") % 9 != 0, F.size(F.split("original_problem", " "))).cast("double").alias("w"))
+    best, model, results, _ = selection.select_model(d, ["n", "w"], "group", "label", "target", selection.grid(("boosted", "extra", "forest"), (2,), (2,)), folds=2)
+    oof = selection.out_of_fold(selection.pipeline(best, ["n", "w"], "target").fit(d).stages[1].transform(d.withColumns({"_n": F.coalesce("n", F.lit(0.0)), "_w": F.coalesce("w", F.lit(0.0))})), "group", "label", "_features", "target", best, 2)
+    path = work_dir(v.spark, "chosen")
+    model.save(path)
+    from pyspark.ml import PipelineModel
+
+    both = model.transform(d).select("id", "prediction").join(PipelineModel.load(path).transform(d).select("id", F.col("prediction").alias("again")), "id")
+    same = both.agg(F.bool_and(F.col("prediction") == F.col("again")).alias("same_when_loaded"))
+    first = max(results, key=lambda r: (r["balanced_accuracy"], r["accuracy"], -r["mae"]))["balanced_accuracy"]
+    mine = next(r for r in results if r["identifier"] == best.identifier)["balanced_accuracy"]
+    o = oof.agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("group").alias("n_groups"), (F.count_distinct("id") == F.count(F.lit(1))).alias("each_row_once"), F.bool_and(~F.isnan("prediction")).alias("finite"))
+    return o.crossJoin(same).select("n_rows", "n_groups", F.lit(len(results)).alias("candidates"), "each_row_once", "finite", F.lit(mine == first).alias("best_is_best"), "same_when_loaded")  # a row each
+
+
 @query("SELECT count(*) AS n_rows, true AS finite, true AS beats_the_mean, true AS same_when_loaded FROM events")
 def extra_trees(v: Views):
     """Trees over four numbers of every event, saved, loaded and applied: their error against the mean's."""
@@ -454,10 +486,10 @@ def head_training(v: Views):
     return study.load_head(v.spark, path).predict(valid).select("id", "label", r6("probability").alias("probability"), "is_robust")
 
 
-@query("SELECT * FROM (VALUES ('first', 'completed', CAST(NULL AS VARCHAR), true), ('second', 'failed', 'TimeoutError', true)) t(name, status, error_type, digested)")
+@query("SELECT name, status, error_type, n_rows, digest FROM (VALUES ('first', 'completed', CAST(NULL AS VARCHAR)), ('second', 'failed', 'TimeoutError')) t(name, status, error_type), (SELECT count(*) AS n_rows, CAST(sum(CAST('0x' || substr(md5(concat_ws(chr(31), CAST(o_orderkey AS VARCHAR), o_orderpriority)), 1, 15) AS BIGINT)) AS VARCHAR) AS digest FROM orders)")
 def run_records(v: Views):
-    """One run that ends well and one that spends its time budget."""
-    root, data = work_dir(v.spark, "runs"), {"train": v.table("region")}
+    """One run that ends well and one that spends its time budget, with the digest of all orders that both record."""
+    root, data = work_dir(v.spark, "runs"), {"train": v.table("orders").select("o_orderkey", "o_orderpriority")}
     for name, seconds in (("first", 1000), ("second", 0)):
         try:
             with study.journal(v.spark, root, name, data):
@@ -465,7 +497,7 @@ def run_records(v: Views):
         except TimeoutError:
             pass
     got = [json.loads(files.read_text(v.spark, f"{root}/{n}/result.json")) for n in ("first", "second")]
-    return v.spark.createDataFrame([(r["name"], r["status"], r.get("error_type"), bool(r["inputs"])) for r in got], "name string, status string, error_type string, digested boolean")
+    return v.spark.createDataFrame([(r["name"], r["status"], r.get("error_type"), *r["inputs"]["train"][:2]) for r in got], "name string, status string, error_type string, n_rows long, digest string")
 
 
 @query(f"WITH c AS ({_CASES}), l AS (SELECT CAST(doc_id AS VARCHAR) AS id, quality = 1 AS y FROM labels), j AS (SELECT y, length(problem) % 2 = 0 AS p, model_id <> 'src3' AS ok FROM c JOIN l USING (id)) SELECT round(count(*) FILTER (ok AND y = p) / count(*), 6) AS accuracy, round(count(*) FILTER (ok) / count(*), 6) AS coverage, count(*) FILTER (NOT ok) AS invalid_predictions FROM j")
