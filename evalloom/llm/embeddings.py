@@ -163,8 +163,8 @@ def cosine_links(vectors: DataFrame, threshold: float = 0.9) -> DataFrame:
     packed = good.withColumns({"dim": F.size("embedding"), "block": F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.lit(blocks))})
     packed = scratch.pin(packed.groupBy("dim", "block").applyInArrow(_pack, "dim int, block long, ids binary, data binary"))
     left, right = (packed.select("dim", *[F.col(c).alias(f"{c}_{s}") for c in ("block", "ids", "data")]) for s in "ab")
-    # the grid of tiles, listed by number first so that every tile is dealt out on its own
-    grid = packed.select("dim", F.col("block").alias("block_a")).join(packed.select("dim", F.col("block").alias("block_b")), "dim").where("block_a <= block_b")
+    # the grid of tiles: each block's numbers of the blocks from it on, so that every tile is dealt out on its own
+    grid = packed.select("dim", F.col("block").alias("block_a")).repartition("dim", "block_a").withColumn("block_b", F.explode(F.sequence(F.col("block_a"), F.lit(blocks - 1).cast("long"))))
     tiles = grid.join(left, ["dim", "block_a"]).join(right, ["dim", "block_b"])
     tiles = tiles.select("dim", "ids_a", "data_a", "ids_b", "data_b", (F.col("block_a") == F.col("block_b")).alias("same"), "block_a", "block_b")
     tiles = tiles.repartition("dim", "block_a", "block_b").drop("block_a", "block_b")

@@ -149,7 +149,9 @@ def removed_lines(docs: DataFrame, *, min_chars: int = MIN_CHARS, min_exact: int
     pairs = scratch.pin(met.where(F.col("by").isNotNull() & ((F.col("by.doc_id") < F.col("doc_id")) | ((F.col("by.doc_id") == F.col("doc_id")) & (F.col("by.line_no") < F.col("line_no"))))).select("doc_id", "line_no", F.col("by.doc_id").alias("d0"), F.col("by.line_no").alias("l0")).distinct())
     left = pairs.join(wanted, ["doc_id", "line_no"])
     right = wanted.select(F.col("doc_id").alias("d0"), F.col("line_no").alias("l0"), F.col("line").alias("line0"))
-    near = left.join(right, ["d0", "l0"]).where(one_edit(F.col("line"), F.col("line0"))).select("doc_id", "line_no").distinct()
+    # an earliest line may have very many near copies
+    follow = scratch.pin(pairs.groupBy("d0", "l0").agg(F.count(F.lit(1)).alias("n")))
+    near = salted_join(left, right.join(follow, ["d0", "l0"]), ["d0", "l0"], "n", place, known=follow.agg(F.coalesce(F.sum("n"), F.lit(0)), F.max("n")).first()).where(one_edit(F.col("line"), F.col("line0"))).select("doc_id", "line_no").distinct()
     return copies.unionByName(scratch.pin(near)).distinct()
 
 

@@ -174,19 +174,28 @@ def _open_buckets(bc: DataFrame, scratch: Scratch) -> DataFrame:
     return salted_join(bc, scratch.pin(active), ["key"], "n", ["rep"])
 
 
-def _with_leaders(pairs: DataFrame, of: DataFrame, scratch: Scratch) -> DataFrame:
-    """``pairs(a, b)`` joined to ``of`` by a: a leader of very many pairs has them dealt out by b."""
-    n = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
-    return salted_join(pairs, scratch.pin(of.join(n, "a")), ["a"], "n", ["b"])
+def _counted(pairs: DataFrame, scratch: Scratch, side: str = "lead") -> tuple[DataFrame, tuple[int, int]]:
+    """(lead, n): the pairs of each leader (or of each text of the other ``side``), with their sum and maximum."""
+    n = scratch.pin(pairs.groupBy(side).agg(F.count(F.lit(1)).alias("n")))
+    return n, n.agg(F.coalesce(F.sum("n"), F.lit(0)), F.max("n")).first()
+
+
+def _joined(pairs: DataFrame, of: DataFrame, value: str, leaders: tuple[DataFrame, tuple[int, int]], others: tuple[DataFrame, tuple[int, int]] | None = None) -> DataFrame:
+    """``pairs(lead, rep)`` with ``value`` of both as ``value_a`` and ``value_b``. A leader of very many pairs has them dealt out by
+    the other one; that one is in a pair a band at most, unless ``others`` counts its pairs."""
+    n, known = leaders
+    lead = of.select(F.col("rep").alias("lead"), F.col(value).alias(f"{value}_a")).join(n, "lead")
+    both = salted_join(pairs, lead, ["lead"], "n", ["rep"], known=known)
+    rep = of.select("rep", F.col(value).alias(f"{value}_b"))
+    return salted_join(both, rep.join(others[0], "rep"), ["rep"], "n", ["lead"], known=others[1]) if others else both.join(rep, "rep")
 
 
 def _contract(comp: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
-    """``comp(rep, met, comp)`` with the components that ``links(a, b)`` join made one."""
-    ca = comp.select(F.col("rep").alias("a"), F.col("comp").alias("ca"))
-    cb = comp.select(F.col("rep").alias("b"), F.col("comp").alias("cb"))
-    joined = links.join(ca, "a").join(cb, "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
-    moved = connected(joined, scratch).withColumnRenamed("node", "comp")
-    return scratch.pin(comp.join(moved, "comp", "left").select("rep", "met", F.coalesce("component", "comp").alias("comp")))
+    """``comp(rep, met, comp)`` with the components that ``links(comp_a, comp_b)`` join made one. A component of very many
+    members has them dealt out."""
+    moved = scratch.pin(connected(links.select(F.col("comp_a").alias("a"), F.col("comp_b").alias("b")), scratch).withColumnRenamed("node", "comp"))
+    sizes = comp.groupBy("comp").agg(F.count(F.lit(1)).alias("n"))
+    return scratch.pin(salted_join(comp, scratch.pin(moved.join(sizes, "comp")), ["comp"], "n", ["rep"], how="left").select("rep", "met", F.coalesce("component", "comp").alias("comp")))
 
 
 def tile_forest(comp: np.ndarray, sig: np.ndarray, sets: list[np.ndarray], p: Near) -> list[tuple[int, int]]:
@@ -233,7 +242,7 @@ def _tiler(p: Near):
             for i, j in tile_forest(comp[lo:hi], sig[lo:hi], [flat[offs[r] : offs[r + 1]] for r in range(lo, hi)], p):
                 a.append(rep[lo + i])
                 b.append(rep[lo + j])
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["lead", "rep"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []  # at most an Arrow batch and the tile that goes on in the next
@@ -307,16 +316,16 @@ def near_duplicates(docs: DataFrame, params: Near = Near()) -> DataFrame:
             break
         lead = live.groupBy("key").agg(F.min(F.struct(-F.col("met"), "rep", "comp")).alias("l"), F.count(F.lit(1)).alias("n"))
         lead = scratch.pin(lead.select("key", F.col("l.rep").alias("lead"), F.col("l.comp").alias("lcomp"), "n"))
-        pairs = salted_join(live, lead, ["key"], "n", ["rep"]).where("comp <> lcomp").select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b"))
+        # of two that meet, the same one leads wherever either does
+        pairs = salted_join(live, lead, ["key"], "n", ["rep"]).where("comp <> lcomp").select("lead", "rep")
         pairs = scratch.pin(pairs.distinct())
-        sa, sb = (sigs.select(F.col("rep").alias(c), F.col("sig").alias(f"sig_{c}")) for c in "ab")
-        likely = _with_leaders(pairs, sa, scratch).join(sb, "b").where(_matches(F.col("sig_a"), F.col("sig_b"), p) >= p.least_matches()).select("a", "b")
+        leaders = _counted(pairs, scratch)
+        likely = _joined(pairs, sigs, "sig", leaders).where(_matches(F.col("sig_a"), F.col("sig_b"), p) >= p.least_matches()).select("lead", "rep")
         likely = scratch.pin(likely)
-        ia, ib = (sets.select(F.col("rep").alias(c), F.col("items").alias(f"items_{c}")) for c in "ab")
-        both = _with_leaders(likely, ia, scratch).join(ib, "b")
         inter = F.size(F.array_intersect("items_a", "items_b"))
-        new = both.where(100 * inter >= p.percent * (F.size("items_a") + F.size("items_b") - inter)).select("a", "b").distinct()
-        comp = _contract(comp, scratch.pin(new), scratch)
+        new = scratch.pin(_joined(likely, sets, "items", leaders).where(100 * inter >= p.percent * (F.size("items_a") + F.size("items_b") - inter)).select("lead", "rep"))
+        if not new.isEmpty():
+            comp = _contract(comp, _joined(new, comp, "comp", leaders), scratch)
         buckets = scratch.pin(live.select("key", "rep", "size").join(lead.select("key", F.col("lead").alias("rep")), ["key", "rep"], "left_anti"))
         scratch.drop(live, lead, likely)
     # what is still open: all members against each other, in tiles that return spanning forests
@@ -328,9 +337,12 @@ def near_duplicates(docs: DataFrame, params: Near = Near()) -> DataFrame:
         blocks = scratch.pin(live.groupBy("key").agg(many.cast("int").alias("nb"), F.count(F.lit(1)).alias("n")))
         placed = salted_join(live, blocks, ["key"], "n", ["rep"]).withColumn("i", F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int"))
         tiled = placed.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select("key", F.least("i", "k").alias("ti"), F.greatest("i", "k").alias("tj"), "rep", "comp")
-        tiled = tiled.join(sets.join(sigs, "rep"), "rep").select("key", "ti", "tj", "rep", "comp", "sig", "items")
+        # a text is in as many tiles as its buckets have blocks
+        uses = tiled.groupBy("rep").agg(F.count(F.lit(1)).alias("n"))
+        tiled = salted_join(tiled, scratch.pin(uses).join(sets.join(sigs, "rep"), "rep"), ["rep"], "n", ["key", "ti", "tj"]).select("key", "ti", "tj", "rep", "comp", "sig", "items")
         tiled = tiled.repartition("key", "ti", "tj").sortWithinPartitions("key", "ti", "tj")
-        comp = _contract(comp, scratch.pin(tiled.mapInArrow(_tiler(p), "a long, b long").distinct()), scratch)
+        links = scratch.pin(tiled.mapInArrow(_tiler(p), "lead long, rep long").distinct())
+        comp = _contract(comp, _joined(links, comp, "comp", _counted(links, scratch), _counted(links, scratch, "rep")), scratch)
     # class, then component of its representative; rows sharing an id but not a text tie classes together
     ties = several.join(comp.select(F.col("rep").alias("a"), F.col("comp").alias("ca")), "a", "left").join(comp.select(F.col("rep").alias("b"), F.col("comp").alias("cb")), "b", "left")
     tied = connected(ties.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")), scratch).select(F.col("node").alias("comp"), F.col("component").alias("tied"))

@@ -141,22 +141,28 @@ def sized_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
 HOT_SHARE, HOT_LEAST, SALTS = 1000, 500, 64
 
 
-def salted_join(rows: DataFrame, unique: DataFrame, on: list[str], n: str, salt_by: list[str]) -> DataFrame:
-    """``rows.join(unique, on)`` where ``unique`` has a row a key and ``n``, how many of ``rows`` have it.
+def least_hot(total: int) -> int:
+    """Keys with more rows than this are hot where there are ``total`` rows."""
+    return max(HOT_LEAST, total // HOT_SHARE)
+
+
+def salted_join(rows: DataFrame, unique: DataFrame, on: list[str], n: str, salt_by: list[str], how: str = "inner", known: tuple[int, int] | None = None) -> DataFrame:
+    """``rows.join(unique, on, how)`` where ``unique`` has a row a key and ``n``, how many of ``rows`` have it.
 
     Keys with more than 1 / ``HOT_SHARE`` of all these rows, ``HOT_SHARE`` at most, are broadcast: their
-    rows never meet in one task. The other keys are joined as usual. ``n`` is dropped.
+    rows never meet in one task. The other keys are joined as usual. ``n`` is dropped. ``how`` is inner or left. ``known`` are
+    all keys' sum and the greatest ``n``, where they have been counted already.
     """
-    total, most = unique.agg(F.coalesce(F.sum(n), F.lit(0)), F.max(n)).first()
-    least = max(HOT_LEAST, total // HOT_SHARE)
+    total, most = known or unique.agg(F.coalesce(F.sum(n), F.lit(0)), F.max(n)).first()
+    least = least_hot(total)
     if (most or 0) <= least:
-        return rows.join(unique.drop(n), on)
+        return rows.join(unique.drop(n), on, how)
     hot = F.col(n) > least
     salt = F.pmod(F.xxhash64(*salt_by), F.lit(SALTS)).cast("int")
     dealt = rows.join(F.broadcast(unique.where(hot).select(*on, F.lit(True).alias("_hot"))), on, "left")
     dealt = dealt.withColumn("_salt", F.when(F.col("_hot"), salt).otherwise(F.lit(0))).drop("_hot")
     copied = unique.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.when(hot, F.lit(SALTS - 1)).otherwise(F.lit(0))))).drop(n)
-    return dealt.join(copied, [*on, "_salt"]).drop("_salt")
+    return dealt.join(copied, [*on, "_salt"], how).drop("_salt")
 
 
 def semi_join(rows: DataFrame, unique: DataFrame, on: list[str], n: str, salt_by: list[str], max_rows: int) -> DataFrame:
