@@ -328,9 +328,9 @@ def participant_package(v: Views):
         "rules/__init__.py": "", "rules/length.py": "def long_enough(p, n):\n    return len(p) >= n\n", "rules/late.py": "def exactly(x):\n    return bool(x)\n",
     }.items():
         files.write_text(v.spark, f"{root}/solution/{name}", text)
-    made = evaluate.run_batches(_cases(v), inference.participant(v.spark, f"{root}/solution"))
-    sinks.write_json_lines(made, f"{root}/predictions.jsonl", "_pos")
-    got, malformed = readers.load_predictions(v.spark, f"{root}/predictions.jsonl")
+    sinks.write_json_lines(_cases(v), f"{root}/in/cases.jsonl", "_pos")
+    programs.ingest(v.spark, f"{root}/in", f"{root}/out", f"{root}/solution")
+    got, malformed = readers.load_predictions(v.spark, f"{root}/out/predictions.jsonl")
     labels = v.rows().select("id", F.col("model_is_robust").alias("is_robust"))
     return evaluate.score(labels, got, malformed).select(r6("accuracy").alias("accuracy"), "coverage", "invalid_predictions", F.col("n_labels").alias("cases"))
 

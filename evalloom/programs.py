@@ -5,20 +5,27 @@ from __future__ import annotations
 import argparse
 import json
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import evaluate, families, inference, quality, study
 from .preparation import import_rows, prepare
-from .session import local_session, ship
+from .session import local_session, ship, work_dir
 from .sources import files, readers, sinks
 from .training import export_run, fit
 
 
+def _called_once(cases: DataFrame, predict) -> DataFrame:
+    """``run_batches`` written once: putting rows in ranges reads them twice, and a submission is called once a model."""
+    made, path = evaluate.run_batches(cases, predict), work_dir(cases.sparkSession, "called")
+    made.write.parquet(path)
+    return cases.sparkSession.read.schema(made.schema).parquet(path)
+
+
 def ingest(spark: SparkSession, source: str, output: str, submission: str) -> dict:
     """``cases.jsonl`` of ``source`` through the submission's function: ``predictions.jsonl`` and ``ingestion_summary.json``."""
     cases = readers.load_cases(spark, f"{source}/cases.jsonl")
-    made = evaluate.run_batches(cases, inference.participant(spark, submission))
+    made = _called_once(cases, inference.participant(spark, submission))
     sinks.write_json_lines(made, f"{output}/predictions.jsonl", "_pos")
     done = readers.load_predictions(spark, f"{output}/predictions.jsonl")[0]  # the function isn't called again
     return sinks.write_record(evaluate.ingestion_summary(done), f"{output}/ingestion_summary.json")
@@ -56,7 +63,7 @@ def respond(spark: SparkSession, request: str, response: str) -> list[dict]:
 
 def judge(spark: SparkSession, cases: str, labels: str, submission: str, output: str) -> dict:
     """A submission over a file of cases against a file of labels: predictions, their summary and scores in ``output``."""
-    made = evaluate.run_batches(readers.load_cases(spark, cases), inference.participant(spark, submission))
+    made = _called_once(readers.load_cases(spark, cases), inference.participant(spark, submission))
     sinks.write_json_lines(made, f"{output}/predictions.jsonl", "_pos")
     done, malformed = readers.load_predictions(spark, f"{output}/predictions.jsonl")
     summary = sinks.write_record(evaluate.ingestion_summary(done), f"{output}/ingestion_summary.json")

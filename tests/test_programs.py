@@ -154,3 +154,14 @@ def test_judge_runs_and_scores_a_submission(spark, tmp_path):
     root = f"file://{tmp_path}"
     got = programs.judge(spark, f"{root}/cases.jsonl", f"{root}/labels.jsonl", f"{root}/s", f"{root}/out")
     assert got == {"cases": 8, "invalid_predictions": 2, "accuracy": 5 / 8, "coverage": 6 / 8} and json.loads((tmp_path / "out/scores.json").read_text())["accuracy"] == 5 / 8
+
+
+def test_a_submission_is_called_once_a_model(spark, tmp_path):
+    (tmp_path / "s").mkdir()
+    (tmp_path / "calls").mkdir()
+    (tmp_path / "s" / "solution.py").write_text(f"import uuid\ndef are_robust(m, ps):\n    open({str(tmp_path / 'calls')!r} + '/' + m + uuid.uuid4().hex, 'w').close()\n    return [True] * len(ps)\n")
+    (tmp_path / "cases.jsonl").write_text("\n".join(json.dumps({"id": str(i), "model_id": f"m{i % 3}", "problem": "p"}) for i in range(30)))
+    root = f"file://{tmp_path}"
+    programs.ingest(spark, root, f"{root}/out", f"{root}/s")
+    assert sorted(p.name[:2] for p in (tmp_path / "calls").iterdir()) == ["m0", "m1", "m2"]
+    assert [x["id"] for x in lines(tmp_path / "out", "predictions.jsonl")] == [str(i) for i in range(30)]
