@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import contextlib
+import sys
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -98,10 +100,23 @@ def _rocks(spark: SparkSession) -> Iterator[None]:
         spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
+@contextlib.contextmanager
+def _by_value() -> Iterator[None]:
+    """This module's classes travel with their code: the worker that starts a stateful operator on the driver imports
+    from the session's own paths only, not from added files."""
+    module = sys.modules[__name__]
+    cloudpickle.register_pickle_by_value(module)
+    try:
+        yield
+    finally:
+        cloudpickle.unregister_pickle_by_value(module)
+
+
 def finished_steps(events: DataFrame) -> DataFrame:
     """(``STEP``) of each response of a stream of ``EVENT`` rows, in the batch that brings its last event. A response's state is its own
     key's: the logits of one step, ten numbers for every other, and what came early."""
-    return events.groupBy("resp_id").transformWithStateInPandas(Responses(), STEP, "Append", "None")
+    with _by_value():
+        return events.groupBy("resp_id").transformWithStateInPandas(Responses(), STEP, "Append", "None")
 
 
 def write_metrics(events: DataFrame, path: str, checkpoint: str, valid: Callable[[Column], Column], **limits) -> None:

@@ -3,14 +3,18 @@
 import hashlib
 import io
 import json
+import os
 import random
 import statistics
+import subprocess
+import sys
 import threading
 import time
 from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
@@ -612,3 +616,12 @@ def test_metrics_of_arriving_steps_equal_those_of_the_whole(spark, tmp_path):
     generation.write_metrics(stream(), out, check, valid)  # goes on from its checkpoint
     got = told()
     assert set(got) == set(want) and all(np.allclose(got[r], want[r], atol=1e-9, equal_nan=True) for r in want)
+
+
+def test_stateful_processors_travel_with_their_code(tmp_path):
+    with generation._by_value():
+        data = cloudpickle.dumps(generation.Responses())
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    code = "import pickle, sys; print(type(pickle.load(sys.stdin.buffer)).__name__)"
+    got = subprocess.run([sys.executable, "-c", code], input=data, cwd=tmp_path, env=env, capture_output=True, timeout=60)
+    assert got.stdout.split() == [b"Responses"], got.stderr
