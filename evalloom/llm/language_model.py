@@ -19,6 +19,8 @@ END = np.uint64(0x0E0D_0E0D_0E0D_0E0D)
 _C = np.uint64(0x9E3779B97F4A7C15)
 #: Tokens dealt to a box at most, but for words of more than a ``MOST_HOT``-th of all; a chunk names as many words.
 BOX_TOKENS, MOST_HOT = 1 << 21, 50_000
+#: Partitions of boxes or cells at most; beyond that a task takes several, one after the other.
+MOST_PARTS = 20_000
 #: Boxes a cell: what boxes and cells tell each other is a message a pair of them.
 CELL_BOXES = 16
 #: A context is told by the upper 48 bits of its word's hash: what is sent is mostly contexts.
@@ -120,7 +122,8 @@ def _deliver(boxes: int, read: Callable, *tables: DataFrame) -> DataFrame:
     def run(batches):
         return _mail(m for b, held in _grouped(batches, "b") for m in read(b, held))
 
-    return all_.repartitionById(boxes, "b").sortWithinPartitions("b", "kind", "of").mapInArrow(run, MSG)
+    parts = min(boxes, MOST_PARTS)
+    return all_.repartitionById(parts, F.col("b") % parts).sortWithinPartitions("b", "kind", "of").mapInArrow(run, MSG)
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], limit: int):
@@ -340,7 +343,7 @@ def _cells(boxes: int, hot: np.ndarray, sweep: int, keep: bool):
             for b, lo, hi in to:
                 yield b, TABLES, sweep, pack(_small(tables[order[lo:hi]]))
             at = _find(hot >> _SHORT, ctx)
-            yield cell, STATS, cell, pack(_small(at[at >= 0]), tables[at >= 0])
+            yield cell, STATS, cell, pack(np.zeros(0, np.int64), _small(at[at >= 0]), tables[at >= 0])
 
     return read
 
@@ -563,15 +566,32 @@ def _finisher(m: Model, d: float, parents: list[_Parent], total: int, types: int
     return run
 
 
-def _stats(sent: DataFrame) -> list[list[np.ndarray]]:
-    """The boxes' totals: a small row a box, with the hot words' shares of it."""
-    return [unpack(r["data"]) for r in sent.where(F.col("kind") == STATS).select("data").collect()]
+#: Totals, by what they are of: a box's own numbers, then numbers by hot word.
+_TOTAL = "part int, at long, n long"
 
 
-def _hot_sums(rows: list[tuple[np.ndarray, np.ndarray]], size: int) -> np.ndarray:
-    out = np.zeros(size, np.int64)
-    for at, x in rows:
-        np.add.at(out, at.astype(np.int64), x)
+def _sum_stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sums of a partition's ``STATS``: numbers by place, and by the hot words' places. A row has arrays
+    (numbers, places, numbers by place...)."""
+    sums: dict[tuple[int, int], int] = {}
+    for batch in batches:
+        for data in batch.column("data"):
+            numbers, at, *by_at = unpack(data.as_py())
+            for part, (places, values) in enumerate([(np.arange(len(numbers)), numbers), *((at, x) for x in by_at)]):
+                for key, x in zip(places.tolist(), values.tolist()):
+                    sums[part, key] = sums.get((part, key), 0) + x
+    if sums:
+        part, at = zip(*sums)
+        yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(at, pa.int64()), pa.array(list(sums.values()), pa.int64())], ["part", "at", "n"])
+
+
+def _stats(sent: DataFrame, *sizes: int) -> list[np.ndarray]:
+    """What ``sent`` tells, summed by Spark: an array of each of these sizes. A row a number reaches the driver,
+    however many boxes there are."""
+    out = [np.zeros(n, np.int64) for n in sizes]
+    told = sent.where(F.col("kind") == STATS).select("data").mapInArrow(_sum_stats, _TOTAL)
+    for r in told.groupBy("part", "at").agg(F.sum("n").alias("n")).collect():
+        out[r["part"]][r["at"]] = r["n"]
     return out
 
 
@@ -614,9 +634,8 @@ def score_documents(docs: DataFrame, train: Column, model: Model = Model()) -> D
     asks = packed.select("chunk", "ws", "body").mapInArrow(_asker(m.contexts, boxes, hot, slices), MSG)
     counted = scratch.pin(_deliver(boxes, _collect_counts(boxes, cells, hot), asks), by="kind")
     of = lambda t, *kinds: t.where(F.col("kind").isin(*kinds)).select("b", "kind", "of", "data")
-    stats = _stats(counted)
-    n1, n2, one, two, types, c0 = sum((s[0] for s in stats), np.zeros(6, np.int64)).tolist()
-    hot_count, hot_c0 = (_hot_sums([(s[1], s[k]) for s in stats], len(hot)) for k in (2, 3))
+    numbers, hot_count, hot_c0 = _stats(counted, 6, len(hot), len(hot))
+    n1, n2, one, two, types, c0 = numbers.tolist()
     types += int((hot_count > 0).sum())
     discount = lambda a, b: min(0.95, max(0.05, a / (a + 2 * b))) if a else 0.5
     d, d0, h = discount(n1, n2), discount(one, two), 1.0 / (types + 1)
@@ -628,15 +647,14 @@ def score_documents(docs: DataFrame, train: Column, model: Model = Model()) -> D
         keep, salt = sweep >= m.sweeps, 1000 * (sweep + 1)
         read = [of(counted, STATE), of(told, DOWN), *([of(words, WORDS)] if words else [])]
         then = scratch.pin(_deliver(boxes, _sweep(m, boxes, cells, d, parent, salt, keep), *read), by="kind")
-        stats = _stats(then)
-        customers, seated = sum((s[0] for s in stats), np.zeros(2, np.int64)).tolist()
-        hot_c0 = _hot_sums([(s[1], s[2]) for s in stats], len(hot))
+        numbers, hot_c0 = _stats(then, 2, len(hot))
+        customers, seated = numbers.tolist()
         hot_t0 = parent.seat(hot_c0, parent.hot_tables, mix(hot), salt + 1)
         parent = _Parent(m.theta, d0, float(customers + hot_c0.sum()), float(seated + hot_t0.sum()), h, hot, hot_c0, hot_t0)
         told = scratch.pin(_deliver(cells, _cells(boxes, hot, sweep, keep), of(first, CELL, PLACES), of(then, UP)), by="kind")
         if keep:
             parents.append(parent)
-            hot_tables.append(_hot_sums([tuple(s) for s in _stats(told)], len(hot)))
+            hot_tables.append(_stats(told, 0, len(hot))[1])
             tables = of(told, TABLES) if tables is None else tables.unionByName(of(told, TABLES))
         words = then
 

@@ -503,3 +503,12 @@ def test_one_edit_against_brute_force(spark):
             pairs += [(a, b), (b, a)]
     d = spark.createDataFrame(pairs, "a string, b string").select("a", "b", lines.one_edit(F.col("a"), F.col("b")).alias("near"))
     assert all(r.near == near(r.a, r.b) for r in d.collect())
+
+
+def test_language_model_scores_alike_with_several_boxes_a_task(spark, monkeypatch):
+    rng = random.Random(3)
+    d = spark.createDataFrame([(i, " ".join(rng.choice("abcdefgh") for _ in range(rng.randrange(40)))) for i in range(60)], "doc_id long, text string")
+    scores = lambda: {r.doc_id: r.score for r in language_model.score_documents(d, F.col("doc_id") < 40, language_model.Model(sweeps=1, samples=1)).collect()}
+    one = scores()
+    monkeypatch.setattr(language_model, "MOST_PARTS", 2)
+    assert scores() == one
