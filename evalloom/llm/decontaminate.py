@@ -6,14 +6,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import Scratch, numbered, table
+from .scratch import Scratch, table
 from .words import ALNUM, hashed, shards, utf8
 
 WINDOW = 13
-#: Benchmark words held by a task at a time; larger benchmarks are searched in several passes.
+#: Benchmark words held by a task at a time.
 BLOCK_WORDS = 1 << 21
 
 
@@ -142,24 +144,62 @@ def longest(index: Index, test: np.ndarray, tptr: np.ndarray, ptr: np.ndarray, d
     return best, where
 
 
-def _blocks(bench: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(item ids, words, pointers) of blocks of about ``BLOCK_WORDS`` words; one is held at a time."""
-    bench = bench.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "text")
-    ids, texts, held, some = [], [], 0, False
+def _pack_items(limit: int):
+    """Rows (ids, words, pointers) of (item_id, text): a block of about ``limit`` words, or of one longer item."""
 
-    def block():
-        return np.array(ids, np.int64), *hashed(*utf8(pa.array(texts, pa.large_string())), ALNUM)
+    def block(ids, texts):
+        words, ptr = hashed(*utf8(pa.array(texts, pa.large_string())), ALNUM)
+        cols = [np.array(ids, np.int64), words.view(np.int64), ptr.astype(np.int64)]
+        return pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in cols], ["ids", "words", "ptr"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, texts, held = [], [], 0
+        for batch in batches:
+            for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                n = len(text) // 2 + 1
+                if held and held + n > limit:
+                    yield block(ids, texts)
+                    ids, texts, held = [], [], 0
+                ids.append(item)
+                texts.append(text)
+                held += n
+        if ids:
+            yield block(ids, texts)
+
+    return run
 
-    for row in bench.toLocalIterator():
-        n = len(row["text"]) // 2 + 1
-        if held and held + n > BLOCK_WORDS:
-            yield block()
-            ids, texts, held, some = [], [], 0, True
-        ids.append(row["item_id"])
-        texts.append(row["text"])
-        held += n
-    if ids or not some:
-        yield block()
+
+class Blocks:
+    """The benchmark's hashed words where the tasks are: (item ids, words, pointers) of a block at a time.
+
+    A benchmark of one block is broadcast, as its size is bounded. A larger one is written by Spark to the
+    shared folder, a row a block, and its files are added to the application: every executor, late ones
+    too, copies them to its own disk, and the driver sees their names only. They stay while the application runs.
+    """
+
+    def __init__(self, bench: DataFrame):
+        spark = bench.sparkSession
+        bench = bench.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "text")
+        words = bench.agg(F.sum(F.floor(F.length("text") / 2) + 1)).first()[0] or 0
+        self.one, self.names = None, []
+        if words <= BLOCK_WORDS:
+            rows = bench.collect()
+            hashes = hashed(*utf8(pa.array([r["text"] for r in rows], pa.large_string())), ALNUM)
+            self.one = spark.sparkContext.broadcast((np.array([r["item_id"] for r in rows], np.int64), *hashes))
+            return
+        written = Scratch(spark, "bench").pin(bench.mapInArrow(_pack_items(BLOCK_WORDS), "ids binary, words binary, ptr binary"))
+        for path in sorted(written.inputFiles()):
+            spark.sparkContext.addFile(path)
+            self.names.append(path.rsplit("/", 1)[-1])
+
+    def read(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        if self.one is not None:
+            yield self.one.value
+        for name in self.names:
+            with pq.ParquetFile(SparkFiles.get(name)) as f:
+                for b in f.iter_batches(batch_size=1):
+                    ids, words, ptr = (np.frombuffer(c[0].as_py(), np.int64) for c in b.columns)
+                    yield ids, words.view(np.uint64), ptr
 
 
 _SPAN = "array<struct<item_id:long,item_at:int,doc_at:int,words:int>>"
@@ -169,9 +209,9 @@ def contamination(docs: DataFrame, bench: DataFrame, window: int = WINDOW) -> Da
     """(doc_id, n_words, n_hit, items, longest, matches) for every row of ``docs``.
 
     Each Arrow batch is cut into shards of whole documents; a shard's words (64-bit hashes) get a suffix
-    array, and the suffixes of every benchmark item are binary-searched in it. All of a document's
-    matches lie in its shard, so nothing is shuffled. The benchmark is a stated query set: it goes to the
-    tasks in blocks of at most ``BLOCK_WORDS`` words, one pass over the corpus for each.
+    array, and the windows of every benchmark item are binary-searched in it. All of a document's
+    matches lie in its shard, so nothing is shuffled. The benchmark is a stated query set: a task holds a
+    block of at most ``BLOCK_WORDS`` words of it at a time (``Blocks``), and the corpus is read once.
 
     ``matches`` are the verbatim matches of a window or more (or of a whole shorter item) with their places
     in item and document, in words; ``longest`` is the longest of them, 0 if there is none.
@@ -180,63 +220,46 @@ def contamination(docs: DataFrame, bench: DataFrame, window: int = WINDOW) -> Da
     Null and empty texts have no words; items without words or id are ignored; repeated item ids count
     once; repeated documents and those without an id are searched each; an empty table gives none; the
     other columns are not read, but for a number named ``_hit_text``, which is kept. Ids are whole numbers.
-    Where there are several blocks, rows are numbered and the blocks' results merged by that number.
     """
     extra = [c for c in docs.columns if c == "_hit_text"]
-    spark = docs.sparkSession
-    keyed = docs.select("doc_id", "text", *extra)
-    shared = [spark.sparkContext.broadcast(b) for b in _blocks(bench)]  # at most BLOCK_WORDS words each
-    if len(shared) > 1:
-        keyed = numbered(keyed, "_hit_row", Scratch(spark, "hits"))
-    schema = f"doc_id long, n_words long, n_hit long, items array<long>, longest long, matches {_SPAN}, hits binary" + "".join(f", {c} long" for c in keyed.columns[2:])
-    out = None
-    for block in shared:
-        part = keyed.mapInArrow(_searcher(block, window), schema)
-        out = part if out is None else out.unionByName(part)
-    if len(shared) > 1:  # a word may be hit by several blocks
-        out = out.groupBy("_hit_row").applyInArrow(_merge_blocks, schema)
-    return out.drop("hits", "_hit_row")
-
-
-def _merge_blocks(t: pa.Table) -> pa.Table:
-    rows = t.to_pylist()
-    bits = np.zeros(rows[0]["n_words"], bool)
-    for r in rows:
-        if r["hits"]:
-            bits |= np.unpackbits(np.frombuffer(r["hits"], np.uint8), count=len(bits)).astype(bool)
-    got = {"n_hit": int(bits.sum()), "items": sorted({i for r in rows for i in r["items"]}), "longest": max(r["longest"] for r in rows), "matches": sorted((m for r in rows for m in r["matches"]), key=lambda m: (m["doc_at"], m["item_id"], m["item_at"])), "hits": None}
-    return pa.Table.from_pylist([rows[0] | got], t.schema)
-
-
-def search_shard(words: np.ndarray, ptr: np.ndarray, test: np.ndarray, tptr: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """The hit mask over a shard's words, and its ``spans``."""
-    found = occurrences(Index(words, max(window, 16)), ptr, test, tptr, window)
-    hit = np.zeros(len(words) + 1, np.int64)
-    np.add.at(hit, found[2], 1)
-    np.add.at(hit, found[2] + found[4], -1)
-    return np.cumsum(hit[:-1]) > 0, spans(found)
+    schema = f"doc_id long, n_words long, n_hit long, items array<long>, longest long, matches {_SPAN}" + "".join(f", {c} long" for c in extra)
+    return docs.select("doc_id", "text", *extra).mapInArrow(_searcher(Blocks(bench), window), schema)
 
 
-def _searcher(shared, window: int):
+def search_shard(words: np.ndarray, ptr: np.ndarray, blocks: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], window: int) -> tuple[np.ndarray, np.ndarray]:
+    """The hit mask over a shard's words, and its ``spans``, with items by their ids and places within them."""
+    index = Index(words, max(window, 16))
+    hit = np.zeros(len(words) + 1, np.int64)
+    out = []
+    for ids, test, tptr in blocks:
+        found = occurrences(index, ptr, test, tptr, window)
+        np.add.at(hit, found[2], 1)
+        np.add.at(hit, found[2] + found[4], -1)
+        got = spans(found)
+        got[3] -= tptr[got[1]]
+        got[1] = ids[got[1]]
+        out.append(got)
+    return np.cumsum(hit[:-1]) > 0, np.concatenate(out, axis=1) if out else np.zeros((5, 0), np.int64)
+
+
+def _searcher(blocks: Blocks, window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, test, tptr = shared.value
         for batch in batches:
             for b in shards(batch, "text"):
                 words, ptr = hashed(*utf8(b.column(1)), ALNUM)
-                mask, (d, item, p, q, n) = search_shard(words, ptr, test, tptr, window)
+                mask, (d, item, p, q, n) = search_shard(words, ptr, blocks.read(), window)
                 c = np.concatenate(([0], np.cumsum(mask)))
                 n_hit = c[ptr[1:]] - c[ptr[:-1]]
-                order = np.lexsort((q, ids[item], p))  # by document, as shards are
+                order = np.lexsort((q, item, p))  # by document, as shards are
                 d, item, p, q, n = (x[order] for x in (d, item, p, q, n))
                 cut = np.searchsorted(d, np.arange(b.num_rows + 1))
-                match = pa.StructArray.from_arrays([pa.array(ids[item]), *(pa.array(x.astype(np.int32)) for x in (q - tptr[item], p - ptr[d], n))], ["item_id", "item_at", "doc_at", "words"])
+                match = pa.StructArray.from_arrays([pa.array(item), *(pa.array(x.astype(np.int32)) for x in (q, p - ptr[d], n))], ["item_id", "item_at", "doc_at", "words"])
                 most = np.zeros(b.num_rows, np.int64)
                 np.maximum.at(most, d, n)
-                items = [np.unique(ids[item[lo:hi]]).tolist() for lo, hi in zip(cut, cut[1:])]
-                hits = [np.packbits(mask[ptr[i] : ptr[i + 1]]).tobytes() if n_hit[i] else None for i in range(b.num_rows)]
+                items = [np.unique(item[lo:hi]).tolist() for lo, hi in zip(cut, cut[1:])]
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).cast(pa.int64()), pa.array(np.diff(ptr)), pa.array(n_hit.astype(np.int64)), pa.array(items, pa.list_(pa.int64())), pa.array(most), pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), match), pa.array(hits, pa.binary()), *b.columns[2:]],
-                    ["doc_id", "n_words", "n_hit", "items", "longest", "matches", "hits", *b.schema.names[2:]],
+                    [b.column(0).cast(pa.int64()), pa.array(np.diff(ptr)), pa.array(n_hit.astype(np.int64)), pa.array(items, pa.list_(pa.int64())), pa.array(most), pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), match), *b.columns[2:]],
+                    ["doc_id", "n_words", "n_hit", "items", "longest", "matches", *b.schema.names[2:]],
                 )
 
     return run
@@ -246,29 +269,25 @@ def longest_matches(docs: DataFrame, bench: DataFrame, depth: int = 64) -> DataF
     """(item_id, item_at, words, doc_id, doc_at): for every suffix of every item the longest run of its first
     ``depth`` words at most that some document holds, and the first such place by doc_id; suffixes whose
     first word no document has are left out. A row a suffix and task is summed map-side."""
-    spark = docs.sparkSession
     keyed = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text")
-    schema = "item_id long, item_at int, words int, doc_id long, doc_at int"
-    out = None
-    for block in _blocks(bench):
-        part = keyed.mapInArrow(_longest_in(spark.sparkContext.broadcast(block), depth), schema)
-        out = part if out is None else out.unionByName(part)
+    out = keyed.mapInArrow(_longest_in(Blocks(bench), depth), "item_id long, item_at int, words int, doc_id long, doc_at int")
     best = F.min(F.struct((-F.col("words")).alias("less"), "doc_id", "doc_at")).alias("b")
     return out.groupBy("item_id", "item_at").agg(best).select("item_id", "item_at", (-F.col("b.less")).alias("words"), "b.doc_id", "b.doc_at")
 
 
-def _longest_in(shared, depth: int):
+def _longest_in(blocks: Blocks, depth: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, test, tptr = shared.value
-        item = np.repeat(np.arange(len(ids)), np.diff(tptr))
         for batch in batches:
             for b in shards(batch, "text"):
                 words, ptr = hashed(*utf8(b.column(1)), ALNUM)
-                best, where = longest(Index(words, max(depth, 16)), test, tptr, ptr, depth)
-                i = np.flatnonzero(best)
-                d = np.searchsorted(ptr, where[i], "right") - 1
-                cols = [ids[item[i]], (i - tptr[item[i]]).astype(np.int32), best[i].astype(np.int32), b.column(0).cast(pa.int64()).to_numpy()[d], (where[i] - ptr[d]).astype(np.int32)]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["item_id", "item_at", "words", "doc_id", "doc_at"])
+                index = Index(words, max(depth, 16))
+                for ids, test, tptr in blocks.read():
+                    item = np.repeat(np.arange(len(ids)), np.diff(tptr))
+                    best, where = longest(index, test, tptr, ptr, depth)
+                    i = np.flatnonzero(best)
+                    d = np.searchsorted(ptr, where[i], "right") - 1
+                    cols = [ids[item[i]], (i - tptr[item[i]]).astype(np.int32), best[i].astype(np.int32), b.column(0).cast(pa.int64()).to_numpy()[d], (where[i] - ptr[d]).astype(np.int32)]
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["item_id", "item_at", "words", "doc_id", "doc_at"])
 
     return run
 

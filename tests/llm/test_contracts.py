@@ -512,3 +512,14 @@ def test_language_model_scores_alike_with_several_boxes_a_task(spark, monkeypatc
     one = scores()
     monkeypatch.setattr(language_model, "MOST_PARTS", 2)
     assert scores() == one
+
+
+def test_matches_alike_in_one_block_and_in_many(spark, monkeypatch):
+    rng = random.Random(4)
+    words = lambda k: " ".join(rng.choices("abcd", k=k))
+    d = spark.createDataFrame([(i, words(40)) for i in range(12)], "doc_id long, text string")
+    b = spark.createDataFrame([(i % 7, words(rng.randrange(1, 20))) for i in range(9)], "item_id long, text string")
+    results = lambda: [sorted(map(str, f(d, b, 4).collect())) for f in (decontaminate.contamination, decontaminate.longest_matches)]
+    one = results()
+    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 12)
+    assert results() == one
