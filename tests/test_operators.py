@@ -159,6 +159,26 @@ def test_artifacts_are_checked(spark, tmp_path):
     assert A.candidates(root, "a/b:c")[0] == f"{root}/a_b_c" and A.load(spark, root, "a/b_c") is None
 
 
+def test_an_artifact_is_compared_on_one_sample(spark, tmp_path, monkeypatch):
+    """The sample's rows are others in each job, as those of a limit over a shuffle may be."""
+    import random
+
+    from evalloom.operators import artifacts as A
+
+    d = spark.range(200).select(F.col("id").cast("double").alias("n"), (F.col("id") % 7).cast("double").alias("y"))
+    model = selection.pipeline(selection.Candidate("forest", 3, 4), ["n"], "y").fit(d)
+    drawn = F.udf(lambda: random.SystemRandom().random() * 200, "double").asNondeterministic()
+    sample = spark.range(50).select(drawn().alias("n"), F.lit(0.0).alias("y"))
+    manifest, root = A.payload("m", A.GenerationConfig(), {"kind": "spark"}, 0.5), f"file://{tmp_path}"
+    assert A.export(spark, root, manifest, model, sample).estimator.predict(d).count() == 200
+    assert A.export(spark, root, manifest, model, d.limit(0)) is not None
+    other, load = selection.pipeline(selection.Candidate("forest", 1, 1), ["n"], "y").fit(d), A.load
+    monkeypatch.setattr(A, "load", lambda *a: A.Artifact("m", A.GenerationConfig(), A.Fitted(other), 0.5, manifest))
+    with pytest.raises(quality.DataQualityError, match="otherwise"):
+        A.export(spark, root, manifest, model, sample)
+    assert load(spark, root, "m").estimator.predict(d).count() == 200  # the old one stays
+
+
 def test_regressor_refuses_scores_that_are_not_finite(spark, tmp_path):
     from evalloom.operators import artifacts as A
     from evalloom.operators import inference
