@@ -146,15 +146,21 @@ def study_records(spark: SparkSession, path: str, keep: tuple[str, ...] | None =
     raise DataQualityError(f"unknown kind of file: {path}")
 
 
-def read_study(spark: SparkSession, path: str, model: str | None = None) -> DataFrame:
-    """Rows of any kind of file as study rows: typed, with unique ids, no text with two families or labels, and one model."""
+def read_study(spark: SparkSession, path: str, model: str | None = None, mixed: bool = False) -> DataFrame:
+    """Rows of any kind of file as study rows: typed, with unique ids, no text with two families or labels, and one model.
+
+    If ``mixed``, texts with two labels stay, and each row keeps its own.
+    """
     r = _keyed(study_records(spark, path))
     wrong = F.coalesce(stripped(F.col("problem")) == "", F.lit(True)) | F.col("is_robust").isNull() | F.coalesce(F.col("family_id") == "", F.lit(True))
     require(r.where(wrong).select("_pos"), "rows without problem string, boolean label or family")
     require(r.where(F.col("id").isNull()).select("_pos"), "ids that are no strings")
     r = r.drop("_pos")
     require(duplicates(r, "id"), "repeated ids")
-    require(conflicts(r, ["problem"], ["family_id", "is_robust"]), "texts with two families or labels")
+    if mixed:
+        require(conflicts(r, ["problem"], ["family_id"]), "texts with two families")
+    else:
+        require(conflicts(r, ["problem"], ["family_id", "is_robust"]), "texts with two families or labels")
     models = r.where(F.col("model_id") != "").select("model_id").distinct().limit(3).collect()
     wanted = {ALIASES.get(m, m) for m in [model, *[x["model_id"] for x in models]] if m}
     if len(wanted) > 1:

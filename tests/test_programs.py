@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from evalloom import preparation, programs, training
 from evalloom.functions.tokens import METRICS
 from evalloom.operators import artifacts, evaluate, inference, networks, quality, selection, study
-from evalloom.sources import files
+from evalloom.sources import files, readers
 
 canonical = lambda x: json.dumps(x, ensure_ascii=False, sort_keys=True, separators=(",", ":"))
 
@@ -165,3 +165,39 @@ def test_a_submission_is_called_once_a_model(spark, tmp_path):
     programs.ingest(spark, root, f"{root}/out", f"{root}/s")
     assert sorted(p.name[:2] for p in (tmp_path / "calls").iterdir()) == ["m0", "m1", "m2"]
     assert [x["id"] for x in lines(tmp_path / "out", "predictions.jsonl")] == [str(i) for i in range(30)]
+
+
+@pytest.fixture
+def two_labels(spark, tmp_path):
+    """Tables in which one text has two labels and another is a line end; DuckDB with them as views."""
+    import duckdb
+
+    texts = [f"text {i}" for i in range(20)] + ["text 3", "\n", "text 7", "text 7", None, "  "]
+    rows = [(i, t, "en", "src0", len(t or "")) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, int(i % 3 != 0 or i == 20), 0) for i in range(len(texts))], "doc_id long, quality int, toxic int").coalesce(1).write.parquet(f"{tmp_path}/labels.parquet")
+    duck = duckdb.connect()
+    for t in ("documents", "labels"):
+        duck.sql(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    return str(tmp_path), duck
+
+
+@pytest.mark.parametrize("name", ["split_study"])
+def test_studies_keep_texts_with_two_labels(spark, two_labels, name):
+    from evalloom.plans import catalog
+
+    folder, duck = two_labels
+    got = catalog.queries()[name](spark, folder)
+    want = duck.sql(catalog.oracle_sql()[name])
+    assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(want.fetchall()) and got.count() == 24
+
+
+def test_texts_with_two_labels_stay_if_asked_for(spark, tmp_path):
+    one = lambda i, label, family="f": json.dumps({"id": i, "problem": "p", "is_robust": label, "family_id": family})
+    (tmp_path / "a.jsonl").write_text("\n".join([one("a", True), one("b", False)]))
+    (tmp_path / "b.jsonl").write_text("\n".join([one("a", True), one("b", True, "g")]))
+    with pytest.raises(quality.DataQualityError, match="two families or labels"):
+        readers.read_study(spark, f"{tmp_path}/a.jsonl")
+    assert sorted((r.id, r.is_robust) for r in readers.read_study(spark, f"{tmp_path}/a.jsonl", mixed=True).collect()) == [("a", True), ("b", False)]
+    with pytest.raises(quality.DataQualityError, match="two families"):
+        readers.read_study(spark, f"{tmp_path}/b.jsonl", mixed=True)
