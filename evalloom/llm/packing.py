@@ -8,9 +8,11 @@ import zlib
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -20,18 +22,23 @@ from .scratch import Scratch, table
 
 #: Fixed values of the queries: tokens of a sequence, and the id that ends a document.
 CAPACITY, END = 4096, 1
-#: Text between white space that a worker remembers the ids of: chunks, and characters of a chunk at most.
+#: Words and other chunks between white space that a worker remembers the ids of, and characters of one at most.
 REMEMBERED, CHUNK = 1 << 20, 64
-_SPACE = re.compile(r"[\x20\x09-\x0D]+")
+#: What is encoded at a time: bytes of texts, about, chunks of them, and new words.
+BYTES, AT_ONCE, WORDS = 8 << 20, 1 << 20, 1 << 14
+#: A word of ASCII or Latin-1 letters, and ASCII marks that end it; no ``<``, with which added tokens begin.
+_LETTERS = "[A-Za-zÀ-ÖØ-öø-ÿ]+"
+_WORD = rf"^(?P<word>{_LETTERS})(?P<marks>[!-/:;=-@\[-`{{-~]*)$"
 
 
 class Encoder(dict):
-    """Ids of whole texts, as bytes of unsigned 32-bit numbers, by a tokenizer file whose tokens never span white space
-    and don't depend on what lies beyond it (``word_bpe_49k.json`` is such): what stands between white space is
-    encoded once. Of ASCII words, lower case is encoded, and apart from a mark that ends them.
+    """Ids of whole texts, as unsigned 32-bit numbers, by a tokenizer file whose tokens never span white space
+    and don't depend on what lies beyond it (``word_bpe_49k.json`` is such). What stands between ASCII white space is
+    looked up once a batch. Words of Latin letters are encoded in lower case, apart from marks that end them and many at
+    once; other chunks one by one.
 
-    When half of ``REMEMBERED`` chunks of ``CHUNK`` characters are held, those of the time before that weren't met again
-    go: a worker's memory is bounded, and frequent words stay.
+    When half of ``REMEMBERED`` words and chunks of ``CHUNK`` characters are held, those of the time before that weren't
+    met again go: a worker's memory is bounded, and frequent words stay.
     """
 
     def __init__(self, path: str):
@@ -41,34 +48,58 @@ class Encoder(dict):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer = Tokenizer.from_file(path)
         self.before: dict[str, bytes] = {}
-
-    def __missing__(self, chunk: str) -> bytes:
-        got = self.before.pop(chunk, None)
-        if got is not None:
-            pass
-        elif (plain := _plain(chunk)) != chunk:
-            got = self[plain] + (self[chunk[-1]] if len(plain) < len(chunk) else b"")
-        else:
-            got = np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(chunk) <= CHUNK:  # long ones are seldom seen again
-            self[chunk] = got
+        suffix, vocab = getattr(self.tokenizer.model, "end_of_word_suffix", None), self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocab.values(), default=0) + 1, bool)  # ids that end a word
+        self.last[[i for token, i in vocab.items() if suffix and token.endswith(suffix)]] = True
+
+    def encode(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def learn(self, parts: list[str]) -> dict[str, bytes]:
+        """The ids of distinct words and chunks that aren't held; short ones are held from now on."""
+        got = {p: self.before.pop(p, None) for p in parts}
+        words = [p for p, x in got.items() if x is None and re.fullmatch(_LETTERS, p)]
+        for lo in range(0, len(words), WORDS):
+            some = words[lo : lo + WORDS]
+            ids = self.encode(" ".join(some))
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) == len(some):  # else this tokenizer doesn't mark where words end
+                raw = ids.tobytes()
+                got.update(zip(some, (raw[i:k] for i, k in pairwise([0, *(4 * ends).tolist()]))))
+        got = {p: self.encode(p).tobytes() if x is None else x for p, x in got.items()}
+        self.update((p, x) for p, x in got.items() if len(p) <= CHUNK)  # long ones are seldom seen again
         return got
 
-    def ids(self, text: str) -> bytes:
-        if len(self) > REMEMBERED // 2:
-            self.before = dict(self)
-            self.clear()
-        return b"".join(map(self.__getitem__, _SPACE.split(text) if _ODD.search(text) else text.split()))
-
-
-#: What Python alone takes for white space.
-_ODD = re.compile("[\x1c-\x1f]")
-
-
-def _plain(chunk: str) -> str:
-    """Of ASCII letters and what ends with them and a mark, what has the same ids without the mark, in lower case."""
-    word = chunk[:-1] if len(chunk) > 1 and chunk[-1] in ".,;:?!" and chunk[-2].isascii() and chunk[-2].isalpha() else chunk
-    return word.lower() if word.isascii() and "<" not in word else word
+    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one behind the other, and where each text's begin and the last one's end."""
+        chunks = pc.ascii_split_whitespace(texts.fill_null(""))
+        out, per = [np.zeros(0, "<u4")], [np.zeros(1, np.int64)]
+        for lo in range(0, len(chunks.values), AT_ONCE):
+            if len(self) > REMEMBERED // 2:
+                self.before = dict(self)
+                self.clear()
+            code = chunks.values.slice(lo, AT_ONCE).dictionary_encode()
+            cut = pc.extract_regex(code.dictionary, _WORD)  # null if it is no word
+            word, marks = pc.coalesce(pc.utf8_lower(pc.struct_field(cut, "word")), code.dictionary), pc.coalesce(pc.struct_field(cut, "marks"), "")
+            part = pa.concat_arrays([word, marks]).dictionary_encode()
+            parts = part.dictionary.to_numpy(zero_copy_only=False).tolist()
+            known = list(map(self.get, parts))
+            new = self.learn([p for p, x in zip(parts, known) if x is None])
+            known = [new[p] if x is None else x for p, x in zip(parts, known)]
+            ids, sizes = np.frombuffer(b"".join(known), "<u4"), np.fromiter(map(len, known), np.int64, len(known)) // 4
+            both = part.indices.to_numpy().reshape(2, -1).T.ravel()  # a chunk's word, then its marks
+            ids, sizes = _spread(ids, sizes, both), sizes[both].reshape(-1, 2).sum(1)
+            at = code.indices.to_numpy()
+            out.append(_spread(ids, sizes, at))
+            per.append(sizes[at])
+        return np.concatenate(out), np.cumsum(np.concatenate(per))[chunks.offsets.to_numpy()]
+
+
+def _spread(ids: np.ndarray, sizes: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The runs ``at`` of ``ids``, one behind the other, where ``sizes`` cut ``ids`` into runs."""
+    n = sizes[at]
+    shift = (np.cumsum(sizes) - sizes)[at] - (np.cumsum(n) - n)
+    return ids[np.arange(n.sum()) + np.repeat(shift, n)]
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -83,25 +114,25 @@ def encoder(path: str) -> Encoder:
 
 def _cutter(path: str, capacity: int, end: int, keep_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of, seen, task, last = encoder(path).ids, [0] * (capacity + 1), TaskContext.get().partitionId(), np.array([end], "<u4").tobytes()
+        ids_of, seen, task = encoder(path).ids, [0] * (capacity + 1), TaskContext.get().partitionId()
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                b = batch.slice(at, 256)
-                doc, piece, start, length, crc, nth, ids = [], [], [], [], [], [], []
-                for r, text in enumerate(b.column(1).to_pylist()):
-                    whole = ids_of(text or "") + last
-                    for k, lo in enumerate(range(0, len(whole) // 4, capacity)):
-                        part = whole[4 * lo : 4 * (lo + capacity)]
-                        n = len(part) // 4
-                        doc.append(r), piece.append(k), start.append(lo), length.append(n)
-                        crc.append(zlib.crc32(part)), nth.append(seen[n])
+            step = max(1, batch.num_rows * BYTES // max(1, batch.column(1).nbytes))
+            for at in range(0, batch.num_rows, step):
+                b = batch.slice(at, step)
+                ids, bounds = ids_of(b.column(1))
+                ids = np.insert(ids, bounds[1:], end)
+                bounds += np.arange(len(bounds))  # an end a text
+                doc, piece, start, length, crc, nth = [], [], [], [], [], []
+                for r, (first, beyond) in enumerate(pairwise(bounds.tolist())):
+                    for k, lo in enumerate(range(first, beyond, capacity)):
+                        n = min(capacity, beyond - lo)
+                        doc.append(r), piece.append(k), start.append(lo - first), length.append(n)
+                        crc.append(zlib.crc32(ids[lo : lo + n])), nth.append(seen[n])
                         seen[n] += 1
-                        if keep_ids:
-                            ids.append(part)
                 cols = [b.column(0).take(pa.array(doc, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc)), pa.array([task] * len(doc), pa.int32()), pa.array(nth, pa.int64())]
                 names = ["doc_id", "piece", "start", "length", "ids_crc32", "_task", "_nth"]
-                if keep_ids:
-                    cols.append(pa.array([np.frombuffer(x, "<i4") for x in ids], pa.list_(pa.int32())))
+                if keep_ids:  # pieces lie one behind the other
+                    cols.append(pa.ListArray.from_arrays(pa.array(np.cumsum([0, *length]), pa.int32()), pa.array(ids.view("<i4"))))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(cols, names)
 
@@ -214,7 +245,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = E
 
     Null and empty texts are ``end`` alone; rows that repeat a doc_id or have none are packed each; an empty table
     gives none; other columns are not read. ``tokenizer`` is a file that every executor has; ``Encoder`` says
-    which kind it must be. Texts are read whole; a task holds one text's ids at a time beside its batch.
+    which kind it must be. Texts are read whole; a task holds the ids of ``BYTES`` of texts, or of one longer text, beside its batch.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "packing")

@@ -10,6 +10,7 @@ from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -153,6 +154,52 @@ def test_sequences_give_the_ids_back(spark, odd):
     assert have == want and all(len(r.ids) <= 100 for r in whole)
 
 
+class Counted:
+    """A tokenizer that counts the calls and the characters that it is given."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.calls, self.given = tokenizer, 0, 0
+
+    def __getattr__(self, name):
+        def call(x, **options):
+            self.calls, self.given = self.calls + 1, self.given + sum(map(len, [x] if isinstance(x, str) else x))
+            return getattr(self.tokenizer, name)(x, **options)
+
+        return call
+
+
+def encoded(e, texts):
+    ids, bounds = e.ids(pa.array(texts, pa.string()))
+    return [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])]
+
+
+def test_new_words_are_encoded_many_at_once_and_known_ones_never_again():
+    e, rng = packing.Encoder(TOKENIZER), random.Random(5)
+    e.tokenizer = Counted(tokenizer := e.tokenizer)
+    words = list({"".join(rng.choices("abcdefghijklmnoprstuväéñ", k=rng.randrange(3, 12))) for _ in range(20_000)})
+    texts = [" ".join(rng.choice([w, w.title(), f"{w},", f"{w}!!"]) for w in words[k::50]) for k in range(50)]
+    want = [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert encoded(e, texts) == want
+    assert e.tokenizer.calls <= 5 and e.tokenizer.given < 1.01 * sum(len(w) + 1 for w in words)  # words in two calls, marks, and nothing
+    before = e.tokenizer.calls
+    assert encoded(e, [t.upper() for t in texts]) == want and e.tokenizer.calls == before
+
+
+def test_encoder_equals_the_tokenizer_on_odd_chunks(monkeypatch):
+    rng, tokenizer = random.Random(6), Tokenizer.from_file(TOKENIZER)
+    odd = ["'s", "'LL", "'", "<|endoftext|>", "<|END", "<", "|>", "</w>", "\u0301", "\u030c", "\u0338", "İ", "Σ", "ß", "ÿ", "À", "×", "÷", "ª", "µ", "\xa0", "\x85", "\u3000", "\x1c", "\x00", "7", "Ⅷ", "中", "Ж", "ﬁ", "=", ">", "~", "`", "\\", "]", *"abJK.,!-_"]
+    texts = [None, "", " \t", *("".join(rng.choices([*odd, *" \n\x0b"], k=rng.randrange(1, 40))) for _ in range(4000)), "long" * 40 + "!! ", "x" * 5000]
+    want = [tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+    e = packing.Encoder(TOKENIZER)
+    assert encoded(e, texts) == want and encoded(e, texts[::-1]) == want[::-1] and max(map(len, e)) <= packing.CHUNK
+    for name, small in (("REMEMBERED", 60), ("AT_ONCE", 17), ("WORDS", 3)):
+        monkeypatch.setattr(packing, name, small)
+    e = packing.Encoder(TOKENIZER)
+    assert encoded(e, texts[:400]) == want[:400] and len(e) + len(e.before) < 200
+    e.last[:] = False  # as of a tokenizer without marks where words end
+    assert encoded(e, texts[:1:-20]) == want[:1:-20]
+
+
 def best_fit(counts, capacity):
     gaps = []
     for n in sorted(Counter(counts).elements(), reverse=True):
